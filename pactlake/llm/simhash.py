@@ -165,7 +165,7 @@ def links(distinct: DataFrame, radius: int = 3, bucket_rows: int = 4096, blocks:
     in a cell of its own, so a hot bucket is many bounded tasks.
     """
     n = distinct.count()
-    blocks = blocks or next((m for m, bits in ((4, 16), (5, 25)) if n <= 512 << bits), 6)
+    blocks = blocks or next((m for m in range(radius + 1, radius + 3) if n <= bucket_rows // 4 << 64 * (m - radius) // m), radius + 3)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for kept in combinations(range(blocks), blocks - radius):
