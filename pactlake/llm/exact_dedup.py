@@ -7,8 +7,8 @@
 * **Compaction.** Runs are merged by digest; the entry with the smallest
   identifier survives and carries the size of its group.
 * **Byte verification.** A digest seen more than once is only a hit. The texts
-  of hits meet the text of the surviving document, in slices of at most
-  ``slice_rows`` rows, and are compared byte by byte. Digests whose texts
+  of hits meet the text of the surviving document, in slices of about
+  ``SLICE_ROWS`` rows, and are compared byte by byte. Digests whose texts
   differ are grouped again by the text itself.
 
 Texts equal up to runs of ASCII white space are equal. Edge cases: a null text
@@ -29,6 +29,10 @@ from pactlake.llm.common import scratch_dir, stage, text_or_empty
 _UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
+#: Members of a group whose texts meet the surviving text in one task.
+SLICE_ROWS = 1000
+
+
 def normalised(col: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(col), _UNEVEN_SPACE, " ")
 
@@ -68,15 +72,21 @@ def compact(runs: DataFrame) -> DataFrame:
     )
 
 
-def _texts_of(docs: DataFrame, members: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Normalised texts of the documents in ``members``; other texts are not moved if the ids are few."""
-    ids = members.select("doc_id").distinct()
+def _member_texts(docs: DataFrame, members: DataFrame, digest_chars: int, broadcast_rows: int) -> DataFrame:
+    """Normalised texts of the documents in ``members``, written once.
+
+    Up to ``broadcast_rows`` members (32 bytes each) are sent to the scan, so
+    that other texts are not moved; beyond, texts and members are shuffled.
+    """
+    few = members.select("doc_id", F.xxhash64("digest").alias("key"), "keep_id", F.ceil(F.col("group_size") / SLICE_ROWS).cast("int").alias("slices"))
     if members.count() <= broadcast_rows:
-        ids = F.broadcast(ids)
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", normalised().alias("norm"))
+        few = F.broadcast(few)
+    texts = docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "key", "keep_id", "slices", normalised().alias("norm"))
+    texts = texts.withColumn("digest", F.substring(F.sha2(F.encode("norm", "UTF-8"), 256), 1, digest_chars))
+    return stage(texts.where(F.xxhash64("digest") == F.col("key")).drop("key"), "exact-texts")
 
 
-def decisions(docs: DataFrame, digest_chars: int = 64, slice_rows: int = 1000, broadcast_rows: int = 100_000) -> DataFrame:
+def decisions(docs: DataFrame, digest_chars: int = 64, broadcast_rows: int = 100_000) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     docs = docs.select("doc_id", "text")
     runs = flush_runs(docs, digest_chars)
@@ -87,12 +97,7 @@ def decisions(docs: DataFrame, digest_chars: int = 64, slice_rows: int = 1000, b
         "exact-members",
     )
 
-    texts = (
-        _texts_of(docs, members, broadcast_rows)
-        .withColumn("digest", F.substring(F.sha2(F.encode("norm", "UTF-8"), 256), 1, digest_chars))
-        .join(members, ["doc_id", "digest"])
-        .withColumn("slices", F.ceil(F.col("group_size") / slice_rows).cast("int"))
-    )
+    texts = _member_texts(docs, members, digest_chars, broadcast_rows)
     hits = texts.where("doc_id <> keep_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     keepers = (
         texts.where("doc_id = keep_id").groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.max("slices").alias("slices"))
