@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from pactlake.plans import score_queries
+
 FLAGSHIP = "R16_score_documents"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(score_queries.QUERIES)
+ORACLES: dict[str, str] = dict(score_queries.ORACLES)
