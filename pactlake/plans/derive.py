@@ -77,7 +77,7 @@ CONTRACTS = f"SELECT k AS doc_id, concat_ws(chr(10), {_LINES_OF_TEXT}) AS text F
 #: The same texts with the dirt that canonicalisation removes.
 RAW_CONTRACTS = (
     "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, chr(10), concat(chr(13), chr(10))) WHEN 1 THEN concat('  ', replace(text, ' ', '  ')) "
-    "WHEN 2 THEN replace(text, 'agreement', concat('agree', chr(8203), 'ment')) ELSE replace(text, 'payable', concat('pay-', chr(10), 'able')) END AS text "
+    "WHEN 2 THEN replace(text, 'agreement', 'agree\u200bment') ELSE replace(text, 'payable', concat('pay-', chr(10), 'able')) END AS text "
     f"FROM ({CONTRACTS})"
 )
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.plans import score_queries
+from pactlake.plans import score_queries, text_queries
 
 FLAGSHIP = "R16_score_documents"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(score_queries.QUERIES)
-ORACLES: dict[str, str] = dict(score_queries.ORACLES)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = score_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict[str, str] = score_queries.ORACLES | text_queries.ORACLES
