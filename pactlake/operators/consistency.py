@@ -39,6 +39,11 @@ KINDS = ("dangling_cross_reference", "undefined_term", "unused_definition", "fig
 MONTH_DAYS, YEAR_DAYS, CONCEPT_WINDOW, TERM_CHARS = 30, 365, 90, 60
 
 
+def _present(value: Column) -> Column:
+    """Rows whose value is not null. Unlike a filter, a generator is not copied down into the projections that made the value."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def _matches(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text", F.explode(match_spans(F.col("text"), pattern)).alias("m")).select("doc_id", "text", "m.start", "m.end", F.col("m.text").alias("match"))
 
@@ -118,7 +123,7 @@ def figure_word_mismatch(docs: DataFrame) -> DataFrame:
 
 
 def nearest_concept(spans: DataFrame) -> DataFrame:
-    """Adds the closest concept within the window of each span (``text, start, end``), null if there is none."""
+    """The closest concept within the window of each span (``text, start, end``); spans without one go."""
     first = F.greatest(F.lit(0), F.col("start") - CONCEPT_WINDOW)
     rows = spans.withColumn("__s", F.col("start") - first).withColumn("__hay", piece(F.col("text"), first, F.col("end") + CONCEPT_WINDOW))
     rows = rows.withColumn("__e", F.col("__s") + F.col("end") - F.col("start"))
@@ -132,23 +137,23 @@ def nearest_concept(spans: DataFrame) -> DataFrame:
     concept = F.lit(None).cast("string")
     for name, (c, _, _) in reversed(list(zip(names, CONCEPTS, strict=True))):  # earlier concepts win ties
         concept = F.when(F.col(name) == F.col("__least"), c).otherwise(concept)
-    return rows.withColumn("concept", concept).drop("__s", "__e", "__hay", "__least", *names)
+    return rows.select(*spans.columns, _present(concept).alias("concept"))
 
 
 def extract_quantities(docs: DataFrame) -> DataFrame:
     """Durations in days, money and rates, each with its nearest concept."""
     d = _matches(docs, DURATION).withColumn("from", F.greatest(F.lit(0), F.col("start") - 48))
-    d = d.withColumn("v", trailing_value(piece(F.col("text"), F.col("from"), F.col("start")))).where(F.col("v").isNotNull())
+    d = d.withColumn("v", _present(trailing_value(piece(F.col("text"), F.col("from"), F.col("start")))))
     unit = F.lower("match")
     days = F.when(unit.startswith("week"), 7).when(unit.startswith("month"), MONTH_DAYS).when(unit.startswith("year"), YEAR_DAYS).otherwise(1)
     durations = d.select("doc_id", "text", F.lit("duration").alias("family"), (F.col("v.value") * days).alias("value"), (F.col("from") + F.col("v.start")).alias("start"), "end")
 
     def amounts(pattern: str, family: str) -> DataFrame:
-        m = _matches(docs, pattern).withColumn("value", rupees(F.col("match"))).where("value is not null")
+        m = _matches(docs, pattern).withColumn("value", _present(rupees(F.col("match"))))
         return m.select("doc_id", "text", F.lit(family).alias("family"), "value", "start", "end")
 
     found = durations.unionByName(amounts(MONEY, "money")).unionByName(amounts(RATE, "rate"))
-    return nearest_concept(found).where("concept is not null").select("doc_id", "concept", "family", "value", "start", "end")
+    return nearest_concept(found).select("doc_id", "concept", "family", "value", "start", "end")
 
 
 def conflicting_quantities(docs: DataFrame) -> DataFrame:

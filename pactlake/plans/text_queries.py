@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from pactlake.functions import text as tx
 from pactlake.functions.spans import match_spans
-from pactlake.operators import canonical, consistency, grounding, report, rubric, statutes
+from pactlake.operators import canonical, consistency, grounding, remedies, report, rubric, statutes
 from pactlake.plans import derive
 from pactlake.plans import score_queries as sq
 from pactlake.plans.rules import BOUNDS, CONSTRUCTS, DOCUMENT_TYPES, FORUMS, LIMITATIONS, NUMBERS, RULES, inputs, title
@@ -163,19 +166,19 @@ def profile_rules(spark, d):
 
 def _reports(spark, d):
     v, s = sq.view(spark, d), sq.situations(spark, d)
-    from pactlake.operators import remedies
-
     refused = v.where("doc_id % 13 = 0").select("doc_id", F.lit(canonical.REFUSED).alias("reason"))
     legal = v.where("doc_id % 13 <> 0")
     return report.assemble_report(rubric.score_documents(legal), rubric.risk_drivers(legal), statutes.order_verdicts(statutes.triage(legal)), remedies.next_steps(legal, s, derive.TODAY), refused)
 
 
-def _stored(spark, d):
-    import tempfile
-    import uuid
-
+def _shared(spark):
+    """A new folder where the session's cluster keeps shared files; a temporary one in single-machine tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pactlake-")
-    path = f"{base}/reports-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/contracts-{uuid.uuid4().hex}"
+
+
+def _stored(spark, d):
+    path = _shared(spark)
     files.write_reports(_reports(spark, d), path)
     return path
 
@@ -671,5 +674,9 @@ def analysis_metrics(spark, d):
 
 @query("W6_streaming_scoring", sq.ORACLES["R13_risk_score"])
 def streaming_scoring(spark, d):
-    return rubric.score_documents(sq.view(spark, d)).select("doc_id", "score")
-
+    """The fact view arrives as files of a stream, is scored batch by batch, and read back."""
+    base = _shared(spark)
+    sq.view(spark, d).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    guards.streaming_scoring(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", "score")

@@ -94,7 +94,7 @@ def dedup_stream(requests: DataFrame, key: list[str], minutes: int = DEDUP_MINUT
 def suppression(events: DataFrame) -> DataFrame:
     """``pair, ts, event_id, ttl_minutes`` (null for attempts): an attempt is skipped while a failure before it lasts."""
     before = Window.partitionBy("pair").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    until = F.max(F.unix_micros("ts") + F.col("ttl_minutes") * 60_000_000).over(before)
+    until = F.max(F.unix_micros("ts") + F.col("ttl_minutes").cast("long") * 60_000_000).over(before)
     rows = events.withColumn("until", until).where("ttl_minutes is null")
     return rows.select("pair", "ts", "event_id", F.coalesce(F.unix_micros("ts") < F.col("until"), F.lit(False)).alias("skipped"))
 
