@@ -91,11 +91,9 @@ def decisions(docs: DataFrame, digest_chars: int = 64, broadcast_rows: int = 100
     docs = docs.select("doc_id", "text")
     runs = flush_runs(docs, digest_chars)
     groups = compact(runs)
-    members = stage(
-        runs.join(groups, "digest").where(F.col("doc_id").isNotNull())
-        .groupBy("digest", "doc_id").agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")),
-        "exact-members",
-    )
+    # Stored before it is made distinct: the join's hot digests can then be split, and (digest, doc_id) has none.
+    members = stage(runs.where("doc_id is not null").join(groups, "digest").select("digest", "doc_id", "keep_id", "group_size"), "exact-hits")
+    members = stage(members.distinct(), "exact-members")
 
     texts = _member_texts(docs, members, digest_chars, broadcast_rows)
     hits = texts.where("doc_id <> keep_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
