@@ -187,14 +187,18 @@ def links(distinct: DataFrame, radius: int = 3, bucket_rows: int = 4096, blocks:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges``; the root is the component's smallest node."""
+    """``node, root`` for every node of ``edges``; the root is the component's smallest node.
+
+    The smallest neighbours are stored before they are joined, so that both
+    sides of a join are plain shuffles and Spark can split a hot node.
+    """
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
+        large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components-large")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "components-least")
         small = large.join(least, "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
@@ -213,7 +217,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096) -
         distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")),
         "simhash-rooted",
     )
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
     by_print = stage(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(by_print, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
