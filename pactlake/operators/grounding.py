@@ -16,19 +16,20 @@ MIN_SIMILARITY, MIN_QUOTE, MARGIN = 0.82, 24, 0.05
 REASONS = ("quote_empty", "quote_too_short", "not_found", "below_threshold", "ambiguous", "duplicate")
 
 
-def bigram_dice(left: Column, right: Column) -> Column:
-    """Multiset Dice over character pairs, without leaving the expression engine."""
-
-    def counts(text: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-        return grams
-
-    a, b = counts(left), counts(right)
-    shared = F.aggregate(
-        F.array_distinct(a), F.lit(0),
-        lambda total, g: total + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))),
+def bigram_dice(pairs: DataFrame) -> DataFrame:
+    """Multiset Dice over character pairs of ``doc_id, a, b``, as grouped counts that meet on the pair."""
+
+    def counts(side: str) -> DataFrame:
+        n = F.length(side)
+        grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(side, i, F.lit(2))))
+        return pairs.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+
+    shared = counts("a").join(counts("b"), ["doc_id", "gram"]).groupBy("doc_id").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    score = (
+        F.when(F.col("a") == F.col("b"), 1.0).when((F.length("a") < 2) | (F.length("b") < 2), 0.0)
+        .otherwise(2.0 * F.coalesce("shared", F.lit(0)) / (F.length("a") + F.length("b") - 2))
     )
-    return F.when(left == right, 1.0).when((F.length(left) < 2) | (F.length(right) < 2), 0.0).otherwise(2.0 * shared / (F.length(left) + F.length(right) - 2))
+    return pairs.join(shared, "doc_id", "left").select("doc_id", score.alias("similarity"))
 
 
 class _Windows:

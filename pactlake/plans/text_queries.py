@@ -344,7 +344,7 @@ _GRAMS = "list_transform(range(1, length({0})), lambda i: substring({0}, i, 2))"
        "SELECT doc_id, round(2.0 * coalesce(s, 0) / (length(a) + length(b) - 2), 6) AS similarity FROM p LEFT JOIN s USING (doc_id)")
 def bigram_dice(spark, d):
     p = contracts(spark, d).where("length(text) >= 100").select("doc_id", F.substring("text", 1, 60).alias("a"), F.substring("text", 20, 60).alias("b"))
-    return p.select("doc_id", F.round(grounding.bigram_dice(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return grounding.bigram_dice(p).withColumn("similarity", F.round("similarity", 6))
 
 
 def _near_quotes(spark, d):
