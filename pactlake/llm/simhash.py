@@ -2,6 +2,9 @@
 
 * **Fingerprints.** Per document the XXH64 values (seed 42) of its 3-word
   shingles vote on 64 bits; a bit is set if over half of the values have it.
+* **Views.** Further fingerprints of a text come from the same shingles with
+  their hash values mixed anew. Linking by any view finds more of the texts
+  whose distance in one view is just past the radius.
 * **Candidates.** Two fingerprints that differ in at most ``radius`` bits agree
   on at least ``m - radius`` of ``m`` bit blocks. Each distinct fingerprint is
   dealt out under every choice of ``m - radius`` blocks, so no pair is missed;
@@ -34,19 +37,32 @@ from pyspark.sql import functions as F
 from pactlake.llm.common import stage
 
 _LANES = np.uint64(0x0101010101010101)
+_STEP = 0x9E3779B97F4A7C15  # this and the two factors of _of_view: the public SplitMix64 mixer
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text; 0 if it has no words."""
+def _shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words))))
     hash_ = xxhash.xxh64_intdigest
-    values = np.fromiter((hash_(s, seed) for s in shingles), np.uint64)
+    return np.fromiter((hash_(s, seed) for s in shingles), np.uint64)
+
+
+def _of_view(values: np.ndarray, view: int) -> np.ndarray:
+    """The hash values of a further view: each value mixed anew. View 0 takes them as they are."""
+    if not view:
+        return values
+    values = values + np.uint64(view * _STEP % (1 << 64))
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def _majority(values: np.ndarray) -> int:
     votes = np.zeros((8, 8), np.int64)  # [bit within byte, byte]
     for at in range(0, len(values), 255):  # 255 votes fit in a byte lane
         part = values[at : at + 255]
@@ -56,18 +72,27 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return sum(1 << (8 * byte + bit) for bit in range(8) for byte in range(8) if majority[bit, byte])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long) of whole texts."""
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, view: int = 0) -> int:
+    """64-bit SimHash of a whole text; 0 if it has no words."""
+    return _majority(_of_view(_shingle_hashes(text, words, seed), view))
+
+
+def fingerprints(docs: DataFrame, views: int = 1) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) of whole texts; further views are ``fp1``, ``fp2``, ..."""
+    names = ["fp", *(f"fp{view}" for view in range(1, views))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                values = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values)], names=["doc_id", "fp"])
+                values = np.zeros((views, part.num_rows), np.uint64)
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    hashes = _shingle_hashes(text, 3, 42)
+                    values[:, i] = [_majority(_of_view(hashes, view)) for view in range(views)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, values.view(np.int64))], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} long" for name in names))
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -208,11 +233,29 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``."""
-    prints = stage(fingerprints(docs), "simhash-prints")
+def _links_of_view(prints: DataFrame, view: str, radius: int, bucket_rows: int) -> DataFrame:
+    """Links of a further view between fingerprints ``fp``: each of the view's own stands for its smallest ``fp``."""
+    pairs = stage(prints.select("fp", F.col(view).alias("own")).distinct(), "simhash-view")
+    first = stage(pairs.groupBy("own").agg(F.min("fp").alias("first")), "simhash-first")
+    same = pairs.join(first, "own").select(F.col("fp").alias("u"), F.col("first").alias("v")).where("u <> v")
+    near = stage(links(first.select(F.col("own").alias("fp")), radius, bucket_rows), "simhash-near")
+    near = near.join(first.select(F.col("own").alias("u"), F.col("first").alias("a")), "u")
+    near = near.join(first.select(F.col("own").alias("v"), F.col("first").alias("b")), "v")
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096, views: int = 1) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint, component_id``.
+
+    With more than one view, documents link that are within ``radius`` in any
+    of them; ``fingerprint`` is the first.
+    """
+    prints = stage(fingerprints(docs, views), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    found = components(links(distinct, radius, bucket_rows))
+    edges = links(distinct, radius, bucket_rows)
+    for view in range(1, views):
+        edges = edges.unionByName(_links_of_view(prints, f"fp{view}", radius, bucket_rows))
+    found = components(edges)
     rooted = stage(
         distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")),
         "simhash-rooted",

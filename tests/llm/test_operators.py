@@ -290,6 +290,32 @@ def test_links_have_the_components_of_all_pairs(spark, radius, bucket_rows):
     assert groups([roots.get(s, s) for s in signed]) == groups([root(i) for i in range(len(values))])
 
 
+def test_views_link_what_any_view_links(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        for _ in range(4):
+            texts.append(" ".join(rng.choice(vocabulary) if rng.random() < 0.03 else w for w in base))
+    prints = [[simhash.fingerprint(t, view=v) for v in range(3)] for t in texts]
+    assert len({p[0] for p in prints} | {p[1] for p in prints}) > len({p[0] for p in prints})
+    parent = list(range(len(texts)))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if any((a ^ b).bit_count() <= 6 for a, b in zip(prints[i], prints[j])) and root(i) != root(j):
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+    found = simhash.near_duplicates(docs(spark, texts), radius=6, views=3).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: root(i) for i in range(len(texts))}
+    one_view = simhash.near_duplicates(docs(spark, texts), radius=6).select("component_id").distinct().count()
+    assert len({root(i) for i in range(len(texts))}) < one_view
+    assert simhash.near_duplicates(docs(spark, []), radius=6, views=3).count() == 0
+    assert simhash.near_duplicates(docs(spark, ["", None, "a b c"]), radius=6, views=3).select("component_id").distinct().count() == 2
+
+
 def test_simhash_edges(spark):
     found = simhash.near_duplicates(docs(spark, ["", None, "  ", "a b c d", "A b\tc d", LONG, "x y"], [7, 6, 9, 3, 2, 1, None])).toPandas()
     assert set(found[found["fingerprint"] == "0" * 16]["component_id"]) == {6} and len(found) == 7
