@@ -101,7 +101,7 @@ def number_words(phrase: Column) -> Column:
 
 
 _NUMBER_WORD = "(?:" + "|".join([*WORD_VALUES, *SCALES, *IGNORED]) + ")"
-_TRAILING_WORDS = rf"(?i)(?<![A-Za-z])({_NUMBER_WORD}(?![A-Za-z])(?:{NOISE}*(?<![A-Za-z]){_NUMBER_WORD}(?![A-Za-z]))*){NOISE}*$"
+_TRAILING_WORDS = rf"(?i)(?<![A-Za-z])({_NUMBER_WORD}(?![A-Za-z])(?:{NOISE}*+(?<![A-Za-z]){_NUMBER_WORD}(?![A-Za-z]))*+){NOISE}*+$"
 
 
 def trailing_words(window: Column) -> Column:
@@ -113,7 +113,7 @@ def trailing_words(window: Column) -> Column:
 
 def trailing_figure(window: Column) -> Column:
     """Digits that end a window, past noise."""
-    head = F.regexp_replace(window, rf"(?i){NOISE}+$", "")
+    head = F.regexp_replace(window, rf"(?i){NOISE}++$", "")
     digits = F.regexp_extract(head, r"(\d[\d,]*(?:\.\d+)?)$", 1)
     value = F.regexp_replace(digits, ",", "").try_cast("double")
     return F.when(digits != "", F.struct(value.alias("value"), (F.length(head) - F.length(digits)).alias("start")))

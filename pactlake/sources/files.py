@@ -48,10 +48,17 @@ def triage_files(files: DataFrame) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Binary files of a lake; content above the limit is never read."""
-    small = spark.read.format("binaryFile").load(path)
-    return small.select("path", "length", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
+def read_files(spark: SparkSession, path: str, inventory: DataFrame | None = None) -> DataFrame:
+    """Binary files of a lake; content above the limit is never read.
+
+    Spark's reader passes over files of zero bytes. Where they are to be
+    reported, an ``inventory`` (``path, length``) of the lake names them.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select("path", "length", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
+    if inventory is None:
+        return files
+    return files.unionByName(inventory.where("length = 0").select("path", F.col("length").cast("long"), F.lit(None).cast("binary").alias("content")))
 
 
 def check_text_encoding(files: DataFrame) -> DataFrame:

@@ -90,8 +90,9 @@ def test_trailing_value(spark, window, value, start):
     assert (found and (found["value"], found["start"])) == (None if value is None else (value, start))
 
 
-def test_noise_run_is_no_value(spark):
-    assert one(spark, tx.trailing_value(F.lit("per " * 17 + "x"))) is None
+@pytest.mark.parametrize("times", [17, 3000])
+def test_noise_run_is_linear(spark, times):
+    assert one(spark, tx.trailing_value(F.lit("per " * times + "x"))) is None
 
 
 def test_canonical_text(spark):
@@ -210,10 +211,11 @@ def test_reports_round_trip(spark, tmp_path):
 
 
 def test_files_by_their_bytes(spark, tmp_path):
-    for name, data in {"a.pdf": b"%PDF-1.7 x", "b.docx": b"PK\x03\x04\x14\x00\x00\x00word/document.xml", "c.docx": b"PK\x03\x04\x14\x00\x01\x00", "d.txt": b"ok", "e.txt": b"o\x00k", "f.txt": b"\xc3(", "h.txt": b"%PDF-1.7"}.items():
+    for name, data in {"a.pdf": b"%PDF-1.7 x", "b.docx": b"PK\x03\x04\x14\x00\x00\x00word/document.xml", "c.docx": b"PK\x03\x04\x14\x00\x01\x00", "d.txt": b"ok", "e.txt": b"o\x00k", "f.txt": b"\xc3(", "g.txt": b"", "h.txt": b"%PDF-1.7"}.items():
         (tmp_path / name).write_bytes(data)
-    found = {r["path"].rpartition("/")[2]: r["outcome"] for r in files.triage_files(files.read_files(spark, str(tmp_path))).collect()}
-    assert found == {"a.pdf": "pdf", "b.docx": "docx", "c.docx": "rejected:encrypted", "d.txt": "text", "e.txt": "rejected:encoding", "f.txt": "rejected:encoding", "h.txt": "rejected:not_a_document"}
+    inventory = spark.createDataFrame([(f"file:{f}", f.stat().st_size) for f in tmp_path.iterdir()], "path string, length long")
+    found = {r["path"].rpartition("/")[2]: r["outcome"] for r in files.triage_files(files.read_files(spark, str(tmp_path), inventory)).collect()}
+    assert found == {"a.pdf": "pdf", "b.docx": "docx", "c.docx": "rejected:encrypted", "d.txt": "text", "e.txt": "rejected:encoding", "f.txt": "rejected:encoding", "g.txt": "rejected:empty", "h.txt": "rejected:not_a_document"}
 
 
 def events(spark, minutes):
