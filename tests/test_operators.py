@@ -1,6 +1,7 @@
 """Behaviour of the contract operators on small rows."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,6 +229,24 @@ def test_token_bucket(spark):
     assert [r["allowed"] for r in rows] == [True] * 12 + [False, True] and rows[12]["retry_after"] == 15 and rows[13]["remaining"] == 3
 
 
+def test_throttle_stream_equals_its_batch_twin(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(c, base + datetime.timedelta(seconds=2 * i), i) for c in "ab" for i in range(20)]
+    batch = spark.createDataFrame(rows, "client string, ts timestamp, event_id long")
+    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = guards.throttle_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("memory").queryName("throttled").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:  # state that expires by processing time never lets the query end by itself
+        until = time.monotonic() + 60
+        while q.isActive and spark.table("throttled").count() < 40 and time.monotonic() < until:
+            time.sleep(1)
+    finally:
+        q.stop()
+    key = ["client", "ts", "event_id", "allowed", "remaining", "retry_after"]
+    found, twin = spark.table("throttled").select(key), guards.throttle(batch).select(key)
+    assert found.count() == 40 and found.exceptAll(twin).count() == 0 and not all(r["allowed"] for r in found.collect())
+
+
 def test_hits_do_not_extend_their_age(spark):
     rows = guards.dedup_ttl(events(spark, [0, 20, 29, 30, 45]), ["client"]).orderBy("event_id").collect()
     assert [r["reused"] for r in rows] == [False, True, True, False, True]
