@@ -26,11 +26,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of a group of near duplicates the document with the smallest id stays.
 
-    Texts whose 5-word shingles overlap by 0.8 differ in up to about ten bits of
-    a fingerprint, more than an exact search reaches at scale. Three views within
-    six bits each find nearly all of them (figures in the README).
+    Near duplicates are texts whose sets of 5-word shingles have a Jaccard
+    similarity of 0.8 or more; it is computed for every pair that SimHash
+    proposes. Such texts differ in up to about ten bits of a fingerprint, more
+    than an exact search reaches at scale. Three views within six bits each
+    propose nearly all of them (figures in the README).
     """
-    return simhash.keep_one(docs, radius=6, views=3)
+    return simhash.keep_one_alike(docs, similarity=0.8, words=5, radius=6, views=3)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

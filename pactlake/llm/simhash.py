@@ -16,10 +16,17 @@
   forest of its links, never its pairs.
 * **Components.** Alternating large-star and small-star steps over the forest's
   edges, each step written to the shared folder.
+* **Exact rule.** :func:`keep_one_alike` takes the components as candidates only.
+  Equal shingle sets are alike by their hash; all other pairs of a component are
+  compared by the exact Jaccard similarity of their sets, and components are
+  formed again from the pairs that reach it. A component too large for one task
+  is cut into slices, and every pair of slices is compared in a cell of its own.
 
 Edge cases: null or empty texts have fingerprint zero and link like any other;
 texts of one or two words are one shingle; a component whose documents all have
 null ``doc_id`` has a null ``component_id``; repeated rows keep their own rows.
+For the exact rule texts without words have the empty set, which only equals
+itself, and texts of fewer words than a shingle are one shingle.
 """
 
 from __future__ import annotations
@@ -77,18 +84,34 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, view: int = 0)
     return _majority(_of_view(_shingle_hashes(text, words, seed), view))
 
 
-def fingerprints(docs: DataFrame, views: int = 1) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long) of whole texts; further views are ``fp1``, ``fp2``, ..."""
-    names = ["fp", *(f"fp{view}" for view in range(1, views))]
+def _shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a whole text."""
+    return np.unique(_shingle_hashes(text, words, 42))
+
+
+def _set_id(values: np.ndarray) -> int:
+    """Hash of a shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes())).astype(np.int64))
+
+
+def fingerprints(docs: DataFrame, views: int = 1, set_words: int = 0) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) of whole texts; further views are ``fp1``, ``fp2``, ...
+
+    With ``set_words``, also ``node`` and ``size``: hash and size of the set of shingles of so many words.
+    """
+    names = ["fp", *(f"fp{view}" for view in range(1, views)), *(["node", "size"] if set_words else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                values = np.zeros((views, part.num_rows), np.uint64)
+                values = np.zeros((len(names), part.num_rows), np.uint64)
                 for i, text in enumerate(part.column(1).to_pylist()):
                     hashes = _shingle_hashes(text, 3, 42)
-                    values[:, i] = [_majority(_of_view(hashes, view)) for view in range(views)]
+                    values[:views, i] = [_majority(_of_view(hashes, view)) for view in range(views)]
+                    if set_words:
+                        own = _shingle_set(text, set_words)
+                        values[views:, i] = np.array([_set_id(own), len(own)], np.int64).view(np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, values.view(np.int64))], names=["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -104,6 +127,20 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
+def _joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``parent`` (each index's first of its component) after the links ``a, b``."""
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    return parent
+
+
 def _spanning_forest(values: np.ndarray, radius: int, chunk_words: int = 16384) -> np.ndarray:
     """For each fingerprint of a block, the index of its component's first member."""
     n = len(values)
@@ -139,16 +176,7 @@ def _spanning_forest(values: np.ndarray, radius: int, chunk_words: int = 16384)
             continue
         near = np.unpackbits(np.ascontiguousarray(~passed).view(np.uint8), axis=1, bitorder="little")
         which, lane = np.nonzero(near)
-        a, b = rows[which], lane
-        while len(a):
-            ra, rb = parent[a], parent[b]
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
+        parent = _joined(parent, rows[which], lane)
     return parent
 
 
@@ -244,22 +272,27 @@ def _links_of_view(prints: DataFrame, view: str, radius: int, bucket_rows: int)
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096, views: int = 1) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``.
-
-    With more than one view, documents link that are within ``radius`` in any
-    of them; ``fingerprint`` is the first.
-    """
-    prints = stage(fingerprints(docs, views), "simhash-prints")
+def _rooted(prints: DataFrame, radius: int, bucket_rows: int, views: int) -> DataFrame:
+    """``fp, first_id, root`` of each distinct ``fp`` of stored ``prints``, linked in any view."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = links(distinct, radius, bucket_rows)
     for view in range(1, views):
         edges = edges.unionByName(_links_of_view(prints, f"fp{view}", radius, bucket_rows))
     found = components(edges)
-    rooted = stage(
+    return stage(
         distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")),
         "simhash-rooted",
     )
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096, views: int = 1) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint, component_id``.
+
+    With more than one view, documents link that are within ``radius`` in any
+    of them; ``fingerprint`` is the first.
+    """
+    prints = stage(fingerprints(docs, views), "simhash-prints")
+    rooted = _rooted(prints, radius, bucket_rows, views)
     named = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
     by_print = stage(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -274,3 +307,104 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def _alike(sets: list[np.ndarray], similarity: float, columns: int = 8192) -> np.ndarray:
+    """For each set, the index of the first member of its component of pairs with Jaccard ``similarity`` or more."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(column) > 1
+    rank = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(n), sizes)[shared[column]]
+    column = rank[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.int64)
+    for first in range(0, int(shared.sum()), columns):  # float32 counts up to 2**24 exactly, far beyond one chunk
+        a, b = np.searchsorted(column, [first, first + columns])
+        held = np.zeros((n, columns), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        common += (held @ held.T).astype(np.int64)
+    union = np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
+    a, b = np.nonzero(np.triu(common / union >= similarity, 1))
+    return _joined(np.arange(n), a, b)
+
+
+def _compare_cells(similarity: float):
+    """Compare each cell of rows sorted by cell; a cell emits a spanning forest of its alike pairs."""
+
+    def forest(nodes: list[int], sets: list[bytes]) -> pd.DataFrame:
+        own = dict(zip(nodes, sets))
+        nodes = np.array(sorted(own), np.int64)
+        parent = _alike([np.frombuffer(own[int(node)], np.uint64) for node in nodes], similarity)
+        child = np.nonzero(parent != np.arange(len(nodes)))[0]
+        return pd.DataFrame({"u": nodes[child], "v": nodes[parent[child]]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, nodes, sets, out = None, [], [], []
+        for frame in frames:
+            for cell, node, values in zip(frame["cell"], frame["node"], frame["values"]):
+                if cell != at:
+                    if len(nodes) > 1:
+                        out.append(forest(nodes, sets))
+                    at, nodes, sets = cell, [], []
+                nodes.append(node)
+                sets.append(values)
+            if out:
+                yield pd.concat(out)
+                out = []
+        if len(nodes) > 1:
+            yield forest(nodes, sets)
+
+    return run
+
+
+def alike_links(docs: DataFrame, crowds: DataFrame, similarity: float, words: int, cell_rows: int = 512, cell_bytes: int = 1 << 26) -> DataFrame:
+    """Edges ``u, v`` whose components are those of all pairs of a crowd with Jaccard ``similarity`` or more.
+
+    ``crowds`` is a stored table of ``root, node, size, first_id``: the distinct
+    shingle sets of each candidate component, and a document that has the set.
+    """
+    sizes = crowds.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
+    slices = F.greatest(F.ceil(F.col("n") * 2 / cell_rows), F.ceil(F.col("bytes") * 2 / cell_bytes))
+    slices = F.when((F.col("n") <= cell_rows) & (F.col("bytes") <= cell_bytes), 1).otherwise(F.least(slices, F.col("n"))).cast("long")
+    members = stage(crowds.join(sizes.where("n > 1"), "root").select("root", "node", "first_id", slices.alias("cells")), "simhash-members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [_shingle_set(text, words) for text in part.column(1).to_pylist()]
+                arrays = [part.column(0), pa.array(map(_set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["first_id", "node", "values"])
+
+    wanted = docs.select("doc_id", "text").join(members.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = wanted.mapInArrow(run, f"first_id {kind}, node long, values binary")
+    own = F.pmod(F.xxhash64("node", F.lit("cell")), F.col("cells"))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    dealt = dealt.select("first_id", "node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    rows = dealt.join(sets, ["first_id", "node"]).select("cell", "node", "values")
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(_compare_cells(similarity), "u long, v long")
+
+
+def keep_one_alike(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 3, bucket_rows: int = 4096, views: int = 1, cell_rows: int = 512) -> DataFrame:
+    """The documents that stay, one of each component of texts that are alike, with all their columns.
+
+    Two texts are alike if the Jaccard similarity of their sets of ``words``-word
+    shingles is ``similarity`` or more. Equal sets are always found; other pairs
+    are found within components of SimHash links. The smallest id of a component
+    stays; rows with a null id stay.
+    """
+    prints = stage(fingerprints(docs, views, words).where("doc_id is not null"), "simhash-prints")
+    # A smaller set reaches the similarity with no set but itself: one more member is too much.
+    open_ = stage(prints.where(F.col("size") / (F.col("size") + 1) >= similarity), "simhash-open")
+    rooted = _rooted(open_, radius, bucket_rows, views)
+    crowds = open_.join(rooted.select("fp", "root"), "fp").groupBy("root", "node").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"))
+    found = components(alike_links(docs, stage(crowds, "simhash-crowds"), similarity, words, cell_rows))
+    classes = prints.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class"))
+    classes = stage(classes, "simhash-alike")
+    first = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    gone = classes.join(first, "class").where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -13,6 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pactlake.llm import bpe, chat, exact_dedup, packing, pii, secrets, simhash, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -325,6 +326,60 @@ def test_simhash_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
 
 
+def five_word_set(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def brute_alike(texts):
+    """Ids that stay when all pairs of texts are compared."""
+    sets, first = [five_word_set(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or 5 * len(a & b) >= 4 * len(a | b):
+            first[max(root(i), root(j))] = min(root(i), root(j))
+    return [i for i in range(len(texts)) if first[i] == i]
+
+
+def near_texts():
+    """Texts changed in a few places, more of them than stay alike, and short texts that share a fingerprint."""
+    rng = random.Random(11)
+    texts = ["", None, "a b c d", "A  b c d", "x y z w", "e f g h i"]
+    for changes in (1, 2, 3, 4, 5, 5, 6, 6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            words = list(base)
+            for at in rng.sample(range(200), changes):
+                words[at] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_keep_one_alike_equals_brute_force_in_cells(spark):
+    texts = near_texts()
+    kept = simhash.keep_one_alike(docs(spark, texts), radius=6, views=3, cell_rows=4)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_alike(texts)
+
+
+def test_keep_one_alike_edges(spark):
+    assert simhash.keep_one_alike(docs(spark, []), radius=6, views=3).count() == 0
+    kept = simhash.keep_one_alike(docs(spark, [LONG, "Word " * 7, LONG + " more", "a b", "a b"], [2, 5, 6, None, None]), radius=6, views=3)
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 2, 6]  # one shingle, the same one, and one of two
+
+
+def test_pipeline_drops_near_copies_by_the_set_rule(spark):
+    texts = near_texts()
+    kept = corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute_alike(texts)
+
+
 # --- 10 warc -------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark):
     big = "é" * 300_000
