@@ -4,7 +4,10 @@
    ``dictionary_words`` most frequent make the dictionary, and their letter
    pairs a table of character transitions.
 2. **Candidates.** Assignments to credential names, well-known key formats, and
-   long tokens with digits are found in whole texts, with their features:
+   long tokens with digits are found in whole texts and at their whole length:
+   quoted values up to the closing quote of their line, bare ones up to white
+   space. Credential names may be part of a longer name (``DB_PASSWORD``).
+   Features are
    length, character-class transitions, transition likelihood, dictionary
    coverage, shape shares, entropy, path-likeness of candidate and source, and
    the neighbouring words (credential names, and hashed).
@@ -43,10 +46,14 @@ from pactlake.llm.common import stage
 
 _CREDENTIAL = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
 _KEY_FORMATS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"
+# Names may have parts before and after them. The part before starts where its run of characters does, so a run is read once.
+_NAMED = rf"(?i:(?<![\w.-])[_.-]*+(?:[^\W_]+[_.-]+)*(?P<name>{_CREDENTIAL})(?:[_-]+[^\W_]+)*+[_-]*+(?![\w])[ ]{{0,2}}[=:][ ]{{0,2}})"
 CANDIDATE = re.compile(
-    rf"(?i:\b(?P<name>{_CREDENTIAL})\b[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)(?P<value>[^\s\"'&%*$#!]{{6,200}})"
+    rf"{_NAMED}(?:\"(?P<double>(?:[^\"\\\r\n]|\\.){{6,}}+)\"|'(?P<single>(?:[^'\\\r\n]|\\.){{6,}}+)'"
+    # A quote within a bare value belongs to it if the value goes on behind it.
+    r"|[\"']?(?P<bare>[^\s\"'](?:[^\s\"']|[\"'](?=[^\s\"',;:)}\]>])){5,}+))"
     rf"|(?P<format>\b(?:{_KEY_FORMATS}))"
-    r"|(?P<long>(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{8,200})"
+    r"|(?P<long>(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{8,})"
 )
 _WORDS = re.compile(r"[^\W\d_]{2,7}")
 _WORD = re.compile(r"\w+")
@@ -137,8 +144,8 @@ def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
                 if not isinstance(text, str) or not text:
                     continue
                 for m in CANDIDATE.finditer(text):
-                    kind = "assignment" if m["value"] else "format" if m["format"] else "token"
-                    group = {"assignment": "value", "format": "format", "token": "long"}[kind]
+                    group = m.lastgroup
+                    kind = {"format": "format", "long": "token"}.get(group, "assignment")
                     start, end = m.span(group)
                     value = m[group]
                     before = _WORD.findall(text[max(0, m.start() - 40) : m.start()])[-1:] if kind != "assignment" else [m["name"]]

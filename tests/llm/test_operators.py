@@ -62,6 +62,31 @@ def test_secrets_tell_keys_from_numbers(spark):
     assert secrets.scan(docs(spark, ["plain words"])).count() == 0
 
 
+def test_secret_candidates_are_whole():
+    long_key = "Ab3/" * 125
+    jwt = f"eyJ{'hbGciOi1' * 10}.{'eyJzdWIi' * 30}.{'c2lnbmF0' * 8}"
+    cases = {
+        f'token = "{jwt}" end': ("double", jwt), f"key {long_key} end": ("long", long_key), f"secret={long_key} end": ("bare", long_key),
+        "password=Pa$$w0rd!x and": ("bare", "Pa$$w0rd!x"), "pwd: correct!horse9 and": ("bare", "correct!horse9"), "pwd='two words &%'": ("single", "two words &%"),
+        "DB_PASSWORD=correcthorsebattery": ("bare", "correcthorsebattery"), "client_secret = abcdefghijk": ("bare", "abcdefghijk"),
+        "db1.api-key_2: 'abc def'": ("single", "abc def"), 'token="unclosed1 x': ("bare", "unclosed1"),
+        "password=ab'cd12345 x": ("bare", "ab'cd12345"), "('password=foo123', 1)": ("bare", "foo123"), 'token="abc" and more': None, "tokens = abcdefgh": None,
+        r'secret="a\"b c d"': ("double", r'a\"b c d'),
+    }
+    for text, expected in cases.items():
+        found = [(m.lastgroup, m[m.lastgroup]) for m in secrets.CANDIDATE.finditer(text)]
+        assert found == ([expected] if expected else []), text
+    for text in ("a." * 100_000, "a-" * 100_000, "token=" * 50_000, '"password=' * 30_000, "x" * 500_000):
+        for m in secrets.CANDIDATE.finditer(text):  # ends in time
+            pass
+
+
+def test_secret_candidate_of_a_long_value(spark):
+    key = "Ab3/" * 125
+    row = secrets.candidates(docs(spark, [f'DB_TOKEN = "{key}"']), {"key": 1}).first()
+    assert (row["kind"], row["start"], row["length"], row["value_sha256"]) == ("assignment", 12, 500, hashlib.sha256(key.encode()).hexdigest())
+
+
 # --- 3 top-k ----------------------------------------------------------------------------------------
 def brute_top(vectors, ids, k):
     q = np.floor(1024 * vectors.astype(float)).astype(int)
