@@ -1,15 +1,17 @@
 """Request guards and metrics over event streams (W1-W6), with batch twins.
 
-Batch twins take the whole history of a key in one ordered pass; streams keep
+Batch twins pass over the history of a key in order; streams keep
 one small state per key, with time-to-live so that idle keys are dropped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -19,26 +21,54 @@ from pactlake.operators.rubric import score_documents
 CAPACITY, PER_MINUTE = 12, 4.0
 DEDUP_MINUTES, RATE_LIMITED_MINUTES, RETIRED_MINUTES, REDEEM_MINUTES = 30, 60, 360, 15
 
-_DECISION = "struct<ts:timestamp,event_id:bigint,allowed:boolean,remaining:int,retry_after:int>"
+
+def _fold(rows: DataFrame, key: list[str], fields: str, begin, step) -> DataFrame:
+    """``key, ts, event_id`` and ``fields`` of each row: ``step(state, micros)`` gives the next state and the row's fields.
+
+    A key's rows come sorted to one task and pass through it; only the state of
+    the key at hand is held, so a key may have any number of rows.
+    """
+    names = [*key, "ts", "event_id"]
+    typed = rows.select(*key, F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"))
+    dealt = typed.repartition(*key).sortWithinPartitions(*names).withColumn("__micros", F.unix_micros("ts"))
+    kinds = [field.split()[1] for field in fields.split(", ")]
+    types = [{"boolean": pa.bool_(), "int": pa.int32()}[kind] for kind in kinds]
+
+    def same(a, b) -> bool:
+        return a == b or (a != a and b != b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, begin
+        for batch in batches:
+            out = []
+            for *own, micros in zip(*(batch.column(name).to_pylist() for name in [*key, "__micros"])):
+                if at is None or not all(map(same, own, at)):
+                    at, state = own, begin
+                state, result = step(state, micros)
+                out.append(result)
+            columns = zip(*out) if out else [()] * len(types)
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), *arrays], names=[*names, *(f.split()[0] for f in fields.split(", "))])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema)
+    return dealt.mapInArrow(run, f"{own}, {fields}")
 
 
 def throttle(requests: DataFrame, capacity: float = CAPACITY, per_minute: float = PER_MINUTE) -> DataFrame:
     """W1, batch: ``client, ts, event_id`` to decisions of a token bucket per client."""
     rate = per_minute / 60.0
 
-    def step(s: Column, r: Column) -> Column:
-        seconds = F.greatest(F.lit(0.0), F.unix_micros(r["ts"]) / 1e6 - s["at"])
-        tokens = F.when(s["at"].isNull(), float(capacity)).otherwise(F.least(F.lit(float(capacity)), s["tokens"] + seconds * rate))
+    def step(state: tuple, micros: int | None) -> tuple:
+        tokens, at = state
+        now = None if micros is None else micros / 1e6
+        passed = 0.0 if now is None or at is None else max(0.0, now - at)
+        tokens = float(capacity) if at is None else min(float(capacity), tokens + passed * rate)
         ok = tokens >= 1
-        wait = F.when(~ok, F.greatest(F.lit(1), F.ceil((1 - tokens) / rate).cast("int")))
-        left = F.when(ok, tokens - 1).otherwise(tokens)
-        decision = F.struct(r["ts"].alias("ts"), r["event_id"].alias("event_id"), ok.alias("allowed"), F.floor(left).cast("int").alias("remaining"), wait.alias("retry_after"))
-        return F.struct(left.alias("tokens"), (F.unix_micros(r["ts"]) / 1e6).alias("at"), F.concat(s["out"], F.array(decision)).alias("out"))
+        wait = None if ok else max(1, math.ceil((1 - tokens) / rate))
+        tokens -= ok
+        return (tokens, now), (ok, math.floor(tokens), wait)
 
-    history = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    begin = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("at"), F.array().cast(f"array<{_DECISION}>").alias("out"))
-    decided = requests.groupBy("client").agg(F.aggregate(history, begin, step, lambda s: s["out"]).alias("d"))
-    return decided.select("client", F.explode("d").alias("d")).select("client", "d.*")
+    return _fold(requests, ["client"], "allowed boolean, remaining int, retry_after int", (float(capacity), None), step)
 
 
 class _Bucket(StatefulProcessor):
@@ -76,14 +106,11 @@ def throttle_stream(requests: DataFrame, capacity: float = CAPACITY, per_minute:
 def dedup_ttl(requests: DataFrame, key: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
     """W2, batch: a request repeats one whose result is younger than the limit; a hit does not extend its age."""
 
-    def step(s: Column, r: Column) -> Column:
-        hit = s["since"].isNotNull() & (F.unix_micros(r["ts"]) - s["since"] < minutes * 60_000_000)
-        entry = F.struct(r["ts"].alias("ts"), r["event_id"].alias("event_id"), F.coalesce(hit, F.lit(False)).alias("reused"))
-        return F.struct(F.when(hit, s["since"]).otherwise(F.unix_micros(r["ts"])).alias("since"), F.concat(s["out"], F.array(entry)).alias("out"))
+    def step(since: int | None, micros: int | None) -> tuple:
+        hit = since is not None and micros is not None and micros - since < minutes * 60_000_000
+        return (since if hit else micros), (hit,)
 
-    history = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    begin = F.struct(F.lit(None).cast("bigint").alias("since"), F.array().cast("array<struct<ts:timestamp,event_id:bigint,reused:boolean>>").alias("out"))
-    return requests.groupBy(*key).agg(F.aggregate(history, begin, step, lambda s: s["out"]).alias("d")).select(*key, F.explode("d").alias("d")).select(*key, "d.*")
+    return _fold(requests, key, "reused boolean", None, step)
 
 
 def dedup_stream(requests: DataFrame, key: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:

@@ -229,6 +229,31 @@ def test_token_bucket(spark):
     assert [r["allowed"] for r in rows] == [True] * 12 + [False, True] and rows[12]["retry_after"] == 15 and rows[13]["remaining"] == 3
 
 
+def test_guards_do_not_hold_a_key_in_one_row(spark):
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(c, base + datetime.timedelta(seconds=7 * i), i) for c in ("hot", "x", None) for i in range(300 if c == "hot" else 20)]
+    batch = spark.createDataFrame(rows, "client string, ts timestamp, event_id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        decided, reused = guards.throttle(batch), guards.dedup_ttl(batch, ["client"], 1)
+        for found in (decided, reused):
+            assert "collect_list" not in found._jdf.queryExecution().toString()
+        decided, reused = decided.collect(), reused.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected, fresh = {}, {}
+    for client in ("hot", "x", None):
+        tokens, at, since = 12.0, None, None
+        for _, ts, i in (r for r in rows if r[0] == client):
+            tokens = min(12.0, tokens + (0 if at is None else (ts - at).total_seconds() * 4 / 60))
+            at, expected[client, i] = ts, tokens >= 1
+            tokens -= tokens >= 1
+            fresh[client, i] = since is not None and (ts - since).total_seconds() < 60
+            since = since if fresh[client, i] else ts
+    assert {(r["client"], r["event_id"]): r["allowed"] for r in decided} == expected and not all(expected.values())
+    assert {(r["client"], r["event_id"]): r["reused"] for r in reused} == fresh
+
+
 def test_throttle_stream_equals_its_batch_twin(spark, tmp_path):
     base = datetime.datetime(2024, 1, 1)
     rows = [(c, base + datetime.timedelta(seconds=2 * i), i) for c in "ab" for i in range(20)]
