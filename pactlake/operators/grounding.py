@@ -173,24 +173,40 @@ def corpus_quote_search(quotes: DataFrame, docs: DataFrame, words: int = 5) -> D
     """Quotes without a document against a whole corpus: word n-grams block, folded text decides.
 
     A quote looks up its rarest n-gram only, so a common passage costs one
-    posting list, and candidates are checked in the document's own task.
+    posting list, and candidates are checked in the document's own task. Both
+    ends of a quote may cut words, so only its inner words make n-grams, shorter
+    ones if it has fewer than ``words`` of them. Quotes without an inner word
+    are compared with every document.
     """
 
-    at = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(words)), " "))))
+    def hashed(at: Column, n: Column) -> Column:
+        return F.xxhash64(n, F.array_join(F.slice("w", at, n), " "))
 
     def worded(rows: DataFrame, key: str, text: str) -> DataFrame:
         return rows.select(key, folded(F.col(text)).alias("needle")).withColumn("w", F.split("needle", " "))
 
-    # The ends of a quote may cut words, so its first and last n-grams do not count if it has others.
-    own = worded(quotes, "quote_id", "quote").select("quote_id", "needle", grams.alias("g"))
-    inner = F.when(F.size("g") > 2, F.slice("g", F.lit(2), F.greatest(F.size("g") - 2, F.lit(0)))).otherwise(F.col("g"))
-    own = own.select("quote_id", "needle", F.explode(inner).alias("gram"))
-    posting = worded(docs, "doc_id", "text").select("doc_id", F.explode(grams).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    own = worded(quotes, "quote_id", "quote").withColumn("inner", F.size("w") - 2)
+    bare = own.where("inner < 1 and needle <> ''").select("quote_id", "needle")
+    n = F.least(F.lit(words), F.col("inner"))
+    own = own.where("inner >= 1").withColumn("n", n)
+    grams = F.transform(F.sequence(F.lit(2), F.col("inner") - F.col("n") + 2), lambda i: hashed(i, F.col("n")))
+    own = own.select("quote_id", "needle", "n", F.explode(F.array_distinct(grams)).alias("gram"))
+    lengths = sorted(r["n"] for r in own.select("n").distinct().collect())  # at most ``words`` of them
+    texts = worded(docs, "doc_id", "text")
+    none = F.array().cast("array<bigint>")
+
+    def of_length(k: int) -> Column:
+        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: hashed(i, F.lit(k)))).otherwise(none)
+
+    all_grams = F.concat(none, *map(of_length, lengths))
+    posting = texts.select("doc_id", F.explode(F.array_distinct(all_grams)).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
     frequent = posting.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = own.join(frequent, "gram").groupBy("quote_id").agg(F.min_by(F.struct("gram", "needle"), F.struct("df", "gram")).alias("r"))
     candidates = rarest.select("quote_id", "r.gram", "r.needle").join(posting, "gram").select("doc_id", "quote_id", "needle")
-    hits = candidates.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.instr(folded(F.col("text")), F.col("needle")))
+    hits = candidates.join(docs.select("doc_id", "text"), "doc_id")
+    if not bare.isEmpty():
+        hits = hits.select("doc_id", "text", "quote_id", "needle").unionByName(docs.select("doc_id", "text").crossJoin(bare))
+    hits = hits.withColumn("at", F.instr(folded(F.col("text")), F.col("needle")))
     return hits.where("at > 0").select("doc_id", "quote_id", (F.col("at") - 1).alias("folded_start"))
 
 

@@ -229,6 +229,14 @@ def test_token_bucket(spark):
     assert [r["allowed"] for r in rows] == [True] * 12 + [False, True] and rows[12]["retry_after"] == 15 and rows[13]["remaining"] == 3
 
 
+def test_corpus_quote_search_finds_short_and_cut_quotes(spark):
+    texts = {1: "the tenant shall pay all outstanding municipal taxes before leaving the house", 2: "short text", 3: "one", 4: ""}
+    quotes = ["tenant shall pay all", "enant shall pay all outst", "nant shall pay all outstanding munic", "shall pay", "ort te", "one", "pay all outstanding municipal taxes before leaving the hou", "tenant must pay all", "hort text"]
+    found = grounding.corpus_quote_search(spark.createDataFrame(list(enumerate(quotes)), "quote_id long, quote string"), spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    expected = {(d, q) for d, text in texts.items() for q, quote in enumerate(quotes) if quote in text}
+    assert sorted((r["doc_id"], r["quote_id"]) for r in found.collect()) == sorted(expected)
+
+
 def test_guards_do_not_hold_a_key_in_one_row(spark):
     base = datetime.datetime(2024, 1, 1)
     rows = [(c, base + datetime.timedelta(seconds=7 * i), i) for c in ("hot", "x", None) for i in range(300 if c == "hot" else 20)]
