@@ -20,13 +20,19 @@
   Equal shingle sets are alike by their hash; all other pairs of a component are
   compared by the exact Jaccard similarity of their sets, and components are
   formed again from the pairs that reach it. A component too large for one task
-  is cut into slices, and every pair of slices is compared in a cell of its own.
+  is first thinned out: its sets meet a few of their own, and those that are
+  alike to these are one class, inside which nothing is compared any more. The
+  rest is found by prefixes: sets whose similarity is ``t`` or more share one of
+  their ``size - ceil(t * size) + 1`` rarest shingles, so that only sets with
+  such a shingle in common meet, and only if not both are in the large class.
 
 Edge cases: null or empty texts have fingerprint zero and link like any other;
-texts of one or two words are one shingle; a component whose documents all have
-null ``doc_id`` has a null ``component_id``; repeated rows keep their own rows.
-For the exact rule texts without words have the empty set, which only equals
-itself, and texts of fewer words than a shingle are one shingle.
+texts of one or two words are one shingle; texts of any length are read whole; a
+component whose documents all have null ``doc_id`` has a null ``component_id``;
+repeated rows keep their own rows; an empty table gives an empty result; extra
+columns are ignored by :func:`near_duplicates` and pass through the others,
+whatever their names. For the exact rule texts without words have the empty set,
+which only equals itself, and texts of fewer words than a shingle are one shingle.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.llm.common import stage
@@ -334,10 +340,10 @@ def _alike(sets: list[np.ndarray], similarity: float, columns: int = 8192) -> np
 def _compare_cells(similarity: float):
     """Compare each cell of rows sorted by cell; a cell emits a spanning forest of its alike pairs."""
 
-    def forest(nodes: list[int], sets: list[bytes]) -> pd.DataFrame:
+    def forest(nodes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         own = dict(zip(nodes, sets))
         nodes = np.array(sorted(own), np.int64)
-        parent = _alike([np.frombuffer(own[int(node)], np.uint64) for node in nodes], similarity)
+        parent = _alike([own[int(node)] for node in nodes], similarity)
         child = np.nonzero(parent != np.arange(len(nodes)))[0]
         return pd.DataFrame({"u": nodes[child], "v": nodes[parent[child]]})
 
@@ -350,7 +356,7 @@ def _compare_cells(similarity: float):
                         out.append(forest(nodes, sets))
                     at, nodes, sets = cell, [], []
                 nodes.append(node)
-                sets.append(values)
+                sets.append(np.asarray(values, np.int64))
             if out:
                 yield pd.concat(out)
                 out = []
@@ -360,6 +366,66 @@ def _compare_cells(similarity: float):
     return run
 
 
+def _in_cells(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges among the sets of each cell of ``dealt`` (``cell, node``)."""
+    rows = dealt.join(sets.select("node", "values"), "node").select("cell", "node", "values")
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(_compare_cells(similarity), "u long, v long")
+
+
+def _to_pivots(sets: DataFrame, similarity: float, pivots: int, slice_rows: int) -> DataFrame:
+    """Edges of every set of a crowd with those of ``pivots`` of the crowd's own that are alike to it."""
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    slices = F.ceil(F.col("n") / slice_rows)
+    share = F.least(F.lit(1.0), 2.0 * pivots / F.col("n"))
+    few = sets.join(sizes, "root").where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) < share * (1 << 30))  # about two for one
+    order = Window.partitionBy("root").orderBy(F.xxhash64("node", F.lit("order")), "node")
+    few = few.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots)
+    few = stage(few.select("root", F.col("node").alias("pivot"), F.col("values").alias("theirs"), F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice")), "simhash-pivots")
+    own = sets.join(sizes.select("root", slices.alias("slices")), "root").withColumn("slice", F.pmod(F.xxhash64("node", F.lit("slice")), F.col("slices")))
+    met = own.join(few, ["root", "slice"]).where("node <> pivot")
+    common = F.size(F.array_intersect("values", "theirs"))
+    alike = common / (F.size("values") + F.size("theirs") - common) >= similarity
+    return met.where(alike).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+
+
+def _crowded_links(sets: DataFrame, similarity: float, cell_rows: int, pivots: int = 12) -> DataFrame:
+    """Edges of crowds too large for one cell. ``sets`` is a stored table of ``root, node, values``."""
+    first = stage(_to_pivots(sets, similarity, pivots, 4 * cell_rows), "simhash-to-pivots")
+    classes = components(first)
+    placed = stage(sets.select("root", "node").join(classes.select("node", F.col("root").alias("class")), "node", "left"), "simhash-placed")
+    main = placed.where("class is not null").groupBy("root", "class").count().groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
+    placed = stage(placed.join(main, "root", "left").select("root", "node", F.coalesce(F.col("class") == F.col("main"), F.lit(False)).alias("settled")), "simhash-settled")
+    open_roots = placed.where("not settled").select("root").distinct()
+    placed = placed.join(open_roots, "root", "left_semi")
+    # The rarest shingles of each set, by the crowd's own counts.
+    each = sets.join(placed, ["root", "node"]).select("root", "node", "settled", F.size("values").alias("size"), F.explode("values").alias("token"))
+    each = stage(each, "simhash-tokens")
+    counts = stage(each.groupBy("root", "token").agg(F.count(F.lit(1)).alias("n")), "simhash-token-counts")
+    ordered = F.array_sort(F.collect_list(F.struct("n", "token")))
+    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    prefix = F.slice(ordered, F.lit(1), length.cast("int"))
+    rare = each.join(counts, ["root", "token"]).groupBy("root", "node", "settled", "size").agg(prefix.alias("p"))
+    keys = stage(rare.select("node", "settled", F.explode("p").alias("t"), "root").where("t.n > 1").select("node", "settled", F.xxhash64("root", "t.token").alias("key")), "simhash-prefixes")
+    sizes = keys.groupBy("key").agg(F.count_if(~F.col("settled")).alias("free"), F.count_if("settled").alias("rest")).where("free > 0 and free + rest > 1")
+    keys = keys.join(sizes, "key")
+    # Free sets meet each other and the settled ones; settled sets do not meet each other.
+    half = F.lit(cell_rows // 2)
+    free_cells, rest_cells = F.ceil(F.col("free") / half), F.ceil(F.col("rest") / half)
+    one = F.col("free") + F.col("rest") <= cell_rows
+    own = F.pmod(F.xxhash64("node", F.lit("cell")), F.greatest(F.lit(1).cast("long"), F.when(F.col("settled"), rest_cells).otherwise(free_cells)))
+    keys = keys.select("key", "node", "settled", one.alias("one"), own.alias("own"), free_cells.alias("free_cells"), rest_cells.alias("rest_cells"))
+    zero = F.lit(0).cast("long")
+    none = F.array().cast("array<bigint>")
+    among = F.when(~F.col("settled"), F.transform(F.sequence(zero, F.col("free_cells") - 1), lambda j: F.xxhash64("key", F.lit("free"), F.least("own", j), F.greatest("own", j)))).otherwise(none)
+    across = (
+        F.when(F.col("settled"), F.transform(F.sequence(zero, F.col("free_cells") - 1), lambda i: F.xxhash64("key", F.lit("both"), i, "own")))
+        .when(F.col("rest_cells") > 0, F.transform(F.sequence(zero, F.greatest(zero, F.col("rest_cells") - 1)), lambda j: F.xxhash64("key", F.lit("both"), "own", j))).otherwise(none)
+    )
+    cells = F.when(F.col("one"), F.array("key")).otherwise(F.concat(among, across))
+    dealt = keys.select("node", F.explode(cells).alias("cell"))
+    return first.unionByName(_in_cells(dealt, sets, similarity))
+
+
 def alike_links(docs: DataFrame, crowds: DataFrame, similarity: float, words: int, cell_rows: int = 512, cell_bytes: int = 1 << 26) -> DataFrame:
     """Edges ``u, v`` whose components are those of all pairs of a crowd with Jaccard ``similarity`` or more.
 
@@ -367,26 +433,27 @@ def alike_links(docs: DataFrame, crowds: DataFrame, similarity: float, words: in
     shingle sets of each candidate component, and a document that has the set.
     """
     sizes = crowds.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
-    slices = F.greatest(F.ceil(F.col("n") * 2 / cell_rows), F.ceil(F.col("bytes") * 2 / cell_bytes))
-    slices = F.when((F.col("n") <= cell_rows) & (F.col("bytes") <= cell_bytes), 1).otherwise(F.least(slices, F.col("n"))).cast("long")
-    members = stage(crowds.join(sizes.where("n > 1"), "root").select("root", "node", "first_id", slices.alias("cells")), "simhash-members")
+    small = (F.col("n") <= cell_rows) & (F.col("bytes") <= cell_bytes)
+    members = stage(crowds.join(sizes.where("n > 1"), "root").select("root", "node", "first_id", small.alias("small")), "simhash-members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [_shingle_set(text, words) for text in part.column(1).to_pylist()]
-                arrays = [part.column(0), pa.array(map(_set_id, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                arrays = [part.column(0), pa.array(map(_set_id, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["first_id", "node", "values"])
 
     wanted = docs.select("doc_id", "text").join(members.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = wanted.mapInArrow(run, f"first_id {kind}, node long, values binary")
-    own = F.pmod(F.xxhash64("node", F.lit("cell")), F.col("cells"))
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    dealt = dealt.select("first_id", "node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
-    rows = dealt.join(sets, ["first_id", "node"]).select("cell", "node", "values")
-    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInPandas(_compare_cells(similarity), "u long, v long")
+    found = wanted.mapInArrow(run, f"first_id {kind}, node long, values array<long>")
+    # One row per set: a set whose texts have several fingerprints may be in several crowds.
+    sets = stage(members.join(found, ["first_id", "node"]).select("root", "node", "small", "values"), "simhash-sets")
+    whole = _in_cells(sets.where("small").select(F.col("root").alias("cell"), "node"), sets.where("small").dropDuplicates(["node"]), similarity)
+    large = sets.where("not small")
+    if large.isEmpty():
+        return whole
+    return whole.unionByName(_crowded_links(large, similarity, cell_rows))
 
 
 def keep_one_alike(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 3, bucket_rows: int = 4096, views: int = 1, cell_rows: int = 512) -> DataFrame:
