@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
-    Where the session names no such folder (single-machine tests), one is made
-    and set as the checkpoint folder of the session's context.
+    Where a session on a single machine names no such folder (tests), one is
+    made and set as the checkpoint folder of the session's context. A cluster
+    must name one, since its executors share no local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="pactlake-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,3 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all ``taken`` (whatever their case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name

@@ -1,28 +1,37 @@
 """Secret scanning with a random forest that removes false positives.
 
-1. **Dictionary and transitions.** Short words are counted over all texts; the
-   ``dictionary_words`` most frequent make the dictionary, and their letter
-   pairs a table of character transitions.
-2. **Candidates.** Assignments to credential names, well-known key formats, and
-   long tokens with digits are found in whole texts and at their whole length:
-   quoted values up to the closing quote of their line, bare ones up to white
-   space. Credential names may be part of a longer name (``DB_PASSWORD``).
-   Features are
-   length, character-class transitions, transition likelihood, dictionary
-   coverage, shape shares, entropy, path-likeness of candidate and source, and
-   the neighbouring words (credential names, and hashed).
-3. **Labelled findings.** ``label_findings`` marks the candidates whose kind is
-   certain by format: credentials of a known form are positive; numbers, hosts,
-   addresses and ordinary words are negative. A table of human verdicts
-   (``doc_id, start, label``) can be given instead.
+1. **Dictionary and transitions.** Whole words of 2 to 12 letters are counted
+   over all texts; the ``dictionary_words`` most frequent make the dictionary,
+   and their letter pairs a table of character transitions.
+2. **Candidates.** Assignments to credential names, well-known key formats,
+   private keys in PEM form, and long tokens with digits are found in whole texts
+   and at their whole length: quoted values up to the closing quote of their
+   line, bare ones up to white space. Credential names may be part of a longer
+   name (``DB_PASSWORD``). Features are length, character-class transitions,
+   transition likelihood, dictionary coverage, shares of character classes,
+   entropy, path-likeness of candidate and source, and the neighbouring words
+   (credential names among them, and hashed). The name that a value is assigned
+   to is no feature: the neighbour before an assignment is the word before its
+   name.
+3. **Labelled findings.** A table of human verdicts (``doc_id, start, label``) if
+   there is one. Otherwise :func:`label_findings` labels by what the forest does
+   not see: where a value stands (assigned to a credential name or in a known key
+   format, or neither), and in how many documents. A value of a few documents
+   that is assigned or in key format is taken for a secret; one that many
+   documents share, or that stands bare, is not. The labels are noisy; the forest
+   learns how the values of either side look, so that an assignment whose value
+   looks like ordinary text is taken off, and a bare token that looks like a key
+   is found.
 4. **Forest.** A random forest is trained on at most about ``max_rows`` labelled
    findings (a documented bound; chosen by hash) and scores every candidate.
 
-Edge cases: null and empty texts have no candidates; overlapping candidates
-count once, leftmost first; repeated rows repeat their findings; without
-findings of both labels the score is 1 for known key formats and credential
-assignments and 0 for the others; extra columns are ignored. The secret itself
-is not returned, only its place and digest.
+Edge cases: null and empty texts have no candidates; texts of any length are
+read whole; overlapping candidates count once, leftmost first; repeated rows
+repeat their findings; rows with a null id have findings like any other, but a
+verdict is never theirs; without findings of both labels the score is 1 for
+known key formats and credential assignments and 0 for the others; an empty
+table gives an empty result; extra columns are ignored. The secret itself is not
+returned, only its place and digest.
 """
 
 from __future__ import annotations
@@ -52,19 +61,21 @@ CANDIDATE = re.compile(
     rf"{_NAMED}(?:\"(?P<double>(?:[^\"\\\r\n]|\\.){{6,}}+)\"|'(?P<single>(?:[^'\\\r\n]|\\.){{6,}}+)'"
     # A quote within a bare value belongs to it if the value goes on behind it.
     r"|[\"']?(?P<bare>[^\s\"'](?:[^\s\"']|[\"'](?=[^\s\"',;:)}\]>])){5,}+))"
-    rf"|(?P<format>\b(?:{_KEY_FORMATS}))"
+    rf"|(?P<format>\b(?:{_KEY_FORMATS})|-----BEGIN (?P<pem>[A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]+?-----END (?P=pem)PRIVATE KEY-----)"
     r"|(?P<long>(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*[0-9])[A-Za-z0-9+/_.@-]{8,})"
 )
-_WORDS = re.compile(r"[^\W\d_]{2,7}")
+_WORDS = re.compile(r"[^\W\d_]+")
+_LONGEST = 12  # letters of a dictionary word
+_RARE = 2  # documents that may share a secret
 _WORD = re.compile(r"\w+")
 NUMERIC = (
     "chars transitions likelihood coverage digits uppers lowers hexes symbols entropy distinct slashes dots at_sign "
-    "source_depth source_digits named formatted quoted before_name after_name before_hash after_hash"
+    "source_depth source_digits quoted before_name after_name before_hash after_hash"
 ).split()
 
 
 def dictionary(docs: DataFrame, words: int = 5000) -> dict[str, int]:
-    """The most frequent words of 2 to 7 letters over all texts."""
+    """The most frequent words of 2 to 12 letters over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -77,7 +88,7 @@ def dictionary(docs: DataFrame, words: int = 5000) -> dict[str, int]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
-                    counts.update(_WORDS.findall((text or "").lower()))
+                    counts.update(w for w in _WORDS.findall((text or "").lower()) if 2 <= len(w) <= _LONGEST)
                 if len(counts) > 200_000:
                     yield flush()
         yield flush()
@@ -102,7 +113,7 @@ def _class(c: str) -> int:
 def _coverage(value: str, words: set[str]) -> float:
     low, at, covered = value.lower(), 0, 0
     while at < len(low):
-        for n in range(min(7, len(low) - at), 2, -1):
+        for n in range(min(_LONGEST, len(low) - at), 2, -1):
             if low[at : at + n] in words:
                 covered, at = covered + n, at + n
                 break
@@ -111,7 +122,7 @@ def _coverage(value: str, words: set[str]) -> float:
     return covered / max(1, len(low))
 
 
-def features(value: str, name: bool, formatted: bool, before: str, after: str, source: str | None, quoted: bool, words: set[str], pairs: dict[str, float]) -> list[float]:
+def features(value: str, before: str, after: str, source: str | None, quoted: bool, words: set[str], pairs: dict[str, float]) -> list[float]:
     n = len(value)
     classes = [_class(c) for c in value]
     low = value.lower()
@@ -124,7 +135,7 @@ def features(value: str, name: bool, formatted: bool, before: str, after: str, s
         sum(pairs.get(low[i : i + 2], -8.0) for i in range(n - 1)) / max(1, n - 1), _coverage(value, words),
         classes.count(0) / n, classes.count(1) / n, classes.count(2) / n, sum(c in "0123456789abcdef" for c in low) / n, classes.count(3) / n,
         entropy, len(share) / n, float(value.count("/")), float(value.count(".")), float("@" in value),
-        float((source or "").count("/")), float(sum(map(str.isdigit, source or ""))), float(name), float(formatted), float(quoted),
+        float((source or "").count("/")), float(sum(map(str.isdigit, source or ""))), float(quoted),
         credential(before), credential(after), hashed(before), hashed(after),
     ]
 
@@ -134,24 +145,24 @@ def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
     known, pairs = set(words), transition_table(words)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind_of_id}, start long, length long, kind string, shape string, value_sha256 string, " + ", ".join(f"`{f}` double" for f in NUMERIC)
+    schema = f"doc_id {kind_of_id}, start long, length long, kind string, value_sha256 string, " + ", ".join(f"`{f}` double" for f in NUMERIC)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "start", "length", "kind", "shape", "value_sha256", *NUMERIC]
+        names = ["doc_id", "start", "length", "kind", "value_sha256", *NUMERIC]
         for frame in frames:
             rows = []
             for doc_id, text, path in frame.itertuples(index=False):
                 if not isinstance(text, str) or not text:
                     continue
                 for m in CANDIDATE.finditer(text):
-                    group = m.lastgroup
+                    group = next(g for g in ("double", "single", "bare", "format", "long") if m[g] is not None)
                     kind = {"format": "format", "long": "token"}.get(group, "assignment")
                     start, end = m.span(group)
                     value = m[group]
-                    before = _WORD.findall(text[max(0, m.start() - 40) : m.start()])[-1:] if kind != "assignment" else [m["name"]]
+                    before = _WORD.findall(text[max(0, m.start() - 40) : m.start()])[-1:]
                     after = _WORD.findall(text[end : end + 40])[:1]
-                    x = features(value, kind == "assignment", kind == "format", (before or [""])[0], (after or [""])[0], path, text[end : end + 1] in "\"'" and end < len(text), known, pairs)
-                    rows.append([doc_id, start, len(value), kind, shape(value), hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), *x])
+                    x = features(value, (before or [""])[0], (after or [""])[0], path, text[end : end + 1] in "\"'" and end < len(text), known, pairs)
+                    rows.append([doc_id, start, len(value), kind, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), *x])
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -160,41 +171,35 @@ def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
     return docs.select("doc_id", "text", source.alias("source")).mapInPandas(run, schema)
 
 
-def shape(value: str) -> str:
-    """What a candidate certainly is by its form alone, else ``open``."""
-    if re.fullmatch(r"[\d.,:/+-]+", value):
-        return "number"
-    if "@" in value or re.fullmatch(r"(?i)(?:[a-z0-9-]+\.)+[a-z]{2,24}", value):
-        return "host"
-    if re.fullmatch(r"[^\W\d_]+[.,]?", value):
-        return "word"
-    if re.fullmatch(r"(?i)(?=.*[0-9])[0-9a-f]{12,}", value) or re.fullmatch(_KEY_FORMATS, value):
-        return "key"
-    return "open"
-
-
 def label_findings(found: DataFrame) -> DataFrame:
-    """``label`` 1 or 0 where the form settles it, else null."""
-    credential = F.col("shape").isin("key") & F.col("kind").isin("assignment", "format")
-    ordinary = F.col("shape").isin("number", "host", "word")
-    return found.withColumn("label", F.when(credential, 1).when(ordinary, 0))
+    """``label`` by place and by the number of documents with the value, neither of which is a feature."""
+    spread = found.groupBy("value_sha256").agg(F.approx_count_distinct("doc_id").alias("docs")).where(F.col("docs") > _RARE)
+    shared = stage(spread.select("value_sha256", F.lit(True).alias("shared")), "secrets-shared")
+    placed = F.col("kind").isin("assignment", "format") & F.col("shared").isNull()
+    return found.join(shared, "value_sha256", "left").withColumn("label", placed.cast("int")).drop("shared")
 
 
 def scan(docs: DataFrame, verdicts: DataFrame | None = None, max_rows: int = 20_000, trees: int = 30) -> DataFrame:
     """One row per candidate: ``doc_id, start, length, kind, value_sha256, score, is_secret``."""
     found = stage(candidates(docs, dictionary(docs)), "secrets-candidates")
-    marked = label_findings(found) if verdicts is None else found.join(verdicts.select("doc_id", "start", "label"), ["doc_id", "start"], "left")
-    known = marked.where("label is not null")
+    if verdicts is None:  # a value in many copies of a document is learnt once
+        known = label_findings(found).withColumn("unit", F.col("value_sha256"))
+    else:
+        said = verdicts.where("label is not null").groupBy("doc_id", "start").agg(F.max("label").cast("int").alias("label"))
+        known = found.join(said, ["doc_id", "start"]).withColumn("unit", F.concat_ws(":", F.col("doc_id").cast("string"), "start"))
+    pick = F.pmod(F.xxhash64("unit"), F.lit(1_000_000)).alias("pick")
+    known = known.select("unit", "label", pick, F.struct(*NUMERIC).alias("x"), F.struct("doc_id", "start").alias("place"))
+    known = known.groupBy("unit", "pick").agg(F.max("label").alias("label"), F.min_by("x", "place").alias("x"))
+    known = stage(known, "secrets-labelled")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    certain = (F.col("kind") == "format") | ((F.col("kind") == "assignment") & (F.col("shape") == "key"))
     if len(sizes) < 2:
-        return _result(found.withColumn("score", certain.cast("double")))
+        return _result(found.withColumn("score", F.col("kind").isin("assignment", "format").cast("double")))
     chosen = F.lit(False)
     for label, n in sizes.items():  # half of the bound for each label
         share = int(min(1.0, max_rows / 2 / n) * 1_000_000) + 1
-        chosen = chosen | ((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id", "start"), F.lit(1_000_000)) < share))
+        chosen = chosen | ((F.col("label") == label) & (F.col("pick") < share))
     assemble = VectorAssembler(inputCols=NUMERIC, outputCol="features")
-    learn = assemble.transform(known.where(chosen)).select("features", F.col("label").cast("double").alias("label"))
+    learn = assemble.transform(known.where(chosen).select("label", "x.*")).select("features", F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=8, seed=7, minInstancesPerNode=2).fit(learn)
     scored = forest.transform(assemble.transform(found)).withColumn("score", vector_to_array("probability")[1])
     return _result(scored)

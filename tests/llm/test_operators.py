@@ -62,6 +62,39 @@ def test_secrets_tell_keys_from_numbers(spark):
     assert secrets.scan(docs(spark, ["plain words"])).count() == 0
 
 
+def test_secret_forest_drops_false_positives_on_held_out_verdicts(spark):
+    """Verdicts on half of the findings; assignments of ordinary words among the others are taken off."""
+    rng, words = random.Random(3), "required optional entered changed missing invalid expired provided forgotten updated accepted rejected".split()
+    texts, truth = [], []
+    for i in range(200):
+        secret = rng.random() < 0.5
+        value = "".join(rng.choice("ABCDEFabcdef0123456789xyzXYZ") for _ in range(24)) if secret else rng.choice(words)
+        texts.append(f"the {rng.choice(words)} password: {value} {rng.choice(words)} was here")
+        truth.append(secret)
+    table = docs(spark, texts)
+    verdicts = spark.createDataFrame([(i, texts[i].index("password: ") + 10, int(t)) for i, t in enumerate(truth) if i % 2], "doc_id long, start long, label int")
+    found = [r for r in secrets.scan(table, verdicts).collect() if r["doc_id"] % 2 == 0]
+    assert len(found) == 100 and sum(r["is_secret"] == truth[r["doc_id"]] for r in found) >= 95
+
+
+def test_secret_labels_by_spread_take_placeholders_off(spark):
+    """Without verdicts: a placeholder that many documents share is no secret, nor is one that looks like it."""
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    places = [f"placeholder{i}" for i in range(30)]
+    texts = [f'the token = "{key()}" here' for _ in range(60)] + [f"the token = {p} here" for p in places for _ in range(4)] + ["the token = placeholderzz here"]
+    found = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs(spark, texts)).collect()}
+    assert all(found[i] for i in range(60)) and not any(found[i] for i in range(60, len(texts)))
+
+
+def test_secret_private_keys_and_words_are_whole(spark):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEpAIBAAKCAQEA\n" * 90 + "-----END RSA PRIVATE KEY-----"
+    (row,) = secrets.candidates(docs(spark, [f"before {pem} after"]), {}).collect()
+    assert (row["kind"], row["start"], row["length"]) == ("format", 7, len(pem))
+    words = secrets.dictionary(docs(spark, ["dictionary internationalization", None, ""]))
+    assert words == {"dictionary": 1}
+
+
 def test_secret_candidates_are_whole():
     long_key = "Ab3/" * 125
     jwt = f"eyJ{'hbGciOi1' * 10}.{'eyJzdWIi' * 30}.{'c2lnbmF0' * 8}"
