@@ -10,14 +10,18 @@ until a bit-sliced score remains. The ``k`` largest are selected from the most
 significant slice down; rows tied at the boundary are resolved by identifier,
 and the scores of selected rows are recomputed as plain integer products.
 
-Query blocks meet index blocks in an equi-join on (slot, query block), so the
-work of Q queries over N rows is dealt out evenly in bounded tasks.
+Every index block is written once and shuffled once (a few times if there are
+fewer blocks than tasks to fill); blocks of compact query vectors are dealt to
+all of them and stream past the block at hand in its task. Quantised components
+are whole numbers held as doubles, hence exact at any size: a block has as many
+slices as its largest value needs, and scores as many as their bound needs.
 
 Edge cases: vectors that are null, or have null or non-finite components, or
 another length than ``dims``, take no part, nor do rows with a null id; a query
-never returns rows of its own id; rows that repeat an id are ranked one by one;
-a query with fewer than ``k`` candidates returns all; an empty table gives an
-empty result; extra columns are ignored.
+never returns rows of its own id; rows that repeat an id are ranked one by one,
+as candidates and as queries; a query with fewer than ``k`` candidates returns
+all; ranks are exact at any magnitude, but a score beyond 64 bits is returned as
+the nearest long; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,30 +30,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pactlake.llm.common import stage
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LARGEST = float(np.finfo(np.float64).max)
+_LONG = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 1024, dims: int | None = None) -> DataFrame:
-    """``vec_id, q``: each component as floor(scale * component), of the vectors that take part."""
+    """``vec_id, q``: each component as floor(scale * component), a whole number as a double, of the vectors that take part."""
     x = F.col("embedding")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     keep = x.isNotNull() & F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False))
     if dims is not None:
         keep &= F.size(x) == dims
-    q = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("int"))
+    def whole(v: Column) -> Column:
+        y = v.cast("double") * F.lit(float(scale))
+        # A double of 2**53 or more is a whole number; past the largest double the value stays there.
+        y = F.when(F.abs(y) < F.lit(float(1 << 53)), F.floor(y).cast("double")).otherwise(y)
+        return F.least(F.greatest(y, F.lit(-_LARGEST)), F.lit(_LARGEST))
+
+    q = F.transform(x, whole)
     return vectors.where(keep).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
 
 
+def _bits(values: np.ndarray) -> int:
+    """Bits of two's complement that hold all the whole numbers of an array of doubles."""
+    return max(1, int(np.abs(values).max(initial=0)).bit_length()) + 1
+
+
+def _integers(values: np.ndarray, bits: int) -> np.ndarray:
+    """Doubles as integers: 64-bit ones where they fit, else Python's."""
+    if bits <= 63:
+        return values.astype(np.int64)
+    return np.array([int(v) for v in values.ravel()], object).reshape(values.shape)
+
+
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     """(rows, dims) integers as bitmaps (dims, bits, words)."""
     rows, dims = values.shape
     width = -(-rows // 64)
-    padded = np.zeros((width * 64, dims), np.int64)
+    padded = np.zeros((width * 64, dims), values.dtype)
     padded[:rows] = values
     out = np.empty((dims, bits, width), np.uint64)
     for b in range(bits):
@@ -58,15 +82,13 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _blocks(rows: int, schema_tag: str):
-    """Packs vectors into blocks of at most ``rows`` rows."""
+def _blocks(rows: int, key: str):
+    """Packs the rows ``key, vec_id, q`` into blocks of at most ``rows`` rows of one length."""
 
     def emit(ids: list, vectors: list) -> pd.DataFrame:
-        values = np.stack(vectors).astype(np.int32)
-        return pd.DataFrame(
-            {"block": [f"{schema_tag}{ids[0]}-{ids[-1]}-{len(ids)}"], "ids": [np.array(ids, np.int64).tobytes()],
-             "data": [values.tobytes()], "dims": [values.shape[1]]}
-        )
+        values = np.stack(vectors).astype(np.float64)
+        ids = np.array(ids, np.int64)
+        return pd.DataFrame({key: [int(ids[0])], "ids": [ids.tobytes()], "data": [values.tobytes()], "dims": [values.shape[1]]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors, dims = [], [], None
@@ -84,24 +106,21 @@ def _blocks(rows: int, schema_tag: str):
     return run
 
 
-_BLOCK = "block string, ids binary, data binary, dims int"
-
-
 def build_index(vectors: DataFrame, block_rows: int = 8192) -> DataFrame:
     """The bit-sliced index: ``block, ids, slices, bits, dims`` in the shared folder."""
 
     def slice_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for packed in _blocks(block_rows, "")(frames):
-            values = np.frombuffer(packed["data"][0], np.int32).reshape(-1, packed["dims"][0]).astype(np.int64)
+        for packed in _blocks(block_rows, "block")(frames):
+            values = np.frombuffer(packed["data"][0], np.float64).reshape(-1, packed["dims"][0])
             ids = np.frombuffer(packed["ids"][0], np.int64)
             order = np.argsort(ids, kind="stable")  # ties go to the smaller id, that is the lower lane
             values, ids = values[order], ids[order]
-            bits = int(max(np.abs(values).max(initial=0), 1)).bit_length() + 1
-            yield pd.DataFrame(
-                {"block": packed["block"], "ids": [ids.tobytes()], "slices": [_pack(values, bits).tobytes()], "bits": [bits], "dims": packed["dims"]}
-            )
+            bits = _bits(values)
+            slices = _pack(_integers(values, bits), bits)
+            yield pd.DataFrame({"block": packed["block"], "ids": [ids.tobytes()], "slices": [slices.tobytes()], "bits": [bits], "dims": packed["dims"]})
 
-    return stage(vectors.select("vec_id", "q").mapInPandas(slice_up, "block string, ids binary, slices binary, bits int, dims int"), "topk-index")
+    packed = vectors.select("vec_id", "q").mapInPandas(slice_up, "block long, ids binary, slices binary, bits int, dims int")
+    return stage(packed.withColumn("block", F.monotonically_increasing_id()), "topk-index")
 
 
 def _signed_digits(x: int) -> list[tuple[int, int]]:
@@ -120,7 +139,7 @@ def _signed_digits(x: int) -> list[tuple[int, int]]:
 def bit_sliced_scores(planes: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Two's complement slices of the inner products of a query with all rows of a block."""
     dims, bits, width = planes.shape
-    bound = int(np.abs(query.astype(np.int64)).sum()) << (bits - 1)
+    bound = sum(abs(int(x)) for x in query) << (bits - 1)
     total = max(bound, 1).bit_length() + 2
     columns: list[list[np.ndarray]] = [[] for _ in range(total)]
     constant = 0
@@ -179,52 +198,94 @@ def _lanes(bitmap: np.ndarray) -> np.ndarray:
     return np.nonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))[0]
 
 
-def _score_pairs(k: int):
+def _order_key(score: int) -> str:
+    """A string that sorts as the score does, whatever its size."""
+    digits = f"{abs(score):x}"
+    key = f"{len(digits):04x}{digits}"
+    return "1" + key if score >= 0 else "0" + key.translate(str.maketrans("0123456789abcdef", "fedcba9876543210"))
+
+
+def _best(index: tuple, queries: np.ndarray, numbers: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame | None:
+    """The ``k`` best rows of one index block for each query of a block."""
+    own, planes, bits = index
+    lanes = np.zeros(planes.shape[2] * 64, bool)
+    weights = [1 << b for b in range(bits - 1)] + [-(1 << (bits - 1))]
+    found = []
+    for number, query_id, row in zip(numbers, ids, queries, strict=True):
+        wide = _bits(row)
+        query = _integers(row, wide)
+        lanes[: len(own)] = own != query_id
+        top = select_top(bit_sliced_scores(planes, query), np.packbits(lanes, bitorder="little").view(np.uint64), k)
+        if not len(top):
+            continue
+        # Exact products of the selected rows, read back from their slices.
+        raw = (planes[:, :, top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)
+        if bits + wide + len(row).bit_length() <= 63:
+            exact = (query.astype(np.int64) @ np.einsum("dbn,b->dn", raw.astype(np.int64), np.array(weights, np.int64))).tolist()
+        else:
+            rows = np.tensordot(raw.astype(object), np.array(weights, object), axes=(1, 0))
+            exact = [sum(int(x) * int(y) for x, y in zip(query, column)) for column in rows.T]
+        kept = [max(-_LONG - 1, min(_LONG, x)) for x in exact]
+        found.append(pd.DataFrame({"query_no": number, "query_id": query_id, "vec_id": own[top], "score": kept, "order": [_order_key(x) for x in exact]}))
+    return pd.concat(found, ignore_index=True) if found else None
+
+
+def _stream_queries(k: int):
+    """Rows sorted by slot and group: some index blocks, then the query blocks that they answer."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, index = None, []
         for frame in frames:
             for row in frame.itertuples():
-                dims, bits = row.dims, row.bits
+                if (row.slot, row.group) != at:
+                    at, index = (row.slot, row.group), []
                 ids = np.frombuffer(row.ids, np.int64)
-                planes = np.frombuffer(row.slices, np.uint64).reshape(dims, bits, -1)
-                width = planes.shape[2]
-                lanes = np.zeros(width * 64, bool)
-                queries = np.frombuffer(row.q_data, np.int32).reshape(-1, dims)
-                found = []
-                for query_id, query in zip(np.frombuffer(row.q_ids, np.int64), queries, strict=True):
-                    lanes[: len(ids)] = ids != query_id
-                    allowed = np.packbits(lanes, bitorder="little").view(np.uint64)
-                    top = select_top(bit_sliced_scores(planes, query), allowed, k)
-                    if not len(top):
-                        continue
-                    # Exact products of the selected rows, read back from their slices.
-                    raw = ((planes[:, :, top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)).astype(np.int64)
-                    weights = np.array([1 << b for b in range(bits - 1)] + [-(1 << (bits - 1))], np.int64)
-                    exact = query.astype(np.int64) @ np.einsum("dbn,b->dn", raw, weights)
-                    found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": exact}))
-                if found:
-                    yield pd.concat(found, ignore_index=True)
+                if row.kind == 0:
+                    index.append((ids, np.frombuffer(row.data, np.uint64).reshape(int(row.dims), int(row.bits), -1), int(row.bits)))
+                    continue
+                numbers = np.frombuffer(row.numbers, np.int64)
+                queries = np.frombuffer(row.data, np.float64).reshape(-1, row.dims)
+                for block in index:
+                    if block[1].shape[0] == row.dims and (best := _best(block, queries, numbers, ids, k)) is not None:
+                        yield best
+
+    return run
+
+
+def _query_blocks(rows: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dims, part in frame.groupby(frame["q"].map(len)):
+                for at in range(0, len(part), rows):
+                    some = part.iloc[at : at + rows]
+                    data = np.stack(some["q"].to_list()).astype(np.float64)
+                    yield pd.DataFrame({"ids": [some["vec_id"].to_numpy(np.int64).tobytes()], "numbers": [some["number"].to_numpy(np.int64).tobytes()], "data": [data.tobytes()], "dims": [dims]})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 64) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the ``k`` best candidates of every query.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 64, tasks: int | None = None) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of the ``k`` best candidates of every query row.
 
-    Both inputs are results of :func:`quantised`. A repeated query id is
-    answered once.
+    Both inputs are results of :func:`quantised`. ``tasks`` is the number of
+    tasks to fill at least (by default that of the session's cores): where the
+    index has fewer blocks, each is met by several groups of query blocks apart.
     """
+    spark = vectors.sparkSession
     index = build_index(vectors, block_rows)
-    asked = stage(
-        queries.groupBy("vec_id").agg(F.min("q").alias("q")).mapInPandas(_blocks(query_rows, "q"), _BLOCK)
-        .select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims"), F.monotonically_increasing_id().alias("q_block")),
-        "topk-queries",
-    )
-    slots = max(1, -(-index.count() // 4))
-    n_asked = max(1, asked.count())
-    numbered = asked.withColumn("q_no", F.pmod(F.xxhash64("q_block"), F.lit(n_asked)).cast("int"))
-    left = index.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    right = numbered.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    pairs = left.join(right, (left["slot"] == right["slot"]) & (left["q_no"] == right["q_no"]) & (left["dims"] == right["q_dims"]))
-    best = pairs.select("ids", "slices", "bits", "dims", "q_ids", "q_data").mapInPandas(_score_pairs(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    numbered = stage(queries.select("vec_id", "q").withColumn("number", F.monotonically_increasing_id()), "topk-queries")
+    asked = stage(numbered.mapInPandas(_query_blocks(query_rows), "ids binary, numbers binary, data binary, dims int"), "topk-query-blocks")
+    slots = max(1, index.count())
+    groups = max(1, min(-(-(tasks or 2 * spark.sparkContext.defaultParallelism) // slots), 64, asked.count()))
+    none = F.lit(None)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).withColumn("group", each(groups)).select(
+        "slot", "group", F.lit(0).alias("kind"), "ids", none.cast("binary").alias("numbers"), F.col("slices").alias("data"), "bits", "dims"
+    )
+    right = asked.withColumn("group", F.pmod(F.xxhash64("numbers"), F.lit(groups))).withColumn("slot", each(slots)).select(
+        "slot", "group", F.lit(1).alias("kind"), "ids", "numbers", "data", none.cast("int").alias("bits"), "dims"
+    )
+    met = left.unionByName(right).repartition(min(slots * groups, 100_000), "slot", "group").sortWithinPartitions("slot", "group", "kind")
+    best = met.mapInPandas(_stream_queries(k), "query_no long, query_id long, vec_id long, score long, `order` string")
+    rank = F.row_number().over(Window.partitionBy("query_no").orderBy(F.col("order").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

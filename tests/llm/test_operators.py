@@ -3,7 +3,9 @@ import gzip
 import hashlib
 import io
 import itertools
+import math
 import random
+from fractions import Fraction
 import zlib
 
 import numpy as np
@@ -152,6 +154,25 @@ def test_topk_small_and_empty(spark):
     assert topk.top_k(table.limit(0), table.limit(0), 10).count() == 0
 
 
+def test_topk_of_wide_components_and_repeated_queries(spark):
+    """Values of 1e7 and 1e30 take part; ranks are exact beyond 64 bits; each query row is answered."""
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([1e30, -1e30, 1e7, -1e7, 0.5, rng.uniform(-1, 1)]) for _ in range(3)]) for i in range(60)]
+    rows += [(70, [float("inf"), 1.0, 1.0]), (71, [float("nan"), 1.0, 1.0]), (72, [None, 1.0, 1.0]), (73, None), (None, [1.0, 1.0, 1.0])]
+    rows += [(0, [1e7, 1e7, -1e7])]
+    table = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = topk.top_k(table, table.where("vec_id % 20 = 0"), k=7, block_rows=16).collect()
+    exact = [(i, [math.floor(Fraction(x) * 1024) for x in v]) for i, v in rows if i is not None and i < 70]
+    expected = []
+    for i, v in exact:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in exact if j != i)[:7]
+            expected += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -score))) for n, (score, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in found) == sorted(expected)
+    one = topk.quantised(spark.createDataFrame([(0, [1e7, 2.0]), (1, [1e7, 1.0])], "vec_id long, embedding array<float>"))
+    assert [tuple(r) for r in topk.top_k(one, one.where("vec_id = 0"), 10).collect()] == [(0, 1, 1, (1024 * 10**7) ** 2 + 2 * 1024**2 if (1024 * 10**7) ** 2 < 2**63 else 2**63 - 1)]
+
+
 # --- 4 packing ----------------------------------------------------------------------------------------
 def padding(lengths, counts, bounds):
     return sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts))
