@@ -21,9 +21,10 @@ control string never occurs in them, and the reverse steps restore them.
 
 Edge cases: null texts and roles count as empty; a null ``conv_id`` is a
 conversation of its own; events that share a ``seq`` go by message, role and
-text; an unknown kind counts as ``message``; an empty log gives no rows; extra
-columns are ignored. A conversation is one output row, so its rows meet in one
-task; everything up to that is computed per row.
+text; an unknown kind counts as ``message``; texts of any length are kept whole;
+an empty log gives no rows; extra columns are ignored. A conversation is one
+output row, so its rows meet in one task; everything up to that is computed per
+row.
 """
 
 from __future__ import annotations
@@ -45,11 +46,29 @@ def unescaped(x: Column) -> Column:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """Rows by turn as an event log; each row is a message of its own."""
+    """Rows by turn as the event log of a chat that ends with these turns.
+
+    Every turn arrives as it would from a model or an editor: an even one as a
+    draft, an edit to its first half and a delta with the rest; an odd one as a
+    draft that the next message already answers, a regeneration, which takes
+    both back, and two deltas.
+    """
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return turns.select(
-        "conv_id", F.row_number().over(in_order).alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    ).withColumn("message", F.col("seq"))
+    rows = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(in_order).alias("message"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    draft = F.concat(F.lit("draft of "), "role")
+
+    def event(number: int, kind: str, text: Column, later: int = 0) -> Column:
+        return F.struct(
+            (F.col("message") * 5 + number).cast("long").alias("seq"), (F.col("message") + later).cast("long").alias("message"),
+            F.lit(kind).alias("kind"), F.coalesce(text, F.lit("")).alias("text"),
+        )
+
+    edited = F.array(event(0, "message", draft), event(1, "edit", head), event(2, "delta", tail))
+    again = F.array(event(0, "message", draft), event(1, "message", draft, 1), event(2, "regenerate", F.lit("")), event(3, "delta", head), event(4, "delta", tail))
+    events = F.when(F.col("message") % 2 == 0, edited).otherwise(again)
+    return rows.select("conv_id", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.message", "e.kind", "role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
