@@ -1,9 +1,10 @@
 """Byte-level BPE by monoid tree reduction.
 
 Every match of the pre-tokeniser's pattern is encoded by itself. Token
-sequences of adjacent byte strings form a monoid: :func:`encode_bytes` encodes
-the halves of a piece recursively and :func:`join` combines neighbours by
-re-encoding a window around the seam. The window grows, one side at a time,
+sequences of adjacent byte strings form a monoid: :meth:`Tokenizer.encode_bytes`
+encodes the halves of a piece recursively, down to single bytes, and
+:meth:`Tokenizer.join` combines neighbours by re-encoding a window around the
+seam. The window grows, one side at a time,
 until the pairs of tokens across its edges are stable, that is until encoding
 the bytes of each such pair gives the pair itself.
 
@@ -13,13 +14,16 @@ they come when the stretch is encoded alone. If no merge crosses the seam of
 any adjacent pair when the pair is alone, none ever crosses it in the sequence.
 Hence a sequence whose adjacent pairs are all stable is the encoding of its
 bytes. (Ranks must encode each token's bytes to that token, as BPE training
-yields; the tests check it.)
+yields; the tests check every token.) Windows are merged by :meth:`Tokenizer.merge`,
+pair by pair; no tokenizer library takes part.
 
 Decoding concatenates the tokens' bytes up a balanced tree.
 
 Edge cases: a null or empty text has no tokens, and its digests are those of
 the empty string; texts of any length are cut at the pattern's matches, never
-truncated; repeated rows repeat their results; extra columns are ignored.
+truncated; bytes that the ranks do not have raise ``KeyError``; repeated rows
+repeat their results; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +36,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
-_LEAF = 16  # bytes that are merged directly
 _CACHED = 1 << 18  # pieces remembered by a worker
 
 
@@ -47,21 +49,38 @@ class Tokenizer:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
         self._pieces: dict[str, bytes] = {}
         self._stable: dict[tuple[int, int], bool] = {}
 
+    def merge(self, data: bytes) -> list[int]:
+        """The encoding of a short byte string: of all adjacent parts the pair of lowest rank merges, the leftmost first."""
+        ranks = self.ranks
+        whole = ranks.get(data)
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                rank = ranks.get(parts[i] + parts[i + 1])
+                if rank is not None and (best is None or rank < best):
+                    best, at = rank, i
+            if best is None:
+                return [ranks[part] for part in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [whole] if parts else []
+
     def stable(self, a: int, b: int) -> bool:
+        """Whether the bytes of two tokens encode to these two."""
         known = self._stable.get((a, b))
         if known is None:
             if len(self._stable) >= _CACHED:
                 self._stable.clear()
-            known = self._stable[a, b] = self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        if len(data) <= _LEAF:
-            return self._merge(data) if data else []
+        """Halves first, then their seam; a single byte is a token."""
+        if len(data) < 2:
+            return [self.ranks[data]] if data else []
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
@@ -73,7 +92,7 @@ class Tokenizer:
             return left + right
         i = j = 1  # the window: so many tokens on each side of the seam
         while True:
-            window = self._merge(self.decode(left[-i:]) + self.decode(right[:j]))
+            window = self.merge(self.decode(left[-i:]) + self.decode(right[:j]))
             grow_left = i < len(left) and not self.stable(left[-i - 1], window[0])
             grow_right = j < len(right) and not self.stable(window[-1], right[j])
             if not grow_left and not grow_right:
