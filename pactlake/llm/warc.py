@@ -1,7 +1,8 @@
 """WARC archives: a distributed writer and a sequential, verifying reader.
 
 The writer makes one ``.warc.gz`` archive per task (a new one after
-``roll_bytes``), one gzip member per record, in the shared folder. File names
+``roll_bytes``), a ``warcinfo`` record first, one gzip member per record, in the
+shared folder. File names
 carry the task attempt, and only archives of attempts that succeeded reach the
 manifest, so a lost executor leaves at most unread files.
 
@@ -10,15 +11,18 @@ parsed line by line, block framing by ``Content-Length``, and SHA-1 digests of
 block and payload checked against the headers. A record that breaks a rule
 raises :class:`WarcError`.
 
-Of pages with equal payloads (from ``revisit_bytes`` bytes on) the one with the
+Payloads are equal if their lengths, SHA-1 and SHA-256 are. Of pages with equal
+payloads (from ``revisit_bytes`` bytes on) the one with the
 smallest id becomes a ``response``, the others ``revisit`` records that refer to
 it and carry no payload; their HTTP header keeps the payload's length.
 
 Edge cases: null html is an empty payload; a null ``page_id`` is always a
 response and never referred to; rows that repeat the smallest ``page_id`` with
-an equal payload are all responses (a page does not refer to itself); null urls
+an equal payload are all responses (a page does not refer to itself) and share
+a record id, which names the page; null urls
 get ``urn:page:`` target URIs; control characters and blanks in urls are
-percent-encoded; extra columns are ignored; no pages give no archives.
+percent-encoded; payloads of any length are written and read whole; extra
+columns are ignored; no pages give no archives.
 """
 
 from __future__ import annotations
@@ -77,6 +81,14 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(head).encode() + 2 * _CRLF + block + 2 * _CRLF
 
 
+def warcinfo(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: pactlake\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {_DATE}", f"WARC-Filename: {name}",
+            f"WARC-Block-Digest: sha1:{_sha1(block)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + 2 * _CRLF + block + 2 * _CRLF
+
+
 def member(data: bytes, level: int = 6) -> bytes:
     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -139,7 +151,7 @@ def _page(uri: str) -> int | None:
 
 
 def read_archive(stream, chunk: int = 1 << 16) -> Iterator[dict]:
-    """The records of an archive in order, each verified; memory is bounded by ``chunk``."""
+    """The responses and revisits of an archive in order, each record verified; memory is bounded by ``chunk``."""
     rest = b""
     while rest := rest or stream.read(chunk):
         source = _Member(stream, rest, chunk)
@@ -163,6 +175,8 @@ def read_archive(stream, chunk: int = 1 << 16) -> Iterator[dict]:
         rest = source.end()
         if head.get("warc-block-digest") != "sha1:" + base64.b32encode(block.digest()).decode():
             raise WarcError(f"block digest of {head.get('warc-record-id')}")
+        if head["warc-type"] == "warcinfo":
+            continue
         digest = head["warc-payload-digest"].removeprefix("sha1:")
         length = int(dict(x.lower().split(b": ", 1) for x in http.split(_CRLF)[1:])[b"content-length"])
         if head["warc-type"] == "response" and (size != length or digest != base64.b32encode(payload.digest()).decode()):
@@ -179,7 +193,8 @@ def read_archive(stream, chunk: int = 1 << 16) -> Iterator[dict]:
 def revisits(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     """``page_id, digest, refers_to`` of the pages whose payload an earlier page has."""
     payload = F.encode(text_or_empty("html"), "UTF-8")
-    keys = stage(pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")), "warc-digests")
+    digest = F.concat_ws(":", F.sha1(payload), F.sha2(payload, 256), F.octet_length(payload))
+    keys = stage(pages.select("page_id", digest.alias("digest"), F.octet_length(payload).alias("n")), "warc-digests")
     keys = keys.where((F.col("n") >= revisit_bytes) & F.col("page_id").isNotNull())
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
     again = keys.join(first, "digest").where("page_id > refers_to")
@@ -190,7 +205,9 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, roll_b
     """Write all pages below ``folder``; returns the manifest ``path, records, bytes``."""
     seen = revisits(pages, revisit_bytes).withColumnRenamed("page_id", "__page").withColumnRenamed("digest", "__digest")
     html = text_or_empty("html")
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
+    payload = F.encode(html, "UTF-8")
+    digest = F.concat_ws(":", F.sha1(payload), F.sha2(payload, 256), F.octet_length(payload))
+    rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest"))
     rows = rows.join(seen, (rows["page_id"] == seen["__page"]) & (rows["digest"] == seen["__digest"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +232,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 0, roll_b
                         name = f"part-{task.partitionId():05d}-{len(done):04d}-{task.taskAttemptId()}.warc.gz"
                         path, count, size = posixpath.join(root, name), 0, 0
                         out = store.open_output_stream(path, compression=None)
+                        out.write(member(warcinfo(name)))
                     data = member(record(page_id, url, text.encode("utf-8", "surrogatepass"), refers_to))
                     out.write(data)
                     count, size = count + 1, size + len(data)
