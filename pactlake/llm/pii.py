@@ -1,37 +1,54 @@
 r"""Personal data replaced by surrogates, in DataFrame and SQL operations only.
 
-Entities are e-mail addresses, phone numbers, IPv4 addresses, card numbers and
-titled or listed personal names. Each entity has a canonical form (lower case;
-digits only for numbers), and its surrogate is a keyed function of type and
-canonical form, so the same entity gets the same surrogate in all documents:
+Entities are e-mail addresses, phone numbers in international form or as
+``(ddd) ddd-dddd``, IPv4 and IPv6 addresses, card numbers (16 digits in fours, or
+14 and 15 in the issuers' groups), IBANs, and personal names: one or two words
+after a form of address, or a listed given name with a surname. Not detected are
+names without either, and numbers in other national forms.
+
+The parts that a surrogate is made of are the whole entity, or for names each
+word. Each part has a canonical form (lower case; digits only for numbers), and
+its surrogate is a keyed function of type and canonical form, so the same address
+or name has the same surrogate in all documents, and ``Mrs. Anna Schmidt``,
+``Anna Schmidt`` and ``Ms. Schmidt`` stay one person:
 
 * e-mail: letters and digits of the local part and of the domain's labels are
   replaced one by one; the top-level domain and all punctuation stay;
 * phone: digits are replaced one by one; country code and layout stay;
-* IPv4: octets are replaced by octets from 1 to 254;
+* IPv4: octets are replaced by octets from 1 to 254; IPv6: hexadecimal digits are
+  replaced one by one;
 * card: digits are replaced; a number that passes the Luhn check still does;
-* name: a listed given name of the same gender and script, and a letter-wise
-  surname of the same length; titles stay.
+* IBAN: country and layout stay, letters and digits are replaced, and the check
+  digits are computed anew;
+* name: a listed given name becomes another one of the same gender and script, by
+  a keyed cycle through the list, so that two never become one; other words are
+  replaced letter by letter; forms of address stay.
 
 Upper and lower case follow the original. **Collision checks:** the distinct
-entities of the corpus and their surrogates are compared over all documents; a
-surrogate that two entities share, or that is itself an entity of the corpus,
-is drawn again for all but the smallest entity until none is left (after
-``max_draws`` draws a number that names the entity is appended, which cannot
-collide). Only entities drawn again are joined back to their documents.
+parts of the corpus and their surrogates are compared over all documents; a
+surrogate that two parts share, or that is itself a part of the corpus, is drawn
+again for all but the smallest part until none is left (after ``max_draws`` draws
+128 bits of a digest that names the part are added; this breaks the format). Only
+parts drawn again are joined back to their documents. Listed given names need no
+check among themselves.
+
+Whoever knows the key can compute surrogates; keep it as secret as the data.
 
 Edge cases: null texts stay null and have no entities; empty texts stay empty;
-a null ``doc_id`` is a row like any other; rows that share a ``doc_id`` share its
-redrawn entities; overlapping matches count once, leftmost first; extra columns
-pass through; texts are matched as a whole.
+texts of any length are matched as a whole; rows with a null ``doc_id`` have
+their redrawn parts by their text, rows that share a ``doc_id`` share them;
+overlapping matches count once, leftmost first; an empty table gives an empty
+result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import stage, text_or_empty
+from pactlake.llm.common import fresh, stage, text_or_empty
 
 #: Given names by gender and script; fixed values.
 GIVEN = {
@@ -42,33 +59,64 @@ GIVEN = {
 }
 #: Forms of address by gender; fixed values.
 TITLES = {
-    "female": ["Mrs.", "Ms.", "Miss", "Frau", "Mme", "Madame", "Sra.", "Señora"],
-    "male": ["Mr.", "Herr", "Monsieur", "Señor", "Sr."],
+    "female": ["Mrs.", "Ms.", "Miss", "Frau", "Mme", "Madame", "Sra.", "Señora", "Г-жа", "Госпожа"],
+    "male": ["Mr.", "Herr", "Monsieur", "Señor", "Sr.", "Г-н", "Господин"],
 }
+#: Country calling codes of one and two digits; all others have three. Fixed values.
+CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
-_PHONE = r"(?<![\p{L}\d])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\d])\(\d{3}\) \d{3}-\d{4}(?!\d)"
-_CARD = r"(?<![\p{L}\d])(?:\d{4}[ -]?){3}\d{4}(?!\d)"
+_IP6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
+_IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+_CARD = r"(?<![\p{L}\d])(?:(?:\d{4}[ -]?){3}\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|3(?:0[0-5]|[68]\d)\d[ -]?\d{6}[ -]?\d{4})(?!\d)"
+_PHONE = r"(?<![\p{L}\d])\+\d(?:[ ./()-]{0,2}\d){7,14}(?!\d)|(?<![\p{L}\d])\(\d{3}\) \d{3}-\d{4}(?!\d)"
 _TITLE = "|".join(t.replace(".", r"\.") for names in TITLES.values() for t in names)
-_NAME = rf"(?<![\p{{L}}])(?:{_TITLE}) \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
-ENTITY = "|".join([_EMAIL, _IP, _CARD, _PHONE, _NAME])
+_LISTED = "|".join(n.capitalize() for names in GIVEN.values() for n in names)
+_WORD = r"\p{Lu}[\p{L}'-]+"
+_NAME = rf"(?<![\p{{L}}])(?:{_TITLE}) {_WORD}(?: {_WORD})?|(?<![\p{{L}}-])(?:{_LISTED}) {_WORD}"
+ENTITY = "|".join([_EMAIL, _IP, _IP6, _IBAN, _CARD, _PHONE, _NAME])
+_ALL_TITLES = [t.lower() for names in TITLES.values() for t in names]
 
 
 def kind_of(entity: Column) -> Column:
     return (
         F.when(F.contains(entity, F.lit("@")), "email")
         .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
+        .when(F.contains(entity, F.lit(":")), "ip6")
         .when(entity.rlike(r"^[+(]"), "phone")
         .when(entity.rlike(r"^\d"), "card")
+        .when(entity.rlike(r"^[A-Z]{2}\d"), "iban")
         .otherwise("name")
     )
 
 
-def canonical(entity: Column) -> Column:
+def parts_of(entity: Column) -> Column:
+    """Canonical parts, each with its kind before a colon: the entity itself, or a name's words but for the form of address."""
     kind = kind_of(entity)
-    digits = F.regexp_replace(entity, r"\D", "")
-    return F.concat(kind, F.lit(":"), F.when(kind.isin("phone", "card"), digits).otherwise(F.lower(entity)))
+    plain = (
+        F.when(kind == "phone", F.concat(F.regexp_extract(entity, r"^\+?", 0), F.regexp_replace(entity, r"\D", "")))
+        .when(kind == "card", F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity))
+    )
+    words = F.filter(F.split(F.lower(entity), " "), lambda w: ~w.isin(*_ALL_TITLES))
+    none = F.array().cast("array<string>")
+    return F.when(kind == "name", F.transform(words, lambda w: F.concat(F.lit("name:"), w))).when(_is_entity(entity), F.array(F.concat(kind, F.lit(":"), plain))).otherwise(none)
+
+
+def _is_entity(entity: Column) -> Column:
+    """False for what is written like an IBAN and fails its check."""
+    account = F.lower(F.replace(entity, F.lit(" "), F.lit("")))
+    moved = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.when(kind_of(entity) == "iban", _mod97(moved) == 1).otherwise(True)
+
+
+def cycled(key: str) -> dict[str, str]:
+    """Each listed given name's successor in a keyed order of its list."""
+    out = {}
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
+        out |= dict(zip(order, order[1:] + order[:1]))
+    return out
 
 
 def _draw(key: str, canon: Column, attempt: Column) -> Column:
@@ -116,27 +164,6 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + b)
 
 
-def _pick(names: list[str], byte: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(byte, F.lit(len(names))) + 1).cast("int"))
-
-
-def _name(canon: Column, hex_: Column) -> Column:
-    words = F.split(canon, " ")
-    title, given, rest = words[0], words[1], F.slice(words, 3, 9)
-    female = title.isin(*[t.lower() for t in TITLES["female"]]) | F.array_contains(F.array(*map(F.lit, GIVEN["female_latin"] + GIVEN["female_cyrillic"])), given)
-    cyrillic = given.rlike(r"\p{IsCyrillic}")
-    byte = _byte(hex_, F.lit(0))
-    new = (
-        F.when(female & cyrillic, _pick(GIVEN["female_cyrillic"], byte)).when(female, _pick(GIVEN["female_latin"], byte))
-        .when(cyrillic, _pick(GIVEN["male_cyrillic"], byte)).otherwise(_pick(GIVEN["male_latin"], byte))
-    )
-    surname = F.transform(rest, lambda w: _shape(w, hex_, 64))
-    # A single word after the title is a surname unless it is a listed given name.
-    listed = F.array_contains(F.array(*[F.lit(n) for names in GIVEN.values() for n in names]), given)
-    first = F.when((F.size(rest) > 0) | listed, new).otherwise(_shape(given, hex_, 32))
-    return F.array_join(F.concat(F.array(title, first), surname), " ")
-
-
 def _email(value: Column, hex_: Column) -> Column:
     top = F.substring_index(value, ".", -1)
     body = F.substring(value, F.lit(1), F.length(value) - F.length(top) - 1)
@@ -151,118 +178,180 @@ def _ip(value: Column, hex_: Column) -> Column:
 
 
 def _phone(value: Column, hex_: Column) -> Column:
-    # The country code is what a canonical phone number has before its last ten digits.
-    code = F.greatest(F.length(value) - 10, F.lit(0))
-    return F.concat(F.substring(value, F.lit(1), code), _shape(F.substring(value, code + 1, F.lit(10)), hex_))
+    """``value`` has a plus sign if its country code is given."""
+    code = F.regexp_extract(value, rf"^\+(?:{CALLING}|\d{{3}})", 0)
+    return F.concat(code, _shape(F.substring(value, F.length(code) + 1, F.length(value)), hex_))
 
 
 def _card(value: Column, hex_: Column) -> Column:
     def checked(card: Column) -> Column:
-        head = F.substring(card, 1, 15)
+        head = F.substring(card, F.lit(1), F.length(card) - 1)
         check = F.pmod(10 - F.pmod(_luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
         return F.when(F.pmod(_luhn_sum(value), F.lit(10)) == 0, F.concat(head, check)).otherwise(card)
 
     return _let(_shape(value, hex_), checked)
 
 
+def _ip6(value: Column, hex_: Column) -> Column:
+    """Groups keep their number of digits, and do not begin with zero if they did not."""
+
+    def change(c: Column, i: Column) -> Column:
+        digit = F.lower(F.hex((1 + F.pmod(_byte(hex_, i), F.lit(15))).cast("long")))
+        return F.when(c == ":", c).otherwise(digit)
+
+    return F.array_join(F.transform(_characters(value), change), "")
+
+
+def _mod97(account: Column) -> Column:
+    """The remainder of an IBAN's letters and digits, letters as 10 to 35."""
+    value = lambda c: F.when(c.rlike(r"\d"), c.cast("int")).otherwise(F.ascii(c) - 87)
+    return F.aggregate(_characters(account), F.lit(0), lambda rest, c: F.pmod(F.when(c.rlike(r"\d"), rest * 10).otherwise(rest * 100) + value(c), F.lit(97)).cast("int"))
+
+
+def _iban(value: Column, hex_: Column) -> Column:
+    country = F.substring(value, 1, 2)
+
+    def checked(body: Column) -> Column:
+        check = 98 - _mod97(F.concat(body, country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+    return _let(_shape(F.substring(value, F.lit(5), F.length(value)), hex_), checked)
+
+
 def surrogate(key: str, canon: Column, attempt: Column, max_draws: int = 32) -> Column:
-    """Canonical surrogate (without its kind) of a canonical entity."""
+    """Canonical surrogate (without its kind) of a canonical part."""
+    listed = F.create_map(*[F.lit(x) for pair in cycled(key).items() for x in pair])
 
     def drawn(canon: Column, hex_: Column) -> Column:
         kind, value = F.substring_index(canon, ":", 1), F.substring(canon, F.instr(canon, ":") + 1, F.length(canon))
         return (
-            F.when(kind == "email", _email(value, hex_)).when(kind == "ip", _ip(value, hex_)).when(kind == "phone", _phone(value, hex_))
-            .when(kind == "card", _card(value, hex_)).otherwise(_name(value, hex_))
+            F.when(kind == "email", _email(value, hex_)).when(kind == "ip", _ip(value, hex_)).when(kind == "ip6", _ip6(value, hex_))
+            .when(kind == "phone", _phone(value, hex_)).when(kind == "card", _card(value, hex_)).when(kind == "iban", _iban(value, hex_))
+            .otherwise(F.coalesce(F.try_element_at(listed, value), _shape(value, hex_)))
         )
 
     new = _let(canon, lambda c: _let(_draw(key, c, attempt), lambda h: drawn(c, h)))
-    # Past the last draw a number of the entity's own makes the surrogate unique.
-    return F.when(attempt < max_draws, new).otherwise(F.concat(new, F.lit("-"), attempt.cast("string")))
+    # Past the last draw a digest of the part's own tells the surrogate from all others.
+    own = F.substring(_draw(key, canon, F.lit(-1)), 1, 32)
+    apart = F.when(F.contains(new, F.lit("@")), F.concat(own, new)).otherwise(F.concat(new, own))
+    return F.when(attempt < max_draws, new).otherwise(apart)
+
+
+def _dress_word(new: Column, original: Column) -> Column:
+    """A name's word in the original's case; after a hyphen or an apostrophe as the original has it."""
+    upper = original == F.upper(original)
+    letters = F.transform(_characters(new), lambda c, i: F.when(F.substring(original, i + 1, F.lit(1)).rlike(r"^\p{Lu}"), F.upper(c)).otherwise(c))
+    same = F.length(new) == F.length(original)
+    return F.when(upper & (F.length(original) > 1), F.upper(new)).when(same, F.array_join(letters, "")).otherwise(F.initcap(new))
 
 
 def _dress(new: Column, original: Column, kind: Column) -> Column:
     """The surrogate in the original's layout and case."""
-    digits = F.substring(new, 1, 1 << 20)
-    before = lambda i: F.length(F.regexp_replace(F.substring(original, F.lit(1), i), r"\D", ""))
-    in_layout = F.array_join(
-        F.transform(_characters(original), lambda c, i: F.when(c.rlike(r"\d"), F.substring(digits, before(i) + 1, F.lit(1))).otherwise(c)), ""
-    )
-    extra = F.substring(new, F.length(F.regexp_replace(original, r"\D", "")) + 1, F.length(new))
-    titled = F.concat(F.substring_index(original, " ", 1), F.lit(" "), F.initcap(F.substring(new, F.instr(new, " ") + 1, F.length(new))))
+    digits = F.regexp_replace(new, r"^\+", "")
+    signs = F.when(kind == "iban", F.regexp_replace(original, " ", "")).otherwise(F.regexp_replace(original, r"\D", ""))
+
+    def in_layout(pattern: str, fill: Column) -> Column:
+        before = lambda i: F.length(F.regexp_replace(F.substring(original, F.lit(1), i), rf"[^{pattern}]", ""))
+        return F.array_join(F.transform(_characters(original), lambda c, i: F.when(c.rlike(f"[{pattern}]"), F.substring(fill, before(i) + 1, F.lit(1))).otherwise(c)), "")
+
+    extra = F.substring(digits, F.length(signs) + 1, F.length(new))
     upper, lower = original == F.upper(original), original == F.lower(original)
     capital = F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 1 << 20))
-    email = F.when(lower, new).when(upper, F.upper(new)).when(F.substring(original, 1, 1) == F.upper(F.substring(original, 1, 1)), capital).otherwise(new)
+    text = F.when(lower, new).when(upper, F.upper(new)).when(F.substring(original, 1, 1) == F.upper(F.substring(original, 1, 1)), capital).otherwise(new)
     return (
-        F.when(kind == "email", email).when(kind == "ip", new)
-        .when(kind.isin("phone", "card"), F.concat(in_layout, extra)).when(upper, F.upper(titled)).otherwise(titled)
+        F.when(kind.isin("phone", "card"), F.concat(in_layout(r"0-9", digits), extra)).when(kind == "iban", F.concat(in_layout("A-Z0-9", F.upper(digits)), extra))
+        .when(kind == "ip", new).otherwise(text)
     )
 
 
 def may_hold(text: Column) -> Column:
     """False for texts that cannot have an entity; much cheaper than the whole pattern."""
-    found = text.rlike("[@0-9]")
-    for titles in TITLES.values():
-        for title in titles:
-            found = found | F.contains(text, F.lit(title + " "))
+    found = text.rlike("[@0-9]|:[A-Fa-f:]")
+    for names in (*TITLES.values(), *([n.capitalize() for n in given] for given in GIVEN.values())):
+        for name in names:
+            found = found | F.contains(text, F.lit(name + " "))
     return found
 
 
+def _own_key(id_: Column, text: Column) -> Column:
+    """What a row's redrawn parts are kept by: its id, or its text's digest if it has none."""
+    return F.when(id_.isNotNull(), F.concat(F.lit("i"), id_.cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(F.encode(text, "UTF-8"), 256)))
+
+
+def _mentions(docs: DataFrame) -> DataFrame:
+    """``own, canon``: the canonical parts of each row's text, repeats included."""
+    found = docs.where(may_hold(F.col("text"))).select(_own_key(F.col("doc_id"), F.col("text")).alias("own"), F.regexp_extract_all("text", F.lit(f"({ENTITY})"), 1).alias("es"))
+    return found.select("own", F.explode("es").alias("e")).select("own", F.explode(parts_of(F.col("e"))).alias("canon"))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct canonical entities of all texts."""
-    found = docs.where(may_hold(F.col("text"))).select(F.regexp_extract_all(text_or_empty(), F.lit(f"({ENTITY})"), 1).alias("es")).where(F.size("es") > 0)
-    return found.select(F.explode("es").alias("e")).select(canonical(F.col("e")).alias("canon")).distinct()
+    """Distinct canonical parts of all texts."""
+    return _mentions(docs).select("canon").distinct()
 
 
 def redrawn(corpus: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
-    """``canon, attempt`` of the entities whose first surrogate cannot stay.
+    """``canon, attempt`` of the parts whose first surrogate cannot stay.
 
     ``corpus`` is a stored result of :func:`entities`.
     """
+    listed = F.col("canon").isin(*[f"name:{n}" for names in GIVEN.values() for n in names])
     kind = F.substring_index(F.col("canon"), ":", 1)
     new = F.concat(kind, F.lit(":"), surrogate(key, F.col("canon"), F.col("attempt"), max_draws)).alias("new")
+    # Listed names take their successor in any case, which is no other part's unless another word was drawn as it.
     drawn = stage(corpus.withColumn("attempt", F.lit(0).cast("long")).select("canon", "attempt", new), "pii-draws")
     while True:
         # Of a shared surrogate the earliest draw stays, then the smallest entity.
-        held = drawn.groupBy("new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
+        held = drawn.groupBy("new").agg(F.min(F.struct((~listed).alias("free"), "attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
         shared = drawn.join(held.where("n > 1"), "new").where(F.col("first.canon") != F.col("canon")).select("canon")
-        real = drawn.where(F.col("attempt") < max_draws).join(corpus.select(F.col("canon").alias("new")), "new", "left_semi").select("canon")
+        real = drawn.where(~listed & (F.col("attempt") < max_draws)).join(corpus.select(F.col("canon").alias("new")), "new", "left_semi").select("canon")
         again = stage(shared.unionByName(real).distinct(), "pii-again")
         if again.isEmpty():
             return drawn.where("attempt > 0").select("canon", "attempt")
-        following = F.when(F.col("attempt") + 1 < max_draws, F.col("attempt") + 1).otherwise(max_draws + F.pmod(F.xxhash64("canon"), F.lit(1 << 40)))
+        following = F.least(F.col("attempt") + 1, F.lit(max_draws).cast("long"))
         retry = drawn.join(again, "canon", "left_semi").select("canon", following.alias("attempt")).select("canon", "attempt", new)
         drawn = stage(drawn.join(again, "canon", "left_anti").unionByName(retry), "pii-draws")
 
 
-def replace(docs: DataFrame, key: str = "surrogate-key", max_draws: int = 32) -> DataFrame:
-    """``docs`` with ``text`` replaced, plus ``n_entities``."""
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names as ``pactlake.pii.key``; without one a key for examples, which is no secret."""
+    return spark.conf.get("pactlake.pii.key", "for examples only")
+
+
+def replace(docs: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
+    """``docs`` with ``text`` replaced, plus ``n_entities`` (with an underscore before it if ``docs`` has such a column)."""
     corpus = stage(entities(docs), "pii-entities")
     overrides = redrawn(corpus, key, max_draws)
-    source = docs
+    text = F.col("row.text")
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # clashes with no name below
     attempts = F.create_map().cast("map<string,bigint>")
     if not overrides.isEmpty():
-        overrides = stage(overrides, "pii-redrawn")
-        mentions = (
-            docs.where(F.col("doc_id").isNotNull() & may_hold(F.col("text"))).select("doc_id", F.explode(F.regexp_extract_all(text_or_empty(), F.lit(f"({ENTITY})"), 1)).alias("e"))
-            .select("doc_id", canonical(F.col("e")).alias("canon")).distinct()
-        )
-        own = mentions.join(overrides, "canon").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("__draws"))
-        source = docs.join(stage(own, "pii-by-document"), "doc_id", "left")
-        attempts = F.coalesce(F.col("__draws"), attempts)
+        again = _mentions(docs).distinct().join(stage(overrides, "pii-redrawn"), "canon")
+        again = again.groupBy("own").agg(F.map_from_entries(F.collect_list(F.struct("canon", "attempt"))).alias("draws"))
+        source = source.withColumn("own", _own_key(F.col("row.doc_id"), text)).join(stage(again, "pii-by-document"), "own", "left")
+        attempts = F.coalesce(F.col("draws"), attempts)
 
-    es = F.regexp_extract_all("text", F.lit(f"({ENTITY})"), 1)
-    gaps = F.split("text", ENTITY, -1)
+    es = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), 1)
+    gaps = F.split(text, ENTITY, -1)
 
-    def new(entity: Column, i: Column) -> Column:
-        def dressed(canon: Column) -> Column:
-            attempt = F.coalesce(F.try_element_at(attempts, canon), F.lit(0).cast("long"))
-            return _let(surrogate(key, canon, attempt, max_draws), lambda drawn: _dress(drawn, entity, kind_of(entity)))
+    def part(canon: Column, dress) -> Column:
+        attempt = F.coalesce(F.try_element_at(attempts, canon), F.lit(0).cast("long"))
+        return _let(surrogate(key, canon, attempt, max_draws), dress)
 
-        return F.concat(F.element_at(F.col("__gaps"), (i + 1).cast("int")), _let(canonical(entity), dressed))
+    def name(entity: Column) -> Column:
+        def word(w: Column) -> Column:
+            return F.when(F.lower(w).isin(*_ALL_TITLES), w).otherwise(part(F.concat(F.lit("name:"), F.lower(w)), lambda drawn: _dress_word(drawn, w)))
 
-    some = may_hold(F.col("text")) & F.col("text").rlike(ENTITY)
-    rows = source.withColumn("__es", F.when(some, es)).withColumn("__gaps", F.when(some, gaps))
-    text = F.concat(F.array_join(F.transform("__es", new), ""), F.element_at("__gaps", -1))
-    return rows.withColumn("__new", F.when(F.col("__es").isNull(), F.col("text")).otherwise(text)).select(
-        *[F.col("__new").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("__es"), F.lit(0)).alias("n_entities")
+        return F.array_join(F.transform(F.split(entity, " "), word), " ")
+
+    def new(entity: Column, i: Column) -> Column:
+        kind = kind_of(entity)
+        whole = _let(F.try_element_at(parts_of(entity), F.lit(1)), lambda canon: part(canon, lambda drawn: _dress(drawn, entity, kind)))
+        return F.concat(F.element_at(F.col("gaps"), (i + 1).cast("int")), F.when(kind == "name", name(entity)).when(_is_entity(entity), whole).otherwise(entity))
+
+    some = may_hold(text) & text.rlike(ENTITY)
+    rows = source.withColumn("es", F.when(some, es)).withColumn("gaps", F.when(some, gaps))
+    changed = F.concat(F.array_join(F.transform("es", new), ""), F.element_at("gaps", -1))
+    rows = rows.withColumn("new", F.when(F.col("es").isNull(), text).otherwise(changed))
+    return rows.select(
+        *[F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.coalesce(F.size(F.filter("es", _is_entity)), F.lit(0)).alias(fresh("n_entities", docs.columns))
     )

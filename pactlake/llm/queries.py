@@ -44,7 +44,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents"))
+    return pii.replace(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

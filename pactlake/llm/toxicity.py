@@ -2,16 +2,18 @@
 
 1. **Learning rows.** Labelled documents that are not held out
    (crc32 of the id's text mod 5 is not 0), at most about ``max_rows`` of them
-   (chosen by a hash of the id; the bound is a parameter), one of each group of
-   texts that share a minimum shingle hash, so that copies do not vote twice.
+   (chosen by a hash of the id; the bound is a parameter). No row is left out;
+   rows whose three smallest shingle hashes agree are copies of one text and
+   share the weight of one row, so that copies do not vote twice.
 2. **Voters.** The annotators of the learning rows, a general lexicon, text
-   patterns, and lexicons induced from all but one fold of the learning rows,
-   for whole words and for word beginnings. Each voter says toxic, clean or
-   nothing about a text.
+   patterns, and lexicons induced from labelled rows, wide and narrow, for whole
+   words and for word beginnings. A row hears only the lexicons induced without
+   its own fold. Each voter says toxic, clean or nothing about a text.
 3. **Label model.** A generative model of the votes: class prior, each voter's
    accuracy, and correlations as a tree of pairwise dependencies (maximum
    conditional mutual information), fitted by expectation-maximisation over
-   counts of vote patterns.
+   weighted counts of vote patterns. It starts from the texts that half of the
+   lexicons or more call toxic; annotators are one voter like the others.
 4. **End model.** A linear classifier (logistic regression) over the rates of
    terms per hundred words, trained on the posterior labels as weights, scores
    every whole text.
@@ -21,10 +23,12 @@ chance, so terms count by their rate, in lexicons, votes and features alike.
 
 Labels, language, source and id are never features of a score.
 
-Edge cases: null and empty texts get the score of a text without terms; a null
-``doc_id`` counts as not held out and has no label; repeated labels of an id
-count as toxic if any does; without learning rows of both classes all scores
-are 0; repeated rows repeat their results; extra columns are ignored.
+Edge cases: null and empty texts get the score of a text without terms; texts of
+any length are read whole; a null ``doc_id`` counts as not held out and has no
+label; repeated labels of an id count as toxic if any does; without learning rows
+of both classes all scores are 0; repeated rows repeat their results; an empty
+table gives an empty result; extra columns are ignored by :func:`score` and pass
+through :func:`keep_clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,15 +38,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import CountVectorizerModel, Interaction
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import SPACE, stage, text_or_empty
+from pactlake.llm.common import SPACE, fresh, stage, text_or_empty
 
 #: General insults; fixed values, a starting lexicon only.
 GENERAL = (
@@ -50,6 +55,9 @@ GENERAL = (
     "dummkopf arschloch abschaum wertlos connard imbecile ordure minable basura escoria inutil asqueroso"
 ).split()
 _TOKEN = re.compile(r"[^\W\d_]+")
+_MASKED = re.compile(r"[^\W\d_][*#@$]{2,}[^\W\d_]*")
+_DRAWN = re.compile(r"([^\W\d_])\1{3}")
+_COMMAND = re.compile(r"(?i)\b(?:shut up|get lost|go away|halt die klappe|verschwinde|hau ab|ta gueule|casse[- ]toi|c[aá]llate|l[aá]rgate)\b")
 _REMEMBERED = 1 << 18  # words whose weights a task remembers
 _EXTRA_WORDS = 10  # added to every text's length, so that a few words are no strong sign
 
@@ -59,6 +67,7 @@ class Settings:
     max_rows: int = 20_000
     folds: int = 4
     lexicon_terms: int = 200
+    narrow_terms: int = 40
     features: int = 3000
     min_docs: int = 3
     term_rate: float = 0.004
@@ -89,7 +98,7 @@ def rates(words: Counter[str]) -> dict[str, float]:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """``row, fold, toxic, text`` of the bounded learning sample."""
+    """``row, fold, toxic, weight, text`` of the bounded learning sample."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = stage(marked.where(~held_out(F.col("doc_id"))), "toxicity-labels")
     share = min(1.0, settings.max_rows / max(1, marked.count()))
@@ -99,48 +108,56 @@ def learning_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     shingles = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("ws") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("ws", i, 5), " "))
     )
-    rows = rows.withColumn("ws", words).withColumn("copy_key", F.array_min(shingles)).dropDuplicates(["copy_key"])
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(settings.folds)).cast("int")
+    alike = F.xxhash64(F.slice(F.array_sort(F.array_distinct(shingles)), 1, 3))
+    rows = rows.withColumn("ws", words).withColumn("alike", alike).drop("ws")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+    sizes = rows.groupBy("alike").agg((1.0 / F.count(F.lit(1))).alias("weight"))
+    fold = F.pmod(F.xxhash64("alike", F.lit("fold")), F.lit(settings.folds)).cast("int")  # copies are in one fold
     return stage(
-        rows.select(F.monotonically_increasing_id().alias("row"), fold.alias("fold"), F.col("toxic").cast("int").alias("toxic"), "text"),
-        "toxicity-learn",
+        rows.join(sizes, "alike").select("row", fold.alias("fold"), F.col("toxic").cast("int").alias("toxic"), "weight", "text"), "toxicity-learn"
     )
 
 
 def term_counts(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Texts with a term at ``term_rate`` or above, per term, fold and label."""
+    """Weight of the texts with a term at ``term_rate`` or above, per term, fold and label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [[t for t, r in rates(words_of(text)).items() if r >= settings.term_rate] for text in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, pa.list_(pa.string()))], names=["fold", "toxic", "terms"])
+                found = [[t for t, r in rates(words_of(text)).items() if r >= settings.term_rate] for text in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.list_(pa.string()))], names=["fold", "toxic", "weight", "terms"])
 
-    found = rows.select("fold", "toxic", "text").mapInArrow(run, "fold int, toxic int, terms array<string>")
-    each = found.select("fold", "toxic", F.explode("terms").alias("term"))
-    return each.groupBy("term", "fold").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    found = rows.select("fold", "toxic", "weight", "text").mapInArrow(run, "fold int, toxic int, weight double, terms array<string>")
+    each = found.select("fold", "toxic", "weight", F.explode("terms").alias("term"))
+    bad = F.col("weight") * F.col("toxic")
+    return each.groupBy("term", "fold").agg(F.sum(bad).alias("bad"), F.sum(F.col("weight") - bad).alias("good"))
 
 
-def _lift(bad: Column, good: Column, n_bad: int, n_good: int) -> Column:
+def _lift(bad: Column, good: Column, n_bad: float, n_good: float) -> Column:
     return F.log2(((bad + 0.5) / (n_bad + 1)) / ((good + 0.5) / (n_good + 1)))
 
 
-def induced_lexicons(counts: DataFrame, sizes: dict[int, tuple[int, int]], settings: Settings) -> dict[str, set[str]]:
-    """Per left-out fold and kind, the terms most telling of toxic texts (at most ``lexicon_terms`` each)."""
-    out = {}
+def induced_lexicons(counts: DataFrame, sizes: dict[int, tuple[float, float]], settings: Settings) -> dict[int, dict[str, set[str]]]:
+    """Per left-out fold, the terms most telling of toxic texts: a wide and a narrow lexicon of words and of each length of beginnings."""
+    lists = []
     for fold in sorted(sizes):
         n_bad, n_good = (sum(n[i] for f, n in sizes.items() if f != fold) for i in (0, 1))
         told = counts.where(F.col("fold") != fold).groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         told = told.where(F.col("bad") >= settings.min_docs).withColumn("lift", _lift(F.col("bad"), F.col("good"), n_bad, n_good)).where("lift > 2")
-        order = Window.partitionBy("kind").orderBy((F.col("lift") * F.col("bad")).desc(), "term")
-        best = told.withColumn("kind", F.substring("term", 1, 1)).withColumn("at", F.row_number().over(order)).where(F.col("at") <= settings.lexicon_terms)
-        found = best.select("kind", "term").collect()
-        out |= {f"{kind}{fold}": {r["term"] for r in found if r["kind"] == kind} for kind in "w45"}
+        told = stage(told.withColumn("strength", F.col("lift") * F.col("bad")), "toxicity-told")
+        for kind in "w45":
+            own = told.where(F.substring("term", 1, 1) == kind)
+            for name, order, size in (("wide", "strength", settings.lexicon_terms), ("narrow", "lift", settings.narrow_terms)):
+                best = own.orderBy(F.col(order).desc(), "term").limit(size)
+                lists.append(best.select(F.lit(fold).alias("fold"), F.lit(f"{name}-{kind}").alias("lexicon"), "term"))
+    out = {fold: {f"{name}-{kind}": set() for kind in "w45" for name in ("wide", "narrow")} for fold in sizes}
+    for r in reduce(DataFrame.unionAll, lists).collect():
+        out[r["fold"]][r["lexicon"]].add(r["term"])
     return out
 
 
-def feature_terms(counts: DataFrame, n_bad: int, n_good: int, settings: Settings) -> list[str]:
+def feature_terms(counts: DataFrame, n_bad: float, n_good: float, settings: Settings) -> list[str]:
     whole = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     told = whole.where(F.col("bad") >= settings.min_docs).withColumn("lift", _lift(F.col("bad"), F.col("good"), n_bad, n_good))
     best = told.where("lift > 0").orderBy((F.col("lift") * F.col("bad")).desc(), "term").limit(settings.features)
@@ -155,6 +172,9 @@ def votes(text: str, words: Counter[str], found: dict[str, float], lexicons: dic
     out.append(-1 if letters < 20 else int(upper > 0.6 * letters))  # shouting
     out.append(-1 if not text else int(text.count("!") * 20 > len(text)))  # exclaiming
     out.append(int("you" in words or "du" in words or "tu" in words) if words else -1)  # addressing
+    out.append(-1 if not words else int(bool(_MASKED.search(text))))  # letters of a word masked
+    out.append(-1 if not words else int(bool(_DRAWN.search(text))))  # drawn-out letters
+    out.append(-1 if not words else int(bool(_COMMAND.search(text))))  # sent away or silenced
     return tuple(out)
 
 
@@ -164,11 +184,13 @@ class LabelModel:
     def __init__(self, rounds: int = 25, smooth: float = 1.0):
         self.rounds, self.smooth = rounds, smooth
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Posterior probability of class 1 per pattern. The first voter starts the fit."""
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, start: list[int]) -> np.ndarray:
+        """Posterior probability of class 1 per pattern. The share of toxic votes among the voters ``start`` begins the fit."""
         v = np.asarray(patterns, np.int64) + 1  # 0 nothing, 1 clean, 2 toxic
         n = np.asarray(counts, float)
-        post = np.choose(v[:, 0], [0.5, 0.05, 0.95])
+        said = (v[:, start] > 0).sum(axis=1)
+        share = np.where(said > 0, (v[:, start] == 2).sum(axis=1) / np.maximum(said, 1), 0.5)
+        post = 0.05 + 0.9 * (share >= 0.5)
         parents = [-1] * v.shape[1]
         for round_ in range(self.rounds):
             weights = np.stack([(1 - post) * n, post * n], axis=1)
@@ -222,45 +244,48 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     rows = learning_rows(docs, labels, settings)
-    sizes = {r["fold"]: (r["bad"], r["good"]) for r in rows.groupBy("fold").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).collect()}
+    weigh = F.col("weight") * F.col("toxic")
+    sizes = {r["fold"]: (r["bad"], r["good"]) for r in rows.groupBy("fold").agg(F.sum(weigh).alias("bad"), F.sum(F.col("weight") - weigh).alias("good")).collect()}
     n_bad, n_good = sum(b for b, _ in sizes.values()), sum(g for _, g in sizes.values())
-    if not n_bad or not n_good:
+    if n_bad < 1e-9 or n_good < 1e-9:
         return Model({}, -50.0)
     counts = stage(term_counts(rows, settings), "toxicity-terms")
-    lexicons = {"general": {"w" + w for w in GENERAL}} | induced_lexicons(counts, sizes, settings)
+    general = {"general": {"w" + w for w in GENERAL}}
+    lexicons = {fold: general | own for fold, own in induced_lexicons(counts, sizes, settings).items()}
     names = feature_terms(counts, n_bad, n_good, settings)
-    place = {t: i for i, t in enumerate(names)}
+    known_terms = frozenset(names)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, at, share = [], [], []
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            said, held, scale = [], [], []
+            for fold, label, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
                 words = words_of(text)
-                found = rates(words)
-                said.append(",".join(map(str, (label, *votes(text, words, found, lexicons, settings.vote_rate)))))
-                here = sorted((place[t], 100 * found[t]) for t in found.keys() & place.keys())
-                at.append([i for i, _ in here])
-                share.append([x for _, x in here])
-            columns = [batch.column(0), pa.array(said), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "votes", "at", "share"])
-
-    voted = stage(rows.select("row", "text", "toxic").mapInArrow(vote, "row long, votes string, at array<int>, share array<double>"), "toxicity-votes")
-    patterns = voted.groupBy("votes").count().collect()  # at most one per learning row
+                said.append(",".join(map(str, (label, *votes(text, words, rates(words), lexicons[fold], settings.vote_rate)))))
+                held.append([t for w, n in words.items() for t in terms_of(w) if t in known_terms for _ in range(n)])
+                scale.append(100 / (words.total() + _EXTRA_WORDS))
+            columns = [batch.column(0), batch.column(3), pa.array(said), pa.array(held, pa.list_(pa.string())), pa.array(scale)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "weight", "votes", "terms", "scale"])
+
+    source = rows.select("row", "fold", "toxic", "weight", "text")
+    voted = stage(source.mapInArrow(vote, "row long, weight double, votes string, terms array<string>, scale double"), "toxicity-votes")
+    patterns = voted.groupBy("votes").agg(F.sum("weight").alias("n")).collect()  # at most one per learning row
     table = np.array([[int(x) for x in r["votes"].split(",")] for r in patterns])
-    posterior = LabelModel().fit(table, np.array([r["count"] for r in patterns]))
+    posterior = LabelModel().fit(table, np.array([r["n"] for r in patterns]), start=list(range(1, 8)))  # the lexicons
     known = rows.sparkSession.createDataFrame([(r["votes"], float(p)) for r, p in zip(patterns, posterior, strict=True)], "votes string, p double")
     soft = voted.join(F.broadcast(known), "votes")  # bounded by the learning rows
-    both = soft.select("at", "share", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("s"))
-    size = max(1, len(names))
-    sparse = F.udf(lambda at, share: Vectors.sparse(size, at, share), VectorUDT())
-    data = both.select(sparse("at", "share").alias("features"), F.col("s.label").alias("label"), F.col("s.w").alias("w")).where("w > 1e-6")
+    if not names:
+        return Model({}, -50.0)
+    counted = CountVectorizerModel.from_vocabulary(names, "terms", "counts").transform(soft)
+    data = Interaction(inputCols=["scale", "counts"], outputCol="features").transform(counted)
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w"))))
+    data = data.select("features", "weight", both.alias("s")).select("features", "s.label", (F.col("s.w") * F.col("weight")).alias("w")).where("w > 1e-6")
     fitted = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=60, standardization=False).fit(data)
     values = fitted.coefficients.toArray()
-    return Model({t: float(values[i]) for t, i in place.items() if values[i]}, float(fitted.intercept))
+    return Model({t: float(values[i]) for i, t in enumerate(names) if values[i]}, float(fitted.intercept))
 
 
-def score_texts(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` and ``score`` of every whole text."""
+def score_texts(docs: DataFrame, model: Model, columns: list[str], name: str = "score") -> DataFrame:
+    """``columns`` and, under ``name``, the score of every whole text."""
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +306,10 @@ def score_texts(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                     x = sum([n * (known[w] if w in known else weight(w)) for w, n in words.items()])
                     x = bias + 100 * x / (words.total() + _EXTRA_WORDS)
                     out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, x)))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.float64())], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.float64())], names=[*columns, name])
 
-    source = docs.select(*columns, F.col("text").alias("__text"))
-    schema = docs.select(*columns).schema.add("score", "double")
-    return source.mapInArrow(run, schema)
+    source = docs.select(*columns, F.col("text").alias(fresh("text", columns)))
+    return source.mapInArrow(run, docs.select(*columns).schema.add(name, "double"))
 
 
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -299,4 +323,5 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     model = train(docs, labels, settings)
-    return score_texts(docs, model, docs.columns).where("score < 0.5").drop("score")
+    name = fresh("score", docs.columns)
+    return score_texts(docs, model, docs.columns, name).where(F.col(name) < 0.5).drop(name)

@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import random
+import re
 from fractions import Fraction
 import zlib
 
@@ -20,6 +21,7 @@ from pactlake.llm import bpe, chat, exact_dedup, packing, pii, secrets, simhash,
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 40_000
+KEY = "a key of the tests"
 
 
 def docs(spark, texts, ids=None):
@@ -223,6 +225,24 @@ def test_toxicity_learns_unknown_terms_on_held_out_rows(spark):
     assert found["score"].between(0, 1).all() and found.loc[[600, 601], "predicted"].sum() == 0
 
 
+def test_toxicity_keeps_rows_that_share_a_passage(spark):
+    """A license line in every text makes no text a copy: all labelled rows take part."""
+    rng = random.Random(5)
+    license_line = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    texts, marks = [], []
+    for i in range(300):
+        body = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(40)] + (["vileword"] * 2 if i % 3 == 0 else [])
+        rng.shuffle(body)
+        texts.append(license_line + " " + " ".join(body))
+        marks.append((i, None, int(i % 3 == 0)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    table = docs(spark, texts).withColumn("score", F.lit("mine")).withColumn("__text", F.lit("too"))
+    rows = toxicity.learning_rows(table, labels, toxicity.Settings())
+    assert rows.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300)) and rows.agg(F.sum("weight")).first()[0] > 200
+    kept = toxicity.keep_clean(table, labels)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(300) if i % 3]
+
+
 def test_toxicity_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs(spark, ["a", None]), labels).agg(F.sum("predicted")).first()[0] == 0
@@ -282,9 +302,7 @@ def test_pii_keeps_format_and_coreference(spark):
         "Write to Anna.Lee7@mail2.example.com or ANNA.LEE7@MAIL2.EXAMPLE.COM.", "again anna.lee7@mail2.example.com", "+1 (499) 555-6503 and 10.0.0.7 v 1.2.3.4.5",
         "card 4242 4242 4242 4242", "Mrs. Anna Schmidt and Mr. Peter Schmidt; Herr Иван Петров", "", None, "nothing here", LONG,
     ]
-    out = {r["doc_id"]: r for r in pii.replace(docs(spark, texts)).collect()}
-    import re
-
+    out = {r["doc_id"]: r for r in pii.replace(docs(spark, texts), KEY).collect()}
     one, two = re.findall(r"\S+@\S+[a-zA-Z]", out[0]["text"])
     assert one.lower() == two.lower() and two.isupper() and one.lower() in out[1]["text"] and "anna" not in one.lower()
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} and (\d{1,3}\.){3}\d{1,3} v 1\.2\.3\.4\.5", out[2]["text"]) and "6503" not in out[2]["text"]
@@ -294,15 +312,50 @@ def test_pii_keeps_format_and_coreference(spark):
     names = re.fullmatch(r"Mrs\. (\w+) (\w{7}) and Mr\. (\w+) (\w{7}); Herr (\w+) (\w{6})", out[4]["text"])
     assert names[1].lower() in pii.GIVEN["female_latin"] and names[3].lower() in pii.GIVEN["male_latin"] and names[5].lower() in pii.GIVEN["male_cyrillic"]
     assert (out[5]["text"], out[6]["text"], out[7]["text"], out[8]["text"]) == ("", None, "nothing here", LONG)
-    assert pii.replace(docs(spark, [])).count() == 0
+    assert pii.replace(docs(spark, []), KEY).count() == 0
+
+
+def test_pii_numbers_keep_country_layout_and_checks(spark):
+    texts = [
+        "+49 30 123 4567 and +33 1 23 45 67 89 and +352 12 34 56 and +33 1 2345 678", "amex 3782 822463 10005 here", "at 2001:db8::8a2e:370:7334 or fe80:0:0:0:1:2:3:4 now",
+        "to DE89 3704 0044 0532 0130 00 but not DE11 3704 0044 0532 0130 00",
+    ]
+    out = [r["text"] for r in pii.replace(docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"\+49 \d\d \d{3} \d{4} and \+33 \d \d\d \d\d \d\d \d\d and \+352 \d\d \d\d \d\d and \+33 \d \d{4} \d{3}", out[0]) and "123 4567" not in out[0]
+    digits = [int(c) for c in re.sub(r"\D", "", out[1])][::-1]
+    assert re.fullmatch(r"amex \d{4} \d{6} \d{5} here", out[1]) and out[1] != texts[1] and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    assert re.fullmatch(r"at [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} or [0-9a-f]{4}(:[0-9a-f]){7} now", out[2]) and "2001:db8" not in out[2]
+    account = re.fullmatch(r"to (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) but not DE11 3704 0044 0532 0130 00", out[3])[1].replace(" ", "")
+    assert account != "DE89370400440532013000" and int(account[4:] + "1314" + account[2:4]) % 97 == 1
+
+
+def test_pii_names_stay_one_person(spark):
+    texts = ["Mrs. Anna Schmidt met Ms. Anna Schmidt", "Mrs. Schmidt and Anna Schmidt", "Мария Иванова, Г-жа Иванова", "MR. PETER O'Neil-Smith", "Mr. Peter Schmidt, Maria Braun, Julia Braun"]
+    out = [r["text"] for r in pii.replace(docs(spark, texts), KEY).orderBy("doc_id").collect()]
+    given, surname = re.fullmatch(r"Mrs\. (\w+) (\w+) met Ms\. \1 \2", out[0]).groups()
+    assert given.lower() in pii.GIVEN["female_latin"] and given != "Anna" and surname != "Schmidt" and out[1] == f"Mrs. {surname} and {given} {surname}"
+    first, other = re.fullmatch(r"(\w+) (\w+), Г-жа \2", out[2]).groups()
+    assert first.lower() in pii.GIVEN["female_cyrillic"] and re.fullmatch("[А-ЯЁ][а-яё]{6}", other)
+    male, maria, julia = re.fullmatch(rf"Mr\. (\w+) {surname}, (\w+) \w+, (\w+) \w+", out[4]).groups()
+    assert male.lower() in pii.GIVEN["male_latin"] and len({maria, julia, given}) == 3
+
+
+def test_pii_rows_without_id_and_clashing_columns(spark):
+    texts = [f"mail {c}{d}@{x}.co now" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10) for x in "abcdefgh"]
+    table = docs(spark, texts, [None] * len(texts)).withColumn("n_entities", F.lit("mine")).withColumn("es", F.col("text")).withColumn("draws", F.lit(1)).withColumn("row", F.lit(2))
+    out = pii.replace(table, KEY)
+    found = out.collect()
+    assert out.columns == [*table.columns, "_n_entities"] and all(r["n_entities"] == "mine" and r["es"] in texts and r["_n_entities"] == 1 for r in found)
+    new = [r["text"] for r in found]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
 
 
 def test_pii_surrogates_stay_distinct(spark):
     # 2,080 of the 6,760 possible addresses of this shape: surrogates collide, with each other and with real ones.
     texts = [f"mail {c}{d}@{x}.co now" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10) for x in "abcdefgh"]
     corpus = pii.stage(pii.entities(docs(spark, texts)), "test")
-    assert not pii.redrawn(corpus, "surrogate-key").isEmpty()
-    found = [r["text"] for r in pii.replace(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert not pii.redrawn(corpus, KEY).isEmpty()
+    found = [r["text"] for r in pii.replace(docs(spark, texts), KEY).orderBy("doc_id").collect()]
     assert len(set(found)) == len(texts) and not set(found) & set(texts)
 
 
