@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pactlake.functions.spans import let
+
 # --- fixed values -------------------------------------------------------------------------------
 INVISIBLE = "­​‌‍⁠﻿"
 #: White space as the folding rules define it (the inside of a character class).
@@ -106,32 +108,50 @@ _TRAILING_WORDS = rf"(?i)(?<![A-Za-z])({_NUMBER_WORD}(?![A-Za-z])(?:{NOISE}*+(?<
 
 def trailing_words(window: Column) -> Column:
     """Number words that end a window, past noise: ``struct<value, start>`` or null."""
-    tail, words = F.regexp_extract(window, _TRAILING_WORDS, 0), F.regexp_extract(window, _TRAILING_WORDS, 1)
-    value = number_words(words)
-    return F.when((tail != "") & value.isNotNull(), F.struct(value.alias("value"), (F.length(window) - F.length(tail)).alias("start")))
+
+    def placed(m: Column) -> Column:
+        found = lambda value: F.when((m["tail"] != "") & value.isNotNull(), F.struct(value.alias("value"), (m["length"] - F.length(m["tail"])).alias("start")))
+        return let(number_words(m["words"]), found)
+
+    parts = lambda w: F.struct(F.regexp_extract(w, _TRAILING_WORDS, 0).alias("tail"), F.regexp_extract(w, _TRAILING_WORDS, 1).alias("words"), F.length(w).alias("length"))
+    return let(parts(window), placed)
 
 
 def trailing_figure(window: Column) -> Column:
     """Digits that end a window, past noise."""
-    head = F.regexp_replace(window, rf"(?i){NOISE}++$", "")
-    digits = F.regexp_extract(head, r"(\d[\d,]*(?:\.\d+)?)$", 1)
-    value = F.regexp_replace(digits, ",", "").try_cast("double")
-    return F.when(digits != "", F.struct(value.alias("value"), (F.length(head) - F.length(digits)).alias("start")))
+
+    def placed(head: Column) -> Column:
+        def figure(digits: Column) -> Column:
+            value = F.regexp_replace(digits, ",", "").try_cast("double")
+            return F.when(digits != "", F.struct(value.alias("value"), (F.length(head) - F.length(digits)).alias("start")))
+
+        return let(F.regexp_extract(head, r"(\d[\d,]*(?:\.\d+)?)$", 1), figure)
+
+    return let(F.regexp_replace(window, rf"(?i){NOISE}++$", ""), placed)
 
 
 def trailing_value(window: Column) -> Column:
     """K8: words, digits, or both (the digits' value from where the words start)."""
-    figure = trailing_figure(window)
-    before = F.regexp_replace(F.substring(window, F.lit(1), figure["start"]), r"[\s(]+$", "")
-    both = trailing_words(before)
-    return F.when(figure.isNull(), trailing_words(window)).otherwise(F.struct(figure["value"].alias("value"), F.coalesce(both["start"], figure["start"]).alias("start")))
+
+    def of(w: Column) -> Column:
+        def either(figure: Column) -> Column:
+            before = F.regexp_replace(F.substring(w, F.lit(1), figure["start"]), r"[\s(]+$", "")
+            both = F.struct(figure["value"].alias("value"), F.coalesce(trailing_words(before)["start"], figure["start"]).alias("start"))
+            return F.when(figure.isNull(), trailing_words(w)).otherwise(both)
+
+        return let(trailing_figure(w), either)
+
+    return let(window, of)
 
 
 def rupees(raw: Column) -> Column:
     """K9: a rupee amount's value, or null."""
-    cleaned = F.trim(F.regexp_replace(raw, AMOUNT_NOISE, " "))
-    factor = F.lit(1.0)
-    for pattern, value in reversed(MULTIPLIERS):
-        factor = F.when(cleaned.rlike(pattern), value).otherwise(factor)
-    number = F.regexp_replace(F.regexp_extract(cleaned, r"-?\d[\d,]*(?:\.\d+)?", 0), ",", "").try_cast("double")
-    return F.when(number >= 0, number * factor)
+
+    def value(cleaned: Column) -> Column:
+        factor = F.lit(1.0)
+        for pattern, times in reversed(MULTIPLIERS):
+            factor = F.when(cleaned.rlike(pattern), times).otherwise(factor)
+        number = F.regexp_replace(F.regexp_extract(cleaned, r"-?\d[\d,]*(?:\.\d+)?", 0), ",", "").try_cast("double")
+        return let(number, lambda n: F.when(n >= 0, n * factor))
+
+    return let(F.trim(F.regexp_replace(raw, AMOUNT_NOISE, " ")), value)

@@ -1,17 +1,16 @@
 """Contradictions inside a contract.
 
-``docs`` is ``doc_id, text``. Every function works row by row on exploded
-matches; only the anti-joins and rankings shuffle, on ``doc_id``.
+``docs`` is ``doc_id, text``. What a detector finds is an array of the document's
+own row, made by a Column function (``..._of``); nothing is joined or shuffled, and
+:func:`detect_inconsistencies` reads every text once for all five kinds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactlake.functions.spans import at, match_spans, piece
+from pactlake.functions.spans import at, firsts, let, match_spans, piece
 from pactlake.functions.text import number_words, rupees, trailing_figure, trailing_value, trailing_words
 from pactlake.operators.canonical import segments_of
 
@@ -39,151 +38,267 @@ KINDS = ("dangling_cross_reference", "undefined_term", "unused_definition", "fig
 MONTH_DAYS, YEAR_DAYS, CONCEPT_WINDOW, TERM_CHARS = 30, 365, 90, 60
 
 
-def _present(value: Column) -> Column:
-    """Rows whose value is not null. Unlike a filter, a generator is not copied down into the projections that made the value."""
-    return F.explode(F.array_compact(F.array(value)))
+_REFERENCE = "struct<kind:string,keyword:string,label:string,start:int,end:int>"
+ANY_CONCEPT = "(?i)" + "|".join(pattern.removeprefix("(?i)") for _, pattern, _ in CONCEPTS)
+
+
+def _rows(docs: DataFrame, found: Column) -> DataFrame:
+    return docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+
 
+def references_of(text: Column) -> Column:
+    """K1 as an array."""
+    none = F.array().cast(f"array<{_REFERENCE}>")
 
-def _matches(docs: DataFrame, pattern: str) -> DataFrame:
-    return docs.select("doc_id", "text", F.explode(match_spans(F.col("text"), pattern)).alias("m")).select("doc_id", "text", "m.start", "m.end", F.col("m.text").alias("match"))
+    def labels(m: Column) -> Column:
+        def each(p: Column) -> Column:
+            kind = F.when(p["keyword"].rlike("^(?:schedule|annex|append|exhibit)"), "schedule").otherwise("clause")
+            first = m["end"] - F.length(p["list"])
+            tokens = F.filter(match_spans(p["list"], _LABEL), lambda t: t["text"].rlike(r"^\d|^[A-Z]+$"))
+            return F.transform(
+                tokens,
+                lambda t: F.struct(kind.alias("kind"), p["keyword"].alias("keyword"), t["text"].alias("label"), (first + t["start"]).alias("start"), (first + t["end"]).alias("end")),
+            )
+
+        before = F.rtrim(piece(text, F.lit(0), m["start"]), F.lit(" \t"))
+        heading = (before == "") | F.endswith(before, F.lit("\n"))
+        statute = piece(text, m["end"], m["end"] + 90).rlike(STATUTE)
+        parts = F.struct(F.lower(F.regexp_extract(m["text"], REFERENCE, 1)).alias("keyword"), F.regexp_extract(m["text"], REFERENCE, 2).alias("list"))
+        return F.when(heading | statute, none).otherwise(let(parts, each))
+
+    return F.flatten(F.transform(match_spans(text, REFERENCE), labels))
 
 
 def cross_references(docs: DataFrame) -> DataFrame:
     """K1: labels that the text refers to, one row each."""
-    m = _matches(docs, REFERENCE)
-    before = piece(F.col("text"), F.lit(0), F.col("start"))
-    m = m.where(~before.rlike(r"(?:^|\n)[ \t]*$") & ~piece(F.col("text"), F.col("end"), F.col("end") + 90).rlike(STATUTE))
-    m = m.withColumn("keyword", F.lower(F.regexp_extract("match", REFERENCE, 1))).withColumn("list", F.regexp_extract("match", REFERENCE, 2))
-    m = m.withColumn("kind", F.when(F.col("keyword").rlike("^(?:schedule|annex|append|exhibit)"), "schedule").otherwise("clause"))
-    tokens = m.withColumn("t", F.explode(match_spans(F.col("list"), _LABEL))).where(F.col("t.text").rlike(r"^\d|^[A-Z]+$"))
-    first = F.col("end") - F.length("list")
-    return tokens.select("doc_id", "kind", "keyword", F.col("t.text").alias("label"), (first + F.col("t.start")).alias("start"), (first + F.col("t.end")).alias("end"))
+    return _rows(docs, references_of(F.col("text")))
+
+
+def labels_of(text: Column) -> Column:
+    """K2 as an array."""
+    pair = lambda kind, label: F.struct(F.lit(kind).alias("kind"), label.alias("label"))
+    clauses = F.filter(F.transform(segments_of(text), lambda s: pair("clause", F.regexp_replace(s["label"], r"\.$", ""))), lambda x: x["label"].rlike(r"^\d"))
+    schedules = F.transform(F.regexp_extract_all(text, F.lit(SCHEDULE_HEADING), F.lit(1)), lambda x: pair("schedule", F.upper(x)))
+    return F.array_distinct(F.concat(clauses, schedules))
 
 
 def known_labels(docs: DataFrame) -> DataFrame:
     """K2: ``doc_id, kind, label`` of numbered clauses and of schedule headings."""
-    clauses = docs.select("doc_id", F.explode(segments_of(F.col("text"))).alias("s")).select("doc_id", F.lit("clause").alias("kind"), F.regexp_replace("s.label", r"\.$", "").alias("label"))
-    schedules = docs.select("doc_id", F.lit("schedule").alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(SCHEDULE_HEADING), F.lit(1))).alias("label"))
-    return clauses.where(F.col("label").rlike(r"^\d")).unionAll(schedules.withColumn("label", F.upper("label"))).distinct()
+    return _rows(docs, labels_of(F.col("text")))
+
+
+def dangling_of(text: Column) -> Column:
+    """K3 as an array."""
+
+    def with_ancestors(label: Column) -> Column:
+        parts = F.split(label, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("clause:"), F.array_join(F.slice(parts, F.lit(1), n), ".")))
+
+    def open_(found: Column) -> Column:
+        known = found["known"]
+        kinds = F.array_distinct(F.transform(known, lambda k: k["kind"]))
+        keys = F.flatten(F.transform(known, lambda k: F.when(k["kind"] == "clause", with_ancestors(k["label"])).otherwise(F.array(F.concat(F.lit("schedule:"), k["label"])))))
+        key = lambda r: F.concat(r["kind"], F.lit(":"), F.when(r["kind"] == "schedule", F.upper(r["label"])).otherwise(r["label"]))
+        held = F.struct(kinds.alias("kinds"), F.array_distinct(keys).alias("keys"))
+        return let(held, lambda h: F.filter(found["refs"], lambda r: F.array_contains(h["kinds"], F.lit("clause")) & F.array_contains(h["kinds"], r["kind"]) & ~F.array_contains(h["keys"], key(r))))
+
+    return let(F.struct(references_of(text).alias("refs"), labels_of(text).alias("known")), open_)
 
 
 def dangling_references(docs: DataFrame) -> DataFrame:
     """K3: references to what the document does not have; silent where it has no labels of that kind."""
-    known = known_labels(docs)
-    parts = F.split("label", r"\.")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    satisfied = known.select("doc_id", "kind", F.explode(F.when(F.col("kind") == "clause", ancestors).otherwise(F.array("label"))).alias("key")).distinct()
-    numbered = known.where("kind = 'clause'").select("doc_id").distinct()
-    has = known.select("doc_id", "kind").distinct()
-    refs = cross_references(docs).withColumn("key", F.when(F.col("kind") == "schedule", F.upper("label")).otherwise(F.col("label")))
-    open_ = refs.join(numbered, "doc_id", "left_semi").join(has, ["doc_id", "kind"], "left_semi").join(satisfied, ["doc_id", "kind", "key"], "left_anti")
-    return open_.drop("key")
+    return _rows(docs, dangling_of(F.col("text")))
+
+
+def terms_of(text: Column) -> Column:
+    """K4 as an array."""
+
+    def term(m: Column) -> Column:
+        after, before = piece(text, m["end"], m["end"] + 48), piece(text, m["start"] - 80, m["start"])
+        defines = after.rlike(DEFINES) | before.rlike(NAMES) | before.rlike(r"\([^)]*$")
+        return F.struct(F.trim(F.regexp_extract(m["text"], QUOTED, 1)).alias("term"), m["start"].alias("start"), m["end"].alias("end"), defines.alias("is_definition"))
+
+    return F.filter(F.transform(match_spans(text, QUOTED), term), lambda t: (F.length(t["term"]) >= 3) & (F.length(t["term"]) <= TERM_CHARS))
 
 
 def quoted_terms(docs: DataFrame) -> DataFrame:
     """K4."""
-    m = _matches(docs, QUOTED).withColumn("term", F.trim(F.regexp_extract("match", QUOTED, 1)))
-    m = m.where((F.length("term") >= 3) & (F.length("term") <= TERM_CHARS))
-    after, before = piece(F.col("text"), F.col("end"), F.col("end") + 48), piece(F.col("text"), F.col("start") - 80, F.col("start"))
-    inside = before.rlike(r"\([^)]*$")
-    return m.select("doc_id", "term", "start", "end", (after.rlike(DEFINES) | before.rlike(NAMES) | inside).alias("is_definition"))
+    return _rows(docs, terms_of(F.col("text")))
+
+
+def undefined_of(terms: Column) -> Column:
+    """K5 as an array, of K4's."""
+    defined = F.transform(F.filter(terms, lambda t: t["is_definition"]), lambda t: t["term"])
+    used = firsts(F.filter(terms, lambda t: ~t["is_definition"]), "term")
+    return let(defined, lambda d: F.filter(used, lambda t: ~F.array_contains(d, t["term"])))
 
 
 def undefined_terms(docs: DataFrame) -> DataFrame:
     """K5: one row per term, at its first use."""
-    terms = quoted_terms(docs)
-    used = terms.where("not is_definition").groupBy("doc_id", "term").agg(F.min(F.struct("start", "end")).alias("at"))
-    defined = terms.where("is_definition").select("doc_id", "term").distinct()
-    return used.join(defined, ["doc_id", "term"], "left_anti").select("doc_id", "term", "at.start", "at.end")
+    return _rows(docs, let(terms_of(F.col("text")), undefined_of)).drop("is_definition")
+
+
+def unused_of(terms: Column, text: Column) -> Column:
+    """K6 as an array, of K4's."""
+
+    def unused(t: Column) -> Column:
+        # The line goes from the last break at or before the term's start to the first break at or after its end.
+        head = F.regexp_extract(piece(text, F.lit(0), t["start"] + 1), r"(?s)^(.*\n)?", 1)
+        tail = F.regexp_extract(piece(text, t["end"], F.length(text)), r"(?s)^[^\n]*(.*)$", 1)
+        pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), t["term"], F.lit(r"\E(?![A-Za-z])"))
+        return ~F.regexp_like(head, pattern) & ~F.regexp_like(tail, pattern)
+
+    return F.filter(firsts(F.filter(terms, lambda t: t["is_definition"]), "term"), unused)
 
 
 def unused_definitions(docs: DataFrame) -> DataFrame:
     """K6: defined terms that occur nowhere outside the line of their definition."""
-    first = quoted_terms(docs).where("is_definition").groupBy("doc_id", "term").agg(F.min(F.struct("start", "end")).alias("at"))
-    rows = first.select("doc_id", "term", "at.start", "at.end").join(docs, "doc_id")
-    # The line goes from the last break at or before the term's start to the first break at or after its end.
-    head = F.regexp_extract(piece(F.col("text"), F.lit(0), F.col("start") + 1), r"(?s)^(.*\n)?", 1)
-    tail = F.regexp_extract(piece(F.col("text"), F.col("end"), F.length("text")), r"(?s)^[^\n]*(.*)$", 1)
-    pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), F.col("term"), F.lit(r"\E(?![A-Za-z])"))
-    return rows.where(~F.regexp_like(head, pattern) & ~F.regexp_like(tail, pattern)).select("doc_id", "term", "start", "end")
+    text = F.col("text")
+    return _rows(docs, let(terms_of(text), lambda terms: unused_of(terms, text))).drop("is_definition")
+
+
+def mismatches_of(text: Column) -> Column:
+    """K10 as an array."""
+
+    def mismatch(m: Column) -> Column:
+        from_ = F.greatest(F.lit(0), m["start"] - 70)
+
+        def compared(p: Column) -> Column:
+            inner, before = p["inner"], p["before"]
+            figure = F.when(F.trim(F.regexp_replace(inner, RESIDUE, "")) == "", rupees(inner))
+            by_digits = lambda own, other: F.when(own != other["value"], _struct(from_ + other["start"], m["end"], other["value"], own))
+            by_words = lambda own, other: F.when(own != other["value"], _struct(from_ + other["start"], m["end"], own, other["value"]))
+            digits = let(F.struct(figure.alias("own"), trailing_words(before).alias("other")), lambda x: by_digits(x["own"], x["other"]))
+            words = let(F.struct(number_words(inner).alias("own"), trailing_figure(before).alias("other")), lambda x: by_words(x["own"], x["other"]))
+            return F.when(inner.rlike(r"\d"), digits).otherwise(words)
+
+        return let(F.struct(F.regexp_extract(m["text"], BRACKETS, 1).alias("inner"), piece(text, from_, m["start"]).alias("before")), compared)
+
+    return F.array_compact(F.transform(match_spans(text, BRACKETS), mismatch))
+
+
+def _struct(start: Column, end: Column, words: Column, figure: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), words.alias("words"), figure.alias("figure"))
 
 
 def figure_word_mismatch(docs: DataFrame) -> DataFrame:
     """Quantities stated twice, in words and in figures, that differ."""
-    m = _matches(docs, BRACKETS).withColumn("inner", F.regexp_extract("match", BRACKETS, 1))
-    m = m.withColumn("from", F.greatest(F.lit(0), F.col("start") - 70)).withColumn("before", piece(F.col("text"), F.col("from"), F.col("start")))
-    m = m.withColumn("digits", F.col("inner").rlike(r"\d"))
-    figure = F.when(F.trim(F.regexp_replace("inner", RESIDUE, "")) == "", rupees(F.col("inner")))
-    m = m.withColumn("other", F.when(F.col("digits"), trailing_words(F.col("before"))).otherwise(trailing_figure(F.col("before"))))
-    m = m.withColumn("own", F.when(F.col("digits"), figure).otherwise(number_words(F.col("inner"))))
-    m = m.where(F.col("own").isNotNull() & F.col("other.value").isNotNull() & (F.col("own") != F.col("other.value")))
-    words = F.when(F.col("digits"), F.col("other.value")).otherwise(F.col("own"))
-    figures = F.when(F.col("digits"), F.col("own")).otherwise(F.col("other.value"))
-    return m.select("doc_id", (F.col("from") + F.col("other.start")).alias("start"), "end", words.alias("words"), figures.alias("figure"))
+    return _rows(docs, mismatches_of(F.col("text")))
+
+
+def concept_near(text: Column, start: Column, end: Column) -> Column:
+    """The closest concept within the window of a span, or null."""
+    first = F.greatest(F.lit(0), start - CONCEPT_WINDOW)
+
+    def nearest(m: Column) -> Column:
+        place = F.lit(len(CONCEPTS))
+        for i, (_, pattern, _) in reversed(list(enumerate(CONCEPTS))):  # earlier concepts win ties
+            place = F.when(m["text"].rlike(pattern), i).otherwise(place)
+        distance = F.when(m["end"] <= start - first, start - first - m["end"]).otherwise(F.greatest(F.lit(0), m["start"] - (end - first)))
+        return F.struct(distance.alias("distance"), place.alias("place"))
+
+    best = F.array_min(F.transform(match_spans(piece(text, first, end + CONCEPT_WINDOW), ANY_CONCEPT), nearest))
+    return F.try_element_at(F.array(*[F.lit(c) for c, _, _ in CONCEPTS]), best["place"] + 1)
 
 
 def nearest_concept(spans: DataFrame) -> DataFrame:
-    """The closest concept within the window of each span (``text, start, end``); spans without one go."""
-    first = F.greatest(F.lit(0), F.col("start") - CONCEPT_WINDOW)
-    rows = spans.withColumn("__s", F.col("start") - first).withColumn("__hay", piece(F.col("text"), first, F.col("end") + CONCEPT_WINDOW))
-    rows = rows.withColumn("__e", F.col("__s") + F.col("end") - F.col("start"))
+    """Spans (``text, start, end``) with their concept; spans without one go."""
+    named = spans.withColumn("concept", concept_near(F.col("text"), F.col("start"), F.col("end")))
+    return named.where("concept is not null")
+
+
+def quantities_of(text: Column) -> Column:
+    """K11 as an array."""
+    unit = lambda m: F.lower(m["text"])
+    days = lambda m: F.when(unit(m).startswith("week"), 7).when(unit(m).startswith("month"), MONTH_DAYS).when(unit(m).startswith("year"), YEAR_DAYS).otherwise(1)
+
+    def stated(family: str, value: Column, start: Column, end: Column) -> Column:
+        found = F.struct(F.lit(family).alias("family"), value.cast("double").alias("value"), start.alias("start"), end.alias("end"))
+        return F.when(value.isNotNull(), found)
+
+    def duration(m: Column) -> Column:
+        from_ = F.greatest(F.lit(0), m["start"] - 48)
+        return let(trailing_value(piece(text, from_, m["start"])), lambda v: stated("duration", v["value"] * days(m), from_ + v["start"], m["end"]))
 
-    def distance(m: Column) -> Column:
-        return F.when(m["end"] <= F.col("__s"), F.col("__s") - m["end"]).otherwise(F.greatest(F.lit(0), m["start"] - F.col("__e")))
+    def amounts(pattern: str, family: str) -> Column:
+        return F.transform(match_spans(text, pattern), lambda m: let(rupees(m["text"]), lambda v: stated(family, v, m["start"], m["end"])))
 
-    names = [f"__{c}" for c, _, _ in CONCEPTS]
-    rows = rows.select("*", *[F.array_min(F.transform(match_spans(F.col("__hay"), pattern), distance)).alias(n) for n, (_, pattern, _) in zip(names, CONCEPTS, strict=True)])
-    rows = rows.withColumn("__least", F.least(*names))
-    concept = F.lit(None).cast("string")
-    for name, (c, _, _) in reversed(list(zip(names, CONCEPTS, strict=True))):  # earlier concepts win ties
-        concept = F.when(F.col(name) == F.col("__least"), c).otherwise(concept)
-    return rows.select(*spans.columns, _present(concept).alias("concept"))
+    found = F.array_compact(F.concat(F.transform(match_spans(text, DURATION), duration), amounts(MONEY, "money"), amounts(RATE, "rate")))
+    named = F.transform(found, lambda q: F.struct(concept_near(text, q["start"], q["end"]).alias("concept"), q["family"].alias("family"), q["value"].alias("value"), q["start"].alias("start"), q["end"].alias("end")))
+    return F.filter(named, lambda q: q["concept"].isNotNull())
 
 
 def extract_quantities(docs: DataFrame) -> DataFrame:
     """Durations in days, money and rates, each with its nearest concept."""
-    d = _matches(docs, DURATION).withColumn("from", F.greatest(F.lit(0), F.col("start") - 48))
-    d = d.withColumn("v", _present(trailing_value(piece(F.col("text"), F.col("from"), F.col("start")))))
-    unit = F.lower("match")
-    days = F.when(unit.startswith("week"), 7).when(unit.startswith("month"), MONTH_DAYS).when(unit.startswith("year"), YEAR_DAYS).otherwise(1)
-    durations = d.select("doc_id", "text", F.lit("duration").alias("family"), (F.col("v.value") * days).alias("value"), (F.col("from") + F.col("v.start")).alias("start"), "end")
+    return _rows(docs, quantities_of(F.col("text")))
 
-    def amounts(pattern: str, family: str) -> DataFrame:
-        m = _matches(docs, pattern).withColumn("value", _present(rupees(F.col("match"))))
-        return m.select("doc_id", "text", F.lit(family).alias("family"), "value", "start", "end")
 
-    found = durations.unionByName(amounts(MONEY, "money")).unionByName(amounts(RATE, "rate"))
-    return nearest_concept(found).select("doc_id", "concept", "family", "value", "start", "end")
+def conflicts_of(text: Column) -> Column:
+    """K13 as an array."""
+
+    def conflicts(held: Column) -> Column:
+        def placed(q: Column) -> Column:
+            return F.struct(
+                q["concept"].alias("concept"), q["family"].alias("family"), q["start"].alias("start"), q["end"].alias("end"), q["value"].alias("value"),
+                at(held["segments"], q["start"])["segment_id"].alias("segment_id"),
+            )
+
+        def against(rows: Column) -> Column:
+            def others(bases: Column) -> Column:
+                def row(q: Column) -> Column:
+                    base = F.try_element_at(F.filter(bases, lambda b: (b["concept"] == q["concept"]) & (b["family"] == q["family"])), F.lit(1))
+                    differs = lambda b: F.when(
+                        (q["value"] != b["value"]) & (q["segment_id"] != b["segment_id"]),
+                        F.struct(
+                            q["concept"].alias("concept"), q["family"].alias("family"), q["value"].alias("value"), q["start"].alias("start"), q["end"].alias("end"),
+                            b["value"].alias("first_value"), b["start"].alias("first_start"),
+                        ),
+                    )
+                    return let(base, differs)
+
+                return firsts(F.array_compact(F.transform(rows, row)), "concept", "family", "value")
+
+            return let(firsts(rows, "concept", "family"), others)  # a concept's first quantity of each family
+
+        return let(F.transform(held["quantities"], placed), against)
+
+    return let(F.struct(quantities_of(text).alias("quantities"), segments_of(text).alias("segments")), conflicts)
 
 
 def conflicting_quantities(docs: DataFrame) -> DataFrame:
     """Other values than the first of a concept and family, in another clause; each value once."""
-    placed = extract_quantities(docs).join(docs.select("doc_id", segments_of(F.col("text")).alias("segments")), "doc_id")
-    placed = placed.withColumn("segment_id", at(F.col("segments"), F.col("start"))["segment_id"]).drop("segments")
-    group = Window.partitionBy("doc_id", "concept", "family").orderBy("start", "end")
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = F.first(F.struct("value", "segment_id", "start", "end")).over(whole)
-    rows = placed.withColumn("base", base)
-    other = (F.col("value") != F.col("base.value")) & (F.col("segment_id") != F.col("base.segment_id"))
-    rows = rows.where(other).withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "concept", "family", "value").orderBy("start", "end"))).where("n = 1")
-    return rows.select("doc_id", "concept", "family", "value", "start", "end", F.col("base.value").alias("first_value"), F.col("base.start").alias("first_start"))
+    return _rows(docs, conflicts_of(F.col("text")))
+
+
+def defects_of(text: Column) -> dict[str, Column]:
+    """Per kind an array of ``start, end, kind, severity``."""
+    severity = F.create_map(*[F.lit(x) for c, _, s in CONCEPTS for x in (c, s)])
+    terms = F.col("terms")
+
+    def marked(rows: Column, kind: str, how_bad) -> Column:
+        return F.transform(rows, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(kind).alias("kind"), how_bad(r).alias("severity")))
+
+    fixed = lambda s: lambda _: F.lit(s)
+    found = (
+        (dangling_of(text), fixed("high")), (undefined_of(terms), fixed("medium")), (unused_of(terms, text), fixed("low")),
+        (mismatches_of(text), fixed("high")), (conflicts_of(text), lambda r: F.element_at(severity, r["concept"])),
+    )
+    return {kind: marked(rows, kind, how_bad) for kind, (rows, how_bad) in zip(KINDS, found, strict=True)}
+
+
+def _defects(docs: DataFrame) -> DataFrame:
+    """One row per document with an array per kind."""
+    text = F.col("text")
+    rows = docs.select("doc_id", "text", terms_of(text).alias("terms"))
+    return rows.select("doc_id", *[found.alias(kind) for kind, found in defects_of(text).items()])
 
 
 def detect_inconsistencies(docs: DataFrame) -> DataFrame:
     """All of them, in order of place and kind."""
-    severity = F.element_at(F.create_map(*[F.lit(x) for c, _, s in CONCEPTS for x in (c, s)]), F.col("concept"))
-    parts = [
-        dangling_references(docs).select("doc_id", "start", "end", F.lit(KINDS[0]).alias("kind"), F.lit("high").alias("severity")),
-        undefined_terms(docs).select("doc_id", "start", "end", F.lit(KINDS[1]), F.lit("medium")),
-        unused_definitions(docs).select("doc_id", "start", "end", F.lit(KINDS[2]), F.lit("low")),
-        figure_word_mismatch(docs).select("doc_id", "start", "end", F.lit(KINDS[3]), F.lit("high")),
-        conflicting_quantities(docs).select("doc_id", "start", "end", F.lit(KINDS[4]), severity),
-    ]
-    found = reduce(DataFrame.unionAll, parts)
-    return found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end", "kind")))
+    found = _defects(docs).select("doc_id", F.posexplode(F.array_sort(F.concat(*KINDS))).alias("pos", "x"))
+    return found.select("doc_id", "x.start", "x.end", "x.kind", "x.severity", (F.col("pos") + 1).alias("place"))
 
 
 def count_by_kind(docs: DataFrame) -> DataFrame:
     """Every document with its counts, zeros included."""
-    found = detect_inconsistencies(docs).groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
-    return docs.select("doc_id").join(found, "doc_id", "left").na.fill(0, list(KINDS))
+    return _defects(docs).select("doc_id", *[F.coalesce(F.size(k), F.lit(0)).cast("long").alias(k) for k in KINDS])

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pactlake.functions.text import fold_with_offsets, folded, trim_space
 
@@ -16,24 +15,25 @@ MIN_SIMILARITY, MIN_QUOTE, MARGIN = 0.82, 24, 0.05
 REASONS = ("quote_empty", "quote_too_short", "not_found", "below_threshold", "ambiguous", "duplicate")
 
 
-def bigram_dice(pairs: DataFrame) -> DataFrame:
-    """Multiset Dice over character pairs of ``doc_id, a, b``, as grouped counts that meet on the pair."""
+def bigram_dice(pairs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Multiset Dice over character pairs of ``a`` and ``b``, as grouped counts that meet on the pair; ``key`` names a row."""
+    key = key or ["doc_id"]
 
     def counts(side: str) -> DataFrame:
         n = F.length(side)
         grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(side, i, F.lit(2))))
-        return pairs.select("doc_id", F.explode(grams).alias("gram")).groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+        return pairs.select(*key, F.explode(grams).alias("gram")).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias(f"n_{side}"))
 
-    shared = counts("a").join(counts("b"), ["doc_id", "gram"]).groupBy("doc_id").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    shared = counts("a").join(counts("b"), [*key, "gram"]).groupBy(*key).agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
     score = (
         F.when(F.col("a") == F.col("b"), 1.0).when((F.length("a") < 2) | (F.length("b") < 2), 0.0)
         .otherwise(2.0 * F.coalesce("shared", F.lit(0)) / (F.length("a") + F.length("b") - 2))
     )
-    return pairs.join(shared, "doc_id", "left").select("doc_id", score.alias("similarity"))
+    return pairs.join(shared, key, "left").select(*key, score.alias("similarity"))
 
 
 class _Windows:
-    """Dice scores of one quote against windows of a folded document."""
+    """Dice scores of one quote against windows of a folded document; memory grows with the document alone."""
 
     def __init__(self, document: str, quote: str):
         self.n, self.w = len(document), len(quote)
@@ -41,10 +41,11 @@ class _Windows:
         grams, self.need = np.unique(pairs(quote), return_counts=True)
         seen = pairs(document) if self.n > 1 else np.zeros(0, np.uint64)
         at = np.minimum(np.searchsorted(grams, seen), len(grams) - 1)
-        self.upto = np.zeros((len(grams), len(seen) + 1), np.int32)
         hit = np.nonzero(grams[at] == seen)[0]
-        self.upto[at[hit], hit + 1] = 1
-        np.cumsum(self.upto, axis=1, out=self.upto)
+        which = at[hit]
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(len(grams) + 1))
+        self.places = [hit[order[a:b]] for a, b in zip(bounds, bounds[1:])]  # of each pair of the quote, in order
 
     def best(self, first: int, last: int, stride: int) -> tuple[int, float]:
         """The earliest best window among first, first + stride, ... up to last; (-1, 0) if none scores."""
@@ -53,9 +54,10 @@ class _Windows:
             return -1, 0.0
         stop = np.minimum(p + self.w, self.n)
         right = np.maximum(stop - p - 1, 0)
-        high = np.minimum(p + right, self.upto.shape[1] - 1)
-        counts = self.upto[:, high] - self.upto[:, np.minimum(p, high)]
-        shared = np.minimum(counts, self.need[:, None]).sum(axis=0)
+        shared = np.zeros(len(p), np.int64)
+        for need, places in zip(self.need, self.places):
+            if len(places):
+                shared += np.minimum(np.searchsorted(places, p + right) - np.searchsorted(places, p), need)
         score = np.where(stop - p < 2, 0.0, 2.0 * shared / (self.w - 1 + right))
         i = int(np.argmax(score))
         return (int(p[i]), float(score[i])) if score[i] > 0 else (-1, 0.0)
@@ -81,50 +83,60 @@ def locate_fuzzy(document: str, quote: str, min_similarity: float = MIN_SIMILARI
     return None, at, score
 
 
-def _rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Folded and fuzzy location of the quotes that are nowhere verbatim."""
-    known: dict[int, tuple[str, list[int]]] = {}
-    for frame in frames:
-        out = []
-        for doc_id, ord_, text, quote in frame[["doc_id", "ord", "text", "quote"]].itertuples(index=False):
-            if doc_id not in known:
-                known = {doc_id: fold_with_offsets(text)}
-            doc, offsets = known[doc_id]
+_SEARCHED = T.StructType([T.StructField(n, t) for n, t in (("reason", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("method", T.StringType()), ("similarity", T.DoubleType()))])
+
+
+@F.pandas_udf(_SEARCHED)
+def _search(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
+    """Folded and fuzzy location of quotes that are nowhere verbatim; null quotes are passed over."""
+    known: tuple[str, tuple[str, list[int]]] | None = None
+    out = []
+    for text, quote in zip(texts, quotes):
+        row = [None] * 5
+        if quote is not None and text is not None:
+            if known is None or known[0] != text:
+                known = (text, fold_with_offsets(text))
+            doc, offsets = known[1]
             needle, _ = fold_with_offsets(quote)
-            row = [doc_id, ord_, "quote_too_short", None, None, None, None]
+            row[0] = "quote_too_short"
             if len(needle) >= 2:
-                at, reason, method, score = doc.find(needle), None, "normalised", 1.0
+                at, row[0], method, score = doc.find(needle), None, "normalised", 1.0
                 if at < 0:
                     method = "fuzzy"
-                    reason, at, score = locate_fuzzy(doc, needle)
-                row = [doc_id, ord_, reason, None, None, None, None]
-                if reason is None:
+                    row[0], at, score = locate_fuzzy(doc, needle)
+                if row[0] is None:
                     last = min(at + len(needle) - 1, len(offsets) - 1)
-                    row[3:] = [offsets[at], offsets[last] + 1, method, score]
-            out.append(row)
-        yield pd.DataFrame(out, columns=["doc_id", "ord", "reason", "start", "end", "method", "similarity"]).astype({"start": "Int32", "end": "Int32", "similarity": "Float64"})
+                    row[1:] = [offsets[at], offsets[last] + 1, method, score]
+        out.append(row)
+    frame = pd.DataFrame(out, columns=["reason", "start", "end", "method", "similarity"])
+    return frame.astype({"reason": object, "start": "Int32", "end": "Int32", "method": object, "similarity": "Float64"})
 
 
 def locate(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """One outcome per quote: ``status, reason, start, end, method, similarity, matched_text``.
 
-    Verbatim quotes are settled by the join itself; only the rest goes on to
-    folding and fuzzy search, in Arrow batches clustered by document.
+    One join with the documents settles verbatim quotes; only the others' texts
+    go on to folding and fuzzy search, in Arrow batches in the join's order. A
+    quote whose document is not there is not found.
     """
     q = quotes.withColumn("trimmed", trim_space(F.coalesce("quote", F.lit(""))))
     early = F.when(F.col("trimmed") == "", "quote_empty").when(F.length("trimmed") < MIN_QUOTE, "quote_too_short")
-    q = q.withColumn("early", early).join(docs.select("doc_id", "text"), "doc_id")
-    at = F.instr("text", F.col("trimmed"))
-    q = q.withColumn("at", F.when(F.col("early").isNull() & (at > 0), at - 1))
-    settled = q.where("early is not null or at is not null").select(
-        "doc_id", "ord", F.col("early").alias("reason"), F.col("at").alias("start"), (F.col("at") + F.length("trimmed")).alias("end"),
-        F.when(F.col("at").isNotNull(), "exact").alias("method"), F.when(F.col("at").isNotNull(), 1.0).alias("similarity"),
+    q = q.withColumn("early", early).join(docs.select("doc_id", "text"), "doc_id", "left")
+    place = F.instr("text", F.col("trimmed"))
+    q = q.withColumn("at", F.when(F.col("early").isNull() & (place > 0), place - 1))
+    open_ = F.col("early").isNull() & F.col("at").isNull() & F.col("text").isNotNull()
+    q = q.withColumn("searched", _search(F.when(open_, F.col("text")), F.when(open_, F.col("trimmed"))))
+    exact = F.col("at").isNotNull()
+    absent = F.when(F.col("text").isNull(), "not_found")
+    reason = F.when(exact, F.lit(None).cast("string")).otherwise(F.coalesce("early", absent, "searched.reason"))
+    found = q.select(
+        "doc_id", "ord", reason.alias("reason"), F.coalesce("at", "searched.start").alias("start"),
+        F.coalesce(F.col("at") + F.length("trimmed"), "searched.end").alias("end"), F.when(exact, "exact").otherwise(F.col("searched.method")).alias("method"),
+        F.when(exact, 1.0).otherwise(F.col("searched.similarity")).alias("similarity"), "text",
     )
-    left = q.where("early is null and at is null").select("doc_id", "ord", "text", F.col("trimmed").alias("quote")).sortWithinPartitions("doc_id")
-    rest = left.mapInPandas(_rest, "doc_id long, ord int, reason string, start int, end int, method string, similarity double")
-    found = settled.unionByName(rest).withColumn("status", F.when(F.col("reason").isNull(), "grounded").otherwise("unverified"))
     text = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    return found.join(docs.select("doc_id", "text"), "doc_id").withColumn("matched_text", text).drop("text")
+    status = F.when(F.col("reason").isNull(), "grounded").otherwise("unverified")
+    return found.select("doc_id", "ord", "reason", "start", "end", "method", "similarity", status.alias("status"), text.alias("matched_text"))
 
 
 def locate_exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -141,10 +153,12 @@ def locate_normalised(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def dedup_findings(located: DataFrame) -> DataFrame:
     """Of grounded findings with the same place and category the first stays; the others are duplicates."""
-    same = Window.partitionBy("doc_id", "start", "end", "category").orderBy("ord")
-    grounded = located.where("status = 'grounded'").withColumn("n", F.row_number().over(same))
-    marked = grounded.withColumn("reason", F.when(F.col("n") > 1, "duplicate")).withColumn("status", F.when(F.col("n") > 1, "unverified").otherwise("grounded")).drop("n")
-    return marked.unionByName(located.where("status <> 'grounded'"))
+    grounded = F.col("status") == "grounded"
+    same = Window.partitionBy("doc_id", grounded, "start", "end", "category").orderBy("ord")
+    again = grounded & (F.row_number().over(same) > 1)
+    marked = located.withColumn("again", again)
+    reason, status = F.when(F.col("again"), "duplicate").otherwise(F.col("reason")), F.when(F.col("again"), "unverified").otherwise(F.col("status"))
+    return marked.withColumns({"reason": reason, "status": status}).drop("again")
 
 
 def verify_findings(findings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -211,7 +225,7 @@ def corpus_quote_search(quotes: DataFrame, docs: DataFrame, words: int = 5) -> D
 
 
 def highlight_spans(verified: DataFrame, docs: DataFrame) -> DataFrame:
-    """A greedy choice of non-overlapping findings cuts each text into plain and marked pieces."""
+    """A greedy choice of non-overlapping findings cuts each text into plain and marked pieces; a text without any is one plain piece."""
     spans = F.array_sort(F.collect_list(F.struct("start", "end", "ord")))
     per = verified.where("status = 'grounded'").groupBy("doc_id").agg(spans.alias("spans"))
     kind = "array<struct<start:int,end:int,ord:int>>"
@@ -221,10 +235,10 @@ def highlight_spans(verified: DataFrame, docs: DataFrame) -> DataFrame:
         return F.struct(F.when(fits, x["end"]).otherwise(s["cursor"]).alias("cursor"), F.when(fits, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"))
 
     chosen = F.aggregate("spans", F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("out")), step, lambda s: s["out"])
-    rows = docs.select("doc_id", "text").join(per, "doc_id").withColumn("c", chosen)
+    rows = docs.select("doc_id", "text").join(per, "doc_id", "left").withColumn("c", F.coalesce(chosen, F.array().cast(kind)))
     previous = lambda i: F.coalesce(F.try_element_at("c", i)["end"], F.lit(0))
     plain = F.transform("c", lambda x, i: F.struct(F.when(i > 0, previous(F.greatest(i, F.lit(1)))).otherwise(0).alias("start"), x["start"].alias("end"), F.lit(None).cast("int").alias("ord")))
-    last = F.element_at("c", -1)["end"]
+    last = F.coalesce(F.try_element_at("c", F.lit(-1))["end"], F.lit(0))
     pieces = F.concat(plain, "c", F.array(F.struct(last.alias("start"), F.length("text").alias("end"), F.lit(None).cast("int").alias("ord"))))
     return rows.select("doc_id", F.explode(F.filter(pieces, lambda p: p["end"] > p["start"])).alias("p")).select("doc_id", "p.*")
 

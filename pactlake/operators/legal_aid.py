@@ -10,8 +10,8 @@ GROUNDS = ("scheduled_caste_or_tribe", "trafficking_or_begar_victim", "woman_or_
 
 
 def income_ceiling(profiles: DataFrame, ceilings: DataFrame) -> DataFrame:
-    """A1: the ceiling that applies to each applicant; one row per state is broadcast."""
-    out = profiles.join(F.broadcast(ceilings), "state", "left")
+    """A1: the ceiling that applies to each applicant; Spark broadcasts the ceilings if they are small."""
+    out = profiles.join(ceilings, "state", "left")
     return out.withColumn("ceiling", F.when(F.col("supreme_court"), SUPREME_COURT).otherwise(F.coalesce("ceiling", F.lit(FALLBACK))))
 
 

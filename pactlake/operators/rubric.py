@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.functions.predicates import compile_predicate
-from pactlake.plans.rules import BANDS, NUMBERS, RULES, SATURATION, TIER_CAPS, inputs, title
+from pactlake.plans.rules import BANDS, EXPLANATIONS, NUMBERS, RULES, SATURATION, TIER_CAPS, inputs, question
 
 
 def applies(rule: tuple) -> Column:
@@ -53,8 +53,7 @@ def unknown_questions(view: DataFrame) -> DataFrame:
     for r in RULES:
         names = inputs(r[6])
         missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names]))
-        question = F.lit(f"The document leaves this open: {title(r[0])}.")
-        entries.append(F.when(applies(r) & compile_predicate(r[6]).isNull(), F.struct(F.lit(r[0]).alias("rule_id"), question.alias("question"), missing.alias("missing"))))
+        entries.append(F.when(applies(r) & compile_predicate(r[6]).isNull(), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(question(r[0])).alias("question"), missing.alias("missing"))))
     return view.select("doc_id", F.posexplode(F.array_compact(F.array(*entries))).alias("ord", "q")).select("doc_id", (F.col("ord") + 1).alias("number"), "q.*")
 
 
@@ -127,3 +126,9 @@ def render_explanations(view: DataFrame, template: str, rule_id: str) -> tuple[D
     return rows.where("text is not null"), rows.where("text is null")
 
 
+
+
+def explanations(view: DataFrame, templates: dict[str, str] = EXPLANATIONS) -> DataFrame:
+    """R10 for all rules: ``doc_id, rule_id, text`` of every rule that fired; ``text`` is null where a value is missing."""
+    texts = [F.when(fired(r), F.struct(F.lit(r[0]).alias("rule_id"), render(templates[r[0]]).alias("text"))) for r in RULES if r[0] in templates]
+    return view.select("doc_id", F.explode(F.array_compact(F.array(*texts))).alias("x")).select("doc_id", "x.*")

@@ -183,6 +183,79 @@ PROBLEMS = (
 ).split()
 
 
+#: What a rule that fired says, in our words; ``{field}`` is filled with the document's number.
+EXPLANATIONS = {
+    "notice_period_asymmetry_severe": "You have to give {noticeDaysYouMustGive} days of notice, the other side {noticeDaysTheyMustGive}: at least twice as long for you.",
+    "notice_period_asymmetry_moderate": "Your notice is {noticeDaysYouMustGive} days and theirs {noticeDaysTheyMustGive}, so leaving takes you noticeably longer.",
+    "cure_period_asymmetry_severe": "They have {cureDaysTheyGet} days to put a breach right, you have {cureDaysYouGet}: half of it or less.",
+    "cure_period_asymmetry_moderate": "They have {cureDaysTheyGet} days to put a breach right and you {cureDaysYouGet}, which is a good deal less.",
+    "liability_cap_exceeds_a_year_of_pay": "What you may have to pay is limited to Rs {liabilityCapInr} only; a year of your pay is Rs {annualCtcInr}.",
+    "liability_cap_below_one_month_of_rent": "They answer for no more than Rs {liabilityCapInr}, which is under one month of your rent of Rs {monthlyRentInr}.",
+    "default_interest_doubles_the_contract_rate": "Late sums cost {latePaymentPercentPerMonth} percent a month, twice the yearly rate of {annualInterestPercent} percent or more.",
+    "default_interest_exceeds_the_contract_rate": "Late sums cost {latePaymentPercentPerMonth} percent a month, well above the yearly rate of {annualInterestPercent} percent.",
+    "security_deposit_three_months_rent_or_more": "The deposit of Rs {securityDepositInr} is three or more months of the rent of Rs {monthlyRentInr}.",
+    "security_deposit_two_to_three_months_rent": "The deposit of Rs {securityDepositInr} is between two and three months of the rent of Rs {monthlyRentInr}.",
+    "lock_in_longer_than_six_months": "You are bound for {lockInMonths} months before you may leave.",
+    "lock_in_four_to_six_months": "For {lockInMonths} months you may not leave without paying for it.",
+    "rent_escalation_above_ten_percent": "The rent goes up by {annualRentIncreasePercent} percent each year.",
+    "employment_bond_above_six_months_ctc": "Leaving early costs Rs {bondAmountInr}, over half of the yearly pay of Rs {annualCtcInr}.",
+    "employment_bond_three_to_six_months_ctc": "Leaving early costs Rs {bondAmountInr}, a quarter to a half of the yearly pay of Rs {annualCtcInr}.",
+    "confidentiality_beyond_five_years_or_perpetual": "Your duty of silence lasts {confidentialityMonths} months.",
+    "payment_terms_longer_than_forty_five_days": "Your invoices may stay open for {paymentTermDays} days.",
+    "loan_interest_above_thirty_six_percent": "The loan costs {annualInterestPercent} percent a year.",
+    "loan_interest_twenty_four_to_thirty_six_percent": "At {annualInterestPercent} percent a year the loan is dear.",
+    "penal_charge_above_twenty_four_percent_a_year": "Being late costs {latePaymentPercentPerMonth} percent a month, over a quarter of the sum in a year.",
+    "data_retention_beyond_five_years": "Your data is held for {dataRetentionDays} days.",
+    "post_employment_non_compete_term_stated": "For {nonCompeteMonths} months after leaving you are to stay out of the trade.",
+    "construct_unilateral_amendment_without_notice": "They may change the terms alone and need not tell you first.",
+    "construct_unilateral_arbitrator_appointment": "They alone choose who decides a dispute between you.",
+    "construct_contractual_limitation_period": "Claims end sooner than the law would have them end.",
+    "construct_self_help_remedy": "They may act against you without going to a court.",
+    "construct_forfeiture_of_paid_amounts": "Money that you have paid may be kept, whatever the harm was.",
+    "construct_sole_discretion_on_payment": "Whether you are paid is left to their judgement.",
+    "construct_unlimited_indemnity": "You answer for their losses without any limit.",
+    "construct_automatic_renewal_without_notice": "The contract goes on by itself, and nobody reminds you.",
+    "construct_assignment_of_future_ip": "What you make later, too, is theirs from the start.",
+    "construct_class_action_waiver": "You give up joining others in one claim.",
+    "construct_cross_default": "A default elsewhere counts as one here.",
+    "absent_deposit_refund_timeline": "No date is set by which the deposit comes back.",
+    "absent_notice_period_for_you": "It is not said how much notice you have to give.",
+    "absent_exit_or_termination_route": "There is no way out before the term ends.",
+    "absent_jurisdiction_clause": "It is not said which courts are competent.",
+    "absent_data_retention_limit": "There is no end to the keeping of your data.",
+    "absent_liability_cap_in_your_favour": "Nothing limits what you may have to pay.",
+    "absent_rent_increase_cap": "Nothing limits how far the rent may rise.",
+    "absent_grievance_officer_named": "Nobody is named who hears complaints.",
+    "absent_exit_route_and_notice_period": "There is neither a way out nor a period of notice.",
+    "absent_deposit_timeline_and_jurisdiction": "Neither the return of the deposit nor the courts are settled.",
+}
+#: What to ask about a rule that could not be decided, in our words; the others have a question made of their title.
+QUESTIONS = {
+    "security_deposit_three_months_rent_or_more": "How many months of rent is the deposit, and when is it paid back?",
+    "lock_in_longer_than_six_months": "What do I owe if I leave during the lock-in?",
+    "rent_escalation_above_ten_percent": "By how much may the rent rise in a year?",
+    "employment_bond_above_six_months_ctc": "Which costs does the bond cover, and who proves them?",
+    "confidentiality_beyond_five_years_or_perpetual": "When does the duty of silence end?",
+    "payment_terms_longer_than_forty_five_days": "Within how many days is an invoice paid?",
+    "loan_interest_above_thirty_six_percent": "What does the loan cost in a year, all charges included?",
+    "data_retention_beyond_five_years": "How long is my data kept, and who deletes it?",
+    "construct_unlimited_indemnity": "Is there a limit to what I answer for?",
+    "construct_contractual_limitation_period": "Until when can I bring a claim?",
+    "absent_exit_or_termination_route": "How can I end this contract early?",
+    "absent_jurisdiction_clause": "Which courts decide if we disagree?",
+}
+#: Published figures that thresholds rest on, in our words; most rules have none.
+BENCHMARKS = {
+    "security_deposit_three_months_rent_or_more": "Model Tenancy Act, 2021: two months of rent for a home",
+    "security_deposit_two_to_three_months_rent": "Model Tenancy Act, 2021: two months of rent for a home",
+    "payment_terms_longer_than_forty_five_days": "MSMED Act, 2006, section 15: forty-five days",
+}
+
+
+def question(rule_id: str) -> str:
+    return QUESTIONS.get(rule_id, f"The document leaves this open: {title(rule_id)}.")
+
+
 def title(rule_id: str) -> str:
     return rule_id.replace("_", " ").capitalize()
 

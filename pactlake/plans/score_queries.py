@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pactlake.functions.predicates import compile_predicate, predicate_sql
 from pactlake.operators import legal_aid, remedies, rubric, statutes
 from pactlake.plans import derive
-from pactlake.plans.rules import BANDS, CONSTRUCTS, LIMITATIONS, NUMBERS, PREREQUISITES, RULES, SATURATION, STAGES, STATUTES, TIER_CAPS, VERDICT_WEIGHTS, FORUMS, inputs, title
+from pactlake.plans.rules import BANDS, CONSTRUCTS, EXPLANATIONS, LIMITATIONS, NUMBERS, PREREQUISITES, RULES, SATURATION, STAGES, STATUTES, TIER_CAPS, VERDICT_WEIGHTS, FORUMS, inputs, question, title
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,11 +89,22 @@ def risk_drivers(spark, d):
     return rubric.risk_drivers(view(spark, d))
 
 
-@query("R10_render_explanations")
+def _grouped_sql(field: str) -> str:
+    whole = f"CAST(CAST({field} AS BIGINT) AS VARCHAR)"
+    head = f"reverse(rtrim(regexp_replace(reverse(substring({whole}, 1, length({whole}) - 3)), '(\\d\\d)', '\\1,', 'g'), ','))"
+    return f"CASE WHEN length({whole}) <= 3 THEN {whole} ELSE concat({head}, ',', right({whole}, 3)) END"
+
+
+def _text_sql(template: str) -> str:
+    parts = []
+    for i, part in enumerate(template.replace("}", "{").split("{")):
+        parts.append(f"({_grouped_sql(part)})" if i % 2 else f"'{part}'")
+    return " || ".join(parts)
+
+
+@query("R10_render_explanations", f"WITH {V} " + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS rule_id, {_text_sql(EXPLANATIONS[r[0]])} AS text FROM v WHERE {_applies_sql(r[4])} AND {predicate_sql(r[6])}" for r in RULES))
 def render_explanations(spark, d):
-    text = "You give {noticeDaysYouMustGive} days and they give {noticeDaysTheyMustGive}; the yearly pay is {annualCtcInr}."
-    good, lacking = rubric.render_explanations(view(spark, d), text, "notice_period_asymmetry_severe")
-    return good.unionByName(lacking)
+    return rubric.explanations(view(spark, d))
 
 
 def _missing_sql(r) -> str:
@@ -103,7 +114,7 @@ def _missing_sql(r) -> str:
 @query(
     "R11_unknown_questions",
     f"WITH {V}, u AS (" + " UNION ALL ".join(
-        f"SELECT doc_id, {i} AS o, '{r[0]}' AS rule_id, 'The document leaves this open: {title(r[0])}.' AS question, {_missing_sql(r)} AS missing FROM v "
+        f"SELECT doc_id, {i} AS o, '{r[0]}' AS rule_id, '{question(r[0])}' AS question, {_missing_sql(r)} AS missing FROM v "
         f"WHERE {_applies_sql(r[4])} AND {predicate_sql(r[6])} IS NULL" for i, r in enumerate(RULES))
     + ") SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) AS INTEGER) AS number, rule_id, question, missing FROM u",
 )

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from pactlake.functions import text as tx
@@ -12,7 +9,7 @@ from pactlake.functions.spans import match_spans
 from pactlake.operators import canonical, consistency, grounding, remedies, report, rubric, statutes
 from pactlake.plans import derive
 from pactlake.plans import score_queries as sq
-from pactlake.plans.rules import BOUNDS, CONSTRUCTS, DOCUMENT_TYPES, FORUMS, LIMITATIONS, NUMBERS, RULES, inputs, title
+from pactlake.plans.rules import BENCHMARKS, BOUNDS, CONSTRUCT_CATEGORY, CONSTRUCTS, DOCUMENT_TYPES, LIMITATIONS, NUMBERS, RULES, inputs, title
 from pactlake.sources import files
 from pactlake.streaming import guards
 
@@ -145,16 +142,26 @@ def audit(rules, vocabulary, forums, limitations):
 
 
 def _rule_use(spark, d):
-    """The rules that a corpus uses, with the tables they refer to."""
-    used = rubric.evaluate_rules(sq.view(spark, d)).select("rule_id").distinct()
-    return rule_table(spark).join(used, "rule_id", "left_semi")
+    """The rules that a corpus uses, as its documents refer to them: some by another name, without weight or with an unknown input."""
+    used = rubric.evaluate_rules(sq.view(spark, d)).join(F.broadcast(rule_table(spark).select("rule_id", "inputs")), "rule_id")
+    k = F.col("doc_id")
+    return used.select(
+        F.when(k % 7 == 0, F.upper("rule_id")).otherwise(F.col("rule_id")).alias("rule_id"), F.when(k % 11 == 0, 0).otherwise(F.col("points")).alias("weight"),
+        F.when(k % 13 == 0, F.concat("inputs", F.array(F.lit("nobody")))).otherwise(F.col("inputs")).alias("inputs"),
+    ).distinct()
+
 
+_USED = "u AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN upper(rule_id) ELSE rule_id END AS rule_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE points END AS weight, doc_id % 13 = 0 AS odd FROM e)"
 
-@query("S8_audit_rules", f"WITH {sq.E} SELECT 'foreign_key' AS problem, 'x' AS at FROM e WHERE points > 50 OR points <= 0")
+
+@query("S8_audit_rules", f"WITH {sq.E}, {_USED} SELECT 'duplicate_id' AS problem, rule_id AS at FROM u GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'unknown_name', rule_id || ':nobody' FROM u WHERE odd "
+       "UNION ALL SELECT 'weight', rule_id FROM u WHERE weight <= 0 UNION ALL SELECT 'id', rule_id FROM u WHERE rule_id = upper(rule_id) UNION ALL SELECT 'foreign_key', CAST(doc_id AS VARCHAR) FROM v WHERE doc_id % 17 = 0")
 def audit_rules(spark, d):
     vocabulary = spark.createDataFrame([(n,) for n in [*NUMBERS, *CONSTRUCTS]], "name string")
-    forums = spark.createDataFrame([(f[0], f[1]) for f in FORUMS], "forum string, limitation_id string")
     limits = spark.createDataFrame([(x[0],) for x in LIMITATIONS], "limitation_id string")
+    # Each document names a limitation rule; some name one that does not exist.
+    named = F.element_at(F.array(*[F.lit(x[0]) for x in LIMITATIONS]), (F.col("doc_id") % len(LIMITATIONS) + 1).cast("int"))
+    forums = sq.view(spark, d).select(F.col("doc_id").cast("string").alias("forum"), F.when(F.col("doc_id") % 17 == 0, "no-such-rule").otherwise(named).alias("limitation_id"))
     return audit(_rule_use(spark, d), vocabulary, forums, limits)
 
 
@@ -171,14 +178,8 @@ def _reports(spark, d):
     return report.assemble_report(rubric.score_documents(legal), rubric.risk_drivers(legal), statutes.order_verdicts(statutes.triage(legal)), remedies.next_steps(legal, s, derive.TODAY), refused)
 
 
-def _shared(spark):
-    """A new folder where the session's cluster keeps shared files; a temporary one in single-machine tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pactlake-")
-    return f"{base.rstrip('/')}/contracts-{uuid.uuid4().hex}"
-
-
 def _stored(spark, d):
-    path = _shared(spark)
+    path = files.shared_folder(spark, "contracts")
     files.write_reports(_reports(spark, d), path)
     return path
 
@@ -191,7 +192,7 @@ def write_reports(spark, d):
     return spark.read.parquet(_stored(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("reports"))
 
 
-@query("S11_diff_reports", f"WITH {sq.V} SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'only_old' END AS side FROM v WHERE FALSE UNION ALL SELECT doc_id, 'only_old' FROM v WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'only_new' FROM v WHERE doc_id % 17 = 0")
+@query("S11_diff_reports", f"WITH {sq.V} SELECT doc_id, 'only_old' AS side FROM v WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'only_new' FROM v WHERE doc_id % 17 = 0")
 def diff_reports(spark, d):
     old = rubric.score_documents(sq.view(spark, d)).select("doc_id", "score", "band")
     new = old.withColumn("score", F.when(F.col("doc_id") % 17 == 0, F.col("score") + 1).otherwise(F.col("score")))
@@ -288,7 +289,8 @@ def find_segments(spark, d):
     return canonical.find_segments(contracts(spark, d))
 
 
-@query("X3_page_marks")
+@query("X3_page_marks", f"WITH {C}, p AS (SELECT doc_id, CAST(g AS INTEGER) AS page_number, substring(text, CAST(200 * (g - 1) + 1 AS INTEGER), 200) AS page FROM (SELECT doc_id, text, unnest(range(1, CAST((length(text) - 1) // 200 AS INTEGER) + 2)) AS g FROM c WHERE length(text) > 0)) "
+       "SELECT doc_id, page_number, CAST(200 * (page_number - 1) + length(page) - length(ltrim(page, ' ' || chr(10))) AS INTEGER) AS start FROM p WHERE length(trim(page, ' ' || chr(10))) >= 8")
 def page_marks(spark, d):
     c = contracts(spark, d)
     pages = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 200).cast("int")), lambda i: F.substring("text", i * 200 + 1, F.lit(200)))
@@ -339,12 +341,13 @@ def locate_normalised(spark, d):
 _GRAMS = "list_transform(range(1, length({0})), lambda i: substring({0}, i, 2))"
 
 
-@query("G3_bigram_dice", f"WITH {C}, p AS (SELECT doc_id, substring(text, 1, 60) AS a, substring(text, 20, 60) AS b FROM c WHERE length(text) >= 100), ga AS (SELECT doc_id, unnest({_GRAMS.format('a')}) AS g FROM p), gb AS (SELECT doc_id, unnest({_GRAMS.format('b')}) AS g FROM p), "
-       "na AS (SELECT doc_id, g, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT doc_id, g, count(*) AS n FROM gb GROUP BY ALL), s AS (SELECT doc_id, sum(least(na.n, nb.n)) AS s FROM na JOIN nb USING (doc_id, g) GROUP BY doc_id) "
-       "SELECT doc_id, round(2.0 * coalesce(s, 0) / (length(a) + length(b) - 2), 6) AS similarity FROM p LEFT JOIN s USING (doc_id)")
+@query("G3_bigram_dice", f"WITH {C}, {FI}, p AS (SELECT doc_id, ord, lower(quote) AS a, lower(text) AS b FROM f JOIN c USING (doc_id)), ga AS (SELECT doc_id, ord, unnest({_GRAMS.format('a')}) AS g FROM p), gb AS (SELECT doc_id, ord, unnest({_GRAMS.format('b')}) AS g FROM p), "
+       "na AS (SELECT doc_id, ord, g, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT doc_id, ord, g, count(*) AS n FROM gb GROUP BY ALL), s AS (SELECT doc_id, ord, sum(least(na.n, nb.n)) AS s FROM na JOIN nb USING (doc_id, ord, g) GROUP BY doc_id, ord) "
+       "SELECT doc_id, ord, round(2.0 * coalesce(s, 0) / (length(a) + length(b) - 2), 6) AS similarity FROM p LEFT JOIN s USING (doc_id, ord)")
 def bigram_dice(spark, d):
-    p = contracts(spark, d).where("length(text) >= 100").select("doc_id", F.substring("text", 1, 60).alias("a"), F.substring("text", 20, 60).alias("b"))
-    return grounding.bigram_dice(p).withColumn("similarity", F.round("similarity", 6))
+    """Every finding's quote against its whole contract."""
+    p = quotes(spark, d).join(contracts(spark, d), "doc_id").select("doc_id", "ord", F.lower("quote").alias("a"), F.lower("text").alias("b"))
+    return grounding.bigram_dice(p, ["doc_id", "ord"]).withColumn("similarity", F.round("similarity", 6))
 
 
 def _near_quotes(spark, d):
@@ -355,6 +358,16 @@ def _near_quotes(spark, d):
     return twice.select("doc_id", F.lit(1).alias("ord"), near.alias("quote")), twice
 
 
+#: What becomes of the four quotes of each contract: verbatim, in capitals, too short, and reversed.
+_LOC = (
+    f"{C}, {FI}, q AS (SELECT f.*, text, trim(quote, ' ' || chr(10)) AS cut, {_FOLD.format('quote')} AS low FROM f JOIN c USING (doc_id)), "
+    f"p AS (SELECT *, CASE ord WHEN 1 THEN strpos(text, cut) - 1 WHEN 2 THEN strpos({_FOLD.format('text')}, low) - 1 END AS place FROM q), "
+    "loc AS (SELECT doc_id, ord, category, obligation_on, benefits, CASE WHEN ord <= 2 THEN 'grounded' ELSE 'unverified' END AS status, CASE ord WHEN 3 THEN 'quote_too_short' WHEN 4 THEN 'below_threshold' END AS reason, "
+    "CASE ord WHEN 1 THEN 'exact' WHEN 2 THEN 'normalised' END AS method, CAST(place AS INTEGER) AS start, CAST(place + length(low) AS INTEGER) AS \"end\", substring(text, CAST(place + 1 AS INTEGER), length(low)) AS matched_text FROM p)"
+)
+_TWICE = _LOC + ", both_ AS (SELECT * FROM loc UNION ALL SELECT * REPLACE (5 AS ord, 'unverified' AS status, 'duplicate' AS reason) FROM loc WHERE ord = 1)"
+
+
 @query("G4_locate_fuzzy")
 def locate_fuzzy(spark, d):
     found = grounding.locate(*_near_quotes(spark, d))
@@ -367,7 +380,7 @@ def ambiguity_check(spark, d):
     return found.select("doc_id", F.coalesce(F.col("reason") == "ambiguous", F.lit(False)).alias("ambiguous"))
 
 
-@query("G6_grounding_outcome")
+@query("G6_grounding_outcome", f"WITH {_LOC} SELECT doc_id, ord, status, reason, method, start, \"end\", matched_text FROM loc")
 def grounding_outcome(spark, d):
     return grounding.locate(quotes(spark, d), contracts(spark, d)).select("doc_id", "ord", "status", "reason", "method", "start", "end", "matched_text")
 
@@ -383,20 +396,20 @@ def dedup_findings(spark, d):
     return v.where("reason = 'duplicate'").select("doc_id", "ord")
 
 
-@query("G8_verify_findings")
+@query("G8_verify_findings", f"WITH {_TWICE} SELECT doc_id, ord, category, status, reason, start, \"end\" FROM both_")
 def verify_findings(spark, d):
     return grounding.verify_findings(_repeated(spark, d), contracts(spark, d)).select("doc_id", "ord", "category", "status", "reason", "start", "end")
 
 
-@query("G9_grounding_stats")
+@query("G9_grounding_stats", f"WITH {_TWICE} SELECT doc_id, count(*) AS total, count(*) FILTER (status = 'grounded') AS grounded, " + ", ".join(f"count(*) FILTER (status = 'grounded' AND method = '{m}') AS {m}" for m in ("exact", "normalised", "fuzzy")) + ", count(*) FILTER (status <> 'grounded') AS rejected, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in grounding.REASONS) + " FROM both_ GROUP BY doc_id")
 def grounding_stats(spark, d):
     return grounding.grounding_stats(grounding.verify_findings(_repeated(spark, d), contracts(spark, d)))
 
 
-@query("G10_verify_answers", f"WITH {FI} SELECT doc_id, ord, CASE WHEN doc_id % 5 = 0 THEN 'not_in_document' WHEN ord = 1 THEN 'grounded' ELSE 'unverified' END AS verdict FROM f WHERE ord IN (1, 3)")
+@query("G10_verify_answers", f"WITH {_LOC} SELECT doc_id, ord, CASE WHEN doc_id % 5 = 0 THEN 'not_in_document' WHEN ord = 1 THEN 'grounded' ELSE 'unverified' END AS verdict, CASE WHEN doc_id % 5 <> 0 AND ord = 1 THEN matched_text END AS located FROM loc WHERE ord IN (1, 3)")
 def verify_answers(spark, d):
     a = quotes(spark, d).where("ord in (1, 3)").select("doc_id", "ord", "quote", (F.col("doc_id") % 5 != 0).alias("found"), F.lit("So it says.").alias("prose"))
-    return grounding.verify_answers(a, contracts(spark, d)).select("doc_id", "ord", "verdict")
+    return grounding.verify_answers(a, contracts(spark, d)).select("doc_id", "ord", "verdict", "located")
 
 
 @query("G11_corpus_quote_search", "SELECT d.doc_id, b.item_id AS quote_id FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(trim(d.text), '\\s+', ' ', 'g')), lower(regexp_replace(trim(b.text), '\\s+', ' ', 'g')))")
@@ -406,14 +419,17 @@ def corpus_quote_search(spark, d):
     return grounding.corpus_quote_search(asked, docs).select("doc_id", "quote_id")
 
 
-@query("G12_highlight_spans")
+@query("G12_highlight_spans", f"WITH {_LOC}, one AS (SELECT doc_id, start, \"end\", ord FROM loc WHERE ord = 1), two AS (SELECT l.doc_id, l.start, l.\"end\", l.ord FROM loc l JOIN one o ON l.doc_id = o.doc_id WHERE l.ord = 2 AND l.start >= o.\"end\"), "
+       "marks AS (SELECT * FROM one UNION ALL SELECT * FROM two), edges AS (SELECT doc_id, \"end\" AS start FROM marks UNION ALL SELECT doc_id, 0 FROM c), "
+       "plain AS (SELECT e.doc_id, e.start, CAST(coalesce(min(m.start), any_value(length(text))) AS INTEGER) AS \"end\", CAST(NULL AS INTEGER) AS ord FROM edges e JOIN c USING (doc_id) LEFT JOIN marks m ON m.doc_id = e.doc_id AND m.start >= e.start GROUP BY ALL) "
+       "SELECT doc_id, CAST(start AS INTEGER) AS start, \"end\", ord FROM plain WHERE \"end\" > start UNION ALL SELECT doc_id, start, \"end\", ord FROM marks")
 def highlight_spans(spark, d):
     c = contracts(spark, d)
     return grounding.highlight_spans(grounding.verify_findings(quotes(spark, d), c), c)
 
 
 # --- facts ----------------------------------------------------------------------------------------
-_NAMES = ("noticeDaysYouMustGive", "securityDepositInr", "self_help_remedy", "lockInMonths")
+_NAMES = ("noticeDaysYouMustGive", "self_help_remedy", "securityDepositInr", "lockInMonths")
 
 
 def _cited(spark, d):
@@ -424,12 +440,15 @@ def _cited(spark, d):
 _DEMOTED = f"{FI}, m AS (SELECT doc_id, ord, ['{_NAMES[0]}', '{_NAMES[1]}', '{_NAMES[2]}', '{_NAMES[3]}'][ord] AS name, ord IN (3, 4) AS demoted FROM f)"
 
 
-@query("F1_ground_citations", f"WITH {_DEMOTED} SELECT doc_id, ord, name, demoted FROM m")
+_NAMED = "n AS (SELECT *, ['" + "', '".join(_NAMES) + "'][ord] AS name FROM loc)"
+
+
+@query("F1_ground_citations", f"WITH {_LOC}, {_NAMED} SELECT doc_id, ord, name, status <> 'grounded' AS demoted, start, \"end\" FROM n")
 def ground_citations(spark, d):
-    return _cited(spark, d).select("doc_id", "ord", "name", "demoted")
+    return _cited(spark, d).select("doc_id", "ord", "name", "demoted", "start", "end")
 
 
-@query("F2_fact_view_numbers", f"WITH {sq.V}, {_DEMOTED} SELECT v.doc_id, noticeDaysYouMustGive, securityDepositInr, CASE WHEN m.doc_id IS NULL THEN lockInMonths END AS lockInMonths FROM v LEFT JOIN m ON v.doc_id = m.doc_id AND m.name = 'lockInMonths'")
+@query("F2_fact_view_numbers", f"WITH {sq.V}, {_DEMOTED} SELECT v.doc_id, noticeDaysYouMustGive, CASE WHEN m.doc_id IS NULL THEN securityDepositInr END AS securityDepositInr, CASE WHEN m.doc_id IS NULL THEN lockInMonths END AS lockInMonths FROM v LEFT JOIN m ON v.doc_id = m.doc_id AND m.name = 'lockInMonths'")
 def fact_view_numbers(spark, d):
     return grounding.fact_view_numbers(sq.view(spark, d), _cited(spark, d), ["noticeDaysYouMustGive", "securityDepositInr", "lockInMonths"])
 
@@ -443,9 +462,9 @@ def fact_view_constructs(spark, d):
     return grounding.fact_view_constructs(rows, sq.view(spark, d), list(CONSTRUCTS))
 
 
-@query("F4_evidence_index", f"WITH {_DEMOTED} SELECT doc_id, name FROM m WHERE NOT demoted")
+@query("F4_evidence_index", f"WITH {_LOC}, {_NAMED} SELECT doc_id, name, start, \"end\" FROM n WHERE status = 'grounded'")
 def evidence_index(spark, d):
-    return grounding.evidence_index(_cited(spark, d)).select("doc_id", "name")
+    return grounding.evidence_index(_cited(spark, d))
 
 
 @query("F5_demotion_audit", f"WITH {_DEMOTED} SELECT doc_id, string_agg(name, ',' ORDER BY name) AS demoted, count(*) AS n FROM m WHERE demoted GROUP BY doc_id")
@@ -458,15 +477,43 @@ def _placed(spark, d):
     return grounding.verify_findings(quotes(spark, d), contracts(spark, d)).where("status = 'grounded'")
 
 
-@query("E2_evidence_fallback")
+_CATEGORY = "CASE construct " + " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in CONSTRUCT_CATEGORY.items()) + " END"
+
+
+@query("E2_evidence_fallback", f"WITH {_LOC}, {_NAMED}, t AS ({sq.ORACLES['E1_triage']}), fb AS (SELECT doc_id, category, arg_min(start, ord) AS fs, arg_min(\"end\", ord) AS fe FROM loc WHERE status = 'grounded' GROUP BY ALL) "
+       f"SELECT t.*, coalesce(n.start, fs) AS start, coalesce(n.\"end\", fe) AS \"end\" FROM t LEFT JOIN n ON n.doc_id = t.doc_id AND n.name = construct AND n.status = 'grounded' LEFT JOIN fb ON fb.doc_id = t.doc_id AND fb.category = {_CATEGORY}")
 def evidence_fallback(spark, d):
     return statutes.with_evidence(statutes.triage(sq.view(spark, d)), grounding.evidence_index(_cited(spark, d)), _placed(spark, d))
 
 
 # --- consistency ------------------------------------------------------------------------------------
-@query("K1_cross_references", f"WITH {L} SELECT k AS doc_id, 'clause' AS kind, CAST(CAST(q4 AS INTEGER) % 9 + 1 AS VARCHAR) AS label FROM l WHERE q4 IS NOT NULL")
+_HEAD = {  # what stands in each line before the span at hand
+    1: "1. Either party may end this agreement by giving ", 2: "2. The security deposit is ", 3: '3. The "Lock-in Period" means the first ', 4: "4. This is subject to Clause ",
+    5: "5. Delayed sums carry interest at ", 6: '6. The tenant shall follow the "Handover Protocol" and give notice of ', 7: "7. A refundable deposit of ",
+}
+_STARTS = ", ".join(f"max(start) FILTER (label = '{n}') AS s{n}" for n in range(1, 8))
+_WORDS_1 = derive.words_sql("CAST(q1 AS INT)")
+_PLACES = (
+    f"{_SEGS}, {L}, st AS (SELECT doc_id, {_STARTS} FROM seg GROUP BY doc_id), "
+    f"w AS (SELECT l.*, {', '.join(f's{n} + {len(h)} AS a{n}' for n, h in _HEAD.items())}, s3 + 7 AS u3, s6 + 31 AS u6, length({_WORDS_1}) AS nw, "
+    "CAST(q1 AS INTEGER) + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS n1 FROM l JOIN st ON k = doc_id)"
+)
+_digits = lambda x: f"length(CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR))"
+_QUANTITIES = " UNION ALL ".join(
+    f"SELECT k AS doc_id, '{concept}' AS concept, '{family}' AS family, CAST({value} AS DOUBLE) AS value, CAST(a{n} AS INTEGER) AS start, CAST(a{n} + {length} AS INTEGER) AS \"end\" FROM w WHERE {col}{n} IS NOT NULL"
+    for n, concept, family, col, value, length in (
+        (1, "notice", "duration", "q", "n1", f"nw + {_digits('n1')} + 8"), (2, "deposit", "money", "p", "floor(p2)", f"4 + {_digits('p2')}"),
+        (3, "lock_in", "duration", "q", "q3 * 30", f"{_digits('q3')} + 7"), (5, "interest", "rate", "q", "q5", f"{_digits('q5')} + 1"),
+        (6, "notice", "duration", "q", "q6", f"{_digits('q6')} + 5"), (7, "deposit", "money", "p", "floor(p7)", f"4 + {_digits('p7')}"),
+    )
+)
+_at = lambda x, n: f"CAST({x} AS INTEGER) AS start, CAST({x} + {n} AS INTEGER) AS \"end\""
+_TERM_3, _TERM_6 = _at("u3", 16), _at("u6", 19)
+
+
+@query("K1_cross_references", f"WITH {_PLACES} SELECT k AS doc_id, 'clause' AS kind, CAST(CAST(q4 AS INTEGER) % 9 + 1 AS VARCHAR) AS label, {_at('a4', 1)} FROM w WHERE q4 IS NOT NULL")
 def cross_references(spark, d):
-    return consistency.cross_references(contracts(spark, d)).select("doc_id", "kind", "label")
+    return consistency.cross_references(contracts(spark, d)).drop("keyword")
 
 
 @query("K2_known_labels", f"WITH {L} " + " UNION ALL ".join(f"SELECT k AS doc_id, 'clause' AS kind, '{n}' AS label FROM l WHERE q{n} IS NOT NULL" for n in range(1, 8)))
@@ -474,27 +521,27 @@ def known_labels(spark, d):
     return consistency.known_labels(contracts(spark, d))
 
 
-_DANGLING = "SELECT k AS doc_id, CAST(CAST(q4 AS INTEGER) % 9 + 1 AS VARCHAR) AS label FROM l WHERE q4 IS NOT NULL AND coalesce([q1, q2, q3, q4, q5, q6, q7, NULL, NULL][CAST(q4 AS INTEGER) % 9 + 1], -1) = -1"
+_DANGLING = f"SELECT k AS doc_id, CAST(CAST(q4 AS INTEGER) % 9 + 1 AS VARCHAR) AS label, {_at('a4', 1)} FROM w WHERE q4 IS NOT NULL AND coalesce([q1, q2, q3, q4, q5, q6, q7, NULL, NULL][CAST(q4 AS INTEGER) % 9 + 1], -1) = -1"
 
 
-@query("K3_dangling_references", f"WITH {L} {_DANGLING}")
+@query("K3_dangling_references", f"WITH {_PLACES} {_DANGLING}")
 def dangling_references(spark, d):
-    return consistency.dangling_references(contracts(spark, d)).select("doc_id", "label")
+    return consistency.dangling_references(contracts(spark, d)).select("doc_id", "label", "start", "end")
 
 
-@query("K4_quoted_terms", f"WITH {L} SELECT k AS doc_id, 'Lock-in Period' AS term, TRUE AS is_definition FROM l WHERE q3 IS NOT NULL UNION ALL SELECT k, 'Handover Protocol', FALSE FROM l WHERE q6 IS NOT NULL")
+@query("K4_quoted_terms", f"WITH {_PLACES} SELECT k AS doc_id, 'Lock-in Period' AS term, TRUE AS is_definition, {_TERM_3} FROM w WHERE q3 IS NOT NULL UNION ALL SELECT k, 'Handover Protocol', FALSE, {_TERM_6} FROM w WHERE q6 IS NOT NULL")
 def quoted_terms(spark, d):
-    return consistency.quoted_terms(contracts(spark, d)).select("doc_id", "term", "is_definition")
+    return consistency.quoted_terms(contracts(spark, d))
 
 
-@query("K5_undefined_terms", f"WITH {L} SELECT k AS doc_id, 'Handover Protocol' AS term FROM l WHERE q6 IS NOT NULL")
+@query("K5_undefined_terms", f"WITH {_PLACES} SELECT k AS doc_id, 'Handover Protocol' AS term, {_TERM_6} FROM w WHERE q6 IS NOT NULL")
 def undefined_terms(spark, d):
-    return consistency.undefined_terms(contracts(spark, d)).select("doc_id", "term")
+    return consistency.undefined_terms(contracts(spark, d))
 
 
-@query("K6_unused_definitions", f"WITH {L} SELECT k AS doc_id, 'Lock-in Period' AS term FROM l WHERE q3 IS NOT NULL AND q4 IS NULL")
+@query("K6_unused_definitions", f"WITH {_PLACES} SELECT k AS doc_id, 'Lock-in Period' AS term, {_TERM_3} FROM w WHERE q3 IS NOT NULL AND q4 IS NULL")
 def unused_definitions(spark, d):
-    return consistency.unused_definitions(contracts(spark, d)).select("doc_id", "term")
+    return consistency.unused_definitions(contracts(spark, d))
 
 
 _WORDS = f"SELECT k AS doc_id, {derive.words_sql('CAST(q1 AS INT)')} AS phrase, q1 FROM ({derive.LINES}) WHERE q1 IS NOT NULL"
@@ -520,34 +567,54 @@ def money_mentions(spark, d):
     return m.select("doc_id", tx.rupees(F.col("raw")).alias("value"))
 
 
-@query("K10_figure_word_mismatch", f"WITH {L} SELECT k AS doc_id, q1 AS words, q1 + 1 AS figure FROM l WHERE q1 IS NOT NULL AND k % 5 = 0")
+_MISMATCH = f"SELECT k AS doc_id, {_at('a1', f'nw + {_digits(chr(110) + chr(49))} + 3')}, q1 AS words, q1 + 1 AS figure FROM w WHERE q1 IS NOT NULL AND k % 5 = 0"
+
+
+@query("K10_figure_word_mismatch", f"WITH {_PLACES} {_MISMATCH}")
 def figure_word_mismatch(spark, d):
-    return consistency.figure_word_mismatch(contracts(spark, d)).select("doc_id", "words", "figure")
+    return consistency.figure_word_mismatch(contracts(spark, d))
 
 
-@query("K11_extract_quantities")
+@query("K11_extract_quantities", f"WITH {_PLACES} {_QUANTITIES}")
 def extract_quantities(spark, d):
     return consistency.extract_quantities(contracts(spark, d))
 
 
-@query("K12_nearest_concept", f"WITH {L} SELECT k AS doc_id, 'interest' AS concept, q5 AS value FROM l WHERE q5 IS NOT NULL")
+@query("K12_nearest_concept", f"WITH {_PLACES}, x AS ({_QUANTITIES}) SELECT doc_id, concept, start, \"end\" FROM x")
 def nearest_concept(spark, d):
-    return consistency.extract_quantities(contracts(spark, d)).where("family = 'rate'").select("doc_id", "concept", "value")
+    """The spans of all quantities, each with the concept nearest to it."""
+    c = contracts(spark, d)
+    spans = consistency.extract_quantities(c).select("doc_id", "start", "end").join(c, "doc_id")
+    return consistency.nearest_concept(spans).select("doc_id", "concept", "start", "end")
+
+
+_CONFLICTS = (
+    "SELECT b.doc_id, b.concept, b.family, b.value, b.start, b.\"end\", a.value AS first_value, a.start AS first_start FROM x a JOIN x b "
+    "ON a.doc_id = b.doc_id AND a.concept = b.concept AND a.family = b.family AND a.start < b.start AND a.value <> b.value"
+)
 
 
-@query("K13_conflicting_quantities")
+@query("K13_conflicting_quantities", f"WITH {_PLACES}, x AS ({_QUANTITIES}) {_CONFLICTS}")
 def conflicting_quantities(spark, d):
     return consistency.conflicting_quantities(contracts(spark, d))
 
 
-@query("K14_detect_inconsistencies")
+_DEFECTS = (
+    f"{_PLACES}, x AS ({_QUANTITIES}), g AS ({_DANGLING}), m AS ({_MISMATCH}), cq AS ({_CONFLICTS}), every AS ("
+    "SELECT doc_id, start, \"end\", 'dangling_cross_reference' AS kind, 'high' AS severity FROM g UNION ALL "
+    f"SELECT k, {_TERM_6}, 'undefined_term', 'medium' FROM w WHERE q6 IS NOT NULL UNION ALL SELECT k, {_TERM_3}, 'unused_definition', 'low' FROM w WHERE q3 IS NOT NULL AND q4 IS NULL "
+    "UNION ALL SELECT doc_id, start, \"end\", 'figure_word_mismatch', 'high' FROM m UNION ALL SELECT doc_id, start, \"end\", 'conflicting_quantity', 'high' FROM cq)"
+)
+
+
+@query("K14_detect_inconsistencies", f"WITH {_DEFECTS} SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, \"end\", kind) AS INTEGER) AS place FROM every")
 def detect_inconsistencies(spark, d):
     return consistency.detect_inconsistencies(contracts(spark, d))
 
 
-@query("K15_count_by_kind", f"WITH {L}, g AS ({_DANGLING}) SELECT k AS doc_id, CAST(g.doc_id IS NOT NULL AS BIGINT) AS dangling_cross_reference, CAST(q6 IS NOT NULL AS BIGINT) AS undefined_term, CAST(q3 IS NOT NULL AND q4 IS NULL AS BIGINT) AS unused_definition, CAST(q1 IS NOT NULL AND k % 5 = 0 AS BIGINT) AS figure_word_mismatch FROM l LEFT JOIN g ON k = g.doc_id")
+@query("K15_count_by_kind", f"WITH {_DEFECTS} SELECT k AS doc_id, " + ", ".join(f"count(*) FILTER (kind = '{kind}') AS {kind}" for kind in consistency.KINDS) + " FROM w LEFT JOIN every ON k = doc_id GROUP BY k")
 def count_by_kind(spark, d):
-    return consistency.count_by_kind(contracts(spark, d)).drop("conflicting_quantity")
+    return consistency.count_by_kind(contracts(spark, d))
 
 
 # --- reports ----------------------------------------------------------------------------------------
@@ -560,18 +627,21 @@ def _clauses(spark, d):
     return placed, drivers, verdicts, n_rules
 
 
-@query("V1_clause_overlap_join")
+_DRIVEN = (
+    f"{_LOC}, {sq.E}, dr AS (SELECT l.doc_id, l.ord, arg_min(rule_id, rule_order) AS rule_id, arg_min(severity, rule_order) AS severity FROM loc l JOIN e ON l.doc_id = e.doc_id AND outcome "
+    "AND rule_order * 7 < l.\"end\" AND l.start < rule_order * 7 + 5 WHERE status = 'grounded' GROUP BY ALL)"
+)
+
+
+@query("V1_clause_overlap_join", f"WITH {_DRIVEN} SELECT l.doc_id, l.ord, start, rule_id, severity FROM loc l LEFT JOIN dr ON l.doc_id = dr.doc_id AND l.ord = dr.ord WHERE status = 'grounded'")
 def clause_overlap_join(spark, d):
     placed, drivers, _, _ = _clauses(spark, d)
     return report.clause_overlap_join(placed, drivers, "rule_order", ["rule_id", "severity"]).select("doc_id", "ord", "start", "rule_id", "severity")
 
 
-_BENCH = {r[0]: f"published benchmark {i}" for i, r in enumerate(RULES) if r[1] == "asymmetry"}
-
-
-@query("V2_benchmark_join", f"WITH {sq.E} SELECT doc_id, rule_id, CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _BENCH.items()) + " END AS benchmark FROM e WHERE outcome")
+@query("V2_benchmark_join", f"WITH {sq.E} SELECT doc_id, rule_id, CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BENCHMARKS.items()) + " END AS benchmark FROM e WHERE outcome")
 def benchmark_join(spark, d):
-    table = spark.createDataFrame(list(_BENCH.items()), "rule_id string, benchmark string")
+    table = spark.createDataFrame(list(BENCHMARKS.items()), "rule_id string, benchmark string")
     return rubric.risk_drivers(sq.view(spark, d)).join(F.broadcast(table), "rule_id", "left").select("doc_id", "rule_id", "benchmark")
 
 
@@ -624,7 +694,9 @@ def tier_bars(spark, d):
     return report.tier_bars(rubric.tier_totals(sq.view(spark, d)))
 
 
-@query("V12_assemble_report")
+@query("V12_assemble_report", f"WITH r AS ({sq.ORACLES['R16_score_documents']}), dd AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['R9_risk_drivers']}) GROUP BY doc_id), vv AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['E1_triage']}) GROUP BY doc_id), "
+       f"nn AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['M6_next_steps']}) GROUP BY doc_id) SELECT r.doc_id, 'report' AS kind, NULL AS reason, score, band, coalesce(dd.n, 0) AS drivers, coalesce(vv.n, 0) AS verdicts, coalesce(nn.n, 0) AS next_steps "
+       f"FROM r LEFT JOIN dd USING (doc_id) LEFT JOIN vv USING (doc_id) LEFT JOIN nn USING (doc_id) WHERE r.doc_id % 13 <> 0 UNION ALL SELECT doc_id, 'not_a_document', '{canonical.REFUSED}', NULL, NULL, NULL, NULL, NULL FROM r WHERE doc_id % 13 = 0")
 def assemble_report(spark, d):
     r = _reports(spark, d)
     return r.select("doc_id", "kind", "reason", "score", "band", F.size("drivers").alias("drivers"), F.size("verdicts").alias("verdicts"), F.size("next_steps").alias("next_steps"))
@@ -641,12 +713,20 @@ def _events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
 
 
-@query("W1_throttle_stream")
+_RATE = repr(1 / 720 / 60.0)
+
+
+@query("W1_throttle_stream", "WITH RECURSIVE e AS (SELECT user_id AS client, ts, event_id, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+       "b AS (SELECT client, ts, event_id, now, n, CAST(3.0 AS DOUBLE) AS had FROM e WHERE n = 1 UNION ALL SELECT e.client, e.ts, e.event_id, e.now, e.n, "
+       f"least(CAST(3.0 AS DOUBLE), CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END + greatest(0, e.now - b.now) * CAST({_RATE} AS DOUBLE)) FROM b JOIN e ON e.client = b.client AND e.n = b.n + 1) "
+       f"SELECT client, ts, event_id, had >= 1 AS allowed, CAST(floor(CASE WHEN had >= 1 THEN had - 1 ELSE had END) AS INTEGER) AS remaining, CASE WHEN had < 1 THEN CAST(greatest(1, ceil((1 - had) / CAST({_RATE} AS DOUBLE))) AS INTEGER) END AS retry_after FROM b")
 def throttle(spark, d):
     return guards.throttle(_events(spark, d).withColumnRenamed("user_id", "client"), 3, 1 / 720)
 
 
-@query("W2_dedup_stream_ttl")
+@query("W2_dedup_stream_ttl", "WITH RECURSIVE e AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events), "
+       "r AS (SELECT *, ts AS since, FALSE AS reused FROM e WHERE n = 1 UNION ALL SELECT e.*, CASE WHEN e.ts - r.since < INTERVAL 1440 MINUTE THEN r.since ELSE e.ts END, e.ts - r.since < INTERVAL 1440 MINUTE "
+       "FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1) SELECT user_id, event_type, ts, event_id, reused FROM r")
 def dedup_ttl(spark, d):
     return guards.dedup_ttl(_events(spark, d), ["user_id", "event_type"], 1440)
 
@@ -675,7 +755,7 @@ def analysis_metrics(spark, d):
 @query("W6_streaming_scoring", sq.ORACLES["R13_risk_score"])
 def streaming_scoring(spark, d):
     """The fact view arrives as files of a stream, is scored batch by batch, and read back."""
-    base = _shared(spark)
+    base = files.shared_folder(spark, "scores")
     sq.view(spark, d).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
     guards.streaming_scoring(stream, f"{base}/out", f"{base}/state").awaitTermination()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +34,7 @@ def triage_files(files: DataFrame) -> DataFrame:
     """``path, length, content`` by size first, then by first bytes, then against the name."""
     content = F.col("content")
     starts = lambda magic: F.startswith(F.hex(F.substring(content, 1, len(magic) // 2)), F.lit(magic))
-    holds = lambda data, word: F.contains(F.hex(data), F.hex(F.lit(word)))
+    holds = lambda data, word: F.contains(data, F.lit(word).cast("binary"))
     encrypted = F.conv(F.hex(F.substring(content, 7, 1)), 16, 10).cast("int").bitwiseAND(1) == 1
     sniffed = (
         F.when(starts(ZIP), "zip").when(starts(OLE), "ole").when(holds(F.substring(content, 1, 1024), "%PDF-"), "pdf").otherwise("unknown")
@@ -49,16 +53,17 @@ def triage_files(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, inventory: DataFrame | None = None) -> DataFrame:
-    """Binary files of a lake; content above the limit is never read.
+    """Binary files of a lake; content above the limit is never read: those files' rows come from a scan without the content.
 
     Spark's reader passes over files of zero bytes. Where they are to be
     reported, an ``inventory`` (``path, length``) of the lake names them.
     """
     files = spark.read.format("binaryFile").load(path)
-    files = files.select("path", "length", F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("content"))
+    none = F.lit(None).cast("binary").alias("content")
+    files = files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content").unionAll(files.where(F.col("length") > MAX_BYTES).select("path", "length", none))
     if inventory is None:
         return files
-    return files.unionByName(inventory.where("length = 0").select("path", F.col("length").cast("long"), F.lit(None).cast("binary").alias("content")))
+    return files.unionByName(inventory.where("length = 0").select("path", F.col("length").cast("long"), none))
 
 
 def check_text_encoding(files: DataFrame) -> DataFrame:
@@ -137,3 +142,13 @@ def pseudonymise_client(requests: DataFrame, salt: str) -> DataFrame:
 def incremental_select(wanted: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """S14."""
     return wanted if force else wanted.join(stored.select("doc_id"), "doc_id", "left_anti")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where driver and executors both write: below ``spark.checkpoint.dir``, or a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\[]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="pactlake-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -113,9 +113,38 @@ def dedup_ttl(requests: DataFrame, key: list[str], minutes: int = DEDUP_MINUTES)
     return _fold(requests, key, "reused boolean", None, step)
 
 
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values(["ts", "event_id"])
+
+
+class _Repeats(StatefulProcessor):
+    """Holds when a key's result was last made."""
+
+    def __init__(self, key: list[str], minutes: int):
+        self.key, self.minutes = key, minutes
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("since", "since long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        since = self.state.get()[0] if self.state.exists() else None
+        reused = []
+        for now in frame["ts"].astype("datetime64[us]").astype("int64"):
+            hit = since is not None and now - since < self.minutes * 60_000_000
+            since = since if hit else now
+            reused.append(hit)
+        self.state.update((int(since),))
+        yield frame[[*self.key, "ts", "event_id"]].assign(reused=reused)
+
+    def close(self) -> None:
+        pass
+
+
 def dedup_stream(requests: DataFrame, key: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
-    """W2, streaming: repeats within the watermark are dropped."""
-    return requests.withWatermark("ts", f"{minutes} minutes").dropDuplicatesWithinWatermark(key)
+    """W2, streaming: as :func:`dedup_ttl`, of requests that arrive in order from batch to batch; needs the RocksDB state store."""
+    own = ", ".join(f"`{k}` {requests.schema[k].dataType.simpleString()}" for k in key)
+    return requests.groupBy(*key).transformWithStateInPandas(_Repeats(key, minutes), f"{own}, ts timestamp, event_id long, reused boolean", "Append", "None")
 
 
 def suppression(events: DataFrame) -> DataFrame:
@@ -126,6 +155,37 @@ def suppression(events: DataFrame) -> DataFrame:
     return rows.select("pair", "ts", "event_id", F.coalesce(F.unix_micros("ts") < F.col("until"), F.lit(False)).alias("skipped"))
 
 
+class _Suppressed(StatefulProcessor):
+    """Holds until when a pair's failures last; a later, shorter failure does not shorten it."""
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("until", "until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        until = self.state.get()[0] if self.state.exists() else None
+        out = []
+        times = frame["ts"].astype("datetime64[us]").astype("int64")
+        for ts, event_id, now, minutes in zip(frame["ts"], frame["event_id"], times, frame["ttl_minutes"]):
+            if pd.isna(minutes):
+                out.append((key[0], ts, event_id, until is not None and now < until))
+            else:
+                lapses = int(now + int(minutes) * 60_000_000)
+                until = lapses if until is None else max(until, lapses)
+        if until is not None:
+            self.state.update((int(until),))
+        yield pd.DataFrame(out, columns=["pair", "ts", "event_id", "skipped"])
+
+    def close(self) -> None:
+        pass
+
+
+def suppression_stream(events: DataFrame) -> DataFrame:
+    """W3, streaming: as :func:`suppression`, of events that arrive in order from batch to batch; needs the RocksDB state store."""
+    kind = events.schema["pair"].dataType.simpleString()
+    return events.groupBy("pair").transformWithStateInPandas(_Suppressed(), f"pair {kind}, ts timestamp, event_id long, skipped boolean", "Append", "None")
+
+
 def redeem_join(puts: DataFrame, reads: DataFrame, minutes: int = REDEEM_MINUTES, streaming: bool = False) -> DataFrame:
     """A token is redeemed within the limit and for its own report; works on streams, with watermarks."""
     if streaming:

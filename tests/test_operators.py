@@ -1,7 +1,10 @@
 """Behaviour of the contract operators on small rows."""
 
 import datetime
+import random
+import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,9 +13,9 @@ from pactlake import registry
 from pactlake.functions import text as tx
 from pactlake.functions.predicates import compile_predicate
 from pactlake.functions.spans import match_spans
-from pactlake.operators import canonical, consistency, grounding, legal_aid, remedies, report, rubric
+from pactlake.operators import canonical, consistency, grounding, legal_aid, remedies, report, rubric, statutes
 from pactlake.plans import derive, score_queries, text_queries
-from pactlake.plans.rules import CONSTRUCTS, NUMBERS, RULES
+from pactlake.plans.rules import BENCHMARKS, CONSTRUCTS, EXPLANATIONS, NUMBERS, QUESTIONS, RULES, inputs
 from pactlake.sources import files
 from pactlake.streaming import guards
 
@@ -280,6 +283,96 @@ def test_throttle_stream_equals_its_batch_twin(spark, tmp_path):
     assert found.count() == 40 and found.exceptAll(twin).count() == 0 and not all(r["allowed"] for r in found.collect())
 
 
+def run_stream(spark, tmp_path, name, batches, transform):
+    """The rows of a stream that reads one file per batch."""
+    for i, batch in enumerate(batches):
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        out = transform(spark.readStream.schema(batch.schema).parquet(str(tmp_path / name / "in")))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    return spark.read.parquet(str(tmp_path / name / "out"))
+
+
+def test_reuse_and_suppression_streams_equal_their_batch_twins(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    minute = lambda m: base + datetime.timedelta(minutes=m)
+    requests = [("ab"[i % 2], minute(7 * i), i) for i in range(24)]
+    parts = [spark.createDataFrame(requests[:13], "client string, ts timestamp, event_id long"), spark.createDataFrame(requests[13:], "client string, ts timestamp, event_id long")]
+    found = run_stream(spark, tmp_path, "reuse", parts, lambda s: guards.dedup_stream(s, ["client"]))
+    twin = guards.dedup_ttl(parts[0].union(parts[1]), ["client"])
+    assert found.count() == 24 and found.exceptAll(twin.select(found.columns)).count() == 0 and {r["reused"] for r in found.collect()} == {True, False}
+    rows = [(i % 2, minute(9 * i), i, (60 if i % 5 == 0 else 10) if i % 5 in (0, 2) else None) for i in range(30)]
+    parts = [spark.createDataFrame(x, "pair long, ts timestamp, event_id long, ttl_minutes int") for x in (rows[:11], rows[11:])]
+    found = run_stream(spark, tmp_path, "ban", parts, guards.suppression_stream)
+    twin = guards.suppression(parts[0].union(parts[1]))
+    assert found.count() == 18 and found.exceptAll(twin.select(found.columns)).count() == 0 and {r["skipped"] for r in found.collect()} == {True, False}
+
+
+def test_interval_join_and_metrics_streams_equal_their_batch_twins(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(base + datetime.timedelta(minutes=11 * i), "abc"[i % 3], i) for i in range(40)] + [(base + datetime.timedelta(days=9), "a", 1)], "ts timestamp, document_type string, score int")
+    found = run_stream(spark, tmp_path, "metrics", [log], lambda s: guards.analysis_metrics(s, streaming=True))
+    twin = guards.analysis_metrics(log.where("ts < '2024-01-05'"))
+    assert found.exceptAll(twin).count() == 0 and found.count() == twin.count()
+
+
+def test_oversized_files_are_reported_and_not_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MAX_BYTES", 100)
+    (tmp_path / "a.txt").write_bytes(b"fine")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-" + b"x" * 5000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        found = {r["path"].rsplit("/", 1)[1]: r["outcome"] for r in files.triage_files(files.read_files(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert found == {"a.txt": "text", "b.pdf": "rejected:too_large"}
+
+
+def test_texts_without_findings_and_quotes_without_text_stay(spark):
+    docs = spark.createDataFrame([(1, "a text without any finding"), (2, "the tenant shall pay the rent on time")], "doc_id long, text string")
+    quotes = spark.createDataFrame([(2, 1, "tenant shall pay the rent on", "payment"), (9, 1, "a quote whose document is nowhere", "payment"), (9, 2, None, "payment")], "doc_id long, ord int, quote string, category string")
+    found = grounding.verify_findings(quotes, docs)
+    assert sorted((r["doc_id"], r["ord"], r["status"], r["reason"], r["start"]) for r in found.collect()) == [(2, 1, "grounded", None, 4), (9, 1, "unverified", "not_found", None), (9, 2, "unverified", "quote_empty", None)]
+    pieces = grounding.highlight_spans(found, docs).orderBy("doc_id", "start").collect()
+    assert [tuple(r) for r in pieces] == [(1, 0, 26, None), (2, 0, 4, None), (2, 4, 32, 1), (2, 32, 37, None)]
+    stats = {r["doc_id"]: r for r in grounding.grounding_stats(found).collect()}
+    assert stats[9]["not_found"] == stats[9]["quote_empty"] == 1 and stats[2]["exact"] == 1
+
+
+def test_window_scores_equal_brute_force():
+    rng = random.Random(6)
+    document, quote = "".join(rng.choice("abc ") for _ in range(300)), "".join(rng.choice("abc ") for _ in range(30))
+
+    def dice(a, b):
+        x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a, b))
+        return 2 * sum((x & y).values()) / (len(a) + len(b) - 2)
+
+    scores = [dice(document[p : p + 30], quote) for p in range(270)]
+    at, score = grounding._Windows(document, quote).best(0, 269, 1)
+    assert score == pytest.approx(max(scores)) and at == max(range(270), key=lambda p: (round(scores[p], 12), -p))
+
+
+def test_many_matches_take_linear_time(spark):
+    text = "12, " * 50_000
+    row = spark.createDataFrame([(text,)], "text string").select(match_spans(F.col("text"), r"\d+").alias("m")).select(F.size("m").alias("n"), F.element_at("m", -1).alias("last")).first()
+    assert row["n"] == 50_000 and tuple(row["last"]) == (199_996, 199_998, "12")
+
+
+def test_every_rule_has_a_text_of_its_own_numbers():
+    assert set(EXPLANATIONS) == {r[0] for r in RULES} and set(QUESTIONS) | set(BENCHMARKS) <= set(EXPLANATIONS)
+    for rule in RULES:
+        assert set(re.findall(r"\{(\w+)\}", EXPLANATIONS[rule[0]])) <= set(inputs(rule[6]))
+
+
+def test_evidence_falls_back_to_the_first_finding_of_the_category(spark):
+    verdicts = spark.createDataFrame([(1, "self_help_remedy", "x"), (1, "post_employment_non_compete", "y"), (2, "cross_default", "z")], "doc_id long, construct string, verdict string")
+    evidence = spark.createDataFrame([(1, "self_help_remedy", 5, 9)], "doc_id long, name string, start int, end int")
+    findings = spark.createDataFrame([(1, 2, "restraint_of_trade", 30, 40), (1, 1, "restraint_of_trade", 50, 60)], "doc_id long, ord int, category string, start int, end int")
+    found = {r["construct"]: (r["start"], r["end"]) for r in statutes.with_evidence(verdicts, evidence, findings).collect()}
+    assert found == {"self_help_remedy": (5, 9), "post_employment_non_compete": (50, 60), "cross_default": (None, None)}
+
+
 def test_hits_do_not_extend_their_age(spark):
     rows = guards.dedup_ttl(events(spark, [0, 20, 29, 30, 45]), ["client"]).orderBy("event_id").collect()
     assert [r["reused"] for r in rows] == [False, True, True, False, True]
