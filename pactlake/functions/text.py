@@ -58,10 +58,14 @@ def folded(text: Column) -> Column:
 
 _MAPPED = {c: k for k, v in FOLDED.items() for c in v}
 _IS_SPACE = re.compile(f"[{SPACE}]")
+_ASCII_SPACE = re.compile("[\t\n\x0b\x0c\r ]")
+_UNEVEN = re.compile("^[\t\n\x0b\x0c\r ]|[\t\n\x0b\x0c\r ]{2}|[\t\n\x0b\x0c\r ]\\Z|[\x1c-\x1f]")
 
 
 def fold_with_offsets(text: str) -> tuple[str, list[int]]:
     """The folded text and each of its characters' place in the text; a collapsed space has the next kept character's."""
+    if text.isascii() and not _UNEVEN.search(text):  # nothing collapses, so places only shift at spaces
+        return _ASCII_SPACE.sub(" ", text).lower(), [i + c.isspace() for i, c in enumerate(text)]
     out, offsets, pending = [], [], False
     for i, c in enumerate(text):
         if c in INVISIBLE:

@@ -186,19 +186,37 @@ def figure_word_mismatch(docs: DataFrame) -> DataFrame:
     return _rows(docs, mismatches_of(F.col("text")))
 
 
-def concept_near(text: Column, start: Column, end: Column) -> Column:
-    """The closest concept within the window of a span, or null."""
-    first = F.greatest(F.lit(0), start - CONCEPT_WINDOW)
+def _place_of(match: Column) -> Column:
+    """The number of the concept that a match of ``ANY_CONCEPT`` is."""
+    place = F.lit(len(CONCEPTS))
+    for i, (_, pattern, _) in reversed(list(enumerate(CONCEPTS))):
+        place = F.when(match.rlike(pattern), i).otherwise(place)
+    return place
+
+
+def _nearest(concepts: Column, start: Column, end: Column) -> Column:
+    """The least ``distance, place`` of concepts (``start, end, place``) to a span; earlier concepts win ties."""
+    distance = lambda m: F.when(m["end"] <= start, start - m["end"]).otherwise(F.greatest(F.lit(0), m["start"] - end))
+    return F.array_min(F.transform(concepts, lambda m: F.struct(distance(m).alias("distance"), m["place"].alias("place"))))
 
-    def nearest(m: Column) -> Column:
-        place = F.lit(len(CONCEPTS))
-        for i, (_, pattern, _) in reversed(list(enumerate(CONCEPTS))):  # earlier concepts win ties
-            place = F.when(m["text"].rlike(pattern), i).otherwise(place)
-        distance = F.when(m["end"] <= start - first, start - first - m["end"]).otherwise(F.greatest(F.lit(0), m["start"] - (end - first)))
-        return F.struct(distance.alias("distance"), place.alias("place"))
 
-    best = F.array_min(F.transform(match_spans(piece(text, first, end + CONCEPT_WINDOW), ANY_CONCEPT), nearest))
-    return F.try_element_at(F.array(*[F.lit(c) for c, _, _ in CONCEPTS]), best["place"] + 1)
+def concepts_of(text: Column) -> Column:
+    return F.transform(match_spans(text, ANY_CONCEPT), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), _place_of(m["text"]).alias("place")))
+
+
+def concept_near(text: Column, start: Column, end: Column, concepts: Column | None = None) -> Column:
+    """The closest concept within the window of a span, or null.
+
+    The window is cut out of the text, so that a word cut at its edge may read as
+    a concept. ``concepts``, those of the whole text, settle all spans that have
+    one well inside.
+    """
+    first = F.greatest(F.lit(0), start - CONCEPT_WINDOW)
+    name = lambda best: F.try_element_at(F.array(*[F.lit(c) for c, _, _ in CONCEPTS]), best["place"] + 1)
+    cut = name(_nearest(concepts_of(piece(text, first, end + CONCEPT_WINDOW)), start - first, end - first))
+    if concepts is None:
+        return cut
+    return let(_nearest(concepts, start, end), lambda best: F.when(best["distance"] <= CONCEPT_WINDOW // 2, name(best)).otherwise(cut))
 
 
 def nearest_concept(spans: DataFrame) -> DataFrame:
@@ -224,8 +242,12 @@ def quantities_of(text: Column) -> Column:
         return F.transform(match_spans(text, pattern), lambda m: let(rupees(m["text"]), lambda v: stated(family, v, m["start"], m["end"])))
 
     found = F.array_compact(F.concat(F.transform(match_spans(text, DURATION), duration), amounts(MONEY, "money"), amounts(RATE, "rate")))
-    named = F.transform(found, lambda q: F.struct(concept_near(text, q["start"], q["end"]).alias("concept"), q["family"].alias("family"), q["value"].alias("value"), q["start"].alias("start"), q["end"].alias("end")))
-    return F.filter(named, lambda q: q["concept"].isNotNull())
+    fields = ("family", "value", "start", "end")
+
+    def named(concepts: Column) -> Column:
+        return F.transform(found, lambda q: F.struct(concept_near(text, q["start"], q["end"], concepts).alias("concept"), *[q[f].alias(f) for f in fields]))
+
+    return F.filter(let(concepts_of(text), named), lambda q: q["concept"].isNotNull())
 
 
 def extract_quantities(docs: DataFrame) -> DataFrame:
