@@ -14,7 +14,13 @@ from pactlake.llm.common import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.
+
+    This and the other stages take nulls in any column, empty and very long
+    texts, repeated rows, empty tables and extra columns of any name as the
+    operator that they call defines them; extra columns pass through. Rows with a
+    null ``doc_id`` are never near copies.
+    """
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,10 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near duplicates are texts whose sets of 5-word shingles have a Jaccard
     similarity of 0.8 or more; it is computed for every pair that SimHash
     proposes. Such texts differ in up to about ten bits of a fingerprint, more
-    than an exact search reaches at scale. Three views within six bits each
-    propose nearly all of them (figures in the README).
+    than an exact search reaches at scale. A view within six bits proposes about
+    half of the short texts that are just alike; six views propose nearly all of
+    them (figures in the README).
     """
-    return simhash.keep_one_alike(docs, similarity=0.8, words=5, radius=6, views=3)
+    return simhash.keep_one_alike(docs, similarity=0.8, words=5, radius=6, views=6)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifier and the bit-sliced links have no SQL form; tests compare with brute force.
+#: The classifier and the bit-sliced links have no SQL form; tests compare every stage with plain Python.
 ORACLE_SQL = None
 
 
