@@ -702,7 +702,16 @@ def assemble_report(spark, d):
     return r.select("doc_id", "kind", "reason", "score", "band", F.size("drivers").alias("drivers"), F.size("verdicts").alias("verdicts"), F.size("next_steps").alias("next_steps"))
 
 
-@query("V_clause_view")
+_FAVOURS = "CASE CAST(obligation_on = 'counterparty' AS INTEGER) + CAST(benefits = 'you' AS INTEGER) WHEN 2 THEN 'you' WHEN 1 THEN 'both' ELSE 'counterparty' END"
+_CHALLENGED = ", ".join(repr(v) for v in report.CHALLENGED)
+
+
+@query("V_clause_view", f"WITH {_DRIVEN}, o AS ({sq.ORACLES['E3_order_verdicts']}), cv AS (SELECT doc_id, construct, arg_max(verdict, place) AS verdict, arg_max(confidence, place) AS confidence, arg_max(section, place) AS section, "
+       "arg_max(statute_order, place) * 9 AS s, min(place) AS first FROM o GROUP BY doc_id, construct), hit AS (SELECT l.doc_id, l.ord, arg_min(verdict, first) AS verdict, arg_min(confidence, first) AS confidence, arg_min(section, first) AS section "
+       "FROM loc l JOIN cv ON l.doc_id = cv.doc_id AND s < l.\"end\" AND l.start < s + 4 WHERE status = 'grounded' GROUP BY l.doc_id, l.ord) "
+       f"SELECT l.doc_id, l.ord, l.category, dr.rule_id, hit.verdict, {_FAVOURS} AS favours, CASE WHEN hit.verdict IN ({_CHALLENGED}) THEN 'challenged' WHEN dr.severity IN ('medium', 'high', 'critical') THEN 'risky' "
+       "WHEN benefits = 'you' THEN 'favourable' ELSE 'standard' END AS signal, CASE WHEN hit.confidence = 'low' THEN 'depends_on_your_state' ELSE 'confident' END AS certainty, coalesce('ask about ' || section, 'accept') AS actions "
+       "FROM loc l LEFT JOIN dr ON l.doc_id = dr.doc_id AND l.ord = dr.ord LEFT JOIN hit ON l.doc_id = hit.doc_id AND l.ord = hit.ord WHERE l.status = 'grounded'")
 def clause_view(spark, d):
     placed, drivers, verdicts, _ = _clauses(spark, d)
     return report.clause_view(placed, drivers, verdicts)
