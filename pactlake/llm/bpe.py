@@ -38,7 +38,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-_CACHED = 1 << 18  # pieces remembered by a worker
+_CACHED = 1 << 18  # pieces, parts and windows of each kind remembered by a worker
+_SHORT = 16  # bytes of a part or window that is remembered
 
 
 class Tokenizer:
@@ -51,6 +52,8 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self._pieces: dict[str, bytes] = {}
         self._stable: dict[tuple[int, int], bool] = {}
+        self._parts: dict[bytes, list[int]] = {}
+        self._windows: dict[bytes, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding of a short byte string: of all adjacent parts the pair of lowest rank merges, the leftmost first."""
@@ -68,6 +71,17 @@ class Tokenizer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [whole] if parts else []
 
+    def window(self, data: bytes) -> list[int]:
+        """:meth:`merge`, remembered: the same few bytes meet at many seams."""
+        known = self._windows.get(data)
+        if known is None:
+            known = self.merge(data)
+            if len(data) <= _SHORT:
+                if len(self._windows) >= _CACHED:
+                    self._windows.clear()
+                self._windows[data] = known
+        return known
+
     def stable(self, a: int, b: int) -> bool:
         """Whether the bytes of two tokens encode to these two."""
         known = self._stable.get((a, b))
@@ -78,11 +92,18 @@ class Tokenizer:
         return known
 
     def encode_bytes(self, data: bytes) -> list[int]:
-        """Halves first, then their seam; a single byte is a token."""
+        """Halves first, then their seam; a single byte is a token. Short parts are remembered; no caller changes a result."""
         if len(data) < 2:
             return [self.ranks[data]] if data else []
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        known = self._parts.get(data)
+        if known is None:
+            half = len(data) // 2
+            known = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            if len(data) <= _SHORT:
+                if len(self._parts) >= _CACHED:
+                    self._parts.clear()
+                self._parts[data] = known
+        return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings, one after the other."""
@@ -92,7 +113,7 @@ class Tokenizer:
             return left + right
         i = j = 1  # the window: so many tokens on each side of the seam
         while True:
-            window = self.merge(self.decode(left[-i:]) + self.decode(right[:j]))
+            window = self.window(self.decode(left[-i:]) + self.decode(right[:j]))
             grow_left = i < len(left) and not self.stable(left[-i - 1], window[0])
             grow_right = j < len(right) and not self.stable(window[-1], right[j])
             if not grow_left and not grow_right:
