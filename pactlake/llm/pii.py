@@ -48,7 +48,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import fresh, stage, text_or_empty
+from pactlake.llm.common import fresh, stage
 
 #: Given names by gender and script; fixed values.
 GIVEN = {
