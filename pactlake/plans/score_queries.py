@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pactlake.functions.predicates import compile_predicate, predicate_sql
 from pactlake.operators import legal_aid, remedies, rubric, statutes
 from pactlake.plans import derive
-from pactlake.plans.rules import BANDS, CONSTRUCTS, EXPLANATIONS, LIMITATIONS, NUMBERS, PREREQUISITES, RULES, SATURATION, STAGES, STATUTES, TIER_CAPS, VERDICT_WEIGHTS, FORUMS, inputs, question, title
+from pactlake.plans.rules import BANDS, CONSTRUCTS, EXPLANATIONS, LIMITATIONS, NUMBERS, PREREQUISITES, RULES, SATURATION, STAGES, STATUTES, TIER_CAPS, VERDICT_WEIGHTS, FORUMS, inputs, question
 
 QUERIES, ORACLES = {}, {}
 
