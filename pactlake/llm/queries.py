@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactlake.llm import bpe, chat, exact_dedup, packing, pii, secrets, simhash, topk, toxicity, warc
+from pactlake.llm import alignment, bpe, chat, exact_dedup, packing, periodic, pii, secrets, simhash, topk, toxicity, transducer, warc
 from pactlake.llm.common import table
 
 
@@ -62,6 +62,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.alignment(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN, {"groups_sha256": digest})
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = transducer.token_counts(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.described(periodic.periodic_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 OP1_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -116,6 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op3_topk": OP3_SQL, "op6_exact_dedup": OP6_SQL}
