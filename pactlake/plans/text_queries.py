@@ -755,9 +755,14 @@ def redeem_join(spark, d):
     return guards.redeem_join(puts, reads, 1440).select("token", "put_id", "read_id")
 
 
-@query("W5_analysis_metrics", "SELECT date_trunc('hour', ts) AS hour, event_type AS document_type, count(*) AS analyses, round(sum(value), 3) AS score FROM events GROUP BY ALL")
+_REASON = "CASE WHEN event_type = 'error' THEN CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN 'ingest' WHEN 1 THEN 'quota' WHEN 2 THEN 'model' WHEN 3 THEN 'unknown' ELSE 'timeout' END END"
+
+
+@query("W5_analysis_metrics", f"WITH e AS (SELECT date_trunc('hour', ts) AS hour, event_type, value, {_REASON} AS reason FROM events) SELECT hour, CASE WHEN reason IS NULL THEN event_type END AS document_type, count(*) FILTER (reason IS NULL) AS analyses, "
+       "round(sum(value) FILTER (reason IS NULL), 3) AS score, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS failed_{r}" for r in guards.FAILURES[:3]) + ", count(*) FILTER (reason IN ('unknown', 'timeout')) AS failed_unknown FROM e GROUP BY 1, 2")
 def analysis_metrics(spark, d):
-    e = _events(spark, d).select("ts", F.col("event_type").alias("document_type"), F.col("value").alias("score"))
+    """Events of the kind ``error`` are failed analyses, of reasons by their number."""
+    e = _events(spark, d).select("ts", F.col("event_type").alias("document_type"), F.col("value").alias("score"), F.expr(_REASON.replace("INTEGER", "INT")).alias("failure"))
     return guards.analysis_metrics(e).withColumn("score", F.round("score", 3))
 
 

@@ -265,56 +265,112 @@ def test_guards_do_not_hold_a_key_in_one_row(spark):
     assert {(r["client"], r["event_id"]): r["reused"] for r in reused} == fresh
 
 
-def test_throttle_stream_equals_its_batch_twin(spark, tmp_path):
-    base = datetime.datetime(2024, 1, 1)
-    rows = [(c, base + datetime.timedelta(seconds=2 * i), i) for c in "ab" for i in range(20)]
-    batch = spark.createDataFrame(rows, "client string, ts timestamp, event_id long")
-    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = guards.throttle_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
-    q = out.writeStream.format("memory").queryName("throttled").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
-    try:  # state that expires by processing time never lets the query end by itself
-        until = time.monotonic() + 60
-        while q.isActive and spark.table("throttled").count() < 40 and time.monotonic() < until:
-            time.sleep(1)
-    finally:
-        q.stop()
-    key = ["client", "ts", "event_id", "allowed", "remaining", "retry_after"]
-    found, twin = spark.table("throttled").select(key), guards.throttle(batch).select(key)
-    assert found.count() == 40 and found.exceptAll(twin).count() == 0 and not all(r["allowed"] for r in found.collect())
-
-
 def run_stream(spark, tmp_path, name, batches, transform):
-    """The rows of a stream that reads one file per batch."""
-    for i, batch in enumerate(batches):
+    """The rows of a stream that reads one file per batch, and the progress of its last run."""
+    for batch in batches:
         batch.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
         out = transform(spark.readStream.schema(batch.schema).parquet(str(tmp_path / name / "in")))
         q = out.writeStream.format("parquet").option("path", str(tmp_path / name / "out")).option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
+        assert q.awaitTermination(120) and q.exception() is None
+        run_stream.progress = q.recentProgress
     return spark.read.parquet(str(tmp_path / name / "out"))
 
 
-def test_reuse_and_suppression_streams_equal_their_batch_twins(spark, tmp_path):
-    base = datetime.datetime(2024, 1, 1)
-    minute = lambda m: base + datetime.timedelta(minutes=m)
-    requests = [("ab"[i % 2], minute(7 * i), i) for i in range(24)]
-    parts = [spark.createDataFrame(requests[:13], "client string, ts timestamp, event_id long"), spark.createDataFrame(requests[13:], "client string, ts timestamp, event_id long")]
-    found = run_stream(spark, tmp_path, "reuse", parts, lambda s: guards.dedup_stream(s, ["client"]))
-    twin = guards.dedup_ttl(parts[0].union(parts[1]), ["client"])
-    assert found.count() == 24 and found.exceptAll(twin.select(found.columns)).count() == 0 and {r["reused"] for r in found.collect()} == {True, False}
+BASE = datetime.datetime(2024, 1, 1)
+
+
+def minute(m):
+    return BASE + datetime.timedelta(minutes=m)
+
+
+@pytest.mark.parametrize("name,guard,twin", [
+    ("bucket", lambda s: guards.throttle_stream(s, 3, 1 / 40, "30 minutes"), lambda b: guards.throttle(b, 3, 1 / 40)),
+    ("reuse", lambda s: guards.dedup_stream(s, ["client"], 30, "30 minutes"), lambda b: guards.dedup_ttl(b, ["client"], 30)),
+])
+def test_guard_streams_equal_their_batch_twins(spark, tmp_path, name, guard, twin):
+    """Rows out of order within the delay, over two runs that end by themselves; a late row is dropped; rows of the same time follow their ids."""
+    rng = random.Random(8)
+    order = sorted(range(60), key=lambda i: 7 * i + rng.uniform(0, 28))
+    rows = [("abc"[i % 3], minute(7 * i if i % 9 else 7 * i - 7), i) for i in order]
+    kind = "client string, ts timestamp, event_id long"
+    late, closing = [("a", minute(1), 900), ("a", None, 901)], [("z", minute(9000), 999)]
+    parts = [spark.createDataFrame(x, kind) for x in (rows[:25], rows[25:], closing, late)]
+    found = run_stream(spark, tmp_path, name, parts, guard)
+    whole = twin(parts[0].union(parts[1]))
+    assert found.count() == 60 and found.exceptAll(whole.select(found.columns)).count() == 0
+    assert len({tuple(r)[3] for r in found.collect()}) == 2  # both decisions occur
+    assert sum(int(p["stateOperators"][0]["numRowsDroppedByWatermark"]) for p in run_stream.progress if p["stateOperators"]) == 1
+
+
+def test_suppression_stream_equals_its_batch_twin(spark, tmp_path):
     rows = [(i % 2, minute(9 * i), i, (60 if i % 5 == 0 else 10) if i % 5 in (0, 2) else None) for i in range(30)]
-    parts = [spark.createDataFrame(x, "pair long, ts timestamp, event_id long, ttl_minutes int") for x in (rows[:11], rows[11:])]
-    found = run_stream(spark, tmp_path, "ban", parts, guards.suppression_stream)
+    random.Random(2).shuffle(rows)
+    kind = "pair long, ts timestamp, event_id long, ttl_minutes int"
+    parts = [spark.createDataFrame(x, kind) for x in (rows[:11], rows[11:], [(7, minute(9000), 99, None)])]
+    found = run_stream(spark, tmp_path, "ban", parts, lambda s: guards.suppression_stream(s, "5 hours"))
     twin = guards.suppression(parts[0].union(parts[1]))
     assert found.count() == 18 and found.exceptAll(twin.select(found.columns)).count() == 0 and {r["skipped"] for r in found.collect()} == {True, False}
 
 
+def test_guards_forget_idle_keys(spark, tmp_path):
+    """After the watermark has passed what a key remembers, its state, its waiting rows and its timers are gone."""
+    parts = [spark.createDataFrame(x, "client long, ts timestamp, event_id long") for x in ([(i, minute(i % 5), i) for i in range(200)], [(-1, minute(600), 998)], [(-1, minute(1200), 999)])]
+    run_stream(spark, tmp_path, "idle", parts, lambda s: guards.throttle_stream(s, 3, 1 / 10, "1 minute"))
+    for table in ("state", "waiting"):
+        held = spark.read.format("statestore").option("path", str(tmp_path / "idle" / "state")).option("stateVarName", table).load()
+        assert {r["key"][0] for r in held.select("key").collect()} <= {-1}, table
+
+
+def test_suppression_blocks_equal_one_window(spark):
+    """Few pairs with long histories, rows of the same time, and rows without a time: two levels give what one window gives."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 0, 1]), None if rng.random() < 0.02 else minute(rng.randrange(3000)), i, rng.choice([None, None, 5, 90, 700])) for i in range(3000)]
+    events = spark.createDataFrame(rows, "pair long, ts timestamp, event_id long, ttl_minutes int")
+    expected = []
+    for pair in (None, 0, 1):
+        until = None
+        for _, ts, i, ttl in sorted((r for r in rows if r[0] == pair), key=lambda r: (r[1] is not None, r[1] or BASE, r[2])):
+            if ttl is None:
+                expected.append((i, until is not None and ts is not None and ts < until))
+            elif ts is not None:
+                until = max(until or ts, ts + datetime.timedelta(minutes=ttl))
+    found = guards.suppression(events, block_minutes=20)
+    assert sorted((r["event_id"], r["skipped"]) for r in found.collect()) == sorted(expected)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(pair#\d+L?, block#\d+L", plan)
+    assert dealt and events.where("pair = 0").select(F.floor(F.unix_micros("ts") / 1_200_000_000)).distinct().count() > 100  # so many groups of one pair
+
+
+def test_redeem_join_deals_out_a_hot_token(spark):
+    """One token with thousands of puts: the join's keys hold the slice, and its rows are those of all pairs."""
+    puts = spark.range(4000).select(F.col("id").alias("put_id"), (F.lit(BASE) + F.make_dt_interval(mins=F.col("id"))).alias("put_ts"), F.lit(1).alias("token"), F.lit(2).alias("report_id"))
+    reads = spark.range(900).select(F.col("id").alias("read_id"), (F.lit(BASE) + F.make_dt_interval(mins=F.col("id") * 5, secs=F.lit(30))).alias("read_ts"), F.lit(1).alias("token"), (F.col("id") % 2 + 1).alias("report_id"))
+    found = guards.redeem_join(puts, reads)
+    expected = {(p, r) for r in range(900) if r % 2 for p in range(max(0, 5 * r - 14), 5 * r + 1) if p < 4000}
+    pairs = [(r["put_id"], r["read_id"]) for r in found.collect()]
+    assert set(pairs) == expected and len(pairs) == len(expected)
+    per_key = puts.withColumn("slice", F.floor(F.unix_micros("put_ts") / 900_000_000)).groupBy("slice").count().agg(F.max("count")).first()[0]
+    assert per_key <= 15 and "__slice" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_interval_join_and_metrics_streams_equal_their_batch_twins(spark, tmp_path):
-    base = datetime.datetime(2024, 1, 1)
-    log = spark.createDataFrame([(base + datetime.timedelta(minutes=11 * i), "abc"[i % 3], i) for i in range(40)] + [(base + datetime.timedelta(days=9), "a", 1)], "ts timestamp, document_type string, score int")
+    reasons = [None, None, "ingest", "quota", "model", "unknown", "something else"]
+    log = spark.createDataFrame([(minute(11 * i), "abc"[i % 3], i, reasons[i % 7]) for i in range(40)] + [(minute(9 * 1440), "a", 1, None)], "ts timestamp, document_type string, score int, failure string")
     found = run_stream(spark, tmp_path, "metrics", [log], lambda s: guards.analysis_metrics(s, streaming=True))
     twin = guards.analysis_metrics(log.where("ts < '2024-01-05'"))
     assert found.exceptAll(twin).count() == 0 and found.count() == twin.count()
+    total = twin.agg(*[F.sum(c).alias(c) for c in twin.columns if c.startswith(("failed", "analyses"))]).first().asDict()
+    assert total == {"analyses": 12, "failed_ingest": 6, "failed_quota": 6, "failed_model": 6, "failed_unknown": 10}
+    puts = spark.createDataFrame([(1, minute(0), 1, 1), (2, minute(20), 1, 1)], "put_id long, put_ts timestamp, token long, report_id long")
+    reads = spark.createDataFrame([(5, minute(14), 1, 1), (6, minute(21), 1, 1), (7, minute(36), 1, 1), (8, minute(9000), 9, 9)], "read_id long, read_ts timestamp, token long, report_id long")
+
+    def join(s):
+        puts_ = spark.readStream.schema(puts.schema).parquet(str(tmp_path / "puts"))
+        return guards.redeem_join(puts_, s, streaming=True)
+
+    puts.write.parquet(str(tmp_path / "puts"))
+    found = run_stream(spark, tmp_path, "redeem", [reads], join)
+    assert sorted((r["put_id"], r["read_id"]) for r in found.collect()) == [(1, 5), (2, 6)]
 
 
 def test_oversized_files_are_reported_and_not_read(spark, tmp_path, monkeypatch):
