@@ -22,8 +22,8 @@ Decoding concatenates the tokens' bytes up a balanced tree.
 Edge cases: a null or empty text has no tokens, and its digests are those of
 the empty string; texts of any length are cut at the pattern's matches, never
 truncated; bytes that the ranks do not have raise ``KeyError``; repeated rows
-repeat their results; an empty table gives an empty result; extra columns are
-ignored.
+repeat their results; a null ``doc_id`` stays null; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame
 
 _CACHED = 1 << 18  # pieces, parts and windows of each kind remembered by a worker
 _SHORT = 16  # bytes of a part or window that is remembered
+_NAIVE = 48  # bytes up to which pairs are searched without a heap
 
 
 class Tokenizer:
@@ -53,10 +55,13 @@ class Tokenizer:
         self._pieces: dict[str, bytes] = {}
         self._stable: dict[tuple[int, int], bool] = {}
         self._parts: dict[bytes, list[int]] = {}
+        self._recent: dict[int, list[tuple[bytes, list[int]]]] = {}
         self._windows: dict[bytes, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """The encoding of a short byte string: of all adjacent parts the pair of lowest rank merges, the leftmost first."""
+        """The encoding of a byte string: of all adjacent parts the pair of lowest rank merges, the leftmost first."""
+        if len(data) > _NAIVE:
+            return self._merge_long(data)
         ranks = self.ranks
         whole = ranks.get(data)
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -71,6 +76,32 @@ class Tokenizer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [whole] if parts else []
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """:meth:`merge` with a heap of pairs over a linked list of parts, in ``n log n`` steps."""
+        n, rank_of = len(data), self.ranks.get
+        end = list(range(1, n + 1))  # of the part that begins here; 0 if none does
+        before = list(range(-1, n))  # where the part before begins
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := rank_of(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue  # one of the two parts has grown or gone
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                if (rank := rank_of(data[i : end[stop]])) is not None:
+                    heappush(heap, (rank, i, end[stop]))
+            k = before[i]
+            if k >= 0 and (rank := rank_of(data[k:stop])) is not None:
+                heappush(heap, (rank, k, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : end[i]]])
+            i = end[i]
+        return out
+
     def window(self, data: bytes) -> list[int]:
         """:meth:`merge`, remembered: the same few bytes meet at many seams."""
         known = self._windows.get(data)
@@ -91,18 +122,29 @@ class Tokenizer:
             known = self._stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
-    def encode_bytes(self, data: bytes) -> list[int]:
-        """Halves first, then their seam; a single byte is a token. Short parts are remembered; no caller changes a result."""
+    def encode_bytes(self, data: bytes, depth: int = 0) -> list[int]:
+        """Halves first, then their seam; a single byte is a token.
+
+        Short parts are remembered, and the last two longer ones of each depth: a
+        rule of one character is halved into equal parts. No caller changes a result.
+        """
         if len(data) < 2:
             return [self.ranks[data]] if data else []
         known = self._parts.get(data)
+        if known is None:
+            recent = self._recent.setdefault(depth, []) if len(data) > _SHORT else []
+            known = next((ids for part, ids in recent if part == data), None)
         if known is None:
             half = len(data) // 2
-            known = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            known = self.join(self.encode_bytes(data[:half], depth + 1), self.encode_bytes(data[half:], depth + 1))
             if len(data) <= _SHORT:
                 if len(self._parts) >= _CACHED:
                     self._parts.clear()
                 self._parts[data] = known
+            else:
+                recent[:] = [(data, known), *recent[:1]]
+        if not depth:
+            self._recent.clear()
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -118,8 +160,8 @@ class Tokenizer:
             grow_right = j < len(right) and not self.stable(window[-1], right[j])
             if not grow_left and not grow_right:
                 return left[:-i] + window + right[j:]
-            i = min(len(left), 2 * i) if grow_left else i
-            j = min(len(right), 2 * j) if grow_right else j
+            i = min(len(left), 4 * i) if grow_left else i
+            j = min(len(right), 4 * j) if grow_right else j
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree: halves first, then their bytes."""

@@ -44,10 +44,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactlake.llm.common import stage
+from pactlake.llm.common import fresh, stage
 
 _LANES = np.uint64(0x0101010101010101)
 _STEP = 0x9E3779B97F4A7C15  # this and the two factors of _of_view: the public SplitMix64 mixer
@@ -101,9 +101,10 @@ def _set_id(values: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, views: int = 1, set_words: int = 0) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long) of whole texts; further views are ``fp1``, ``fp2``, ...
+    """``doc_id, digest, fp`` (the fingerprint's bits as a signed long) of whole texts; further views are ``fp1``, ``fp2``, ...
 
-    With ``set_words``, also ``node`` and ``size``: hash and size of the set of shingles of so many words.
+    ``digest`` tells rows of one id apart. With ``set_words``, also ``node`` and
+    ``size``: hash and size of the set of shingles of so many words.
     """
     names = ["fp", *(f"fp{view}" for view in range(1, views)), *(["node", "size"] if set_words else [])]
 
@@ -112,16 +113,30 @@ def fingerprints(docs: DataFrame, views: int = 1, set_words: int = 0) -> DataFra
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 values = np.zeros((len(names), part.num_rows), np.uint64)
-                for i, text in enumerate(part.column(1).to_pylist()):
+                for i, text in enumerate(part.column(2).to_pylist()):
                     hashes = _shingle_hashes(text, 3, 42)
                     values[:views, i] = [_majority(_of_view(hashes, view)) for view in range(views)]
                     if set_words:
                         own = _shingle_set(text, set_words)
                         values[views:, i] = np.array([_set_id(own), len(own)], np.int64).view(np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, values.view(np.int64))], names=["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *map(pa.array, values.view(np.int64))], names=["doc_id", "digest", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{name} long" for name in names))
+    return docs.select("doc_id", _digest().alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest string, " + ", ".join(f"{name} long" for name in names))
+
+
+def _digest() -> Column:
+    """128 bits of a text; rows of one id that differ in their texts differ in it."""
+    return F.md5(F.col("text"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text are those of ``gone`` (``doc_id, digest``); other rows of such an id stay."""
+    digest = fresh("digest", docs.columns)
+    gone = gone.select("doc_id", F.col("digest").alias(digest)).distinct()
+    marked = docs.withColumn(digest, _digest())
+    same = (marked["doc_id"] == gone["doc_id"]) & marked[digest].eqNullSafe(gone[digest])
+    return marked.join(gone, same, "left_anti").select(docs.columns)
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -291,28 +306,32 @@ def _rooted(prints: DataFrame, radius: int, bucket_rows: int, views: int) -> Dat
     )
 
 
+def _classes(docs: DataFrame, radius: int, bucket_rows: int, views: int) -> DataFrame:
+    """``doc_id, digest, fp, component_id`` of every row."""
+    prints = stage(fingerprints(docs, views), "simhash-prints")
+    rooted = _rooted(prints, radius, bucket_rows, views)
+    named = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
+    by_print = stage(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
+    return prints.join(by_print, "fp").select("doc_id", "digest", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096, views: int = 1) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
     With more than one view, documents link that are within ``radius`` in any
     of them; ``fingerprint`` is the first.
     """
-    prints = stage(fingerprints(docs, views), "simhash-prints")
-    rooted = _rooted(prints, radius, bucket_rows, views)
-    named = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-named")
-    by_print = stage(rooted.join(named, "root").select("fp", "component_id"), "simhash-classes")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(by_print, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _classes(docs, radius, bucket_rows, views).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 3, bucket_rows: int = 4096, views: int = 1) -> DataFrame:
     """The documents that stay, one of each component, with all their columns.
 
-    The document whose id names the component stays; rows with a null id stay.
+    Rows whose id names their component stay, and so do rows with a null id.
+    Of rows that share an id each is decided by its own text.
     """
-    found = near_duplicates(docs, **options)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, _classes(docs, radius, bucket_rows, views).where("doc_id <> component_id"))
 
 
 def _alike(sets: list[np.ndarray], similarity: float, columns: int = 8192) -> np.ndarray:
@@ -462,7 +481,8 @@ def keep_one_alike(docs: DataFrame, similarity: float = 0.8, words: int = 5, rad
     Two texts are alike if the Jaccard similarity of their sets of ``words``-word
     shingles is ``similarity`` or more. Equal sets are always found; other pairs
     are found within components of SimHash links. The smallest id of a component
-    stays; rows with a null id stay.
+    stays; rows with a null id stay. Of rows that share an id each is decided by
+    its own text.
     """
     prints = stage(fingerprints(docs, views, words).where("doc_id is not null"), "simhash-prints")
     # A smaller set reaches the similarity with no set but itself: one more member is too much.
@@ -470,8 +490,7 @@ def keep_one_alike(docs: DataFrame, similarity: float = 0.8, words: int = 5, rad
     rooted = _rooted(open_, radius, bucket_rows, views)
     crowds = open_.join(rooted.select("fp", "root"), "fp").groupBy("root", "node").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"))
     found = components(alike_links(docs, stage(crowds, "simhash-crowds"), similarity, words, cell_rows))
-    classes = prints.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class"))
+    classes = prints.select("doc_id", "digest", "node").join(found, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("class"))
     classes = stage(classes, "simhash-alike")
     first = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    gone = classes.join(first, "class").where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, classes.join(first, "class").where("doc_id <> component_id"))

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 from fractions import Fraction
 import zlib
 
@@ -387,6 +388,15 @@ def test_bpe_tree_equals_the_library(reference):
         assert ids == reference.encode_ordinary(text) and t.decode(ids) == text.encode()
 
 
+def test_bpe_of_long_repeats_takes_little_time(reference):
+    """Rules of one character and other repeats of 100,000 bytes; a quadratic merge takes minutes for each."""
+    t = bpe.tokenizer(PATH, public_tokenizers.PATTERN)
+    rng, begin = random.Random(2), time.process_time()
+    for text in ("-" * 100_000, "-" * 99_999, "a" * 100_000, "ab" * 50_000, "=-" * 50_000, "".join(rng.choice("abcdefgh") for _ in range(100_000))):
+        assert t.encode(text) == reference.encode_ordinary(text), text[:9]
+    assert time.process_time() - begin < 10
+
+
 def test_bpe_query_edges(spark, reference):
     found = {r["doc_id"]: r for r in bpe.round_trip(docs(spark, ["", None, LONG, "héllo"]), PATH, public_tokenizers.PATTERN).collect()}
     assert found[0]["n_tokens"] == found[1]["n_tokens"] == 0 and found[0]["ids_sha256"] == hashlib.sha256(b"").hexdigest()

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pactlake.llm import packing, simhash
@@ -139,3 +140,30 @@ def test_large_crowds_equal_brute_force(spark):
     first = [min(j for j in range(len(own)) if roots.get(own[j], own[j]) == roots.get(own[i], own[i])) for i in range(len(own))]
     assert sorted(set(first)) == brute_alike(texts)
     assert all(a != b for a, b in itertools.combinations(own, 2))
+
+
+@pytest.mark.parametrize("keep", [lambda d: simhash.keep_one(d), lambda d: simhash.keep_one_alike(d, radius=6, views=6)])
+def test_rows_of_one_id_are_decided_by_their_texts(spark, keep):
+    """An unrelated text that shares its id with a near copy stays, and so do rows without an id."""
+    rng = random.Random(31)
+    body = [f"w{rng.randrange(9999)}" for _ in range(120)]
+    near, other = " ".join([*body[:-1], "changed"]), " ".join(f"v{rng.randrange(9999)}" for _ in range(120))
+    rows = [(1, " ".join(body)), (5, near), (5, other), (5, other), (None, near), (None, None), (7, other), (8, near)]
+    table = docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("digest", F.lit("x"))
+    found = keep(table)
+    assert found.columns == table.columns
+    stay = [(1, " ".join(body)), (5, other), (5, other), (None, near), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=str) == sorted(stay, key=str)
+
+
+def test_near_copy_recall_on_given_tables_by_length(spark):
+    """All pairs of the given documents: what the stage drops is what comparing every pair drops, for short and long texts."""
+    rows = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        rows.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r["doc_id"])
+    texts = list(rows)
+    stay = set(brute_alike(texts))
+    found = {r["doc_id"] for r in simhash.keep_one_alike(docs(spark, texts), radius=6, views=6).collect()}
+    for low, high in ((0, 50), (50, 200), (200, 10**9)):
+        those = {i for i, t in enumerate(texts) if low <= len(t.split()) < high}
+        assert found & those == stay & those
