@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pactlake.functions.spans import let
 
 # --- fixed values -------------------------------------------------------------------------------
-INVISIBLE = "­​‌‍⁠﻿"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: White space as the folding rules define it (the inside of a character class).
-SPACE = "\t\n\u000b\f\r    -     　﻿"
+SPACE = "\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 FOLDED = {
-    "'": "‘’‚‛′",
-    '"': "“”„″",
-    "-": "‐‑‒–—―−",
-    " ": "   ",
+    "'": "\u2018\u2019\u201a\u201b\u2032",
+    '"': "\u201c\u201d\u201e\u2033",
+    "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212",
+    " ": "\u00a0\u2009\u202f",
 }
 WORD_VALUES = {
-    w: i for i, w in enumerate(
-        "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-    )
-} | {"twenty": 20, "thirty": 30, "forty": 40, "fourty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+    "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11,
+    "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
+    "twenty": 20, "thirty": 30, "forty": 40, "fourty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
+}
 SCALES = {
     "hundred": 100, "thousand": 1_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "million": 1_000_000,
     "crore": 10_000_000, "crores": 10_000_000, "billion": 1_000_000_000,
@@ -51,37 +53,49 @@ def canonical(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """The form in which quotes and documents are compared."""
-    source = "".join(FOLDED.values()) + INVISIBLE
-    target = "".join(k * len(v) for k, v in FOLDED.items())
+    # Sigma is lowered without regard to its place in a word, as every other letter is.
+    source = "".join(FOLDED.values()) + "\u03a3" + INVISIBLE
+    target = "".join(k * len(v) for k, v in FOLDED.items()) + "\u03c3"
     return F.lower(trim_space(F.regexp_replace(F.translate(text, source, target), f"[{SPACE}]+", " ")))
 
 
-_MAPPED = {c: k for k, v in FOLDED.items() for c in v}
-_IS_SPACE = re.compile(f"[{SPACE}]")
-_ASCII_SPACE = re.compile("[\t\n\x0b\x0c\r ]")
-_UNEVEN = re.compile("^[\t\n\x0b\x0c\r ]|[\t\n\x0b\x0c\r ]{2}|[\t\n\x0b\x0c\r ]\\Z|[\x1c-\x1f]")
+_KEPT, _DROPPED, _BLANK = range(3)
+
+
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point its lower-case folded form, and whether it is kept, dropped or white space."""
+    odd = {0x130, 0x3A3, *range(0xD800, 0xE000)}  # lower case of two characters, by context, and none
+    even = [c for c in range(0x110000) if c not in odd]
+    form = np.arange(0x110000, dtype=np.uint32)
+    form[even] = np.frombuffer("".join(map(chr, even)).lower().encode("utf-32-le"), np.uint32)
+    form[0x3A3] = 0x3C3
+    kind = np.zeros(0x110000, np.uint8)
+    for plain, marks in FOLDED.items():
+        form[[ord(c) for c in marks]] = ord(plain)
+    kind[[c for c in range(0x10000) if re.match(f"[{SPACE}]", chr(c))]] = _BLANK
+    kind[[ord(c) for c in FOLDED[" "]]] = _BLANK
+    kind[[ord(c) for c in INVISIBLE]] = _DROPPED
+    return form, kind
 
 
-def fold_with_offsets(text: str) -> tuple[str, list[int]]:
+def fold_with_offsets(text: str) -> tuple[str, np.ndarray]:
     """The folded text and each of its characters' place in the text; a collapsed space has the next kept character's."""
-    if text.isascii() and not _UNEVEN.search(text):  # nothing collapses, so places only shift at spaces
-        return _ASCII_SPACE.sub(" ", text).lower(), [i + c.isspace() for i, c in enumerate(text)]
-    out, offsets, pending = [], [], False
-    for i, c in enumerate(text):
-        if c in INVISIBLE:
-            continue
-        c = _MAPPED.get(c, c)
-        if _IS_SPACE.match(c):
-            pending = bool(out)
-            continue
-        if pending:
-            out.append(" ")
-            offsets.append(i)
-            pending = False
-        for low in c.lower():
-            out.append(low)
-            offsets.append(i)
-    return "".join(out), offsets
+    form, kind = _fold_tables()
+    if "\u0130" in text:  # the one letter whose lower case has two characters: both have its place
+        parts = [(c.lower() if c == "\u0130" else c) for c in text]
+        low, offsets = fold_with_offsets("".join(parts))
+        return low, np.repeat(np.arange(len(text), dtype=np.int32), list(map(len, parts)))[offsets]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = kind[codes]
+    places = np.flatnonzero(kinds != _DROPPED).astype(np.int32)
+    solid = np.flatnonzero(kinds[places] == _KEPT)
+    gap = np.diff(solid, prepend=solid[:1] - 1) > 1  # white space stands before
+    at = np.arange(len(solid)) + np.cumsum(gap)
+    out, offsets = np.full(len(solid) + int(gap.sum()), 0x20, np.uint32), np.empty(len(solid) + int(gap.sum()), np.int32)
+    out[at], offsets[at] = form[codes[places[solid]]], places[solid]
+    offsets[at[gap] - 1] = places[solid[gap]]
+    return out.tobytes().decode("utf-32-le", "surrogatepass"), offsets
 
 
 def _map(values: dict) -> Column:

@@ -81,10 +81,18 @@ def page_marks(docs: DataFrame) -> DataFrame:
 
 
 def place_at(offsets: DataFrame, places: DataFrame, keep: list[str]) -> DataFrame:
-    """The segment or page that contains an offset; equal document, then containment."""
-    p = places.select("doc_id", *keep, "start", "end")
-    hit = (offsets["doc_id"] == p["doc_id"]) & (p["start"] <= offsets["offset"]) & (offsets["offset"] < p["end"])
-    return offsets.join(p, hit, "left").select(*[offsets[c] for c in offsets.columns], *[p[c] for c in keep])
+    """The segment or page that contains an offset: as of the offset, the last place that began.
+
+    Places of a document do not overlap. Offsets and places are dealt by document,
+    sorted together and passed through once, so a document with many of both
+    costs their sum, not their product.
+    """
+    began = places.select("doc_id", F.col("start").alias("pos"), F.lit(0).alias("kind"), F.struct("end", *keep).alias("place"))
+    asked = offsets.select("doc_id", F.col("offset").alias("pos"), F.lit(1).alias("kind"), F.struct(*offsets.columns).alias("row"))
+    order = Window.partitionBy("doc_id").orderBy("pos", "kind")
+    both = began.unionByName(asked, allowMissingColumns=True).withColumn("last", F.last("place", ignorenulls=True).over(order)).where("kind = 1")
+    inside = F.coalesce(F.col("doc_id").isNotNull() & (F.col("pos") < F.col("last.end")), F.lit(False))
+    return both.select("row.*", *[F.when(inside, F.col("last")[c]).alias(c) for c in keep])
 
 
 def site_enrich(spans: DataFrame, docs: DataFrame, segments: DataFrame, pages: DataFrame) -> DataFrame:
@@ -100,7 +108,7 @@ def site_enrich(spans: DataFrame, docs: DataFrame, segments: DataFrame, pages: D
 
 
 def fold_offsets(docs: DataFrame) -> DataFrame:
-    """P8 for the documents that need it."""
+    """P8."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,50 +2,108 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pactlake.functions.spans import let
 from pactlake.functions.text import fold_with_offsets, folded, trim_space
+from pactlake.sources.files import stored
 
 # --- fixed values -------------------------------------------------------------------------------
 MIN_SIMILARITY, MIN_QUOTE, MARGIN = 0.82, 24, 0.05
 REASONS = ("quote_empty", "quote_too_short", "not_found", "below_threshold", "ambiguous", "duplicate")
 
+_BUNDLE = 256  # numbers of quotes that travel with a text together
+_NEEDLES = 1024  # quotes without an inner word that meet a text together
+_GRAMS = 1 << 20  # n-grams of quotes, 8 bytes each, up to which they are sent to every task
 
-def bigram_dice(pairs: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Multiset Dice over character pairs of ``a`` and ``b``, as grouped counts that meet on the pair; ``key`` names a row."""
-    key = key or ["doc_id"]
 
-    def counts(side: str) -> DataFrame:
+def bigram_dice(quotes: DataFrame, docs: DataFrame, key: str = "ord") -> DataFrame:
+    """Multiset Dice over character pairs of each quote ``a`` (``doc_id, key, a``) and its document ``b`` (``doc_id, b``).
+
+    A document's pairs are counted once, whatever the number of its quotes; counts
+    meet on the document and the pair.
+    """
+
+    def counts(rows: DataFrame, side: str, *own: str) -> DataFrame:
         n = F.length(side)
         grams = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(side, i, F.lit(2))))
-        return pairs.select(*key, F.explode(grams).alias("gram")).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias(f"n_{side}"))
+        return rows.select(*own, F.explode(grams).alias("gram")).groupBy(*own, "gram").agg(F.count(F.lit(1)).alias(f"n_{side}"))
 
-    shared = counts("a").join(counts("b"), [*key, "gram"]).groupBy(*key).agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    wanted = docs.join(quotes.select("doc_id").distinct(), "doc_id", "left_semi")
+    shared = counts(quotes, "a", "doc_id", key).join(counts(wanted, "b", "doc_id"), ["doc_id", "gram"])
+    shared = shared.groupBy("doc_id", key).agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    rows = quotes.join(docs.select("doc_id", F.length("b").alias("n_b"), F.md5("b").alias("digest")), "doc_id").join(shared, ["doc_id", key], "left")
     score = (
-        F.when(F.col("a") == F.col("b"), 1.0).when((F.length("a") < 2) | (F.length("b") < 2), 0.0)
-        .otherwise(2.0 * F.coalesce("shared", F.lit(0)) / (F.length("a") + F.length("b") - 2))
+        F.when((F.length("a") == F.col("n_b")) & (F.md5("a") == F.col("digest")), 1.0).when((F.length("a") < 2) | (F.col("n_b") < 2), 0.0)
+        .otherwise(2.0 * F.coalesce("shared", F.lit(0)) / (F.length("a") + F.col("n_b") - 2))
     )
-    return pairs.join(shared, key, "left").select(*key, score.alias("similarity"))
+    return rows.select("doc_id", key, score.alias("similarity"))
+
+
+class _Document:
+    """A folded document: the places of every character pair, sorted once for all of its quotes."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    @staticmethod
+    def pairs_of(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        return codes[:-1] << np.uint64(32) | codes[1:]
+
+    def places(self, grams: np.ndarray) -> list[np.ndarray]:
+        """Where each pair stands, in order."""
+        if self._pairs is None:
+            seen = self.pairs_of(self.text)
+            order = np.argsort(seen, kind="stable")
+            known, first = np.unique(seen[order], return_index=True)
+            self._pairs = known, np.append(first, len(seen)), order
+        known, first, order = self._pairs
+        at = np.searchsorted(known, grams)
+        there = at < len(known)
+        there[there] = known[at[there]] == grams[there]
+        return [order[first[i] : first[i + 1]] if ok else order[:0] for i, ok in zip(at.tolist(), there.tolist())]
+
+    def first_places(self, quotes: list[str]) -> dict[str, int]:
+        """The first place of every quote that stands in the document: one pass of an automaton of all of them."""
+        if len(quotes) == 1:
+            at = self.text.find(quotes[0])
+            return {quotes[0]: at} if at >= 0 else {}
+        machine = ahocorasick.Automaton()
+        for quote in quotes:
+            machine.add_word(quote, quote)
+        machine.make_automaton()
+        found: dict[str, int] = {}
+        for end, quote in machine.iter(self.text):
+            if quote not in found:
+                found[quote] = end + 1 - len(quote)
+                if len(found) == len(machine):
+                    break
+        return found
 
 
 class _Windows:
-    """Dice scores of one quote against windows of a folded document; memory grows with the document alone."""
-
-    def __init__(self, document: str, quote: str):
-        self.n, self.w = len(document), len(quote)
-        pairs = lambda t: (c := np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))[:-1] << np.uint64(32) | c[1:]
-        grams, self.need = np.unique(pairs(quote), return_counts=True)
-        seen = pairs(document) if self.n > 1 else np.zeros(0, np.uint64)
-        at = np.minimum(np.searchsorted(grams, seen), len(grams) - 1)
-        hit = np.nonzero(grams[at] == seen)[0]
-        which = at[hit]
-        order = np.argsort(which, kind="stable")
-        bounds = np.searchsorted(which[order], np.arange(len(grams) + 1))
-        self.places = [hit[order[a:b]] for a, b in zip(bounds, bounds[1:])]  # of each pair of the quote, in order
+    """Dice scores of one quote against windows of a folded document.
+
+    Windows are counted from running sums of each pair's places where these fit in
+    a bounded table, else from the places themselves: memory grows with the document alone.
+    """
+
+    def __init__(self, document: _Document, quote: str, table: int = 1 << 20):
+        self.n, self.w = len(document.text), len(quote)
+        grams, self.need = np.unique(document.pairs_of(quote), return_counts=True)
+        self.places = document.places(grams)
+        self.sums = None
+        if len(grams) * (self.n + 1) <= table:
+            self.sums = np.zeros((len(grams), self.n + 1), np.int32)
+            self.sums[np.repeat(np.arange(len(grams)), list(map(len, self.places))), np.concatenate(self.places) + 1] = 1
+            np.cumsum(self.sums, axis=1, out=self.sums)
 
     def best(self, first: int, last: int, stride: int) -> tuple[int, float]:
         """The earliest best window among first, first + stride, ... up to last; (-1, 0) if none scores."""
@@ -54,19 +112,23 @@ class _Windows:
             return -1, 0.0
         stop = np.minimum(p + self.w, self.n)
         right = np.maximum(stop - p - 1, 0)
-        shared = np.zeros(len(p), np.int64)
-        for need, places in zip(self.need, self.places):
-            if len(places):
-                shared += np.minimum(np.searchsorted(places, p + right) - np.searchsorted(places, p), need)
+        if self.sums is not None:
+            shared = np.minimum(self.sums[:, p + right] - self.sums[:, p], self.need[:, None]).sum(axis=0)
+        else:
+            shared = np.zeros(len(p), np.int64)
+            for need, places in zip(self.need, self.places):
+                if len(places):
+                    shared += np.minimum(np.searchsorted(places, p + right) - np.searchsorted(places, p), need)
         score = np.where(stop - p < 2, 0.0, 2.0 * shared / (self.w - 1 + right))
         i = int(np.argmax(score))
         return (int(p[i]), float(score[i])) if score[i] > 0 else (-1, 0.0)
 
 
-def locate_fuzzy(document: str, quote: str, min_similarity: float = MIN_SIMILARITY, margin: float = MARGIN) -> tuple[str | None, int, float]:
+def locate_fuzzy(document: str | _Document, quote: str, min_similarity: float = MIN_SIMILARITY, margin: float = MARGIN) -> tuple[str | None, int, float]:
     """G4, G5 over folded texts: (reason or None, place, similarity)."""
+    document = document if isinstance(document, _Document) else _Document(document)
     w = len(quote)
-    stride, limit = max(1, w // 8), len(document) - int(w * 0.8)
+    stride, limit = max(1, w // 8), len(document.text) - int(w * 0.8)
     if limit <= 0:
         return "not_found", -1, 0.0
     windows = _Windows(document, quote)
@@ -83,72 +145,102 @@ def locate_fuzzy(document: str, quote: str, min_similarity: float = MIN_SIMILARI
     return None, at, score
 
 
-_SEARCHED = T.StructType([T.StructField(n, t) for n, t in (("reason", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("method", T.StringType()), ("similarity", T.DoubleType()))])
+_PLACE = T.StructType([T.StructField(n, t) for n, t in (("reason", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("method", T.StringType()), ("similarity", T.DoubleType()))])
 
 
-@F.pandas_udf(_SEARCHED)
-def _search(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-    """Folded and fuzzy location of quotes that are nowhere verbatim; null quotes are passed over."""
-    known: tuple[str, tuple[str, list[int]]] | None = None
+def _search_all(text: str, quotes: list[str]) -> list[tuple]:
+    """Outcomes of quotes that are nowhere verbatim, in their order; the text is folded and indexed once."""
+    low, offsets = fold_with_offsets(text)
+    document = _Document(low)
+    needles = [fold_with_offsets(quote)[0] for quote in quotes]
+    exact = document.first_places(sorted({n for n in needles if len(n) >= 2})) if any(len(n) >= 2 for n in needles) else {}
     out = []
-    for text, quote in zip(texts, quotes):
-        row = [None] * 5
-        if quote is not None and text is not None:
-            if known is None or known[0] != text:
-                known = (text, fold_with_offsets(text))
-            doc, offsets = known[1]
-            needle, _ = fold_with_offsets(quote)
-            row[0] = "quote_too_short"
-            if len(needle) >= 2:
-                at, row[0], method, score = doc.find(needle), None, "normalised", 1.0
-                if at < 0:
-                    method = "fuzzy"
-                    row[0], at, score = locate_fuzzy(doc, needle)
-                if row[0] is None:
-                    last = min(at + len(needle) - 1, len(offsets) - 1)
-                    row[1:] = [offsets[at], offsets[last] + 1, method, score]
-        out.append(row)
-    frame = pd.DataFrame(out, columns=["reason", "start", "end", "method", "similarity"])
-    return frame.astype({"reason": object, "start": "Int32", "end": "Int32", "method": object, "similarity": "Float64"})
+    for needle in needles:
+        reason, at, method, score = "quote_too_short", -1, "normalised", 1.0
+        if needle in exact:
+            reason, at = None, exact[needle]
+        elif len(needle) >= 2:
+            method = "fuzzy"
+            reason, at, score = locate_fuzzy(document, needle)
+        if reason is None:
+            last = min(at + len(needle) - 1, len(offsets) - 1)
+            out.append((None, int(offsets[at]), int(offsets[last]) + 1, method, score))
+        else:
+            out.append((reason, None, None, None, None))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_PLACE))
+def _search(texts: pd.Series, quotes: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(_PLACE.names, row)) for row in _search_all(text, list(these))] if text is not None and len(these) else [] for text, these in zip(texts, quotes)], dtype=object)
+
+
+def _bundled(quotes: DataFrame, docs: DataFrame, how: str = "left") -> DataFrame:
+    """``doc_id, quotes, text``: one row, with one text, for all quotes of a document, an array of ``ord, trimmed, own``.
+
+    ``own`` holds what else the quotes have. Documents with more quotes are a row
+    for every 256 numbers of quotes.
+    """
+    carried = [c for c in quotes.columns if c not in ("doc_id", "ord", "quote")]
+    own = F.struct(*carried) if carried else F.struct(F.lit(None).cast("string").alias("none"))
+    q = quotes.select("doc_id", F.struct("ord", trim_space(F.coalesce("quote", F.lit(""))).alias("trimmed"), own.alias("own")).alias("q"))
+    bundles = q.groupBy("doc_id", F.floor(F.col("q.ord") / _BUNDLE).alias("bundle")).agg(F.collect_list("q").alias("quotes"))
+    return bundles.join(docs.select("doc_id", "text"), "doc_id", how)
 
 
 def locate(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """One outcome per quote: ``status, reason, start, end, method, similarity, matched_text``.
+    """One outcome per quote: ``status, reason, start, end, method, similarity, matched_text``, beside what else ``quotes`` has.
 
-    One join with the documents settles verbatim quotes; only the others' texts
-    go on to folding and fuzzy search, in Arrow batches in the join's order. A
-    quote whose document is not there is not found.
+    A text meets all quotes of its document in one row. Verbatim quotes are
+    settled there; a text with others goes, once, to folding, an automaton of all
+    of them and fuzzy search in an Arrow batch. A quote whose document is not
+    there is not found.
     """
-    q = quotes.withColumn("trimmed", trim_space(F.coalesce("quote", F.lit(""))))
-    early = F.when(F.col("trimmed") == "", "quote_empty").when(F.length("trimmed") < MIN_QUOTE, "quote_too_short")
-    q = q.withColumn("early", early).join(docs.select("doc_id", "text"), "doc_id", "left")
-    place = F.instr("text", F.col("trimmed"))
-    q = q.withColumn("at", F.when(F.col("early").isNull() & (place > 0), place - 1))
-    open_ = F.col("early").isNull() & F.col("at").isNull() & F.col("text").isNotNull()
-    q = q.withColumn("searched", _search(F.when(open_, F.col("text")), F.when(open_, F.col("trimmed"))))
-    exact = F.col("at").isNotNull()
-    absent = F.when(F.col("text").isNull(), "not_found")
-    reason = F.when(exact, F.lit(None).cast("string")).otherwise(F.coalesce("early", absent, "searched.reason"))
-    found = q.select(
-        "doc_id", "ord", reason.alias("reason"), F.coalesce("at", "searched.start").alias("start"),
-        F.coalesce(F.col("at") + F.length("trimmed"), "searched.end").alias("end"), F.when(exact, "exact").otherwise(F.col("searched.method")).alias("method"),
-        F.when(exact, 1.0).otherwise(F.col("searched.similarity")).alias("similarity"), "text",
-    )
-    text = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    status = F.when(F.col("reason").isNull(), "grounded").otherwise("unverified")
-    return found.select("doc_id", "ord", "reason", "start", "end", "method", "similarity", status.alias("status"), text.alias("matched_text"))
+    carried = [c for c in quotes.columns if c not in ("doc_id", "ord", "quote")]
+    none = F.lit(None)
+
+    def first_look(x: Column) -> Column:
+        early = F.when(x["trimmed"] == "", "quote_empty").when(F.length(x["trimmed"]) < MIN_QUOTE, "quote_too_short").when(F.col("text").isNull(), "not_found")
+        return F.struct(x["ord"].alias("ord"), x["trimmed"].alias("trimmed"), x["own"].alias("own"), early.alias("early"), F.when(early.isNull(), F.instr(F.col("text"), x["trimmed"]) - 1).alias("at"))
+
+    rows = _bundled(quotes, docs).select("doc_id", "text", F.transform("quotes", first_look).alias("looked"))
+    needles = F.array_distinct(F.transform(F.filter("looked", lambda x: x["at"] < 0), lambda x: x["trimmed"]))
+    rows = rows.withColumn("needles", needles)
+    rows = rows.withColumn("searched", _search(F.when(F.size("needles") > 0, F.col("text")), F.col("needles")))
+
+    def outcome(x: Column) -> Column:
+        found = F.try_element_at("searched", F.array_position("needles", x["trimmed"]).cast("int"))
+        exact = F.struct(none.cast("string").alias("reason"), x["at"].alias("start"), (x["at"] + F.length(x["trimmed"])).alias("end"), F.lit("exact").alias("method"), F.lit(1.0).alias("similarity"))
+        refused = F.struct(x["early"].alias("reason"), *[none.cast(kind).alias(name) for name, kind in (("start", "int"), ("end", "int"), ("method", "string"), ("similarity", "double"))])
+        place = F.when(x["at"] >= 0, exact).when(x["early"].isNotNull(), refused).otherwise(found)
+
+        def whole(p: Column) -> Column:
+            text = F.when(p["reason"].isNull(), F.substring("text", p["start"] + 1, p["end"] - p["start"]))
+            return F.struct(x["ord"].alias("ord"), x["own"].alias("own"), p.alias("p"), text.alias("matched_text"))
+
+        return let(place, whole)
+
+    each = rows.select("doc_id", F.explode(F.transform("looked", outcome)).alias("o"))
+    status = F.when(F.col("o.p.reason").isNull(), "grounded").otherwise("unverified")
+    return each.select("doc_id", "o.ord", *[F.col("o.own")[c].alias(c) for c in carried], "o.p.*", status.alias("status"), "o.matched_text")
+
+
+def _first_in(quotes: DataFrame, docs: DataFrame, form) -> DataFrame:
+    """``doc_id, ord, start`` of the quotes of 24 characters or more that stand in their text, both in ``form``."""
+    rows = _bundled(quotes, docs, "inner").withColumn("formed", form(F.col("text")))
+    start = lambda x: F.struct(x["ord"].alias("ord"), F.when(F.length(x["trimmed"]) >= MIN_QUOTE, F.instr(F.col("formed"), form(x["trimmed"])) - 1).alias("start"))
+    found = F.filter(F.transform("quotes", start), lambda x: x["start"] >= 0)
+    return rows.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
 
 
 def locate_exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """G1."""
-    q = quotes.join(docs.select("doc_id", "text"), "doc_id").withColumn("start", F.instr("text", trim_space(F.col("quote"))) - 1)
-    return q.where((F.col("start") >= 0) & (F.length(trim_space(F.col("quote"))) >= MIN_QUOTE)).select("doc_id", "ord", "start")
+    return _first_in(quotes, docs, lambda text: text)
 
 
 def locate_normalised(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """The first place in folded text (folded offsets)."""
-    q = quotes.join(docs.select("doc_id", folded(F.col("text")).alias("folded")), "doc_id").withColumn("start", F.instr("folded", folded(F.col("quote"))) - 1)
-    return q.where((F.col("start") >= 0) & (F.length(trim_space(F.col("quote"))) >= MIN_QUOTE)).select("doc_id", "ord", "start")
+    return _first_in(quotes, docs, folded)
 
 
 def dedup_findings(located: DataFrame) -> DataFrame:
@@ -163,7 +255,7 @@ def dedup_findings(located: DataFrame) -> DataFrame:
 
 def verify_findings(findings: DataFrame, docs: DataFrame) -> DataFrame:
     """Every finding with its outcome; nothing is dropped."""
-    return dedup_findings(locate(findings, docs).join(findings.drop("quote"), ["doc_id", "ord"]))
+    return dedup_findings(locate(findings, docs))
 
 
 def grounding_stats(verified: DataFrame) -> DataFrame:
@@ -177,51 +269,54 @@ def grounding_stats(verified: DataFrame) -> DataFrame:
 
 def verify_answers(answers: DataFrame, docs: DataFrame) -> DataFrame:
     """``found`` answers stand only if their quote is in the document."""
-    found = locate(answers.select("doc_id", "ord", "quote"), docs)
-    rows = answers.join(found.select("doc_id", "ord", "status", "matched_text"), ["doc_id", "ord"], "left")
-    verdict = F.when(~F.col("found"), "not_in_document").when(F.col("quote").isNull() | (F.col("status") != "grounded"), "unverified").otherwise("grounded")
+    rows = locate(answers.select("doc_id", "ord", "quote", "found", "prose"), docs)
+    verdict = F.when(~F.col("found"), "not_in_document").when(F.col("status") != "grounded", "unverified").otherwise("grounded")
     return rows.select("doc_id", "ord", verdict.alias("verdict"), F.when(verdict == "grounded", F.col("prose")).alias("prose"), F.when(verdict == "grounded", F.col("matched_text")).alias("located"))
 
 
 def corpus_quote_search(quotes: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """Quotes without a document against a whole corpus: word n-grams block, folded text decides.
 
-    A quote looks up its rarest n-gram only, so a common passage costs one
-    posting list, and candidates are checked in the document's own task. Both
-    ends of a quote may cut words, so only its inner words make n-grams, shorter
-    ones if it has fewer than ``words`` of them. Quotes without an inner word
-    are compared with every document.
+    One scan of the corpus makes n-grams of hashed words and keeps those that some
+    quote has (the quotes' n-grams go to every task if they are few by count);
+    only these postings are stored. A quote then looks up its rarest n-gram, so a
+    common passage costs one posting list, and candidates are checked in the
+    document's own task. Both ends of a quote may cut words, so only its inner
+    words make n-grams, shorter ones if it has fewer than ``words`` of them. Quotes
+    without an inner word meet every document, in blocks.
     """
 
-    def hashed(at: Column, n: Column) -> Column:
-        return F.xxhash64(n, F.array_join(F.slice("w", at, n), " "))
+    def grams_of(hashes: Column, n: int, first: Column | int, last: Column) -> Column:
+        """Hashes of the runs of ``n`` words that begin at ``first`` to ``last``."""
+        return F.when(last >= first, F.transform(F.sequence(F.lit(first), last), lambda i: F.xxhash64(F.lit(n), *[F.element_at(hashes, i + k) for k in range(n)])))
 
-    def worded(rows: DataFrame, key: str, text: str) -> DataFrame:
-        return rows.select(key, folded(F.col(text)).alias("needle")).withColumn("w", F.split("needle", " "))
+    def hashed(rows: DataFrame, key: str, text: str) -> DataFrame:
+        split = rows.select(key, folded(F.col(text)).alias("needle")).withColumn("w", F.split("needle", " "))
+        return split.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
 
-    own = worded(quotes, "quote_id", "quote").withColumn("inner", F.size("w") - 2)
+    own = hashed(quotes, "quote_id", "quote").withColumn("inner", F.size("w") - 2)
     bare = own.where("inner < 1 and needle <> ''").select("quote_id", "needle")
-    n = F.least(F.lit(words), F.col("inner"))
-    own = own.where("inner >= 1").withColumn("n", n)
-    grams = F.transform(F.sequence(F.lit(2), F.col("inner") - F.col("n") + 2), lambda i: hashed(i, F.col("n")))
-    own = own.select("quote_id", "needle", "n", F.explode(F.array_distinct(grams)).alias("gram"))
+    own = own.where("inner >= 1").withColumn("n", F.least(F.lit(words), F.col("inner")))
+    of_quote = F.coalesce(*[F.when(F.col("n") == k, grams_of(F.col("h"), k, 2, F.size("h") - k)) for k in range(1, words + 1)])
+    own = stored(own.select("quote_id", "needle", "n", F.explode(F.array_distinct(of_quote)).alias("gram")), "quote-grams")
     lengths = sorted(r["n"] for r in own.select("n").distinct().collect())  # at most ``words`` of them
-    texts = worded(docs, "doc_id", "text")
     none = F.array().cast("array<bigint>")
-
-    def of_length(k: int) -> Column:
-        return F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: hashed(i, F.lit(k)))).otherwise(none)
-
-    all_grams = F.concat(none, *map(of_length, lengths))
-    posting = texts.select("doc_id", F.explode(F.array_distinct(all_grams)).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    of_text = F.concat(none, *[F.coalesce(grams_of(F.col("h"), k, 1, F.size("h") - k + 1), none) for k in lengths])
+    wanted = own.select("gram").distinct()
+    if wanted.count() <= _GRAMS:
+        wanted = F.broadcast(wanted)
+    each = hashed(docs, "doc_id", "text").select("doc_id", F.explode(F.array_distinct(of_text)).alias("gram"))
+    posting = stored(each.join(wanted, "gram", "left_semi"), "quote-postings")
     frequent = posting.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = own.join(frequent, "gram").groupBy("quote_id").agg(F.min_by(F.struct("gram", "needle"), F.struct("df", "gram")).alias("r"))
     candidates = rarest.select("quote_id", "r.gram", "r.needle").join(posting, "gram").select("doc_id", "quote_id", "needle")
-    hits = candidates.join(docs.select("doc_id", "text"), "doc_id")
-    if not bare.isEmpty():
-        hits = hits.select("doc_id", "text", "quote_id", "needle").unionByName(docs.select("doc_id", "text").crossJoin(bare))
-    hits = hits.withColumn("at", F.instr(folded(F.col("text")), F.col("needle")))
-    return hits.where("at > 0").select("doc_id", "quote_id", (F.col("at") - 1).alias("folded_start"))
+    texts = docs.select("doc_id", folded(F.col("text")).alias("folded"))
+    hits = texts.join(candidates, "doc_id").where(F.contains("folded", F.col("needle"))).select("doc_id", "quote_id", (F.instr(F.col("folded"), F.col("needle")) - 1).alias("folded_start"))
+    if bare.isEmpty():
+        return hits
+    blocks = bare.groupBy(F.pmod(F.xxhash64("quote_id"), F.ceil(F.lit(bare.count()) / _NEEDLES)).alias("block")).agg(F.collect_list(F.struct("quote_id", "needle")).alias("these"))
+    met = texts.crossJoin(blocks.select("these")).select("doc_id", "folded", F.explode(F.filter("these", lambda q: F.contains(F.col("folded"), q["needle"]))).alias("q"))
+    return hits.unionByName(met.select("doc_id", "q.quote_id", (F.instr(F.col("folded"), F.col("q.needle")) - 1).alias("folded_start")))
 
 
 def highlight_spans(verified: DataFrame, docs: DataFrame) -> DataFrame:
@@ -246,7 +341,7 @@ def highlight_spans(verified: DataFrame, docs: DataFrame) -> DataFrame:
 # --- facts ---------------------------------------------------------------------------------------
 def ground_citations(citations: DataFrame, docs: DataFrame) -> DataFrame:
     """``citations(doc_id, ord, name, quote)`` with their places; those not found are demoted."""
-    return citations.join(locate(citations.select("doc_id", "ord", "quote"), docs), ["doc_id", "ord"]).withColumn("demoted", F.col("status") != "grounded")
+    return locate(citations.select("doc_id", "ord", "name", "quote"), docs).withColumn("demoted", F.col("status") != "grounded")
 
 
 def fact_view_numbers(view: DataFrame, cited: DataFrame, fields: list[str]) -> DataFrame:

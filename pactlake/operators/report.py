@@ -16,11 +16,19 @@ def collapse_verdicts(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy(*key).agg(F.max_by(F.struct("verdict", "confidence", "section", "start", "end"), "place").alias("v"), F.min("place").alias("place")).select(*key, "place", "v.*")
 
 
-def clause_overlap_join(findings: DataFrame, others: DataFrame, order: str, keep: list[str]) -> DataFrame:
-    """V1: the first driver or verdict whose place overlaps a finding's: equal document, then interval overlap."""
-    o = others.where("start is not null").select("doc_id", F.struct(order, *keep).alias("hit"), F.col("start").alias("s"), F.col("end").alias("e"))
-    on = (findings["doc_id"] == o["doc_id"]) & (o["s"] < findings["end"]) & (findings["start"] < o["e"])
-    first = findings.join(o, on).groupBy(findings["doc_id"], findings["ord"]).agg(F.min("hit").alias("hit"))
+def clause_overlap_join(findings: DataFrame, others: DataFrame, order: str, keep: list[str], width: int = 512) -> DataFrame:
+    """V1: the first driver or verdict whose place overlaps a finding's.
+
+    Both sides stand in every bin of ``width`` characters that they touch and
+    meet on document and bin, so that a document with many of both is dealt
+    out; a pair counts in the first bin that both touch.
+    """
+    bins = lambda start, end: F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end) - 1) / width))
+    own = findings.where("start is not null and end is not null").select("doc_id", "ord", "start", "end", F.explode(bins("start", "end")).alias("bin"))
+    o = others.where("start is not null and end is not null").select("doc_id", F.struct(order, *keep).alias("hit"), F.col("start").alias("s"), F.col("end").alias("e"))
+    o = o.select("*", F.explode(bins("s", "e")).alias("bin"))
+    overlap = (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")) & (F.col("bin") == F.floor(F.greatest("start", "s") / width))
+    first = own.join(o, ["doc_id", "bin"]).where(overlap).groupBy("doc_id", "ord").agg(F.min("hit").alias("hit"))
     return findings.join(first, ["doc_id", "ord"], "left").select(*findings.columns, *[F.col(f"hit.{k}").alias(k) for k in keep])
 
 

@@ -47,6 +47,11 @@ def risk_drivers(view: DataFrame, evidence: DataFrame | None = None) -> DataFram
     return drivers.join(evidence.withColumnRenamed("name", "evidence_from"), ["doc_id", "evidence_from"], "left")
 
 
+def question_column(rule_id: str = "rule_id") -> Column:
+    """The question that a rule asks, by its id."""
+    return F.element_at(F.create_map(*[F.lit(x) for r in RULES for x in (r[0], question(r[0]))]), F.col(rule_id))
+
+
 def unknown_questions(view: DataFrame) -> DataFrame:
     """Undecidable rules, with what the document does not say (numbers missing, constructs unclear)."""
     entries = []

@@ -87,14 +87,20 @@ SITUATIONS = (
     f"CASE o_orderkey % 8 {_PROBLEM} END AS problem, o_orderkey % 3 = 0 AS cannot_afford_lawyer, o_orderkey % 5 = 0 AS prefers_settlement FROM {{orders}}"
 )
 
-#: Findings: three quotes of each contract by category, with the places the text gives them.
+_AT = "CAST(1 + (doc_id * 7919 + ord * 104729) % greatest(1, length(text) - {0}) AS INT)"
+#: Findings: four quotes of each contract, from places all over its text: as it stands, in capitals, too short, and backwards.
 FINDINGS = (
-    "SELECT doc_id, ord, category, obligation_on, benefits, CASE ord WHEN 1 THEN substring(text, 4, 60) WHEN 2 THEN upper(substring(text, 40, 50)) "
-    "WHEN 3 THEN substring(text, 1, 12) ELSE concat(reverse(substring(text, 10, 40)), 'zz') END AS quote, ord = 2 AS is_unusual FROM (SELECT doc_id, text, ord, "
+    f"SELECT doc_id, ord, category, obligation_on, benefits, CASE ord WHEN 1 THEN substring(text, {_AT.format(59)}, 60) WHEN 2 THEN upper(substring(text, {_AT.format(49)}, 50)) "
+    f"WHEN 3 THEN substring(text, {_AT.format(11)}, 12) ELSE concat(reverse(substring(text, {_AT.format(39)}, 40)), 'zz') END AS quote, ord = 2 AS is_unusual FROM (SELECT doc_id, text, ord, "
     "CASE (doc_id + ord) % 5 WHEN 0 THEN 'payment' WHEN 1 THEN 'termination' WHEN 2 THEN 'dispute_resolution' WHEN 3 THEN 'penalty' ELSE 'deposit' END AS category, "
     "CASE (doc_id * ord) % 4 WHEN 0 THEN 'you' WHEN 1 THEN 'counterparty' WHEN 2 THEN 'both' ELSE 'unclear' END AS obligation_on, "
     "CASE (doc_id + 2 * ord) % 4 WHEN 0 THEN 'you' WHEN 1 THEN 'counterparty' WHEN 2 THEN 'both' ELSE 'unclear' END AS benefits "
-    f"FROM ({CONTRACTS}) CROSS JOIN (SELECT 1 AS ord UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4)) WHERE length(text) >= 100"
+    f"FROM ({CONTRACTS}) CROSS JOIN (SELECT 1 AS ord UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4))"
+)
+#: Of each contract a quote with one letter replaced, and the text, a fifth of them twice over, where the quote is ambiguous.
+NEAR = (
+    f"SELECT doc_id, 1 AS ord, concat(substring(text, {_AT.format(51).replace(' + ord * 104729', '')}, 20), '#', substring(text, {_AT.format(51).replace(' + ord * 104729', '')} + 21, 30)) AS quote, "
+    f"CASE WHEN doc_id % 5 = 0 THEN concat(text, chr(10), text) ELSE text END AS text FROM ({CONTRACTS})"
 )
 
 PROFILES = (

@@ -84,11 +84,6 @@ def evaluate_rules(spark, d):
     return rubric.evaluate_rules(view(spark, d))
 
 
-@query("R9_risk_drivers", f"WITH {E} SELECT doc_id, rule_order, rule_id, tier, severity, points, evidence_from FROM e WHERE outcome")
-def risk_drivers(spark, d):
-    return rubric.risk_drivers(view(spark, d))
-
-
 def _grouped_sql(field: str) -> str:
     whole = f"CAST(CAST({field} AS BIGINT) AS VARCHAR)"
     head = f"reverse(rtrim(regexp_replace(reverse(substring({whole}, 1, length({whole}) - 3)), '(\\d\\d)', '\\1,', 'g'), ','))"

@@ -9,7 +9,7 @@ from pactlake.functions.spans import match_spans
 from pactlake.operators import canonical, consistency, grounding, remedies, report, rubric, statutes
 from pactlake.plans import derive
 from pactlake.plans import score_queries as sq
-from pactlake.plans.rules import BENCHMARKS, BOUNDS, CONSTRUCT_CATEGORY, CONSTRUCTS, DOCUMENT_TYPES, LIMITATIONS, NUMBERS, RULES, inputs, title
+from pactlake.plans.rules import BENCHMARKS, BOUNDS, CONSTRUCT_CATEGORY, CONSTRUCTS, DOCUMENT_TYPES, LIMITATIONS, NUMBERS, RULES, STATUTES, inputs, question, title
 from pactlake.sources import files
 from pactlake.streaming import guards
 
@@ -266,9 +266,17 @@ def fold_text(spark, d):
     return canonical.fold_text(raw(spark, d))
 
 
-@query("P8_fold_offsets", f"WITH {R} SELECT doc_id, lower(trim(regexp_replace(replace(text, '\u200b', ''), '[ \\t\\n\\r]+', ' ', 'g'))) AS folded, length(lower(trim(regexp_replace(replace(text, '\u200b', ''), '[ \\t\\n\\r]+', ' ', 'g')))) AS n FROM r")
+_CHARS = (
+    "ch AS (SELECT doc_id, i - 1 AS pos_, c FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM r) WHERE c <> '\u200b'), "
+    "sp AS (SELECT doc_id, pos_, c IN (' ', chr(9), chr(10), chr(13)) AS blank, lag(c IN (' ', chr(9), chr(10), chr(13))) OVER (PARTITION BY doc_id ORDER BY pos_) AS after_blank FROM ch), "
+    "solid AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos_) > 1 AS inner_ FROM sp WHERE NOT blank), "
+    "pl AS (SELECT doc_id, string_agg(CASE WHEN after_blank AND inner_ THEN pos_ || ',' || pos_ ELSE CAST(pos_ AS VARCHAR) END, ',' ORDER BY pos_) AS offsets FROM solid GROUP BY doc_id)"
+)
+
+
+@query("P8_fold_offsets", f"WITH {R}, {_CHARS} SELECT r.doc_id, lower(trim(regexp_replace(replace(text, '\u200b', ''), '[ \\t\\n\\r]+', ' ', 'g'))) AS folded, offsets FROM r JOIN pl USING (doc_id)")
 def fold_offsets(spark, d):
-    return canonical.fold_offsets(raw(spark, d)).select("doc_id", "folded", F.size("offsets").alias("n"))
+    return canonical.fold_offsets(raw(spark, d)).select("doc_id", "folded", F.array_join("offsets", ",").alias("offsets"))
 
 
 # --- spans ----------------------------------------------------------------------------------------
@@ -298,31 +306,6 @@ def page_marks(spark, d):
 
 
 
-def _offsets(spark, d):
-    return contracts(spark, d).select("doc_id", F.explode(F.array(*[F.lit(x) for x in (0, 100, 200, 400)])).alias("offset"))
-
-
-@query("X4_segment_at", f"WITH {_SEGS}, o AS (SELECT doc_id, unnest([0, 100, 200, 400]) AS \"offset\" FROM c) SELECT o.doc_id, \"offset\", segment_id FROM o LEFT JOIN seg ON o.doc_id = seg.doc_id AND start <= \"offset\" AND \"offset\" < \"end\"")
-def segment_at(spark, d):
-    return canonical.place_at(_offsets(spark, d), canonical.find_segments(contracts(spark, d)), ["segment_id"])
-
-
-def _thirds(spark, d):
-    c = contracts(spark, d).where("length(text) > 0").select("doc_id", F.length("text").alias("n"))
-    return c.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 150).cast("int"))).alias("page_number"), "n").select("doc_id", "page_number", ((F.col("page_number") - 1) * 150).alias("start"), F.least(F.col("page_number") * 150, "n").alias("end"))
-
-
-@query("X5_page_at", f"WITH {C}, o AS (SELECT doc_id, length(text) AS n, unnest([0, 100, 200, 400]) AS \"offset\" FROM c) SELECT doc_id, \"offset\", CASE WHEN \"offset\" < n THEN \"offset\" // 150 + 1 END AS page_number FROM o")
-def page_at(spark, d):
-    return canonical.place_at(_offsets(spark, d), _thirds(spark, d), ["page_number"])
-
-
-@query("X6_site_enrich", f"WITH {_SEGS}, o AS (SELECT doc_id, text, unnest([0, 100, 200, 400]) AS start FROM c) SELECT o.doc_id, o.start, substring(text, o.start + 1, 20) AS quote, CASE WHEN label IS NOT NULL THEN 'clause ' || label WHEN o.start < length(text) THEN 'page ' || (o.start // 150 + 1) ELSE 'elsewhere in the document' END AS place FROM o LEFT JOIN seg ON o.doc_id = seg.doc_id AND seg.start <= o.start AND o.start < \"end\"")
-def site_enrich(spark, d):
-    c = contracts(spark, d)
-    spans = _offsets(spark, d).select("doc_id", F.col("offset").alias("start"), (F.col("offset") + 20).alias("end"))
-    return canonical.site_enrich(spans, c, canonical.find_segments(c), _thirds(spark, d)).select("doc_id", "start", "quote", "place")
-
 
 # --- grounding ------------------------------------------------------------------------------------
 @query("G1_locate_exact", f"WITH {C}, {FI} SELECT doc_id, ord, CAST(strpos(text, trim(quote, ' ' || chr(10))) - 1 AS INTEGER) AS start FROM f JOIN c USING (doc_id) WHERE strpos(text, trim(quote, ' ' || chr(10))) > 0 AND length(trim(quote, ' ' || chr(10))) >= 24")
@@ -341,45 +324,73 @@ def locate_normalised(spark, d):
 _GRAMS = "list_transform(range(1, length({0})), lambda i: substring({0}, i, 2))"
 
 
-@query("G3_bigram_dice", f"WITH {C}, {FI}, p AS (SELECT doc_id, ord, lower(quote) AS a, lower(text) AS b FROM f JOIN c USING (doc_id)), ga AS (SELECT doc_id, ord, unnest({_GRAMS.format('a')}) AS g FROM p), gb AS (SELECT doc_id, ord, unnest({_GRAMS.format('b')}) AS g FROM p), "
-       "na AS (SELECT doc_id, ord, g, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT doc_id, ord, g, count(*) AS n FROM gb GROUP BY ALL), s AS (SELECT doc_id, ord, sum(least(na.n, nb.n)) AS s FROM na JOIN nb USING (doc_id, ord, g) GROUP BY doc_id, ord) "
-       "SELECT doc_id, ord, round(2.0 * coalesce(s, 0) / (length(a) + length(b) - 2), 6) AS similarity FROM p LEFT JOIN s USING (doc_id, ord)")
+@query("G3_bigram_dice", f"WITH {C}, {FI}, a AS (SELECT doc_id, ord, lower(quote) AS a FROM f), b AS (SELECT doc_id, lower(text) AS b FROM c), ga AS (SELECT doc_id, ord, unnest({_GRAMS.format('a')}) AS g FROM a), gb AS (SELECT doc_id, unnest({_GRAMS.format('b')}) AS g FROM b), "
+       "na AS (SELECT doc_id, ord, g, count(*) AS n FROM ga GROUP BY ALL), nb AS (SELECT doc_id, g, count(*) AS n FROM gb GROUP BY ALL), s AS (SELECT doc_id, ord, sum(least(na.n, nb.n)) AS s FROM na JOIN nb USING (doc_id, g) GROUP BY doc_id, ord) "
+       "SELECT doc_id, ord, round(2.0 * coalesce(s, 0) / (length(a) + length(b) - 2), 6) AS similarity FROM a JOIN b USING (doc_id) LEFT JOIN s USING (doc_id, ord)")
 def bigram_dice(spark, d):
     """Every finding's quote against its whole contract."""
-    p = quotes(spark, d).join(contracts(spark, d), "doc_id").select("doc_id", "ord", F.lower("quote").alias("a"), F.lower("text").alias("b"))
-    return grounding.bigram_dice(p, ["doc_id", "ord"]).withColumn("similarity", F.round("similarity", 6))
+    a = quotes(spark, d).select("doc_id", "ord", F.lower("quote").alias("a"))
+    return grounding.bigram_dice(a, contracts(spark, d).select("doc_id", F.lower("text").alias("b"))).withColumn("similarity", F.round("similarity", 6))
 
 
 def _near_quotes(spark, d):
     """Quotes with one letter replaced; texts whose clause stands twice make them ambiguous."""
-    c = contracts(spark, d).where("length(text) >= 100")
-    twice = c.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text")))
-    near = F.concat(F.substring("text", 5, 20), F.lit("#"), F.substring("text", 26, 30))
-    return twice.select("doc_id", F.lit(1).alias("ord"), near.alias("quote")), twice
+    near = derive.frame(spark, d, derive.NEAR)
+    return near.select("doc_id", "ord", "quote"), near.select("doc_id", "text")
 
 
-#: What becomes of the four quotes of each contract: verbatim, in capitals, too short, and reversed.
-_LOC = (
-    f"{C}, {FI}, q AS (SELECT f.*, text, trim(quote, ' ' || chr(10)) AS cut, {_FOLD.format('quote')} AS low FROM f JOIN c USING (doc_id)), "
-    f"p AS (SELECT *, CASE ord WHEN 1 THEN strpos(text, cut) - 1 WHEN 2 THEN strpos({_FOLD.format('text')}, low) - 1 END AS place FROM q), "
-    "loc AS (SELECT doc_id, ord, category, obligation_on, benefits, CASE WHEN ord <= 2 THEN 'grounded' ELSE 'unverified' END AS status, CASE ord WHEN 3 THEN 'quote_too_short' WHEN 4 THEN 'below_threshold' END AS reason, "
-    "CASE ord WHEN 1 THEN 'exact' WHEN 2 THEN 'normalised' END AS method, CAST(place AS INTEGER) AS start, CAST(place + length(low) AS INTEGER) AS \"end\", substring(text, CAST(place + 1 AS INTEGER), length(low)) AS matched_text FROM p)"
+def _scored(name: str, windows: str) -> str:
+    """Dice scores of windows (``doc_id, p``) as relations: per pair of characters the places inside the window, at most as many as the quote has."""
+    return (
+        f"{name}_w AS MATERIALIZED ({windows}), {name}_g AS (SELECT x.doc_id, p, any_value(stop - p) AS width, any_value(w) AS w, least(count(*), any_value(need)) AS shared FROM (SELECT doc_id, p, least(p + w, n) AS stop, w FROM {name}_w JOIN nq USING (doc_id)) x "
+        f"JOIN hit ON hit.doc_id = x.doc_id AND hit.i >= p AND hit.i < stop - 1 GROUP BY x.doc_id, p, gram), "
+        f"{name} AS MATERIALIZED (SELECT doc_id, p, 2.0 * sum(shared) / (any_value(w) - 1 + any_value(width) - 1) AS score FROM {name}_g GROUP BY doc_id, p), "
+        f"{name}_top AS MATERIALIZED (SELECT doc_id, p, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, p) AS place FROM {name}) WHERE place = 1)"
+    )
+
+
+_LOW = "lower(trim(replace({0}, chr(10), ' ')))"
+_FUZZY = (
+    f"nq AS MATERIALIZED (SELECT *, length(t) AS n, length(q) AS w, greatest(1, length(q) // 8) AS st, length(t) - CAST(floor(length(q) * 0.8) AS INTEGER) AS lim FROM (SELECT doc_id, {_LOW.format('text')} AS t, {_LOW.format('quote')} AS q FROM ({derive.text(derive.NEAR)})) WHERE length(q) >= 24), "
+    f"need AS (SELECT doc_id, gram, count(*) AS need FROM (SELECT doc_id, unnest({_GRAMS.format('q')}) AS gram FROM nq) GROUP BY ALL), "
+    f"place AS (SELECT doc_id, unnest({_GRAMS.format('t')}) AS gram, generate_subscripts({_GRAMS.format('t')}, 1) - 1 AS i FROM nq), hit AS MATERIALIZED (SELECT doc_id, i, gram, need FROM place JOIN need USING (doc_id, gram)), "
+    + _scored("coarse", "SELECT doc_id, unnest(range(0, lim + 1, st)) AS p FROM nq WHERE lim > 0") + ", "
+    + _scored("fine", "SELECT nq.doc_id, unnest(range(greatest(0, c.p - st), least(lim, c.p + st) + 1)) AS p FROM coarse_top c JOIN nq ON c.doc_id = nq.doc_id") + ", "
+    + _scored("after_", "SELECT nq.doc_id, unnest(range(f.p + w, lim + 1, st)) AS p FROM fine_top f JOIN nq ON f.doc_id = nq.doc_id WHERE f.p + w <= lim") + ", "
+    "before_top AS (SELECT c.doc_id, max(c.score) AS score FROM coarse c JOIN fine_top f ON c.doc_id = f.doc_id JOIN nq ON nq.doc_id = c.doc_id AND c.p <= least(lim, f.p - w) GROUP BY c.doc_id), "
+    "outcome AS (SELECT f.doc_id, f.p, f.score, greatest(coalesce(b.score, 0), coalesce(a.score, 0)) AS other FROM fine_top f LEFT JOIN before_top b ON b.doc_id = f.doc_id LEFT JOIN after__top a ON a.doc_id = f.doc_id), "
+    f"verdict AS (SELECT *, score >= {grounding.MIN_SIMILARITY} AND other >= {grounding.MIN_SIMILARITY} AND score - other < {grounding.MARGIN} AS ambiguous FROM outcome)"
 )
-_TWICE = _LOC + ", both_ AS (SELECT * FROM loc UNION ALL SELECT * REPLACE (5 AS ord, 'unverified' AS status, 'duplicate' AS reason) FROM loc WHERE ord = 1)"
 
 
-@query("G4_locate_fuzzy")
+def _placed_at(nth: str) -> str:
+    """The place in the text of the nth character of the folded text: a space has that of the character after it."""
+    return f"({nth} - 1 + CAST(substring(t, CAST({nth} AS INTEGER), 1) = ' ' AS INTEGER))"
+
+
+@query("G4_locate_fuzzy", f"WITH {_FUZZY} SELECT doc_id, 1 AS ord, CAST({_placed_at('p + 1')} AS INTEGER) AS start, CAST({_placed_at('least(p + w, n)')} + 1 AS INTEGER) AS \"end\", round(score, 6) AS similarity FROM verdict JOIN nq USING (doc_id) WHERE score >= {grounding.MIN_SIMILARITY} AND NOT ambiguous")
 def locate_fuzzy(spark, d):
     found = grounding.locate(*_near_quotes(spark, d))
     return found.where("method = 'fuzzy'").select("doc_id", "ord", "start", "end", F.round("similarity", 6).alias("similarity"))
 
 
-@query("G5_ambiguity_check")
+@query("G5_ambiguity_check", f"WITH {_FUZZY} SELECT d.doc_id, coalesce(ambiguous, FALSE) AS ambiguous FROM ({derive.text(derive.NEAR)}) d LEFT JOIN verdict USING (doc_id)")
 def ambiguity_check(spark, d):
     found = grounding.locate(*_near_quotes(spark, d))
     return found.select("doc_id", F.coalesce(F.col("reason") == "ambiguous", F.lit(False)).alias("ambiguous"))
 
 
+#: What becomes of the four quotes of each contract.
+_LOC = (
+    f"{C}, {FI}, q AS (SELECT f.*, text, trim(quote, ' ' || chr(10)) AS cut, {_FOLD.format('quote')} AS low FROM f JOIN c USING (doc_id)), "
+    f"p AS (SELECT *, CASE WHEN length(cut) < 24 THEN NULL WHEN ord = 1 THEN strpos(text, cut) - 1 WHEN ord = 2 THEN strpos({_FOLD.format('text')}, low) - 1 END AS place FROM q), "
+    "loc AS (SELECT doc_id, ord, category, obligation_on, benefits, is_unusual, CASE WHEN place IS NULL THEN 'unverified' ELSE 'grounded' END AS status, CASE WHEN cut = '' THEN 'quote_empty' WHEN length(cut) < 24 THEN 'quote_too_short' "
+    f"WHEN ord = 4 THEN CASE WHEN length({_FOLD.format('text')}) <= floor(length(low) * 0.8) THEN 'not_found' ELSE 'below_threshold' END END AS reason, "
+    "CASE WHEN place IS NOT NULL THEN CASE ord WHEN 1 THEN 'exact' ELSE 'normalised' END END AS method, CAST(place AS INTEGER) AS start, CAST(place + length(low) AS INTEGER) AS \"end\", substring(text, CAST(place + 1 AS INTEGER), length(low)) AS matched_text FROM p)"
+)
+_TWICE = _LOC + ", both_ AS (SELECT * FROM loc UNION ALL SELECT * REPLACE (5 AS ord, 'unverified' AS status, CASE WHEN status = 'grounded' THEN 'duplicate' ELSE reason END AS reason) FROM loc WHERE ord = 1)"
+
+
 @query("G6_grounding_outcome", f"WITH {_LOC} SELECT doc_id, ord, status, reason, method, start, \"end\", matched_text FROM loc")
 def grounding_outcome(spark, d):
     return grounding.locate(quotes(spark, d), contracts(spark, d)).select("doc_id", "ord", "status", "reason", "method", "start", "end", "matched_text")
@@ -406,7 +417,7 @@ def grounding_stats(spark, d):
     return grounding.grounding_stats(grounding.verify_findings(_repeated(spark, d), contracts(spark, d)))
 
 
-@query("G10_verify_answers", f"WITH {_LOC} SELECT doc_id, ord, CASE WHEN doc_id % 5 = 0 THEN 'not_in_document' WHEN ord = 1 THEN 'grounded' ELSE 'unverified' END AS verdict, CASE WHEN doc_id % 5 <> 0 AND ord = 1 THEN matched_text END AS located FROM loc WHERE ord IN (1, 3)")
+@query("G10_verify_answers", f"WITH {_LOC} SELECT doc_id, ord, CASE WHEN doc_id % 5 = 0 THEN 'not_in_document' WHEN status = 'grounded' THEN 'grounded' ELSE 'unverified' END AS verdict, CASE WHEN doc_id % 5 <> 0 AND status = 'grounded' THEN matched_text END AS located FROM loc WHERE ord IN (1, 3)")
 def verify_answers(spark, d):
     a = quotes(spark, d).where("ord in (1, 3)").select("doc_id", "ord", "quote", (F.col("doc_id") % 5 != 0).alias("found"), F.lit("So it says.").alias("prose"))
     return grounding.verify_answers(a, contracts(spark, d)).select("doc_id", "ord", "verdict", "located")
@@ -419,7 +430,7 @@ def corpus_quote_search(spark, d):
     return grounding.corpus_quote_search(asked, docs).select("doc_id", "quote_id")
 
 
-@query("G12_highlight_spans", f"WITH {_LOC}, one AS (SELECT doc_id, start, \"end\", ord FROM loc WHERE ord = 1), two AS (SELECT l.doc_id, l.start, l.\"end\", l.ord FROM loc l JOIN one o ON l.doc_id = o.doc_id WHERE l.ord = 2 AND l.start >= o.\"end\"), "
+@query("G12_highlight_spans", f"WITH {_LOC}, sorted AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, \"end\", ord) AS n FROM loc WHERE status = 'grounded'), one AS (SELECT doc_id, start, \"end\", ord FROM sorted WHERE n = 1), two AS (SELECT l.doc_id, l.start, l.\"end\", l.ord FROM sorted l JOIN one o ON l.doc_id = o.doc_id WHERE l.n = 2 AND l.start >= o.\"end\"), "
        "marks AS (SELECT * FROM one UNION ALL SELECT * FROM two), edges AS (SELECT doc_id, \"end\" AS start FROM marks UNION ALL SELECT doc_id, 0 FROM c), "
        "plain AS (SELECT e.doc_id, e.start, CAST(coalesce(min(m.start), any_value(length(text))) AS INTEGER) AS \"end\", CAST(NULL AS INTEGER) AS ord FROM edges e JOIN c USING (doc_id) LEFT JOIN marks m ON m.doc_id = e.doc_id AND m.start >= e.start GROUP BY ALL) "
        "SELECT doc_id, CAST(start AS INTEGER) AS start, \"end\", ord FROM plain WHERE \"end\" > start UNION ALL SELECT doc_id, start, \"end\", ord FROM marks")
@@ -429,28 +440,29 @@ def highlight_spans(spark, d):
 
 
 # --- facts ----------------------------------------------------------------------------------------
-_NAMES = ("noticeDaysYouMustGive", "self_help_remedy", "securityDepositInr", "lockInMonths")
+#: What citations are of: evidence of every rule, and constructs of every statute, dealt out over the documents.
+_NAMES = sorted({r[5] for r in RULES} | {x[0] for x in STATUTES})
 
 
 def _cited(spark, d):
-    name = F.element_at(F.array(*map(F.lit, _NAMES)), F.col("ord"))
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), ((F.col("doc_id") + 7 * F.col("ord")) % len(_NAMES) + 1).cast("int"))
     return grounding.ground_citations(quotes(spark, d).withColumn("name", name).select("doc_id", "ord", "name", "quote"), contracts(spark, d))
 
 
-_DEMOTED = f"{FI}, m AS (SELECT doc_id, ord, ['{_NAMES[0]}', '{_NAMES[1]}', '{_NAMES[2]}', '{_NAMES[3]}'][ord] AS name, ord IN (3, 4) AS demoted FROM f)"
-
-
-_NAMED = "n AS (SELECT *, ['" + "', '".join(_NAMES) + "'][ord] AS name FROM loc)"
+_NAMED = "n AS (SELECT *, [" + ", ".join(map(repr, _NAMES)) + f"][CAST((doc_id + 7 * ord) % {len(_NAMES)} + 1 AS INTEGER)] AS name, status <> 'grounded' AS demoted FROM loc)"
 
 
-@query("F1_ground_citations", f"WITH {_LOC}, {_NAMED} SELECT doc_id, ord, name, status <> 'grounded' AS demoted, start, \"end\" FROM n")
+@query("F1_ground_citations", f"WITH {_LOC}, {_NAMED} SELECT doc_id, ord, name, demoted, start, \"end\" FROM n")
 def ground_citations(spark, d):
     return _cited(spark, d).select("doc_id", "ord", "name", "demoted", "start", "end")
 
 
-@query("F2_fact_view_numbers", f"WITH {sq.V}, {_DEMOTED} SELECT v.doc_id, noticeDaysYouMustGive, CASE WHEN m.doc_id IS NULL THEN securityDepositInr END AS securityDepositInr, CASE WHEN m.doc_id IS NULL THEN lockInMonths END AS lockInMonths FROM v LEFT JOIN m ON v.doc_id = m.doc_id AND m.name = 'lockInMonths'")
+_CITED_NUMBERS = [n for n in NUMBERS if n in _NAMES]
+
+
+@query("F2_fact_view_numbers", f"WITH {_LOC}, {_NAMED}, {sq.V} SELECT v.doc_id, " + ", ".join(f"CASE WHEN NOT coalesce(bool_or(demoted AND name = '{n}'), FALSE) THEN any_value(v.{n}) END AS {n}" for n in _CITED_NUMBERS) + " FROM v LEFT JOIN n ON v.doc_id = n.doc_id GROUP BY v.doc_id")
 def fact_view_numbers(spark, d):
-    return grounding.fact_view_numbers(sq.view(spark, d), _cited(spark, d), ["noticeDaysYouMustGive", "securityDepositInr", "lockInMonths"])
+    return grounding.fact_view_numbers(sq.view(spark, d), _cited(spark, d), _CITED_NUMBERS)
 
 
 _ASSERTED = " UNION ALL ".join(f"SELECT o_orderkey AS doc_id, {k} AS ord, '{c}' AS construct, {derive.presence_sql(k)} AS p FROM {{orders}}" for k, c in enumerate(CONSTRUCTS, 1))
@@ -467,7 +479,7 @@ def evidence_index(spark, d):
     return grounding.evidence_index(_cited(spark, d))
 
 
-@query("F5_demotion_audit", f"WITH {_DEMOTED} SELECT doc_id, string_agg(name, ',' ORDER BY name) AS demoted, count(*) AS n FROM m WHERE demoted GROUP BY doc_id")
+@query("F5_demotion_audit", f"WITH {_LOC}, {_NAMED} SELECT doc_id, string_agg(name, ',' ORDER BY name) AS demoted, count(*) AS n FROM n WHERE demoted GROUP BY doc_id")
 def demotion_audit(spark, d):
     return grounding.demotion_audit(_cited(spark, d))
 
@@ -486,6 +498,12 @@ def evidence_fallback(spark, d):
     return statutes.with_evidence(statutes.triage(sq.view(spark, d)), grounding.evidence_index(_cited(spark, d)), _placed(spark, d))
 
 
+@query("R9_risk_drivers", f"WITH {_LOC}, {_NAMED}, {sq.E} SELECT e.doc_id, rule_order, rule_id, tier, severity, points, evidence_from, start, \"end\" FROM e LEFT JOIN n ON n.doc_id = e.doc_id AND n.name = evidence_from AND NOT demoted WHERE outcome")
+def risk_drivers(spark, d):
+    """Rules that fired, each with the place of the fact that it rests on, where that was cited and found."""
+    return rubric.risk_drivers(sq.view(spark, d), grounding.evidence_index(_cited(spark, d)))
+
+
 # --- consistency ------------------------------------------------------------------------------------
 _HEAD = {  # what stands in each line before the span at hand
     1: "1. Either party may end this agreement by giving ", 2: "2. The security deposit is ", 3: '3. The "Lock-in Period" means the first ', 4: "4. This is subject to Clause ",
@@ -561,10 +579,10 @@ def trailing_value(spark, d):
     return w.select("doc_id", one["value"].alias("value"), one["start"].alias("start"), both["value"].alias("both_value"), both["start"].alias("both_start"))
 
 
-@query("K9_money_mentions", f"WITH {L} SELECT k AS doc_id, floor(p2) AS value FROM l WHERE p2 IS NOT NULL UNION ALL SELECT k, floor(p7) FROM l WHERE p7 IS NOT NULL")
+@query("K9_money_mentions", f"WITH {_PLACES} " + " UNION ALL ".join(f"SELECT k AS doc_id, floor(p{n}) AS value, {_at(f'a{n}', '4 + ' + _digits(f'p{n}'))} FROM w WHERE p{n} IS NOT NULL" for n in (2, 7)))
 def money_mentions(spark, d):
-    m = contracts(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({consistency.MONEY})"), F.lit(1))).alias("raw"))
-    return m.select("doc_id", tx.rupees(F.col("raw")).alias("value"))
+    m = contracts(spark, d).select("doc_id", F.explode(match_spans(F.col("text"), consistency.MONEY)).alias("m"))
+    return m.select("doc_id", tx.rupees(F.col("m.text")).alias("value"), "m.start", "m.end")
 
 
 _MISMATCH = f"SELECT k AS doc_id, {_at('a1', f'nw + {_digits(chr(110) + chr(49))} + 3')}, q1 AS words, q1 + 1 AS figure FROM w WHERE q1 IS NOT NULL AND k % 5 = 0"
@@ -617,25 +635,59 @@ def count_by_kind(spark, d):
     return consistency.count_by_kind(contracts(spark, d))
 
 
+# --- places of spans ------------------------------------------------------------------------------
+def _offsets(spark, d):
+    """Where the quantities of each contract begin, and its end, which is in no segment or page."""
+    c = contracts(spark, d)
+    return consistency.extract_quantities(c).select("doc_id", F.col("start").alias("offset")).unionByName(c.select("doc_id", F.length("text").alias("offset")))
+
+
+_OFFSETS = f"{_PLACES}, x AS ({_QUANTITIES}), o AS (SELECT doc_id, start AS \"offset\" FROM x UNION ALL SELECT doc_id, CAST(length(text) AS INTEGER) FROM c)"
+
+
+@query("X4_segment_at", f"WITH {_OFFSETS} SELECT o.doc_id, \"offset\", segment_id FROM o LEFT JOIN seg ON o.doc_id = seg.doc_id AND start <= \"offset\" AND \"offset\" < \"end\"")
+def segment_at(spark, d):
+    return canonical.place_at(_offsets(spark, d), canonical.find_segments(contracts(spark, d)), ["segment_id"])
+
+
+def _thirds(spark, d):
+    c = contracts(spark, d).where("length(text) > 0").select("doc_id", F.length("text").alias("n"))
+    return c.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / 150).cast("int"))).alias("page_number"), "n").select("doc_id", "page_number", ((F.col("page_number") - 1) * 150).alias("start"), F.least(F.col("page_number") * 150, "n").alias("end"))
+
+
+@query("X5_page_at", f"WITH {_OFFSETS} SELECT doc_id, \"offset\", CASE WHEN \"offset\" < length(text) THEN CAST(\"offset\" // 150 + 1 AS INTEGER) END AS page_number FROM o JOIN c USING (doc_id)")
+def page_at(spark, d):
+    return canonical.place_at(_offsets(spark, d), _thirds(spark, d), ["page_number"])
+
+
+@query("X6_site_enrich", f"WITH {_LOC}, {_SEGS.removeprefix(C + ', ')} SELECT l.doc_id, l.ord, l.start, l.matched_text AS quote, segment_id, CAST(l.start // 150 + 1 AS INTEGER) AS page_number, 'clause ' || label AS place "
+       "FROM loc l JOIN seg ON l.doc_id = seg.doc_id AND seg.start <= l.start AND l.start < seg.\"end\" WHERE status = 'grounded'")
+def site_enrich(spark, d):
+    """Every grounded finding with its clause and page."""
+    c = contracts(spark, d)
+    spans = _placed(spark, d).select("doc_id", "ord", "start", "end")
+    return canonical.site_enrich(spans, c, canonical.find_segments(c), _thirds(spark, d)).select("doc_id", "ord", "start", "quote", "segment_id", "page_number", "place")
+
+
 # --- reports ----------------------------------------------------------------------------------------
 def _clauses(spark, d):
-    v, placed = sq.view(spark, d), _placed(spark, d)
-    n_rules = len(RULES)
-    # Drivers and verdicts stand at places of the text that depend on their number.
-    drivers = rubric.risk_drivers(v).select("doc_id", "rule_order", "rule_id", "severity", F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("explanation"), (F.col("rule_order") * 7).alias("start"), (F.col("rule_order") * 7 + 5).alias("end"))
-    verdicts = statutes.order_verdicts(statutes.triage(v)).select("*", (F.col("statute_order") * 9).alias("start"), (F.col("statute_order") * 9 + 4).alias("end"))
-    return placed, drivers, verdicts, n_rules
+    """Findings, drivers and verdicts, each with its place in the text: fact, driver and clause meet there."""
+    v, placed, evidence = sq.view(spark, d), _placed(spark, d), grounding.evidence_index(_cited(spark, d))
+    asked = rubric.question_column()
+    drivers = rubric.risk_drivers(v, evidence).join(rubric.explanations(v).withColumnRenamed("text", "explanation"), ["doc_id", "rule_id"], "left").withColumn("question", asked)
+    verdicts = statutes.with_evidence(statutes.order_verdicts(statutes.triage(v)), evidence, placed)
+    return placed, drivers, verdicts
 
 
 _DRIVEN = (
-    f"{_LOC}, {sq.E}, dr AS (SELECT l.doc_id, l.ord, arg_min(rule_id, rule_order) AS rule_id, arg_min(severity, rule_order) AS severity FROM loc l JOIN e ON l.doc_id = e.doc_id AND outcome "
-    "AND rule_order * 7 < l.\"end\" AND l.start < rule_order * 7 + 5 WHERE status = 'grounded' GROUP BY ALL)"
+    f"{_LOC}, {_NAMED}, {sq.E}, dr AS (SELECT l.doc_id, l.ord, arg_min(rule_id, rule_order) AS rule_id, arg_min(severity, rule_order) AS severity FROM loc l JOIN e ON l.doc_id = e.doc_id AND outcome "
+    "JOIN n ON n.doc_id = e.doc_id AND n.name = evidence_from AND NOT demoted AND n.start < l.\"end\" AND l.start < n.\"end\" WHERE l.status = 'grounded' GROUP BY ALL)"
 )
 
 
 @query("V1_clause_overlap_join", f"WITH {_DRIVEN} SELECT l.doc_id, l.ord, start, rule_id, severity FROM loc l LEFT JOIN dr ON l.doc_id = dr.doc_id AND l.ord = dr.ord WHERE status = 'grounded'")
 def clause_overlap_join(spark, d):
-    placed, drivers, _, _ = _clauses(spark, d)
+    placed, drivers, _ = _clauses(spark, d)
     return report.clause_overlap_join(placed, drivers, "rule_order", ["rule_id", "severity"]).select("doc_id", "ord", "start", "rule_id", "severity")
 
 
@@ -694,7 +746,7 @@ def tier_bars(spark, d):
     return report.tier_bars(rubric.tier_totals(sq.view(spark, d)))
 
 
-@query("V12_assemble_report", f"WITH r AS ({sq.ORACLES['R16_score_documents']}), dd AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['R9_risk_drivers']}) GROUP BY doc_id), vv AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['E1_triage']}) GROUP BY doc_id), "
+@query("V12_assemble_report", f"WITH r AS ({sq.ORACLES['R16_score_documents']}), dd AS (SELECT doc_id, count(*) AS n FROM (WITH {sq.E} SELECT doc_id FROM e WHERE outcome) GROUP BY doc_id), vv AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['E1_triage']}) GROUP BY doc_id), "
        f"nn AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['M6_next_steps']}) GROUP BY doc_id) SELECT r.doc_id, 'report' AS kind, NULL AS reason, score, band, coalesce(dd.n, 0) AS drivers, coalesce(vv.n, 0) AS verdicts, coalesce(nn.n, 0) AS next_steps "
        f"FROM r LEFT JOIN dd USING (doc_id) LEFT JOIN vv USING (doc_id) LEFT JOIN nn USING (doc_id) WHERE r.doc_id % 13 <> 0 UNION ALL SELECT doc_id, 'not_a_document', '{canonical.REFUSED}', NULL, NULL, NULL, NULL, NULL FROM r WHERE doc_id % 13 = 0")
 def assemble_report(spark, d):
@@ -704,17 +756,18 @@ def assemble_report(spark, d):
 
 _FAVOURS = "CASE CAST(obligation_on = 'counterparty' AS INTEGER) + CAST(benefits = 'you' AS INTEGER) WHEN 2 THEN 'you' WHEN 1 THEN 'both' ELSE 'counterparty' END"
 _CHALLENGED = ", ".join(repr(v) for v in report.CHALLENGED)
+_ASKED = "CASE dr.rule_id " + " ".join(f"WHEN '{r[0]}' THEN 'ask: {question(r[0])}'" for r in RULES) + " END"
 
 
-@query("V_clause_view", f"WITH {_DRIVEN}, o AS ({sq.ORACLES['E3_order_verdicts']}), cv AS (SELECT doc_id, construct, arg_max(verdict, place) AS verdict, arg_max(confidence, place) AS confidence, arg_max(section, place) AS section, "
-       "arg_max(statute_order, place) * 9 AS s, min(place) AS first FROM o GROUP BY doc_id, construct), hit AS (SELECT l.doc_id, l.ord, arg_min(verdict, first) AS verdict, arg_min(confidence, first) AS confidence, arg_min(section, first) AS section "
-       "FROM loc l JOIN cv ON l.doc_id = cv.doc_id AND s < l.\"end\" AND l.start < s + 4 WHERE status = 'grounded' GROUP BY l.doc_id, l.ord) "
+@query("V_clause_view", f"WITH {_DRIVEN}, o AS ({sq.ORACLES['E3_order_verdicts']}), fb AS (SELECT doc_id, category, arg_min(start, ord) AS fs, arg_min(\"end\", ord) AS fe FROM loc WHERE status = 'grounded' GROUP BY ALL), "
+       "cv AS (SELECT doc_id, construct, arg_max(verdict, place) AS verdict, arg_max(confidence, place) AS confidence, arg_max(section, place) AS section, min(place) AS first FROM o GROUP BY doc_id, construct), "
+       f"pv AS (SELECT cv.*, coalesce(n.start, fs) AS s, coalesce(n.\"end\", fe) AS t FROM cv LEFT JOIN n ON n.doc_id = cv.doc_id AND n.name = construct AND NOT demoted LEFT JOIN fb ON fb.doc_id = cv.doc_id AND fb.category = {_CATEGORY}), "
+       "hit AS (SELECT l.doc_id, l.ord, arg_min(verdict, first) AS verdict, arg_min(confidence, first) AS confidence, arg_min(section, first) AS section FROM loc l JOIN pv ON l.doc_id = pv.doc_id AND s < l.\"end\" AND l.start < t WHERE status = 'grounded' GROUP BY l.doc_id, l.ord) "
        f"SELECT l.doc_id, l.ord, l.category, dr.rule_id, hit.verdict, {_FAVOURS} AS favours, CASE WHEN hit.verdict IN ({_CHALLENGED}) THEN 'challenged' WHEN dr.severity IN ('medium', 'high', 'critical') THEN 'risky' "
-       "WHEN benefits = 'you' THEN 'favourable' ELSE 'standard' END AS signal, CASE WHEN hit.confidence = 'low' THEN 'depends_on_your_state' ELSE 'confident' END AS certainty, coalesce('ask about ' || section, 'accept') AS actions "
+       f"WHEN benefits = 'you' THEN 'favourable' ELSE 'standard' END AS signal, CASE WHEN hit.confidence = 'low' THEN 'depends_on_your_state' ELSE 'confident' END AS certainty, coalesce(nullif(concat_ws('; ', {_ASKED}, 'ask about ' || section), ''), 'accept') AS actions "
        "FROM loc l LEFT JOIN dr ON l.doc_id = dr.doc_id AND l.ord = dr.ord LEFT JOIN hit ON l.doc_id = hit.doc_id AND l.ord = hit.ord WHERE l.status = 'grounded'")
 def clause_view(spark, d):
-    placed, drivers, verdicts, _ = _clauses(spark, d)
-    return report.clause_view(placed, drivers, verdicts)
+    return report.clause_view(*_clauses(spark, d))
 
 
 # --- streams: batch twins over the event table -------------------------------------------------------

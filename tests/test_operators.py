@@ -405,8 +405,92 @@ def test_window_scores_equal_brute_force():
         return 2 * sum((x & y).values()) / (len(a) + len(b) - 2)
 
     scores = [dice(document[p : p + 30], quote) for p in range(270)]
-    at, score = grounding._Windows(document, quote).best(0, 269, 1)
-    assert score == pytest.approx(max(scores)) and at == max(range(270), key=lambda p: (round(scores[p], 12), -p))
+    for table in (1 << 20, 0):  # running sums, and places
+        at, score = grounding._Windows(grounding._Document(document), quote, table).best(0, 269, 1)
+        assert score == pytest.approx(max(scores)) and at == max(range(270), key=lambda p: (round(scores[p], 12), -p))
+
+
+def test_a_text_meets_all_its_quotes_at_once(spark):
+    """Hundreds of quotes of one document: one row of the join and of the search, and what each quote alone gets."""
+    rng = random.Random(9)
+    text = " ".join(rng.choice("rent deposit notice tenant owner shall pay within thirty days of the term".split()) + rng.choice(["", "", ","]) for _ in range(400))
+    near = lambda t: t[:20] + "#" + t[21:]
+    rows = []
+    for i in range(200):
+        at = rng.randrange(len(text) - 60)
+        piece = text[at : at + rng.randrange(30, 60)]
+        rows.append((rng.choice([1, 2]), i, [piece, piece.upper(), near(piece), piece[:9], piece[::-1], ""][i % 6], f"tag{i}"))
+    docs = spark.createDataFrame([(1, text), (2, text[:700]), (3, "never asked")], "doc_id long, text string")
+    quotes = spark.createDataFrame(rows, "doc_id long, ord int, quote string, category string")
+    assert grounding._bundled(quotes, docs).count() == 2
+    found = grounding.locate(quotes, docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("ArrowEvalPython") == 1
+    texts = {1: text, 2: text[:700]}
+    for r in found.collect():
+        quote, own = tx_trim(rows[r["ord"]][2]), texts[r["doc_id"]]
+        if quote == "" or len(quote) < 24:
+            expected = ("quote_empty" if quote == "" else "quote_too_short", None, None)
+        elif quote in own:
+            expected = (None, "exact", own.index(quote))
+        else:
+            reason, start, _, method, _ = grounding._search_all(own, [quote])[0]
+            expected = (reason, method, start)
+        assert (r["reason"], r["method"], r["start"]) == expected and r["category"] == f"tag{r['ord']}"
+    assert {r["method"] for r in found.collect()} == {None, "exact", "normalised", "fuzzy"}
+
+
+def tx_trim(text):
+    return text.strip(" \n")
+
+
+def test_places_of_a_document_with_many_segments_take_linear_time(spark):
+    """50,000 segments and as many offsets of one document: a join on the document alone compares 2.5 billion pairs."""
+    segments = spark.range(50_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 10).alias("start"), (F.col("id") * 10 + 9).alias("end"), F.col("id").alias("segment_id"))
+    offsets = spark.range(50_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 7919 % 500_000).alias("offset")).unionAll(spark.createDataFrame([(2, 5), (None, 5), (1, None), (1, -3)], "doc_id int, offset long"))
+    began = time.monotonic()
+    rows = canonical.place_at(offsets, segments, ["segment_id"]).collect()
+    assert time.monotonic() - began < 30 and len(rows) == 50_004
+    for r in rows:
+        inside = r["doc_id"] == 1 and r["offset"] is not None and r["offset"] >= 0 and r["offset"] % 10 < 9
+        assert r["segment_id"] == (r["offset"] // 10 if inside else None)
+
+
+def test_overlaps_of_a_document_with_many_clauses_are_dealt_out(spark):
+    """Intervals of all lengths, empty ones too, against all pairs; the join's keys hold the bin."""
+    rng = random.Random(3)
+    spans = lambda n: [(1, i, (a := rng.randrange(6000)), a + rng.choice([0, 3, 40, 900])) for i in range(n)]
+    findings, others = spans(300), spans(300)
+    f = spark.createDataFrame(findings + [(1, 999, None, None)], "doc_id long, ord int, start int, end int")
+    o = spark.createDataFrame([(d, i, f"r{i}", s, e) for d, i, s, e in others] + [(1, 999, "none", None, None)], "doc_id long, rule_order int, rule_id string, start int, end int")
+    found = report.clause_overlap_join(f, o, "rule_order", ["rule_id"], width=64)
+    for r in found.collect():
+        hits = [i for _, i, s, e in others if r["start"] is not None and s < r["end"] and r["start"] < e]
+        assert r["rule_id"] == (f"r{min(hits)}" if hits else None)
+    assert re.search(r"hashpartitioning\(doc_id#\d+L?, bin#\d+L|\[doc_id#\d+L?, bin#\d+L\]", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_corpus_search_scans_the_corpus_once_and_takes_any_number_of_bare_quotes(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "_NEEDLES", 7)
+    rng = random.Random(4)
+    word = lambda: rng.choice("alpha beta gamma delta rho sigma tau".split())
+    texts = [" ".join(word() for _ in range(rng.randrange(60))) for _ in range(80)] + ["", None]
+    asked = [texts[i % 80][3 : 3 + rng.randrange(2, 40)] for i in range(60)] + ["alp", "a b", "", None, "MMA  Delta", "zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quotes = spark.createDataFrame(list(enumerate(asked)), "quote_id long, quote string")
+    low = lambda t: " ".join((t or "").lower().split())
+    expected = {(i, j, low(t).index(low(q))) for i, t in enumerate(texts) for j, q in enumerate(asked) if low(q) and low(q) in low(t)}
+    found = [tuple(r) for r in grounding.corpus_quote_search(quotes, docs).collect()]
+    assert set(found) == expected and len(found) == len(expected)
+
+
+def test_folding_of_long_texts_takes_little_time():
+    text = ("The “tenant’s” rent – due\u200b  \n" * 20_000)[:400_000]
+    tx.fold_with_offsets(text)  # makes the tables
+    began = time.process_time()
+    low, offsets = tx.fold_with_offsets(text)
+    assert time.process_time() - began < 0.13 and len(low) == len(offsets)
+    assert all(text[o].lower() == c or c in "'\"-\u0020" for c, o in zip(low[:300], offsets))
 
 
 def test_many_matches_take_linear_time(spark):
