@@ -1,10 +1,14 @@
 r"""Personal data replaced by surrogates, in DataFrame and SQL operations only.
 
-Entities are e-mail addresses, phone numbers in international form or as
-``(ddd) ddd-dddd``, IPv4 and IPv6 addresses, card numbers (16 digits in fours, or
-14 and 15 in the issuers' groups), IBANs, and personal names: one or two words
-after a form of address, or a listed given name with a surname. Not detected are
-names without either, and numbers in other national forms.
+Entities are e-mail addresses (international domains too), phone numbers in
+international form (``+`` or ``00``) or as ``(ddd) ddd-dddd``, IPv4 and IPv6
+addresses, card numbers (16 digits in fours, or 14 and 15 in the issuers' groups),
+IBANs, and personal names, also in capitals: one or two words after a form of
+address, a listed given name with a surname, in either order (``Schmidt, Anna``),
+and wherever else in the same text the surnames so found stand. A second word
+after a form of address is part of the name unless it is one of the ``ORDINARY``
+words. Not detected are names without any of these, and numbers in other national
+forms.
 
 The parts that a surrogate is made of are the whole entity, or for names each
 word. Each part has a canonical form (lower case; digits only for numbers), and
@@ -32,7 +36,9 @@ again for all but the smallest part until none is left (after ``max_draws`` draw
 parts drawn again are joined back to their documents. Listed given names need no
 check among themselves.
 
-Whoever knows the key can compute surrogates; keep it as secret as the data.
+Whoever knows the key can compute surrogates; keep it as secret as the data. It
+enters plans as the result of a subquery, never as a literal, so that neither the
+UI nor event logs show it.
 
 Edge cases: null texts stay null and have no entities; empty texts stay empty;
 texts of any length are matched as a whole; rows with a null ``doc_id`` have
@@ -44,6 +50,7 @@ result; extra columns pass through, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +59,18 @@ from pactlake.llm.common import fresh, stage
 
 #: Given names by gender and script; fixed values.
 GIVEN = {
-    "female_latin": "anna maria julia laura sofia elena clara emma nina paula".split(),
-    "male_latin": "peter john paul martin david thomas daniel marco felix simon".split(),
+    "female_latin": "anna maria julia laura sofia elena clara emma nina paula sarah lisa katharina sabine monika claire camille isabelle lucia carmen".split(),
+    "male_latin": "peter john paul martin david thomas daniel marco felix simon michael andreas stefan jürgen klaus pierre antoine carlos pablo robert".split(),
     "female_cyrillic": "анна мария ольга елена ирина наталья татьяна светлана".split(),
     "male_cyrillic": "иван пётр сергей андрей николай дмитрий павел михаил".split(),
 }
+#: Capitalised words that begin a sentence rather than end a name; fixed values.
+ORDINARY = (
+    "The This That These Those He She It We They You His Her Its Our Their There Here Then Now When Where While Who What Why How If But And Or So Yet "
+    "Yesterday Today Tomorrow However Also After Before Since Until As At In On Of For From To With Without By Not No Yes Please Thank Thanks "
+    "Der Die Das Ein Eine Er Sie Es Wir Ihr Und Oder Aber Gestern Heute Morgen Dann Hier Da Nach Vor Seit Bei Mit Von Zu Nicht "
+    "Le La Les Un Une Il Elle Nous Vous Ils Et Ou Mais Hier Puis Ici Avant Depuis Avec Pour"
+).split()
 #: Forms of address by gender; fixed values.
 TITLES = {
     "female": ["Mrs.", "Ms.", "Miss", "Frau", "Mme", "Madame", "Sra.", "Señora", "Г-жа", "Госпожа"],
@@ -65,16 +79,22 @@ TITLES = {
 #: Country calling codes of one and two digits; all others have three. Fixed values.
 CALLING = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}])"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,24}(?![\p{L}\p{N}])"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 _IP6 = r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _CARD = r"(?<![\p{L}\d])(?:(?:\d{4}[ -]?){3}\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5}|3(?:0[0-5]|[68]\d)\d[ -]?\d{6}[ -]?\d{4})(?!\d)"
-_PHONE = r"(?<![\p{L}\d])\+\d(?:[ ./()-]{0,2}\d){7,14}(?!\d)|(?<![\p{L}\d])\(\d{3}\) \d{3}-\d{4}(?!\d)"
-_TITLE = "|".join(t.replace(".", r"\.") for names in TITLES.values() for t in names)
-_LISTED = "|".join(n.capitalize() for names in GIVEN.values() for n in names)
-_WORD = r"\p{Lu}[\p{L}'-]+"
-_NAME = rf"(?<![\p{{L}}])(?:{_TITLE}) {_WORD}(?: {_WORD})?|(?<![\p{{L}}-])(?:{_LISTED}) {_WORD}"
+_PHONE = r"(?<![\p{L}\d])\+\d(?:[ ./()-]{0,2}\d){7,14}(?!\d)|(?<![\p{L}\d+])00[1-9]\d{0,2}[ ./(-](?:[ ./()-]{0,2}\d){6,13}(?!\d)|(?<![\p{L}\d])\(\d{3}\) \d{3}-\d{4}(?!\d)"
+_BOTH = lambda names: "|".join(x.replace(".", r"\.") for n in names for x in dict.fromkeys((n, n.upper())))
+_TITLE = _BOTH([t for names in TITLES.values() for t in names])
+_LISTED = _BOTH([n.capitalize() for names in GIVEN.values() for n in names])
+_WORD = r"\p{Lu}[\p{L}'-]*\p{L}"
+_NOT_ORDINARY = rf"(?!(?:{_BOTH(ORDINARY)})(?![\p{{L}}'-]))"
+_START = r"(?<![\p{L}'-])(?=\p{Lu})"
+_NAME = (
+    rf"{_START}(?:{_TITLE}) {_WORD}(?: {_NOT_ORDINARY}{_WORD})?|{_START}(?:{_LISTED}) {_NOT_ORDINARY}{_WORD}|"
+    rf"{_START}{_NOT_ORDINARY}{_WORD}, (?:{_LISTED})(?![\p{{L}}'-])"
+)
 ENTITY = "|".join([_EMAIL, _IP, _IP6, _IBAN, _CARD, _PHONE, _NAME])
 _ALL_TITLES = [t.lower() for names in TITLES.values() for t in names]
 
@@ -84,7 +104,7 @@ def kind_of(entity: Column) -> Column:
         F.when(F.contains(entity, F.lit("@")), "email")
         .when(entity.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "ip")
         .when(F.contains(entity, F.lit(":")), "ip6")
-        .when(entity.rlike(r"^[+(]"), "phone")
+        .when(entity.rlike(r"^(?:[+(]|00[1-9]\d{0,2}[ ./(-])"), "phone")
         .when(entity.rlike(r"^\d"), "card")
         .when(entity.rlike(r"^[A-Z]{2}\d"), "iban")
         .otherwise("name")
@@ -95,10 +115,10 @@ def parts_of(entity: Column) -> Column:
     """Canonical parts, each with its kind before a colon: the entity itself, or a name's words but for the form of address."""
     kind = kind_of(entity)
     plain = (
-        F.when(kind == "phone", F.concat(F.regexp_extract(entity, r"^\+?", 0), F.regexp_replace(entity, r"\D", "")))
+        F.when(kind == "phone", F.regexp_replace(F.concat(F.regexp_extract(entity, r"^\+?", 0), F.regexp_replace(entity, r"\D", "")), "^00", "+"))
         .when(kind == "card", F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.lower(F.replace(entity, F.lit(" "), F.lit("")))).otherwise(F.lower(entity))
     )
-    words = F.filter(F.split(F.lower(entity), " "), lambda w: ~w.isin(*_ALL_TITLES))
+    words = F.filter(F.split(F.lower(entity), "[ ,]+"), lambda w: ~w.isin(*_ALL_TITLES))
     none = F.array().cast("array<string>")
     return F.when(kind == "name", F.transform(words, lambda w: F.concat(F.lit("name:"), w))).when(_is_entity(entity), F.array(F.concat(kind, F.lit(":"), plain))).otherwise(none)
 
@@ -119,9 +139,15 @@ def cycled(key: str) -> dict[str, str]:
     return out
 
 
-def _draw(key: str, canon: Column, attempt: Column) -> Column:
-    """64 hex digits that depend on the key, the entity and the draw."""
-    return F.sha2(F.concat_ws("|", F.lit(key), canon, attempt.cast("string")), 256)
+def _with_key(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns ``key`` and ``listed`` (each listed name's surrogate), which plans show as subqueries."""
+    held = rows.sparkSession.createDataFrame([(key, cycled(key))], "key string, listed map<string,string>")
+    return rows.withColumn("key", held.select("key").scalar()).withColumn("listed", held.select("listed").scalar())
+
+
+def _draw(canon: Column, attempt: Column) -> Column:
+    """64 hex digits that depend on the key (a column), the entity and the draw."""
+    return F.sha2(F.concat_ws("|", F.col("key"), canon, attempt.cast("string")), 256)
 
 
 def _byte(hex_: Column, i: Column) -> Column:
@@ -218,21 +244,20 @@ def _iban(value: Column, hex_: Column) -> Column:
     return _let(_shape(F.substring(value, F.lit(5), F.length(value)), hex_), checked)
 
 
-def surrogate(key: str, canon: Column, attempt: Column, max_draws: int = 32) -> Column:
-    """Canonical surrogate (without its kind) of a canonical part."""
-    listed = F.create_map(*[F.lit(x) for pair in cycled(key).items() for x in pair])
+def surrogate(canon: Column, attempt: Column, max_draws: int = 32) -> Column:
+    """Canonical surrogate (without its kind) of a canonical part, in rows that have their key."""
 
     def drawn(canon: Column, hex_: Column) -> Column:
         kind, value = F.substring_index(canon, ":", 1), F.substring(canon, F.instr(canon, ":") + 1, F.length(canon))
         return (
             F.when(kind == "email", _email(value, hex_)).when(kind == "ip", _ip(value, hex_)).when(kind == "ip6", _ip6(value, hex_))
             .when(kind == "phone", _phone(value, hex_)).when(kind == "card", _card(value, hex_)).when(kind == "iban", _iban(value, hex_))
-            .otherwise(F.coalesce(F.try_element_at(listed, value), _shape(value, hex_)))
+            .otherwise(F.coalesce(F.try_element_at(F.col("listed"), value), _shape(value, hex_)))
         )
 
-    new = _let(canon, lambda c: _let(_draw(key, c, attempt), lambda h: drawn(c, h)))
+    new = _let(canon, lambda c: _let(_draw(c, attempt), lambda h: drawn(c, h)))
     # Past the last draw a digest of the part's own tells the surrogate from all others.
-    own = F.substring(_draw(key, canon, F.lit(-1)), 1, 32)
+    own = F.substring(_draw(canon, F.lit(-1)), 1, 32)
     apart = F.when(F.contains(new, F.lit("@")), F.concat(own, new)).otherwise(F.concat(new, own))
     return F.when(attempt < max_draws, new).otherwise(apart)
 
@@ -247,7 +272,7 @@ def _dress_word(new: Column, original: Column) -> Column:
 
 def _dress(new: Column, original: Column, kind: Column) -> Column:
     """The surrogate in the original's layout and case."""
-    digits = F.regexp_replace(new, r"^\+", "")
+    digits = F.concat(F.when((kind == "phone") & original.startswith("00"), "00").otherwise(""), F.regexp_replace(new, r"^\+", ""))
     signs = F.when(kind == "iban", F.regexp_replace(original, " ", "")).otherwise(F.regexp_replace(original, r"\D", ""))
 
     def in_layout(pattern: str, fill: Column) -> Column:
@@ -266,10 +291,11 @@ def _dress(new: Column, original: Column, kind: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """False for texts that cannot have an entity; much cheaper than the whole pattern."""
+    low = F.lower(text)
     found = text.rlike("[@0-9]|:[A-Fa-f:]")
-    for names in (*TITLES.values(), *([n.capitalize() for n in given] for given in GIVEN.values())):
+    for names in (*TITLES.values(), *GIVEN.values()):
         for name in names:
-            found = found | F.contains(text, F.lit(name + " "))
+            found = found | F.contains(low, F.lit(name.lower()))
     return found
 
 
@@ -296,9 +322,9 @@ def redrawn(corpus: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
     """
     listed = F.col("canon").isin(*[f"name:{n}" for names in GIVEN.values() for n in names])
     kind = F.substring_index(F.col("canon"), ":", 1)
-    new = F.concat(kind, F.lit(":"), surrogate(key, F.col("canon"), F.col("attempt"), max_draws)).alias("new")
+    new = F.concat(kind, F.lit(":"), surrogate(F.col("canon"), F.col("attempt"), max_draws)).alias("new")
     # Listed names take their successor in any case, which is no other part's unless another word was drawn as it.
-    drawn = stage(corpus.withColumn("attempt", F.lit(0).cast("long")).select("canon", "attempt", new), "pii-draws")
+    drawn = stage(_with_key(corpus.withColumn("attempt", F.lit(0).cast("long")), key).select("canon", "attempt", new), "pii-draws")
     while True:
         # Of a shared surrogate the earliest draw stays, then the smallest entity.
         held = drawn.groupBy("new").agg(F.min(F.struct((~listed).alias("free"), "attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -308,13 +334,21 @@ def redrawn(corpus: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
         if again.isEmpty():
             return drawn.where("attempt > 0").select("canon", "attempt")
         following = F.least(F.col("attempt") + 1, F.lit(max_draws).cast("long"))
-        retry = drawn.join(again, "canon", "left_semi").select("canon", following.alias("attempt")).select("canon", "attempt", new)
+        retry = _with_key(drawn.join(again, "canon", "left_semi").select("canon", following.alias("attempt")), key).select("canon", "attempt", new)
         drawn = stage(drawn.join(again, "canon", "left_anti").unionByName(retry), "pii-draws")
 
 
+_KEYS: dict[str, str] = {}
+
+
 def session_key(spark: SparkSession) -> str:
-    """The key that the session names as ``pactlake.pii.key``; without one a key for examples, which is no secret."""
-    return spark.conf.get("pactlake.pii.key", "for examples only")
+    """The key that the session names as ``pactlake.pii.secret``; without one a random key, the same as long as the application lasts.
+
+    Spark redacts settings of that name in logs. Surrogates of two applications
+    agree only if both are given the same key.
+    """
+    named = spark.conf.get("pactlake.pii.secret", None)
+    return named or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
 def replace(docs: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
@@ -335,22 +369,40 @@ def replace(docs: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
 
     def part(canon: Column, dress) -> Column:
         attempt = F.coalesce(F.try_element_at(attempts, canon), F.lit(0).cast("long"))
-        return _let(surrogate(key, canon, attempt, max_draws), dress)
+        return _let(surrogate(canon, attempt, max_draws), dress)
 
     def name(entity: Column) -> Column:
         def word(w: Column) -> Column:
-            return F.when(F.lower(w).isin(*_ALL_TITLES), w).otherwise(part(F.concat(F.lit("name:"), F.lower(w)), lambda drawn: _dress_word(drawn, w)))
+            stays = F.lower(w).isin(*_ALL_TITLES) | w.rlike("^[ ,]")
+            return F.when(stays, w).otherwise(part(F.concat(F.lit("name:"), F.lower(w)), lambda drawn: _dress_word(drawn, w)))
+
+        return F.array_join(F.transform(F.regexp_extract_all(entity, F.lit("([^ ,]+|[ ,]+)"), 1), word), "")
+
+    def gap(i: Column) -> Column:
+        """What stands before an entity, but for the names that the text has elsewhere."""
+
+        def renamed(g: Column) -> Column:
+            again, around = F.regexp_extract_all(g, F.col("known"), F.lit(0)), F.split(g, F.col("known"), -1)
+            both = F.zip_with(around, again, lambda a, w: F.concat(a, F.when(w.isNull(), "").otherwise(name(w))))
+            return F.when(F.col("known").isNull() | ~F.rlike(g, F.col("known")), g).otherwise(F.array_join(both, ""))
 
-        return F.array_join(F.transform(F.split(entity, " "), word), " ")
+        return _let(F.element_at(F.col("gaps"), i), renamed)
 
     def new(entity: Column, i: Column) -> Column:
         kind = kind_of(entity)
         whole = _let(F.try_element_at(parts_of(entity), F.lit(1)), lambda canon: part(canon, lambda drawn: _dress(drawn, entity, kind)))
-        return F.concat(F.element_at(F.col("gaps"), (i + 1).cast("int")), F.when(kind == "name", name(entity)).when(_is_entity(entity), whole).otherwise(entity))
+        return F.concat(gap((i + 1).cast("int")), F.when(kind == "name", name(entity)).when(_is_entity(entity), whole).otherwise(entity))
 
     some = may_hold(text) & text.rlike(ENTITY)
     rows = source.withColumn("es", F.when(some, es)).withColumn("gaps", F.when(some, gaps))
-    changed = F.concat(F.array_join(F.transform("es", new), ""), F.element_at("gaps", -1))
+    # Surnames of the text, as they stand and in capitals, longest first: a pattern of the row's own.
+    spelt = F.flatten(F.transform(F.filter("es", lambda e: kind_of(e) == "name"), lambda e: F.split(e, "[ ,]+")))
+    listed = [n for names in GIVEN.values() for n in names]
+    spelt = F.array_distinct(F.filter(spelt, lambda w: (F.length(w) > 2) & w.rlike(rf"^{_WORD}$") & ~F.lower(w).isin(*_ALL_TITLES, *listed)))
+    spelt = F.reverse(F.array_sort(F.transform(F.array_distinct(F.concat(spelt, F.transform(spelt, F.upper))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    known = F.concat(F.lit(r"(?<![\p{L}\p{N}'-])(?:"), F.array_join(F.transform(spelt, lambda x: x["w"]), "|"), F.lit(r")(?![\p{L}\p{N}-])"))
+    rows = _with_key(rows, key).withColumn("known", F.when(F.size(spelt) > 0, known))
+    changed = F.concat(F.array_join(F.transform("es", new), ""), gap(F.size("gaps")))
     rows = rows.withColumn("new", F.when(F.col("es").isNull(), text).otherwise(changed))
     return rows.select(
         *[F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.coalesce(F.size(F.filter("es", _is_entity)), F.lit(0)).alias(fresh("n_entities", docs.columns))

@@ -208,46 +208,48 @@ def _block_edges(values: np.ndarray, radius: int) -> pd.DataFrame:
 
 
 def _compare_sorted(radius: int, least: int):
-    """Compare each bucket of rows sorted by bucket; small neighbouring buckets share a block."""
+    """Compare each bucket of rows sorted by view and bucket; small neighbouring buckets of a view share a block."""
+
+    def edges(view: int, values: np.ndarray) -> pd.DataFrame:
+        return _block_edges(np.unique(values), radius).assign(view=view)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame({"bucket": [], "fp": []}, dtype=np.int64)
+        held = pd.DataFrame({"view": [], "bucket": [], "fp": []}, dtype=np.int64)
         for frame in frames:
             held = pd.concat([held, frame], ignore_index=True)
-            bucket, at = held["bucket"].to_numpy(), 0
-            ends = np.nonzero(bucket[1:] != bucket[:-1])[0] + 1  # ends of complete buckets
-            fps = held["fp"].to_numpy()
+            view, bucket, fps, at = held["view"].to_numpy(), held["bucket"].to_numpy(), held["fp"].to_numpy(), 0
+            turns = np.nonzero(view[1:] != view[:-1])[0] + 1
+            ends = np.union1d(np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, turns)  # ends of complete buckets
             while at < len(held):
-                k = np.searchsorted(ends, at + least)
-                if k >= len(ends):
+                k, turn = np.searchsorted(ends, at + least), np.searchsorted(turns, at, "right")
+                end = min([int(x[i]) for x, i in ((ends, k), (turns, turn)) if i < len(x)], default=None)
+                if end is None:
                     break
-                end = int(ends[k])
-                yield _block_edges(np.unique(fps[at:end]), radius)
+                yield edges(view[at], fps[at:end])
                 at = end
             held = held.iloc[at:]
         if len(held):
-            yield _block_edges(np.unique(held["fp"].to_numpy()), radius)
+            yield edges(held["view"].iloc[0], held["fp"].to_numpy())
 
     return run
 
 
 def links(distinct: DataFrame, radius: int = 3, bucket_rows: int = 4096, blocks: int | None = None) -> DataFrame:
-    """Edges ``u, v`` whose components are those of all pairs within ``radius``.
+    """Edges ``view, u, v`` whose components are, in each view, those of all pairs within ``radius``.
 
-    ``distinct`` has one row per distinct ``fp``. Buckets of over
+    ``distinct`` has one row per distinct ``view, fp``. Buckets of over
     ``bucket_rows`` are cut into slices and every pair of slices is compared
     in a cell of its own, so a hot bucket is many bounded tasks.
     """
-    n = distinct.count()
+    n = distinct.groupBy("view").count().agg(F.max("count")).first()[0] or 0
     blocks = blocks or next((m for m in range(radius + 1, radius + 3) if n <= bucket_rows // 4 << 64 * (m - radius) // m), radius + 3)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     masks = []
     for kept in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in kept)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    dealt = distinct.select(
-        "fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("bucket")
-    )
+    buckets = F.array(*[F.xxhash64(F.lit(i), "view", F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    dealt = distinct.select("view", "fp", F.explode(buckets).alias("bucket"))
     large = stage(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows), "simhash-large")
     if not large.isEmpty():
         cells = F.ceil(F.col("count") * 2 / bucket_rows).cast("int")
@@ -255,9 +257,9 @@ def links(distinct: DataFrame, radius: int = 3, bucket_rows: int = 4096, blocks:
         own = F.pmod(F.xxhash64("fp", F.lit("cell")), F.col("cells"))
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells").cast("long") - 1)))
         cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = dealt.select(F.when(F.col("cells") > 1, cell).otherwise(F.col("bucket")).alias("bucket"), "fp")
-    sorted_ = dealt.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return sorted_.mapInPandas(_compare_sorted(radius, 512), "u long, v long").distinct()
+        dealt = dealt.select("view", F.when(F.col("cells") > 1, cell).otherwise(F.col("bucket")).alias("bucket"), "fp")
+    sorted_ = dealt.select(F.col("view").cast("long").alias("view"), "bucket", "fp").repartition("bucket").sortWithinPartitions("view", "bucket", "fp")
+    return sorted_.mapInPandas(_compare_sorted(radius, 512), "u long, v long, view long").distinct().select("view", "u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,23 +284,25 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _links_of_view(prints: DataFrame, view: str, radius: int, bucket_rows: int) -> DataFrame:
-    """Links of a further view between fingerprints ``fp``: each of the view's own stands for its smallest ``fp``."""
-    pairs = stage(prints.select("fp", F.col(view).alias("own")).distinct(), "simhash-view")
-    first = stage(pairs.groupBy("own").agg(F.min("fp").alias("first")), "simhash-first")
-    same = pairs.join(first, "own").select(F.col("fp").alias("u"), F.col("first").alias("v")).where("u <> v")
-    near = stage(links(first.select(F.col("own").alias("fp")), radius, bucket_rows), "simhash-near")
-    near = near.join(first.select(F.col("own").alias("u"), F.col("first").alias("a")), "u")
-    near = near.join(first.select(F.col("own").alias("v"), F.col("first").alias("b")), "v")
+def _links_of_views(prints: DataFrame, radius: int, bucket_rows: int, views: int) -> DataFrame:
+    """Links in any view between fingerprints ``fp``: each of a view's own stands for its smallest ``fp``. All views are compared in one pass."""
+    own = F.explode(F.array(*[F.struct(F.lit(view).alias("view"), F.col(f"fp{view}" if view else "fp").alias("own")) for view in range(views)])).alias("o")
+    pairs = stage(prints.select("fp", own).select("fp", "o.*").distinct(), "simhash-views")
+    first = stage(pairs.groupBy("view", "own").agg(F.min("fp").alias("first")), "simhash-first")
+    same = pairs.join(first, ["view", "own"]).select(F.col("fp").alias("u"), F.col("first").alias("v")).where("u <> v")
+    near = stage(links(first.select("view", F.col("own").alias("fp")), radius, bucket_rows), "simhash-near")
+    near = near.join(first.select("view", F.col("own").alias("u"), F.col("first").alias("a")), ["view", "u"])
+    near = near.join(first.select("view", F.col("own").alias("v"), F.col("first").alias("b")), ["view", "v"])
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _rooted(prints: DataFrame, radius: int, bucket_rows: int, views: int) -> DataFrame:
     """``fp, first_id, root`` of each distinct ``fp`` of stored ``prints``, linked in any view."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    edges = links(distinct, radius, bucket_rows)
-    for view in range(1, views):
-        edges = edges.unionByName(_links_of_view(prints, f"fp{view}", radius, bucket_rows))
+    if views > 1:
+        edges = _links_of_views(prints, radius, bucket_rows, views)
+    else:
+        edges = links(distinct.select(F.lit(0).alias("view"), "fp"), radius, bucket_rows).select("u", "v")
     found = components(edges)
     return stage(
         distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")),

@@ -341,6 +341,38 @@ def test_pii_names_stay_one_person(spark):
     assert male.lower() in pii.GIVEN["male_latin"] and len({maria, julia, given}) == 3
 
 
+def test_pii_leaves_no_written_form_of_a_name_or_number_in_clear(spark):
+    texts = {
+        "ANNA SCHMIDT came": "ANNA SCHMIDT", "MRS. SCHMIDT came": "SCHMIDT", "so Schmidt, Anna came": "Schmidt Anna", "write to jürgen@müller.de now": "jürgen müller",
+        "Mrs. Anna Schmidt came and Schmidt left; SCHMIDT, said Schmidt.": "Anna Schmidt SCHMIDT", "call 0033 1 23 45 67 89 now": "0033 1 23 45 67 89", "call +33 1 23 45 67 89 now": "1 23 45 67 89",
+        "MR. PETER O'Neil-Smith came": "PETER O'Neil-Smith", "Herr Jürgen Groß kam": "Jürgen Groß",
+    }
+    plain = ["Mr. Smith Yesterday went", "Yesterday, Anna came", "However, we said so", "Schmidt alone", "Paulaner, Annapolis", "order 0012345678901", "ANNALS OF Paul's"]
+    out = [r["text"] for r in pii.replace(docs(spark, [*texts, *plain]), KEY).orderBy("doc_id").collect()]
+    for (text, clear), new in zip(texts.items(), out):
+        gone = [clear] if clear[0].isdigit() else clear.split()
+        assert not any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", new) for w in gone), (text, new)
+        assert len(new.split()) == len(text.split())
+    both = out[4].replace(";", "").replace(",", "").replace(".", "", 2).split()
+    assert both[2] == both[5] == both[9].rstrip(".") and both[7] == both[2].upper()  # one person throughout
+    assert out[5].startswith("call 0033 ") and out[6].startswith("call +33 ") and out[5][10:] == out[6][9:]  # one number
+    after = out[len(texts) :]
+    assert after[0].endswith(" Yesterday went") and "Smith" not in after[0] and after[1:] == plain[1:]
+
+
+def test_pii_key_is_in_no_plan_and_random_where_none_is_named(spark):
+    secret = "a-very-special-key"
+    found = pii.replace(docs(spark, ["Mrs. Anna Schmidt"]), secret)
+    plan = found._jdf.queryExecution().toString()
+    assert secret not in plan and f"anna -> {pii.cycled(secret)['anna']}" not in plan
+    assert len(pii.session_key(spark)) == 64 and pii.session_key(spark) == pii.session_key(spark)
+    spark.conf.set("pactlake.pii.secret", secret)
+    try:
+        assert pii.session_key(spark) == secret
+    finally:
+        spark.conf.unset("pactlake.pii.secret")
+
+
 def test_pii_rows_without_id_and_clashing_columns(spark):
     texts = [f"mail {c}{d}@{x}.co now" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10) for x in "abcdefgh"]
     table = docs(spark, texts, [None] * len(texts)).withColumn("n_entities", F.lit("mine")).withColumn("es", F.col("text")).withColumn("draws", F.lit(1)).withColumn("row", F.lit(2))
@@ -441,7 +473,7 @@ def test_links_have_the_components_of_all_pairs(spark, radius, bucket_rows):
         if (values[i] ^ values[j]).bit_count() <= radius and root(i) != root(j):
             parent[max(root(i), root(j))] = min(root(i), root(j))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), radius, bucket_rows)
+    edges = simhash.links(spark.createDataFrame([(0, s) for s in signed], "view int, fp long"), radius, bucket_rows)
     roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     groups = lambda key: sorted(sorted(g) for g in [[s for s, k in zip(signed, key) if k == x] for x in set(key)])
     assert groups([roots.get(s, s) for s in signed]) == groups([root(i) for i in range(len(values))])
