@@ -88,19 +88,19 @@ def clause_view(findings: DataFrame, drivers: DataFrame, verdicts: DataFrame) ->
     )
 
 
-def assemble_report(scores: DataFrame, drivers: DataFrame, verdicts: DataFrame, steps: DataFrame, refusals: DataFrame) -> DataFrame:
-    """One nested row per document; refused documents carry their reason instead."""
+def assemble_report(base: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], grounding: DataFrame, refusals: DataFrame) -> DataFrame:
+    """One nested row per document; refused documents carry their reason instead.
 
-    def children(rows: DataFrame, name: str, order: str, *columns: str) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias(name))
-
-    report = (
-        scores.join(children(drivers, "drivers", "rule_order", "rule_id", "points", "severity"), "doc_id", "left")
-        .join(children(verdicts, "verdicts", "place", "construct", "verdict"), "doc_id", "left")
-        .join(children(steps, "next_steps", "place", "forum", "priority"), "doc_id", "left")
-    )
-    empty = {"drivers": "array<struct<rule_order:int,rule_id:string,points:int,severity:string>>", "verdicts": "array<struct<place:int,construct:string,verdict:string>>", "next_steps": "array<struct<place:int,forum:string,priority:int>>"}
-    report = report.select("doc_id", F.lit("report").alias("kind"), F.lit(None).cast("string").alias("reason"), "document_type", "score", "band", *[F.coalesce(F.col(c).cast(t), F.array().cast(t)).alias(c) for c, t in empty.items()])
+    ``base`` has a row per document with what is said once. Each of ``children``
+    becomes an array of structs of its columns, sorted by the first ones; documents
+    without any have an empty array. ``grounding`` has the counts of each document.
+    """
+    report = base.withColumn("kind", F.lit("report")).withColumn("reason", F.lit(None).cast("string"))
+    for name, (rows, columns) in children.items():
+        per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        report = report.join(per, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(per.schema[name].dataType)))
+    counts = [c for c in grounding.columns if c != "doc_id"]
+    report = report.join(grounding.select("doc_id", F.struct(*counts).alias("grounding")), "doc_id", "left")
     return report.unionByName(refusals.select("doc_id", F.lit("not_a_document").alias("kind"), "reason"), allowMissingColumns=True)
 
 

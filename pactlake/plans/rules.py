@@ -246,9 +246,17 @@ QUESTIONS = {
 }
 #: Published figures that thresholds rest on, in our words; most rules have none.
 BENCHMARKS = {
+    "default_interest_doubles_the_contract_rate": "RBI circular of 18 August 2023: penal charges are no addition to the rate of interest",
     "security_deposit_three_months_rent_or_more": "Model Tenancy Act, 2021: two months of rent for a home",
     "security_deposit_two_to_three_months_rent": "Model Tenancy Act, 2021: two months of rent for a home",
+    "employment_bond_above_six_months_ctc": "Indian Contract Act, 1872, section 74: reasonable compensation, up to the sum named",
+    "employment_bond_three_to_six_months_ctc": "Indian Contract Act, 1872, section 74: reasonable compensation, up to the sum named",
     "payment_terms_longer_than_forty_five_days": "MSMED Act, 2006, section 15: forty-five days",
+    "penal_charge_above_twenty_four_percent_a_year": "RBI circular of 18 August 2023: penal charges are no addition to the rate of interest",
+    "data_retention_beyond_five_years": "DPDP Act, 2023, section 8(7): data go when their purpose is served",
+    "post_employment_non_compete_term_stated": "Indian Contract Act, 1872, section 27: agreements in restraint of trade are void",
+    "absent_deposit_refund_timeline": "Model Tenancy Act, 2021: the deposit comes back when the home is handed over",
+    "absent_data_retention_limit": "DPDP Act, 2023, section 8(7): data go when their purpose is served",
 }
 
 

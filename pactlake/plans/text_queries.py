@@ -9,7 +9,8 @@ from pactlake.functions.spans import match_spans
 from pactlake.operators import canonical, consistency, grounding, remedies, report, rubric, statutes
 from pactlake.plans import derive
 from pactlake.plans import score_queries as sq
-from pactlake.plans.rules import BENCHMARKS, BOUNDS, CONSTRUCT_CATEGORY, CONSTRUCTS, DOCUMENT_TYPES, LIMITATIONS, NUMBERS, RULES, STATUTES, inputs, question, title
+from pactlake.plans.rules import BENCHMARKS, BOUNDS, CONSTRUCT_CATEGORY, CONSTRUCTS, EXPLANATIONS, LIMITATIONS, NUMBERS, RULES, STATUTES, TIER_CAPS, inputs, question, title
+from pactlake.sources import contracts as model_outputs
 from pactlake.sources import files
 from pactlake.streaming import guards
 
@@ -95,74 +96,142 @@ def scan_quality(spark, d):
     return files.scan_quality(_pages(spark, d))
 
 
-def _records(spark, d):
-    v = sq.view(spark, d)
-    constructs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("construct"), F.when(F.col(c), "present").otherwise("absent").alias("presence"))) for c in CONSTRUCTS]))
-    ok = F.to_json(F.struct("doc_id", F.when(F.col("doc_id") % 11 == 1, "lease").otherwise(F.col("document_type")).alias("documentType"), *[F.when((F.col("doc_id") % 11 == 2) & F.lit(n == "lockInMonths"), 601.0).otherwise(F.col(n)).alias(n) for n in NUMBERS], constructs.alias("constructs")))
-    return v.select(F.when(F.col("doc_id") % 11 == 3, F.substring(ok, 1, 40)).otherwise(ok).alias("json"))
+# --- model outputs: four kinds of records, some of them broken ------------------------------------
+_CLASSIFIED = (
+    "concat('{\"isLegalDocument\":', CASE WHEN doc_id % 9 = 3 THEN '\"yes\"' ELSE 'true' END, ',\"documentType\":\"', document_type, '\",\"language\":\"', CASE WHEN doc_id % 9 = 1 THEN 'fr' ELSE 'en' END, "
+    "'\",\"notLegalReason\":null', CASE WHEN doc_id % 9 = 2 THEN '' ELSE ',\"confidence\":\"high\"' END, '}')"
+)
+_ANSWERED = (
+    "concat('{\"foundInDocument\":true,\"answer\":\"', CASE WHEN doc_id % 8 = 1 THEN '' ELSE 'Thirty days.' END, '\"', CASE WHEN doc_id % 8 = 3 THEN '' ELSE ',\"exactQuote\":null' END, "
+    "',\"certainty\":\"', CASE WHEN doc_id % 8 = 2 THEN 'maybe' ELSE 'stated' END, '\"', CASE WHEN doc_id % 8 = 4 THEN '' ELSE '}' END)"
+)
+_PAYLOAD = "SELECT *, CASE WHEN doc_id % 7 = 0 AND ord = 1 THEN 'x9' ELSE concat('f', ord) END AS id, CASE WHEN doc_id % 13 = 0 AND ord = 2 THEN 'short' ELSE concat('A clause about ', category) END AS summary, CASE WHEN doc_id % 17 = 0 AND ord = 4 THEN 'nobody' ELSE obligation_on END AS party FROM "
 
 
-@query("S5_read_model_outputs", f"WITH {sq.V} SELECT doc_id, CASE WHEN doc_id % 11 = 1 THEN 'lease' ELSE document_type END AS \"documentType\", CASE WHEN doc_id % 11 = 2 THEN 601.0 ELSE lockInMonths END AS \"lockInMonths\", {' + '.join(f'CAST({c} IS NOT NULL AS INTEGER)' for c in CONSTRUCTS)} AS n_constructs FROM v WHERE doc_id % 11 <> 3")
+def _records(spark, d):
+    """``doc_id, kind, json`` of every contract's facts, findings, classification and answer."""
+    v, whole = sq.view(spark, d), {"ignoreNullFields": "false"}
+    none = F.lit(None).cast("string")
+    constructs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("construct"), F.when(F.col(c), "present").otherwise("absent").alias("presence"), none.alias("exactQuote"))) for c in CONSTRUCTS]))
+    fields = [F.when((F.col("doc_id") % 11 == 2) & F.lit(n == "lockInMonths"), 601.0).otherwise(F.col(n)).alias(n) for n in NUMBERS]
+    named = F.when(F.col("doc_id") % 11 == 1, "lease").otherwise(F.col("document_type")).alias("documentType")
+    citations = F.array().cast("array<struct<field:string,exactQuote:string>>").alias("citations")
+    ok = F.to_json(F.struct(named, none.alias("governingLawState"), none.alias("jurisdictionCity"), *fields, constructs.alias("constructs"), citations), whole)
+    facts = v.select("doc_id", F.lit("facts").alias("kind"), F.when(F.col("doc_id") % 11 == 3, F.substring(ok, 1, 40)).otherwise(ok).alias("json"))
+    each = F.struct("ord", F.struct("id", "category", F.col("quote").alias("exactQuote"), none.alias("clauseLabel"), F.col("summary").alias("plainSummary"), F.col("party").alias("obligationOn"), "benefits", F.col("is_unusual").alias("isUnusual")).alias("f"))
+    per = derive.frame(spark, d, _PAYLOAD + f"({derive.FINDINGS})").groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("these"))
+    findings = per.select("doc_id", F.lit("findings").alias("kind"), F.to_json(F.struct(F.transform("these", lambda x: x["f"]).alias("findings")), whole).alias("json"))
+    classes = v.select("doc_id", F.lit("classification").alias("kind"), F.expr(_CLASSIFIED).alias("json"))
+    answers = v.select("doc_id", F.lit("answer").alias("kind"), F.expr(_ANSWERED).alias("json"))
+    return facts.unionByName(findings).unionByName(classes).unionByName(answers)
+
+
+@query("S5_read_model_outputs", f"WITH {sq.V}, {C}, {FI} SELECT 'facts' AS kind, doc_id, CASE WHEN doc_id % 11 = 1 THEN 'lease' ELSE document_type END AS label, {' + '.join(f'CAST({c} IS NOT NULL AS INTEGER)' for c in CONSTRUCTS)} AS n FROM v WHERE doc_id % 11 <> 3 "
+       "UNION ALL SELECT 'findings', doc_id, category, 4 FROM f WHERE ord = 1 UNION ALL SELECT 'classification', doc_id, CASE WHEN doc_id % 9 = 1 THEN 'fr' ELSE 'en' END, CASE WHEN doc_id % 9 = 2 THEN 0 ELSE 1 END FROM v "
+       "UNION ALL SELECT 'answer', doc_id, CASE WHEN doc_id % 8 = 2 THEN 'maybe' ELSE 'stated' END, CASE WHEN doc_id % 8 = 1 THEN 0 ELSE 12 END FROM v WHERE doc_id % 8 <> 4")
 def read_model_outputs(spark, d):
-    rows = files.read_model_outputs(_records(spark, d)).where("corrupt is null")
-    return rows.select("doc_id", "documentType", "lockInMonths", F.size("constructs").alias("n_constructs"))
-
-
-_BAD = " + ".join(f"CAST(coalesce({n} < {lo}{'' if hi is None else f' OR {n} > {hi}'}, FALSE) AS INTEGER)" for n, (_, lo, hi) in BOUNDS.items() if n != "lockInMonths")
-_LOCK = "CAST(coalesce(CASE WHEN doc_id % 11 = 2 THEN 601 ELSE lockInMonths END > 600 OR lockInMonths < 0, FALSE) AS INTEGER)"
+    """Typed records of all four kinds: their main label and a count."""
+    lines, r = files.stored(_records(spark, d), "model-outputs"), F.col("record")
+    said = {
+        "facts": (r["documentType"], F.size(r["constructs"])), "findings": (F.try_element_at(r["findings"], F.lit(1))["category"], F.size(r["findings"])),
+        "classification": (r["language"], r["confidence"].isNotNull().cast("int")), "answer": (r["certainty"], F.length(r["answer"])),
+    }
+    found = [model_outputs.read_model_outputs(lines, kind).where("record is not null").select(F.lit(kind).alias("kind"), "doc_id", label.alias("label"), n.alias("n")) for kind, (label, n) in said.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+_OVER = " UNION ALL ".join(
+    f"SELECT doc_id, 'facts' AS kind, '$.{n}:{rule}' AS problem FROM v WHERE doc_id % 11 <> 3 AND {f'CASE WHEN doc_id % 11 = 2 THEN 601 ELSE {n} END' if n == 'lockInMonths' else n} {test}"
+    for n, (integer, low, high) in BOUNDS.items()
+    for rule, test in [("too_small", f"< {low}")] + ([("too_large", f"> {high}")] if high is not None else []) + ([("integer", f"<> floor({n})")] if integer else [])
+)
+_PROBLEMS = (
+    f"pr AS ({_OVER} UNION ALL SELECT doc_id, 'facts', '$.documentType:choice' FROM v WHERE doc_id % 11 = 1 UNION ALL SELECT doc_id, 'facts', ':malformed' FROM v WHERE doc_id % 11 = 3 "
+    "UNION ALL SELECT doc_id, 'findings', '$.findings[].exactQuote:too_short' FROM fs WHERE length(quote) < 24 UNION ALL SELECT doc_id, 'findings', '$.findings[].id:pattern' FROM fs WHERE id = 'x9' "
+    "UNION ALL SELECT doc_id, 'findings', '$.findings[].plainSummary:too_short' FROM fs WHERE length(summary) < 10 UNION ALL SELECT doc_id, 'findings', '$.findings[].obligationOn:choice' FROM fs WHERE party = 'nobody' "
+    "UNION ALL SELECT doc_id, 'classification', CASE doc_id % 9 WHEN 1 THEN '$.language:choice' WHEN 2 THEN '$.confidence:missing' ELSE '$.isLegalDocument:type' END FROM v WHERE doc_id % 9 IN (1, 2, 3) "
+    "UNION ALL SELECT doc_id, 'answer', CASE doc_id % 8 WHEN 1 THEN '$.answer:too_short' WHEN 2 THEN '$.certainty:choice' WHEN 3 THEN '$.exactQuote:missing' ELSE ':malformed' END FROM v WHERE doc_id % 8 IN (1, 2, 3, 4))"
+)
 
 
-@query("S6_validate_model_outputs", f"WITH {sq.V}, w AS (SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN -1 ELSE {_BAD} + {_LOCK} + CAST(doc_id % 11 = 1 AS INTEGER) END AS n FROM v) SELECT CASE WHEN n = -1 THEN 'malformed' WHEN n = 0 THEN 'valid' ELSE 'invalid' END AS outcome, count(*) AS records FROM w GROUP BY 1")
+@query("S6_validate_model_outputs", f"WITH {sq.V}, {C}, {FI}, fs AS ({_PAYLOAD} f), {_PROBLEMS}, k AS (SELECT 'facts' AS kind, doc_id FROM v UNION ALL SELECT 'findings', doc_id FROM f WHERE ord = 1 UNION ALL SELECT 'classification', doc_id FROM v UNION ALL SELECT 'answer', doc_id FROM v) "
+       "SELECT kind, problem, count(*) AS n FROM pr GROUP BY ALL UNION ALL SELECT kind, 'none', count(*) FROM k WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.kind = k.kind AND pr.doc_id = k.doc_id) GROUP BY kind")
 def validate_model_outputs(spark, d):
-    good, bad = files.validate_model_outputs(_records(spark, d))
-    out = good.select(F.lit("valid").alias("outcome")).unionAll(bad.select(F.when(F.array_contains("violations", "malformed"), "malformed").otherwise("invalid")))
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))
+    """How often each rule of each contract is broken, and how many records break none."""
+    good, bad = model_outputs.validate_model_outputs(files.stored(_records(spark, d), "model-outputs"))
+    problems = bad.select("kind", F.explode("violations").alias("v")).select("kind", F.regexp_replace("v", r"\[\d+\]", "[]").alias("problem"))
+    return problems.unionAll(good.select("kind", F.lit("none"))).groupBy("kind", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- rule tables ----------------------------------------------------------------------------------
 def rule_table(spark):
-    rows = [(r[0], r[1], r[2], r[3], list(r[4]), r[5], title(r[0]), inputs(r[6])) for r in RULES]
-    return spark.createDataFrame(rows, "rule_id string, tier string, severity string, weight int, applies_to array<string>, evidence_from string, title string, inputs array<string>")
+    """The rules as their files have them: no list for all document types, no benchmark where there is none."""
+    rows = [(r[0], r[1], r[2], r[3], list(r[4]) or None, r[5], BENCHMARKS.get(r[0]), title(r[0]), inputs(r[6]), EXPLANATIONS[r[0]], title(r[0])) for r in RULES]
+    return spark.createDataFrame(rows, "rule_id string, tier string, severity string, weight int, applies_to array<string>, evidence_from string, benchmark string, title string, inputs array<string>, text_en string, text_hi string")
+
 
+def _loaded_rules(spark):
+    path = files.shared_folder(spark, "rules")
+    files.write_rules(rule_table(spark), path)
+    return files.load_rules(spark, path)
 
-@query("S7_load_rules", f"WITH {sq.E} SELECT rule_id, tier, severity, points AS weight, count(*) AS applicable FROM e GROUP BY ALL")
+
+@query("S7_load_rules", f"WITH {sq.E} SELECT rule_id, tier, severity, points AS weight, CASE rule_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in BENCHMARKS.items()) + " END AS benchmark, count(*) AS applicable FROM e GROUP BY ALL")
 def load_rules(spark, d):
+    """Rules read from their files, with the number of documents that each applies to."""
     types = sq.view(spark, d).groupBy("document_type").agg(F.count(F.lit(1)).alias("n"))
     fits = (F.size("applies_to") == 0) | F.array_contains("applies_to", F.col("document_type"))
-    return types.join(F.broadcast(rule_table(spark)), fits).groupBy("rule_id", "tier", "severity", "weight").agg(F.sum("n").alias("applicable"))
+    return types.join(F.broadcast(_loaded_rules(spark)), fits).groupBy("rule_id", "tier", "severity", "weight", "benchmark").agg(F.sum("n").alias("applicable"))
+
 
+def audit(rules, vocabulary, forums, limitations, tiers=None, statutes_=None):
+    """Rows for every rule of integrity that the tables break.
 
-def audit(rules, vocabulary, forums, limitations):
-    """Rows for every rule of integrity that the tables break."""
+    ``tiers`` (``tier``) must all have rules; rules need a text in both languages,
+    ``statutes_`` (``construct, caveats``) a caveat each.
+    """
     twice = rules.groupBy("rule_id").count().where("count > 1").select(F.lit("duplicate_id").alias("problem"), F.col("rule_id").alias("at"))
     named = rules.select("rule_id", F.explode("inputs").alias("name")).join(vocabulary, "name", "left_anti").select(F.lit("unknown_name").alias("problem"), F.concat_ws(":", "rule_id", "name").alias("at"))
     weight = rules.where("weight <= 0 or weight > 50").select(F.lit("weight").alias("problem"), F.col("rule_id").alias("at"))
     name = rules.where(~F.col("rule_id").rlike("^[a-z][a-z0-9_]*$")).select(F.lit("id").alias("problem"), F.col("rule_id").alias("at"))
     lost = forums.where("limitation_id is not null").join(limitations, "limitation_id", "left_anti").select(F.lit("foreign_key").alias("problem"), F.col("forum").alias("at"))
-    return twice.unionAll(named).unionAll(weight).unionAll(name).unionAll(lost)
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    text = rules.where(blank(F.col("text_en")) | blank(F.col("text_hi"))).select(F.lit("text").alias("problem"), F.col("rule_id").alias("at"))
+    out = twice.unionAll(named).unionAll(weight).unionAll(name).unionAll(lost).unionAll(text)
+    if tiers is not None:
+        out = out.unionAll(tiers.join(rules, "tier", "left_anti").select(F.lit("empty_table"), F.col("tier")))
+    if statutes_ is not None:
+        out = out.unionAll(statutes_.where(~F.coalesce(F.exists("caveats", lambda c: ~blank(c)), F.lit(False))).select(F.lit("caveat"), F.col("construct")))
+    return out
 
 
 def _rule_use(spark, d):
-    """The rules that a corpus uses, as its documents refer to them: some by another name, without weight or with an unknown input."""
-    used = rubric.evaluate_rules(sq.view(spark, d)).join(F.broadcast(rule_table(spark).select("rule_id", "inputs")), "rule_id")
+    """The rules that a corpus uses, as its documents refer to them: some by another name, without weight, with an unknown input or without a second text."""
+    used = rubric.evaluate_rules(sq.view(spark, d)).join(F.broadcast(rule_table(spark).select("rule_id", "inputs", "text_en")), "rule_id")
     k = F.col("doc_id")
     return used.select(
-        F.when(k % 7 == 0, F.upper("rule_id")).otherwise(F.col("rule_id")).alias("rule_id"), F.when(k % 11 == 0, 0).otherwise(F.col("points")).alias("weight"),
-        F.when(k % 13 == 0, F.concat("inputs", F.array(F.lit("nobody")))).otherwise(F.col("inputs")).alias("inputs"),
+        F.when(k % 7 == 0, F.upper("rule_id")).otherwise(F.col("rule_id")).alias("rule_id"), F.when(k % 11 == 0, 0).otherwise(F.col("points")).alias("weight"), "tier",
+        F.when(k % 13 == 0, F.concat("inputs", F.array(F.lit("nobody")))).otherwise(F.col("inputs")).alias("inputs"), "text_en", F.when(k % 19 == 0, " ").otherwise("some").alias("text_hi"),
     ).distinct()
 
 
-_USED = "u AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN upper(rule_id) ELSE rule_id END AS rule_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE points END AS weight, doc_id % 13 = 0 AS odd FROM e)"
+_USED = "u AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN upper(rule_id) ELSE rule_id END AS rule_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE points END AS weight, doc_id % 13 = 0 AS odd, doc_id % 19 = 0 AS mute FROM e)"
 
 
 @query("S8_audit_rules", f"WITH {sq.E}, {_USED} SELECT 'duplicate_id' AS problem, rule_id AS at FROM u GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'unknown_name', rule_id || ':nobody' FROM u WHERE odd "
-       "UNION ALL SELECT 'weight', rule_id FROM u WHERE weight <= 0 UNION ALL SELECT 'id', rule_id FROM u WHERE rule_id = upper(rule_id) UNION ALL SELECT 'foreign_key', CAST(doc_id AS VARCHAR) FROM v WHERE doc_id % 17 = 0")
+       "UNION ALL SELECT 'weight', rule_id FROM u WHERE weight <= 0 UNION ALL SELECT 'id', rule_id FROM u WHERE rule_id = upper(rule_id) UNION ALL SELECT 'foreign_key', CAST(doc_id AS VARCHAR) FROM v WHERE doc_id % 17 = 0 "
+       "UNION ALL SELECT 'text', rule_id FROM u WHERE mute UNION ALL SELECT 'empty_table', 'tier of ' || document_type FROM v WHERE document_type IN ('nda', 'other') GROUP BY document_type UNION ALL SELECT 'caveat', CAST(doc_id AS VARCHAR) FROM v WHERE doc_id % 23 < 2")
 def audit_rules(spark, d):
+    v = sq.view(spark, d)
     vocabulary = spark.createDataFrame([(n,) for n in [*NUMBERS, *CONSTRUCTS]], "name string")
     limits = spark.createDataFrame([(x[0],) for x in LIMITATIONS], "limitation_id string")
-    # Each document names a limitation rule; some name one that does not exist.
+    # Each document names a limitation rule; some name one that does not exist. Each brings a statute row, some without a caveat.
     named = F.element_at(F.array(*[F.lit(x[0]) for x in LIMITATIONS]), (F.col("doc_id") % len(LIMITATIONS) + 1).cast("int"))
-    forums = sq.view(spark, d).select(F.col("doc_id").cast("string").alias("forum"), F.when(F.col("doc_id") % 17 == 0, "no-such-rule").otherwise(named).alias("limitation_id"))
-    return audit(_rule_use(spark, d), vocabulary, forums, limits)
+    forums = v.select(F.col("doc_id").cast("string").alias("forum"), F.when(F.col("doc_id") % 17 == 0, "no-such-rule").otherwise(named).alias("limitation_id"))
+    rows = v.select(F.col("doc_id").cast("string").alias("construct"), F.when(F.col("doc_id") % 23 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 23 == 1, F.array(F.lit(" "))).otherwise(F.array(F.lit("ask a lawyer"))).alias("caveats"))
+    tiers = v.where("document_type in ('nda', 'other')").select(F.concat(F.lit("tier of "), "document_type").alias("tier")).distinct()
+    tiers = tiers.unionByName(spark.createDataFrame([(t,) for t in TIER_CAPS], "tier string"))
+    return audit(_rule_use(spark, d), vocabulary, forums, limits, tiers, rows)
 
 
 @query("S9_profile_rules", f"WITH {sq.E}, u AS (SELECT DISTINCT tier, rule_id FROM e WHERE outcome) SELECT tier, count(*) AS fired_rules FROM u GROUP BY ROLLUP (tier)")
@@ -171,34 +240,6 @@ def profile_rules(spark, d):
     return fired.rollup("tier").agg(F.count(F.lit(1)).alias("fired_rules"))
 
 
-def _reports(spark, d):
-    v, s = sq.view(spark, d), sq.situations(spark, d)
-    refused = v.where("doc_id % 13 = 0").select("doc_id", F.lit(canonical.REFUSED).alias("reason"))
-    legal = v.where("doc_id % 13 <> 0")
-    return report.assemble_report(rubric.score_documents(legal), rubric.risk_drivers(legal), statutes.order_verdicts(statutes.triage(legal)), remedies.next_steps(legal, s, derive.TODAY), refused)
-
-
-def _stored(spark, d):
-    path = files.shared_folder(spark, "contracts")
-    files.write_reports(_reports(spark, d), path)
-    return path
-
-
-_REPORTS = f"WITH {sq.V}, x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'not_a_document' ELSE 'report' END AS kind FROM v)"
-
-
-@query("S10_write_reports", f"{_REPORTS} SELECT kind, count(*) AS reports FROM x GROUP BY kind")
-def write_reports(spark, d):
-    return spark.read.parquet(_stored(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("reports"))
-
-
-@query("S11_diff_reports", f"WITH {sq.V} SELECT doc_id, 'only_old' AS side FROM v WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'only_new' FROM v WHERE doc_id % 17 = 0")
-def diff_reports(spark, d):
-    old = rubric.score_documents(sq.view(spark, d)).select("doc_id", "score", "band")
-    new = old.withColumn("score", F.when(F.col("doc_id") % 17 == 0, F.col("score") + 1).otherwise(F.col("score")))
-    return files.diff_reports(old, new).select("doc_id", "side")
-
-
 @query("S12_log_projection", "SELECT event_id AS report_id, event_type AS document_type, CAST(value AS DOUBLE) AS score, event_id % 2 = 0 AS cached FROM events")
 def log_projection(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
@@ -214,18 +255,6 @@ def pseudonymise_client(spark, d):
     return files.pseudonymise_client(e, "pepper")
 
 
-@query("S14_incremental_select", "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 4 <> 0")
-def incremental_select(spark, d):
-    ids = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
-    return files.incremental_select(ids, ids.where("doc_id % 4 = 0"))
-
-
-@query("S15_read_reports", f"{_REPORTS} SELECT doc_id, kind FROM x")
-def read_reports(spark, d):
-    return files.read_reports(spark, _stored(spark, d))[0].select("doc_id", "kind")
-
-
-# --- canonical text -------------------------------------------------------------------------------
 @query("P1_canonicalise_text", f"WITH {R} SELECT doc_id, {_CANON} AS text FROM r")
 def canonicalise_text(spark, d):
     return raw(spark, d).select("doc_id", tx.canonical(F.col("text")).alias("text"))
@@ -746,12 +775,105 @@ def tier_bars(spark, d):
     return report.tier_bars(rubric.tier_totals(sq.view(spark, d)))
 
 
-@query("V12_assemble_report", f"WITH r AS ({sq.ORACLES['R16_score_documents']}), dd AS (SELECT doc_id, count(*) AS n FROM (WITH {sq.E} SELECT doc_id FROM e WHERE outcome) GROUP BY doc_id), vv AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['E1_triage']}) GROUP BY doc_id), "
-       f"nn AS (SELECT doc_id, count(*) AS n FROM ({sq.ORACLES['M6_next_steps']}) GROUP BY doc_id) SELECT r.doc_id, 'report' AS kind, NULL AS reason, score, band, coalesce(dd.n, 0) AS drivers, coalesce(vv.n, 0) AS verdicts, coalesce(nn.n, 0) AS next_steps "
-       f"FROM r LEFT JOIN dd USING (doc_id) LEFT JOIN vv USING (doc_id) LEFT JOIN nn USING (doc_id) WHERE r.doc_id % 13 <> 0 UNION ALL SELECT doc_id, 'not_a_document', '{canonical.REFUSED}', NULL, NULL, NULL, NULL, NULL FROM r WHERE doc_id % 13 = 0")
+# --- reports in the store ---------------------------------------------------------------------------
+def _reports(spark, d):
+    """Whole reports of all contracts; the fact view, findings and segments are computed once."""
+    v, s, c = files.stored(sq.view(spark, d), "facts"), sq.situations(spark, d), files.stored(contracts(spark, d), "contracts")
+    verified = grounding.verify_findings(quotes(spark, d).withColumn("claimed", F.col("quote")), c)
+    verified = files.stored(verified, "verified")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), ((F.col("doc_id") + 7 * F.col("ord")) % len(_NAMES) + 1).cast("int"))
+    evidence = grounding.evidence_index(verified.withColumn("name", name).withColumn("demoted", F.col("status") != "grounded"))
+    grounded, segments = verified.where("status = 'grounded'"), canonical.find_segments(c)
+    placed = canonical.place_at(canonical.place_at(grounded.withColumn("offset", F.col("start")), segments, ["segment_id"]), _thirds(spark, d), ["page_number"])
+    legal = v.where("doc_id % 13 <> 0")
+    base = rubric.score_documents(legal).join(canonical.canonical_documents(c).select("doc_id", "hash", "truncated"), "doc_id", "left").select(
+        "doc_id", "document_type", F.when(F.col("doc_id") % 4 == 0, "hi").otherwise("en").alias("language"), "hash", "truncated", F.lit("1").alias("rubric_version"),
+        F.array(F.lit("reader"), F.concat(F.lit("writer-"), (F.col("doc_id") % 3).cast("string"))).alias("models"), "score", "band", F.struct(*TIER_CAPS).alias("tiers"),
+    )
+    kept = lambda rows: rows.join(legal.select("doc_id"), "doc_id", "left_semi")
+    children = {
+        "drivers": (rubric.risk_drivers(legal, evidence), ["rule_order", "rule_id", "points", "severity", "start", "end"]),
+        "findings": (kept(placed), ["ord", "category", "start", "end", "method", "similarity", "segment_id", "page_number", F.col("matched_text").alias("quote")]),
+        "rejected": (kept(verified.where("status <> 'grounded'")), ["ord", "reason", F.col("claimed").alias("quote")]),
+        "verdicts": (statutes.with_evidence(statutes.order_verdicts(statutes.triage(legal)), evidence, grounded), ["place", "construct", "verdict", "start", "end"]),
+        "inconsistencies": (kept(consistency.detect_inconsistencies(c)), ["place", "kind", "severity", "start", "end"]),
+        "next_steps": (remedies.next_steps(legal, s, derive.TODAY), ["place", "forum", "priority"]),
+    }
+    refused = v.where("doc_id % 13 = 0").select("doc_id", F.lit(canonical.REFUSED).alias("reason"))
+    return report.assemble_report(base, children, kept(grounding.grounding_stats(verified)), refused)
+
+
+_REPORTS = f"WITH {sq.V}, x AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'not_a_document' ELSE 'report' END AS kind FROM v)"
+
+
+@query("S10_write_reports", f"{_REPORTS} SELECT kind, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS run, count(*) AS reports FROM x GROUP BY ALL")
+def write_reports(spark, d):
+    """A first run over two thirds of the documents, and a second over all, which writes those that are missing."""
+    path, whole = files.shared_folder(spark, "store"), files.stored(_reports(spark, d), "reports")
+    for run, wanted in (("first", whole.where("doc_id % 3 <> 0")), ("second", whole)):
+        done = files.finished(spark, path)
+        files.write_reports(files.incremental_select(wanted, done, done), path, run)
+    return files.read_reports(spark, path, whole.schema.add("run", "string")).groupBy("kind", "run").agg(F.count(F.lit(1)).alias("reports"))
+
+
+@query("S14_incremental_select", "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 3 <> 2 AND NOT (o_orderkey % 4 = 0 AND o_orderkey % 5 < 3)")
+def incremental_select(spark, d):
+    """Of the listed ids those without a stored report or without stored model outputs."""
+    ids = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+    return files.incremental_select(ids, ids.where("doc_id % 4 = 0"), ids.where("doc_id % 5 < 3"), only=ids.where("doc_id % 3 <> 2"))
+
+
+@query("S15_read_reports", f"{_REPORTS} SELECT kind, CAST(NULL AS VARCHAR) AS problem, count(*) AS n FROM x GROUP BY kind UNION ALL SELECT NULL, unnest(['malformed', 'alien', 'encoding']), 1")
+def read_reports(spark, d):
+    """Reports as files of JSON lines; one file is cut short, one holds something else, and one is no text."""
+    path, whole = files.shared_folder(spark, "report-files"), files.stored(_reports(spark, d), "reports")
+    lines = whole.select(F.to_json(F.struct("*")).alias("value"))
+    lines.write.text(path)
+    some = lines.limit(1)
+    some.select(F.substring("value", 1, 60)).coalesce(1).write.mode("append").text(path)
+    some.select(F.to_json(F.struct(F.length("value").alias("length")))).coalesce(1).write.mode("append").text(path)
+    some.select(F.concat(F.unhex(F.lit("FFFE")), F.encode("value", "UTF-16LE")).cast("string")).coalesce(1).write.mode("append").text(path)
+    good, bad = files.read_report_files(spark, f"{path}/*.txt", whole.schema.simpleString())
+    both = good.select("kind", F.lit(None).cast("string").alias("problem")).unionAll(bad.select(F.lit(None).cast("string"), "problem"))
+    return both.groupBy("kind", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CITED_AT = f"{_LOC}, {_NAMED}, {sq.E}"
+_V12 = (
+    f"WITH {_CITED_AT}, {_DEFECTS.removeprefix(C + ', ')}, tr AS ({sq.ORACLES['E3_order_verdicts']}), ns AS ({sq.ORACLES['M6_next_steps']}), rs AS ({sq.ORACLES['R16_score_documents']}), "
+    "fb AS (SELECT doc_id, category, arg_min(start, ord) AS fs, arg_min(\"end\", ord) AS fe FROM loc WHERE status = 'grounded' GROUP BY ALL), "
+    "a1 AS (SELECT e.doc_id, string_agg(rule_id || '@' || coalesce(CAST(start AS VARCHAR), ''), ';' ORDER BY rule_order) AS drivers FROM e LEFT JOIN n ON n.doc_id = e.doc_id AND n.name = evidence_from AND NOT demoted WHERE outcome GROUP BY e.doc_id), "
+    "a2 AS (SELECT l.doc_id, string_agg(l.ord || ':' || l.start || '-' || l.\"end\" || ':' || segment_id || ':' || (l.start // 150 + 1) || ':' || matched_text, ';' ORDER BY l.ord) AS findings FROM loc l JOIN seg ON l.doc_id = seg.doc_id AND seg.start <= l.start AND l.start < seg.\"end\" WHERE status = 'grounded' GROUP BY l.doc_id), "
+    "a3 AS (SELECT doc_id, string_agg(ord || ':' || reason, ';' ORDER BY ord) AS rejected, count(*) FILTER (status = 'grounded') AS grounded, count(*) FILTER (status <> 'grounded') AS n_rejected FROM loc GROUP BY doc_id), "
+    f"a4 AS (SELECT tr.doc_id, string_agg(construct || '=' || verdict || '@' || coalesce(CAST(coalesce(n.start, fs) AS VARCHAR), ''), ';' ORDER BY place) AS verdicts FROM tr LEFT JOIN n ON n.doc_id = tr.doc_id AND n.name = construct AND NOT demoted LEFT JOIN fb ON fb.doc_id = tr.doc_id AND fb.category = {_CATEGORY} GROUP BY tr.doc_id), "
+    "a5 AS (SELECT doc_id, string_agg(kind || '@' || start, ';' ORDER BY start, \"end\", kind) AS inconsistencies FROM every GROUP BY doc_id), a6 AS (SELECT doc_id, string_agg(forum, ';' ORDER BY place) AS next_steps FROM ns GROUP BY doc_id), "
+    "whole AS (SELECT rs.doc_id, 'report' AS kind, NULL AS reason, document_type, CASE WHEN rs.doc_id % 4 = 0 THEN 'hi' ELSE 'en' END AS language, sha256(c.text) AS hash, CASE WHEN c.text IS NOT NULL THEN FALSE END AS truncated, 'reader,writer-' || (rs.doc_id % 3) AS models, score, band, "
+    "coalesce(drivers, '') AS drivers, coalesce(findings, '') AS findings, coalesce(rejected, '') AS rejected, grounded, n_rejected, coalesce(verdicts, '') AS verdicts, coalesce(inconsistencies, '') AS inconsistencies, coalesce(next_steps, '') AS next_steps "
+    "FROM rs LEFT JOIN c USING (doc_id) LEFT JOIN a1 USING (doc_id) LEFT JOIN a2 USING (doc_id) LEFT JOIN a3 USING (doc_id) LEFT JOIN a4 USING (doc_id) LEFT JOIN a5 USING (doc_id) LEFT JOIN a6 USING (doc_id) WHERE rs.doc_id % 13 <> 0)"
+)
+
+
+@query("V12_assemble_report", f"{_V12} SELECT * FROM whole UNION ALL SELECT doc_id, 'not_a_document', '{canonical.REFUSED}', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM rs WHERE doc_id % 13 = 0")
 def assemble_report(spark, d):
+    """Every part of every report, the nested ones written out."""
     r = _reports(spark, d)
-    return r.select("doc_id", "kind", "reason", "score", "band", F.size("drivers").alias("drivers"), F.size("verdicts").alias("verdicts"), F.size("next_steps").alias("next_steps"))
+    text = lambda name, *parts: F.array_join(F.transform(name, lambda x: F.concat(*[p if not isinstance(p, str) else F.lit(p) if p in ":-@=" else F.coalesce(x[p].cast("string"), F.lit("")) for p in parts])), ";").alias(name)
+    return r.select(
+        "doc_id", "kind", "reason", "document_type", "language", "hash", "truncated", F.array_join("models", ",").alias("models"), "score", "band",
+        text("drivers", "rule_id", "@", "start"), text("findings", "ord", ":", "start", "-", "end", ":", "segment_id", ":", "page_number", ":", "quote"), text("rejected", "ord", ":", "reason"),
+        F.col("grounding.grounded").alias("grounded"), F.col("grounding.rejected").alias("n_rejected"), text("verdicts", "construct", "=", "verdict", "@", "start"), text("inconsistencies", "kind", "@", "start"), text("next_steps", "forum"),
+    )
+
+
+@query("S11_diff_reports", f"{_V12}, first_ AS (SELECT doc_id, arg_min(matched_text, ord) AS quote FROM loc WHERE status = 'grounded' GROUP BY doc_id) SELECT doc_id, 'score' AS path, CAST(score AS VARCHAR) AS old, CAST(score + 1 AS VARCHAR) AS new FROM whole WHERE doc_id % 17 = 0 "
+       "UNION ALL SELECT doc_id, 'findings[0].quote', quote, quote || '!' FROM whole JOIN first_ USING (doc_id) WHERE doc_id % 19 = 0 UNION ALL SELECT doc_id, 'reason', reason, NULL FROM (SELECT doc_id, '" + canonical.REFUSED + "' AS reason FROM rs WHERE doc_id % 13 = 0 AND doc_id % 5 = 0) "
+       "UNION ALL SELECT doc_id, 'kind', 'not_a_document', NULL FROM rs WHERE doc_id % 13 = 0 AND doc_id % 5 = 0")
+def diff_reports(spark, d):
+    """Whole reports against a later version: scores that moved, a quote deep inside that changed, and refusals that are gone."""
+    old = files.stored(_reports(spark, d), "reports")
+    quoted = F.transform("findings", lambda f, i: F.when((i == 0) & (F.col("doc_id") % 19 == 0), f.withField("quote", F.concat(f["quote"], F.lit("!")))).otherwise(f))
+    new = old.withColumn("score", F.when(F.col("doc_id") % 17 == 0, F.col("score") + 1).otherwise(F.col("score"))).withColumn("findings", quoted)
+    return files.diff_reports(old, new.where("not (kind = 'not_a_document' and doc_id % 5 = 0)"))
 
 
 _FAVOURS = "CASE CAST(obligation_on = 'counterparty' AS INTEGER) + CAST(benefits = 'you' AS INTEGER) WHEN 2 THEN 'you' WHEN 1 THEN 'both' ELSE 'counterparty' END"

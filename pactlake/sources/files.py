@@ -6,22 +6,17 @@ import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from pactlake.plans.rules import BOUNDS, CONSTRUCTS, DOCUMENT_TYPES
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # --- fixed values -------------------------------------------------------------------------------
 MAX_BYTES = 10 * 1024 * 1024
 ZIP, OLE, PDF = "504B0304", "D0CF11E0A1B11AE1", "255044462D"
 CHARS_PER_PAGE = 200
 LOG_FIELDS = ("report_id", "document_type", "findings", "grounded", "score", "inconsistencies", "duration_ms", "cached")
-REPORT = (
-    "doc_id long, kind string, reason string, document_type string, score int, band string, "
-    "drivers array<struct<rule_order:int,rule_id:string,points:int,severity:string>>, verdicts array<struct<place:int,construct:string,verdict:string>>, "
-    "next_steps array<struct<place:int,forum:string,priority:int>>"
-)
-FACT_RECORD = "doc_id long, documentType string, " + ", ".join(f"{n} double" for n in BOUNDS) + ", constructs array<struct<construct:string,presence:string>>"
+REPORT_ID = r"^[0-9]{1,19}$"
 
 
 def scan_corpus(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,51 +75,101 @@ def scan_quality(pages: DataFrame) -> DataFrame:
     return per.select("doc_id", "pages", F.length("text").alias("chars"), scanned.alias("likely_scanned"), (~scanned).alias("offsets_reliable"))
 
 
-def read_model_outputs(lines: DataFrame) -> DataFrame:
-    """Records of the declared schema from ``json`` strings, kept raw where they do not parse."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
-    parsed = F.from_json("json", FACT_RECORD + ", corrupt string", options)
-    # The generator keeps the parsed record whole: else every use of a field parses the string again.
-    return lines.select("json", F.explode(F.array(parsed)).alias("r")).select("json", "r.*")
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Rule files, one folder a tier; fields that a rule leaves out are left out."""
+    rules.write.mode("overwrite").partitionBy("tier").json(path, ignoreNullFields=True)
+
+
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules as their files have them; the tier is the folder's, fields left out have their defaults."""
+    kind = "rule_id string, severity string, weight int, applies_to array<string>, evidence_from string, benchmark string, title string, inputs array<string>, text_en string, text_hi string, tier string"
+    return spark.read.schema(kind).json(path).withColumn("applies_to", F.coalesce("applies_to", F.array().cast("array<string>")))
+
+
+def write_reports(reports: DataFrame, path: str, run: str) -> None:
+    """Reports and, when they are all there, the ids of the run, which make them count.
+
+    A run writes its own partition and replaces it if it is run again. Until the
+    manifest names a run, readers do not see its reports, so a run that is killed
+    leaves no half of itself.
+    """
+    named = reports.withColumn("run", F.lit(run))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/reports")
+    held = reports.sparkSession.read.schema(named.schema).parquet(f"{path}/reports").where(F.col("run") == run)
+    held.select("doc_id", "run").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/manifest")
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, run`` of the reports that count; none where nothing was written yet."""
+    kind = "doc_id long, run string"
+    try:
+        return spark.read.schema(kind).parquet(f"{path}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
 
 
-def violations(record: DataFrame) -> Column:
-    """Names of the rules that a record breaks."""
-    rules = [F.when(F.col("corrupt").isNotNull() | F.col("doc_id").isNull(), F.lit("malformed"))]
-    rules.append(F.when(~F.coalesce(F.col("documentType").isin(*DOCUMENT_TYPES), F.lit(False)), F.lit("documentType")))
-    for field, (integer, low, high) in BOUNDS.items():
-        bad = F.col(field) < low
-        if high is not None:
-            bad = bad | (F.col(field) > high)
-        if integer:
-            bad = bad | (F.col(field) != F.floor(field))
-        rules.append(F.when(bad, F.lit(field)))
-    wrong = F.exists("constructs", lambda c: ~F.coalesce(c["construct"].isin(*CONSTRUCTS), F.lit(False)) | ~F.coalesce(c["presence"].isin("present", "absent", "unclear"), F.lit(False)))
-    rules.append(F.when(wrong | (F.size("constructs") > 24), F.lit("constructs")))
-    return F.array_compact(F.array(*rules))
+def read_reports(spark: SparkSession, path: str, kind: str | StructType) -> DataFrame:
+    """Stored reports of all finished runs."""
+    rows = spark.read.schema(kind).parquet(f"{path}/reports")
+    return rows.join(F.broadcast(finished(spark, path).select("run").distinct()), "run", "left_semi")
 
 
-def validate_model_outputs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Valid records, and the quarantined with what is wrong."""
-    checked = (r := read_model_outputs(lines)).withColumn("violations", violations(r))
-    return checked.where(F.size("violations") == 0), checked.where(F.size("violations") > 0).select("json", "violations")
+def read_report_files(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Reports from files of JSON lines under their schema ``kind``, and the files that are none, with why.
 
+    A file is read as bytes and parsed in its own row, so that a damaged one is
+    one error and no other file's concern: ``encoding`` if it is no UTF-8,
+    ``malformed`` if a line does not parse, ``alien`` if a line is no whole report
+    (no proper id, another kind, a report without its score or drivers, a refusal
+    without its reason). None of its lines is taken.
+    """
+    content = F.col("content").cast("string")
+    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    files = files.select("path", F.is_valid_utf8(content).alias("utf8"), lines.alias("lines"))
+    parsed = F.transform("lines", lambda x: F.from_json(x, kind, {"mode": "PERMISSIVE"}))
+    files = files.withColumn("parsed", F.explode(F.array(parsed)))  # parsed once, whatever uses it
+
+    def whole(r: Column) -> Column:
+        body = F.when(r["kind"] == "report", r["score"].isNotNull() & r["drivers"].isNotNull()).when(r["kind"] == "not_a_document", r["reason"].isNotNull())
+        return F.coalesce(r["doc_id"].cast("string").rlike(REPORT_ID) & body, F.lit(False))
+
+    reason = (
+        F.when(~F.col("utf8"), "encoding").when((F.size("lines") == 0) | F.exists("lines", lambda x: F.try_parse_json(x).isNull()), "malformed")
+        .when(~F.forall("parsed", whole), "alien")
+    )
+    files = files.withColumn("problem", reason)
+    good = files.where("problem is null").select(F.explode("parsed").alias("r")).select("r.*")
+    return good, files.where("problem is not null").select("path", "problem")
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """S10."""
-    reports.write.mode("overwrite").partitionBy("kind").parquet(path)
 
+def leaves(kind: DataType, value: Column, path: Column | None = None) -> Column:
+    """``path, value`` of every leaf of a nested value of a type, in order; values as strings."""
+    step = lambda name: F.lit(name) if path is None else F.concat(path, F.lit(f".{name}"))
+    if isinstance(kind, StructType):
+        return F.concat(*[leaves(f.dataType, value[f.name], step(f.name)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        each = F.transform(value, lambda x, i: leaves(kind.elementType, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(each), F.array().cast("array<struct<path:string,value:string>>"))
+    return F.array(F.struct(path.alias("path"), value.cast("string").alias("value")))
 
-def read_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Stored reports under their schema; incomplete rows are errors, not empty reports."""
-    rows = spark.read.schema(REPORT).parquet(path)
-    whole = F.col("doc_id").isNotNull() & F.when(F.col("kind") == "report", F.col("score").isNotNull() & F.col("drivers").isNotNull()).otherwise(F.col("reason").isNotNull())
-    return rows.where(whole), rows.where(~F.coalesce(whole, F.lit(False)))
 
+def diff_reports(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, path, old, new`` of every leaf in which two sets of nested rows differ; a missing leaf or row is null.
+
+    Rows are compared whole by digests first; only those that differ are taken apart.
+    """
+
+    def taken(rows: DataFrame, side: str) -> DataFrame:
+        body = StructType([f for f in rows.schema.fields if f.name != key])
+        whole = F.struct(*[F.col(f.name) for f in body.fields])
+        return rows.select(key, F.sha2(F.to_json(whole), 256).alias(f"{side}_digest"), leaves(body, whole).alias(f"{side}_leaves"))
 
-def diff_reports(old: DataFrame, new: DataFrame) -> DataFrame:
-    """S11."""
-    return old.exceptAll(new).withColumn("side", F.lit("only_old")).unionByName(new.exceptAll(old).withColumn("side", F.lit("only_new")))
+    both = taken(old, "old").join(taken(new, "new"), key, "full_outer").where(~F.col("old_digest").eqNullSafe(F.col("new_digest")))
+    apart = lambda side: both.select(key, F.explode(f"{side}_leaves").alias("l")).select(key, "l.path", F.col("l.value").alias(side))
+    return apart("old").join(apart("new"), [key, "path"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 def log_projection(rows: DataFrame) -> DataFrame:
@@ -139,9 +184,14 @@ def pseudonymise_client(requests: DataFrame, salt: str) -> DataFrame:
     return requests.withColumn("client", F.substring(F.sha2(F.concat(F.lit(salt), address), 256), 1, 32)).drop("forwarded_for", "real_ip")
 
 
-def incremental_select(wanted: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
-    """S14."""
-    return wanted if force else wanted.join(stored.select("doc_id"), "doc_id", "left_anti")
+def incremental_select(wanted: DataFrame, reports: DataFrame, outputs: DataFrame, only: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """Of the wanted ids, or of those listed in ``only``, the ones that have not both a report and model outputs."""
+    if only is not None:
+        wanted = wanted.join(only.select("doc_id"), "doc_id", "left_semi")
+    if force:
+        return wanted
+    done = reports.select("doc_id").join(outputs.select("doc_id"), "doc_id", "left_semi").distinct()
+    return wanted.join(done, "doc_id", "left_anti")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -1,6 +1,7 @@
 """Behaviour of the contract operators on small rows."""
 
 import datetime
+import json
 import random
 import re
 import time
@@ -16,6 +17,7 @@ from pactlake.functions.spans import match_spans
 from pactlake.operators import canonical, consistency, grounding, legal_aid, remedies, report, rubric, statutes
 from pactlake.plans import derive, score_queries, text_queries
 from pactlake.plans.rules import BENCHMARKS, CONSTRUCTS, EXPLANATIONS, NUMBERS, QUESTIONS, RULES, inputs
+from pactlake.sources import contracts as model_outputs
 from pactlake.sources import files
 from pactlake.streaming import guards
 
@@ -198,20 +200,115 @@ def test_rule_table_is_sound(spark):
     names = spark.createDataFrame([(n,) for n in [*NUMBERS, *CONSTRUCTS]], "name string")
     rules = text_queries.rule_table(spark)
     empty = spark.createDataFrame([], "forum string, limitation_id string")
-    assert len(RULES) == 43 and text_queries.audit(rules, names, empty, empty.select("limitation_id")).count() == 0
-    broken = rules.unionByName(rules.limit(1)).unionByName(rules.limit(1).withColumn("rule_id", F.lit("Bad")).withColumn("weight", F.lit(51)).withColumn("inputs", F.array(F.lit("nope"))))
+    tiers = spark.createDataFrame([(t,) for t in ("asymmetry", "threshold", "construct", "absence")], "tier string")
+    fine = spark.createDataFrame([("a", ["ask"])], "construct string, caveats array<string>")
+    assert len(RULES) == 43 and text_queries.audit(rules, names, empty, empty.select("limitation_id"), tiers, fine).count() == 0
+    bad = rules.limit(1).withColumn("rule_id", F.lit("Bad")).withColumn("weight", F.lit(51)).withColumn("inputs", F.array(F.lit("nope"))).withColumn("text_hi", F.lit(" "))
     forums = spark.createDataFrame([("f", "lost")], "forum string, limitation_id string")
-    problems = {r["problem"] for r in text_queries.audit(broken, names, forums, empty.select("limitation_id")).collect()}
-    assert problems == {"duplicate_id", "unknown_name", "weight", "id", "foreign_key"}
+    more, bare = tiers.union(spark.createDataFrame([("ghost",)], "tier string")), spark.createDataFrame([("b", [" "]), ("c", None)], "construct string, caveats array<string>")
+    found = text_queries.audit(rules.unionByName(rules.limit(1)).unionByName(bad), names, forums, empty.select("limitation_id"), more, fine.union(bare)).collect()
+    assert sorted({(r["problem"], r["at"]) for r in found} - {("duplicate_id", RULES[0][0])}) == [
+        ("caveat", "b"), ("caveat", "c"), ("empty_table", "ghost"), ("foreign_key", "f"), ("id", "Bad"), ("text", "Bad"), ("unknown_name", "Bad:nope"), ("weight", "Bad"),
+    ]
 
 
-def test_reports_round_trip(spark, tmp_path):
-    reports = text_queries._reports(spark, SF)
-    files.write_reports(reports, str(tmp_path / "r"))
-    good, bad = files.read_reports(spark, str(tmp_path / "r"))
-    assert good.count() == reports.count() and bad.count() == 0
-    key = ["doc_id", "kind", "score", "band"]
-    assert files.diff_reports(reports.select(key), good.select(key)).count() == 0
+def test_rules_are_loaded_with_their_defaults(spark):
+    loaded = {r["rule_id"]: r for r in text_queries._loaded_rules(spark).collect()}
+    assert {k: (r["tier"], r["weight"], r["applies_to"], r["benchmark"]) for k, r in loaded.items()} == {r[0]: (r[1], r[3], list(r[4]), BENCHMARKS.get(r[0])) for r in RULES}
+    assert len(BENCHMARKS) == 11
+
+
+NESTED = "doc_id long, kind string, reason string, score int, drivers array<struct<rule_id:string,points:int>>, findings array<struct<ord:int,quote:string>>, tiers struct<absence:int>"
+
+
+def nested(spark, rows):
+    return spark.createDataFrame(rows, NESTED)
+
+
+def test_store_counts_finished_runs_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(i, "report", None, i, [("r", 1)], [(1, "q")], (0,)) for i in range(10)] + [(10, "not_a_document", "no", None, None, None, None)]
+    assert files.finished(spark, path).count() == 0
+    done = files.finished(spark, path)
+    files.write_reports(files.incremental_select(nested(spark, rows[:6]), done, done), path, "first")
+    # A run that is killed between its reports and its manifest is not seen, and its ids are done again.
+    nested(spark, rows[6:8]).withColumn("run", F.lit("killed")).write.mode("append").partitionBy("run").parquet(f"{path}/reports")
+    kind = nested(spark, rows).schema.add("run", "string")
+    assert {r["doc_id"] for r in files.read_reports(spark, path, kind).collect()} == set(range(6))
+    done = files.finished(spark, path)
+    files.write_reports(files.incremental_select(nested(spark, rows), done, done), path, "second")
+    assert sorted((r["doc_id"], r["run"]) for r in files.read_reports(spark, path, kind).collect()) == [(i, "first" if i < 6 else "second") for i in range(11)]
+    files.write_reports(nested(spark, rows[:2]), path, "second")  # a run that is run again replaces itself alone
+    assert sorted((r["doc_id"], r["run"]) for r in files.read_reports(spark, path, kind).collect()) == sorted([*((i, "first") for i in range(6)), (0, "second"), (1, "second")])
+
+
+def test_incremental_select_needs_reports_and_outputs(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    got = lambda **k: sorted(r["doc_id"] for r in files.incremental_select(ids(1, 2, 3, 4), ids(1, 2), ids(2, 3), **k).collect())
+    assert got() == [1, 3, 4] and got(only=ids(2, 3, 9)) == [3] and got(force=True) == [1, 2, 3, 4] and got(force=True, only=ids(2)) == [2]
+
+
+def test_a_changed_quote_deep_in_a_report_is_named_by_its_path(spark):
+    old = [(1, "report", None, 5, [("a", 1)], [(1, "x"), (2, "y")], (3,)), (2, "report", None, 5, [], [], (3,)), (3, "not_a_document", "no", None, None, None, None)]
+    new = [(1, "report", None, 5, [("a", 1)], [(1, "x"), (2, "z"), (3, "more")], (4,)), (2, "report", None, 5, [], [], (3,)), (4, "not_a_document", "no", None, None, None, None)]
+    found = {tuple(r) for r in files.diff_reports(nested(spark, old), nested(spark, new)).collect()}
+    assert found == {
+        (1, "findings[1].quote", "y", "z"), (1, "findings[2].ord", None, "3"), (1, "findings[2].quote", None, "more"), (1, "tiers.absence", "3", "4"),
+        (3, "kind", "not_a_document", None), (3, "reason", "no", None), (4, "kind", None, "not_a_document"), (4, "reason", None, "no"),
+    }
+
+
+def test_a_damaged_file_is_one_error_and_no_other_files_concern(spark, tmp_path):
+    fine = json.dumps({"doc_id": 7, "kind": "report", "score": 3, "drivers": []}) + "\n" + json.dumps({"doc_id": 8, "kind": "not_a_document", "reason": "no"}) + "\n"
+    cases = {
+        "fine": fine, "cut": fine[:-9], "alien": '{"hello": 1}', "list": "[1, 2]", "no_score": '{"doc_id": 1, "kind": "report", "drivers": []}', "bad_id": '{"doc_id": -4, "kind": "not_a_document", "reason": "x"}',
+        "no_id": '{"kind": "not_a_document", "reason": "x"}', "one_bad_line": fine + "{", "blank": " \n",
+    }
+    for name, text in cases.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "utf16.json").write_bytes(fine.encode("utf-16"))
+    (tmp_path / "empty.json").write_bytes(b"")
+    good, bad = files.read_report_files(spark, str(tmp_path), NESTED)
+    assert sorted((r["doc_id"], r["kind"]) for r in good.collect()) == [(7, "report"), (8, "not_a_document")]
+    assert {r["path"].rsplit("/", 1)[1][:-5]: r["problem"] for r in bad.collect()} == {
+        "cut": "malformed", "alien": "alien", "list": "alien", "no_score": "alien", "bad_id": "alien", "no_id": "alien", "one_bad_line": "malformed", "blank": "malformed", "utf16": "encoding",
+    }
+
+
+FINDING = {"id": "f1", "category": "deposit", "exactQuote": "q" * 24, "clauseLabel": None, "plainSummary": "ten letters", "obligationOn": "you", "benefits": "both", "isUnusual": False}
+CLASS = {"isLegalDocument": True, "documentType": "nda", "language": "en", "notLegalReason": None, "confidence": "low"}
+SAID = {"foundInDocument": False, "answer": "a", "exactQuote": None, "certainty": "implied"}
+
+
+def facts(**changed):
+    return {"documentType": "nda", "governingLawState": None, "jurisdictionCity": "Pune", **dict.fromkeys(NUMBERS), "constructs": [], "citations": []} | changed
+
+
+@pytest.mark.parametrize("kind,record,expected", [
+    ("findings", {"findings": [FINDING] * 60}, []), ("findings", {"findings": []}, []), ("findings", {"findings": [FINDING] * 61}, ["$.findings:too_many"]), ("findings", {}, ["$.findings:missing"]),
+    ("findings", {"findings": [FINDING, FINDING | {"id": "f1234", "exactQuote": "q" * 23, "plainSummary": "p" * 401, "clauseLabel": 7, "isUnusual": "no", "benefits": "me", "category": None}]},
+     ["$.findings[1].id:pattern", "$.findings[1].category:null", "$.findings[1].exactQuote:too_short", "$.findings[1].clauseLabel:type", "$.findings[1].plainSummary:too_long", "$.findings[1].benefits:choice", "$.findings[1].isUnusual:type"]),
+    ("classification", CLASS, []), ("classification", CLASS | {"language": "fr", "notLegalReason": "r" * 201, "isLegalDocument": 1}, ["$.isLegalDocument:type", "$.language:choice", "$.notLegalReason:too_long"]),
+    ("classification", {k: v for k, v in CLASS.items() if k != "notLegalReason"}, ["$.notLegalReason:missing"]),
+    ("answer", SAID, []), ("answer", SAID | {"answer": "", "certainty": "sure", "exactQuote": "q" * 601}, ["$.answer:too_short", "$.exactQuote:too_long", "$.certainty:choice"]), ("answer", [], ["$:type"]), ("answer", None, ["$:null"]),
+    ("facts", facts(), []), ("facts", facts(lockInMonths=1.5, noticeDaysYouMustGive=3650, annualRentIncreasePercent=0), []),
+    ("facts", facts(lockInMonths=601, noticeDaysYouMustGive=1.5, noticeDaysTheyMustGive=-1, monthlyRentInr="much"), ["$.noticeDaysYouMustGive:integer", "$.noticeDaysTheyMustGive:too_small", "$.lockInMonths:too_large", "$.monthlyRentInr:type"]),
+    ("facts", facts(citations=[{"field": "lockInMonths", "exactQuote": "q" * 12}, {"field": "rent", "exactQuote": "short"}], constructs=[{"construct": "cross_default", "presence": "maybe", "exactQuote": None}, 5]),
+     ["$.constructs[0].presence:choice", "$.constructs[1]:type", "$.citations[1].field:choice", "$.citations[1].exactQuote:too_short"]),
+    ("facts", facts(citations=[{"field": "lockInMonths", "exactQuote": "q" * 12}] * 41), ["$.citations:too_many"]), ("other", {}, [":kind"]),
+])
+def test_contracts_name_every_violation_by_its_path(spark, kind, record, expected):
+    lines = spark.createDataFrame([(1, kind, json.dumps(record))], "doc_id long, kind string, json string")
+    good, bad = model_outputs.validate_model_outputs(lines)
+    assert [r["violations"] for r in bad.collect()] == ([expected] if expected else []) and good.count() == (not expected)
+
+
+def test_records_that_do_not_parse_are_kept_raw(spark):
+    lines = spark.createDataFrame([(i, "answer", t) for i, t in enumerate(['{"answer": "x"', "", None, json.dumps(SAID)])], "doc_id long, kind string, json string")
+    good, bad = model_outputs.validate_model_outputs(lines)
+    assert {r["doc_id"]: (r["json"], r["violations"]) for r in bad.collect()} == {0: ('{"answer": "x"', [":malformed"]), 1: ("", [":malformed"]), 2: (None, [":malformed"])}
+    read = {r["doc_id"]: r["record"] for r in model_outputs.read_model_outputs(lines, "answer").collect()}
+    assert [r["doc_id"] for r in good.collect()] == [3] and read[3]["certainty"] == "implied" and read[0] is read[1] is read[2] is None
 
 
 def test_files_by_their_bytes(spark, tmp_path):
