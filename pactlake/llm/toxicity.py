@@ -257,14 +257,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            said, held, scale = [], [], []
-            for fold, label, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
-                words = words_of(text)
-                said.append(",".join(map(str, (label, *votes(text, words, rates(words), lexicons[fold], settings.vote_rate)))))
-                held.append([t for w, n in words.items() for t in terms_of(w) if t in known_terms for _ in range(n)])
-                scale.append(100 / (words.total() + _EXTRA_WORDS))
-            columns = [batch.column(0), batch.column(3), pa.array(said), pa.array(held, pa.list_(pa.string())), pa.array(scale)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "weight", "votes", "terms", "scale"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                said, held, scale = [], [], []
+                for fold, label, text in zip(*(part.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
+                    words = words_of(text)
+                    said.append(",".join(map(str, (label, *votes(text, words, rates(words), lexicons[fold], settings.vote_rate)))))
+                    held.append([t for w, n in words.items() for t in terms_of(w) if t in known_terms for _ in range(n)])
+                    scale.append(100 / (words.total() + _EXTRA_WORDS))
+                columns = [part.column(0), part.column(3), pa.array(said), pa.array(held, pa.list_(pa.string())), pa.array(scale)]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "weight", "votes", "terms", "scale"])
 
     source = rows.select("row", "fold", "toxic", "weight", "text")
     voted = stage(source.mapInArrow(vote, "row long, weight double, votes string, terms array<string>, scale double"), "toxicity-votes")
