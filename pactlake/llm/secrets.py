@@ -66,7 +66,7 @@ CANDIDATE = re.compile(
 )
 _WORDS = re.compile(r"[^\W\d_]+")
 _LONGEST = 12  # letters of a dictionary word
-_RARE = 2  # documents that may share a secret
+_RARE = 2  # different texts that may share a secret
 _WORD = re.compile(r"\w+")
 NUMERIC = (
     "chars transitions likelihood coverage digits uppers lowers hexes symbols entropy distinct slashes dots at_sign "
@@ -141,17 +141,17 @@ def features(value: str, before: str, after: str, source: str | None, quoted: bo
 
 
 def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
-    """One row per candidate of whole texts, with kind, place, digest and features."""
+    """One row per candidate of whole texts, with kind, place, digest and features; ``copy`` is the same for equal texts."""
     known, pairs = set(words), transition_table(words)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     kind_of_id = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind_of_id}, start long, length long, kind string, value_sha256 string, " + ", ".join(f"`{f}` double" for f in NUMERIC)
+    schema = f"doc_id {kind_of_id}, copy long, start long, length long, kind string, value_sha256 string, " + ", ".join(f"`{f}` double" for f in NUMERIC)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "start", "length", "kind", "value_sha256", *NUMERIC]
+        names = ["doc_id", "copy", "start", "length", "kind", "value_sha256", *NUMERIC]
         for frame in frames:
             rows = []
-            for doc_id, text, path in frame.itertuples(index=False):
+            for doc_id, copy, text, path in frame.itertuples(index=False):
                 if not isinstance(text, str) or not text:
                     continue
                 for m in CANDIDATE.finditer(text):
@@ -162,18 +162,18 @@ def candidates(docs: DataFrame, words: dict[str, int]) -> DataFrame:
                     before = _WORD.findall(text[max(0, m.start() - 40) : m.start()])[-1:]
                     after = _WORD.findall(text[end : end + 40])[:1]
                     x = features(value, (before or [""])[0], (after or [""])[0], path, text[end : end + 1] in "\"'" and end < len(text), known, pairs)
-                    rows.append([doc_id, start, len(value), kind, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), *x])
+                    rows.append([doc_id, copy, start, len(value), kind, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest(), *x])
                 if len(rows) >= 5000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text", source.alias("source")).mapInPandas(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text", source.alias("source")).mapInPandas(run, schema)
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """``label`` by place and by the number of documents with the value, neither of which is a feature."""
-    spread = found.groupBy("value_sha256").agg(F.approx_count_distinct("doc_id").alias("docs")).where(F.col("docs") > _RARE)
+    """``label`` by place and by the number of different texts with the value, neither of which is a feature; copies of a text count once."""
+    spread = found.groupBy("value_sha256").agg(F.approx_count_distinct("copy").alias("texts")).where(F.col("texts") > _RARE)
     shared = stage(spread.select("value_sha256", F.lit(True).alias("shared")), "secrets-shared")
     placed = F.col("kind").isin("assignment", "format") & F.col("shared").isNull()
     return found.join(shared, "value_sha256", "left").withColumn("label", placed.cast("int")).drop("shared")

@@ -181,8 +181,9 @@ def votes(text: str, words: Counter[str], found: dict[str, float], lexicons: dic
 class LabelModel:
     """Votes given the class: a tree of pairwise dependencies, fitted by EM over vote patterns."""
 
-    def __init__(self, rounds: int = 25, smooth: float = 1.0):
-        self.rounds, self.smooth = rounds, smooth
+    def __init__(self, rounds: int = 25, smooth: float = 1.0, least_gain: float = 1e-3):
+        """``least_gain`` is the mutual information from which on two voters count as dependent."""
+        self.rounds, self.smooth, self.least_gain = rounds, smooth, least_gain
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray, start: list[int]) -> np.ndarray:
         """Posterior probability of class 1 per pattern. The share of toxic votes among the voters ``start`` begins the fit."""
@@ -231,7 +232,7 @@ class LabelModel:
         parents, inside = [-1] * m, {0}
         while len(inside) < m:
             value, child, up = max((gain[i, j], -i, j) for i in range(m) if i not in inside for j in inside)
-            parents[-child] = up if value > 1e-3 else -1
+            parents[-child] = up if value > self.least_gain else -1
             inside.add(-child)
         return parents
 

@@ -87,11 +87,38 @@ def test_secret_labels_by_spread_take_placeholders_off(spark):
     rng = random.Random(4)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
     places = [f"placeholder{i}" for i in range(30)]
-    texts = [f'the token = "{key()}" here' for _ in range(60)] + [f"the token = {p} here" for p in places for _ in range(4)] + ["the token = placeholderzz here"]
+    texts = [f'the token = "{key()}" here' for _ in range(60)] + [f"the token = {p} here, version {v}" for p in places for v in range(4)] + ["the token = placeholderzz here"]
     found = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs(spark, texts)).collect()}
     assert all(found[i] for i in range(60)) and not any(found[i] for i in range(60, len(texts)))
 
 
+def test_secret_copies_of_a_document_do_not_make_its_key_a_placeholder(spark):
+    rng = random.Random(5)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    copied = f'the token = "{key()}" of the copied text'
+    texts = [f'the token = "{key()}" here' for _ in range(60)] + [f"the token = placeholder{i} here, version {v}" for i in range(30) for v in "abcd"] + [copied] * 9
+    found = {r["doc_id"]: r["is_secret"] for r in secrets.scan(docs(spark, texts)).collect()}
+    assert all(found[i] for i in range(60)) and not any(found[i] for i in range(60, 180)) and all(found[i] for i in range(180, 189))
+
+
+def test_secret_forest_corrects_a_rule_by_verdicts_on_planted_findings(spark):
+    """Verdicts where the labelling rule is wrong: random values that are hashes of files, and rare words. Precision and recall on the half without verdicts."""
+    rng = random.Random(6)
+    words = "required optional entered changed missing invalid expired provided forgotten updated accepted rejected".split()
+    texts, truth = [], []
+    for i in range(240):
+        kind = i % 3
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40)) if kind else f"{rng.choice(words)}{rng.choice(words)}"
+        texts.append(f"commit auth: {value} checked" if kind == 1 else f"login password: {value} saved")
+        truth.append(kind == 2)
+    verdicts = spark.createDataFrame([(i, texts[i].index(": ") + 2, int(t)) for i, t in enumerate(truth) if i // 3 % 2], "doc_id long, start long, label int")
+    rows = [r for r in secrets.scan(docs(spark, texts), verdicts).collect() if not r["doc_id"] // 3 % 2]
+    by_rule = sum(truth[r["doc_id"]] for r in rows) / len(rows)  # the rule calls all of them secret
+    said = [r for r in rows if r["is_secret"]]
+    right = sum(truth[r["doc_id"]] for r in said)
+    assert by_rule < 0.4 and right >= 0.95 * len(said) and right >= 0.95 * sum(truth[r["doc_id"]] for r in rows)
+
+
 def test_secret_private_keys_and_words_are_whole(spark):
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "MIIEpAIBAAKCAQEA\n" * 90 + "-----END RSA PRIVATE KEY-----"
     (row,) = secrets.candidates(docs(spark, [f"before {pem} after"]), {}).collect()
@@ -250,6 +277,63 @@ def test_toxicity_without_labels(spark):
     assert toxicity.keep_clean(docs(spark, ["a", None]), labels).count() == 2
 
 
+def planted_votes(n, prior, rates, copies, seed=3):
+    """Votes of voters with given rates of (vote if toxic, right if voting, vote if clean); ``copies`` repeat another one's vote nine times in ten."""
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < prior
+    votes = np.zeros((n, len(rates)), int)
+    for j, (bad, right, good) in enumerate(rates):
+        speaks = np.where(y, rng.random(n) < bad, rng.random(n) < good)
+        correct = rng.random(n) < right
+        votes[:, j] = np.where(speaks, np.where(y == correct, 1, -1), 0)
+    for j, k in copies.items():
+        same = rng.random(n) < 0.9
+        votes[same, j] = votes[same, k]
+    return y, votes
+
+
+def plain_em(votes, counts, start, rounds=25):
+    """Naive Bayes by EM, written out for independent voters."""
+    share = [(sum(v[j] == 1 for j in start) / max(1, sum(v[j] != 0 for j in start))) if any(v[j] for j in start) else 0.5 for v in votes]
+    post = [0.95 if s >= 0.5 else 0.05 for s in share]
+    for _ in range(rounds):
+        weight = [[c * (p if y else 1 - p) for c, p in zip(counts, post)] for y in (0, 1)]
+        total = [sum(w) for w in weight]
+        prior = [(t + 1) / (sum(total) + 2) for t in total]
+        given = [[{a: (1 / 3 * 3 / 3 + sum(w for v, w in zip(votes, weight[y]) if v[j] == a)) for a in (-1, 0, 1)} for j in range(len(votes[0]))] for y in (0, 1)]
+        post = []
+        for v in votes:
+            p = [prior[y] * math.prod(given[y][j][a] / sum(given[y][j].values()) for j, a in enumerate(v)) for y in (0, 1)]
+            post.append(p[1] / sum(p))
+    return post
+
+
+def test_label_model_recovers_planted_accuracies_and_a_planted_correlation():
+    rates = [(0.8, 0.9, 0.6), (0.7, 0.8, 0.7), (0.6, 0.85, 0.5), (0.5, 0.75, 0.8), (0.7, 0.7, 0.7), (0.7, 0.7, 0.7)]
+    y, votes = planted_votes(40_000, 0.3, rates, {5: 4})
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel()
+    post = model.fit(patterns, counts, [0, 1, 2])
+    edges = {frozenset((j, up)) for j, up in enumerate(model.parents) if up >= 0}
+    assert frozenset((4, 5)) in edges and not {frozenset((4, j)) for j in range(4)} & edges  # the pair that is correlated given the class
+    accuracy = np.array(model.accuracy).reshape(len(rates), 2)  # of clean and toxic votes
+    for j, (_, right, _) in enumerate(rates[:4]):
+        assert abs(accuracy[j, 0] - right) < 0.03 and abs(accuracy[j, 1] - right) < 0.03
+    assert abs(model.prior[1] - 0.3) < 0.02
+    said = dict(zip(map(tuple, patterns), post))
+    found = np.array([said[tuple(v)] for v in votes])
+    assert np.mean((found >= 0.5) == y) > 0.93 and abs(found.mean() - 0.3) < 0.02
+
+
+def test_label_model_without_correlations_equals_plain_em():
+    _, votes = planted_votes(5000, 0.4, [(0.8, 0.9, 0.6), (0.7, 0.8, 0.7), (0.6, 0.85, 0.5)], {})
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = toxicity.LabelModel(least_gain=math.inf)
+    post = model.fit(patterns, counts, [0, 1])
+    assert model.parents == [-1, -1, -1]
+    assert np.allclose(post, plain_em(patterns.tolist(), counts.tolist(), [0, 1]), atol=1e-3)
+
+
 # --- 6 exact dedup --------------------------------------------------------------------------------------
 @pytest.mark.parametrize("digest_chars", [64, 1])
 def test_exact_dedup_equals_brute_force(spark, digest_chars):
