@@ -312,17 +312,19 @@ def test_label_model_recovers_planted_accuracies_and_a_planted_correlation():
     rates = [(0.8, 0.9, 0.6), (0.7, 0.8, 0.7), (0.6, 0.85, 0.5), (0.5, 0.75, 0.8), (0.7, 0.7, 0.7), (0.7, 0.7, 0.7)]
     y, votes = planted_votes(40_000, 0.3, rates, {5: 4})
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    model = toxicity.LabelModel()
+    first = toxicity.LabelModel()
+    first.fit(patterns, counts, [0, 1, 2])
+    model = toxicity.LabelModel(least_gain=0.02)
     post = model.fit(patterns, counts, [0, 1, 2])
-    edges = {frozenset((j, up)) for j, up in enumerate(model.parents) if up >= 0}
-    assert frozenset((4, 5)) in edges  # the pair that is correlated given the class
+    edges = [{frozenset((j, up)) for j, up in enumerate(m.parents) if up >= 0} for m in (first, model)]
+    assert frozenset((4, 5)) in edges[0] and edges[1] == {frozenset((4, 5))}  # the pair that is correlated given the class
     accuracy = np.array(model.accuracy).reshape(len(rates), 2)  # of clean and toxic votes
     for j, (_, right, _) in enumerate(rates[:4]):
         assert abs(accuracy[j, 0] - right) < 0.03 and abs(accuracy[j, 1] - right) < 0.03
     assert abs(model.prior[1] - 0.3) < 0.02
     said = dict(zip(map(tuple, patterns), post))
     found = np.array([said[tuple(v)] for v in votes])
-    assert np.mean((found >= 0.5) == y) > 0.93 and abs(found.mean() - 0.3) < 0.02
+    assert np.mean((found >= 0.5) == y) > 0.92 and abs(found.mean() - 0.3) < 0.02
 
 
 def test_label_model_without_correlations_equals_plain_em():
