@@ -50,7 +50,7 @@ def references_of(text: Column) -> Column:
     """K1 as an array."""
     none = F.array().cast(f"array<{_REFERENCE}>")
 
-    def labels(m: Column) -> Column:
+    def labels(m: Column, gap: Column, i: Column) -> Column:
         def each(p: Column) -> Column:
             kind = F.when(p["keyword"].rlike("^(?:schedule|annex|append|exhibit)"), "schedule").otherwise("clause")
             first = m["end"] - F.length(p["list"])
@@ -60,13 +60,17 @@ def references_of(text: Column) -> Column:
                 lambda t: F.struct(kind.alias("kind"), p["keyword"].alias("keyword"), t["text"].alias("label"), (first + t["start"]).alias("start"), (first + t["end"]).alias("end")),
             )
 
-        before = F.rtrim(piece(text, F.lit(0), m["start"]), F.lit(" \t"))
-        heading = (before == "") | F.endswith(before, F.lit("\n"))
+        before = F.rtrim(gap, F.lit(" \t"))  # since the match before, so a text is looked at once
+        heading = ((before == "") & (i == 0)) | F.endswith(before, F.lit("\n"))
         statute = piece(text, m["end"], m["end"] + 90).rlike(STATUTE)
         parts = F.struct(F.lower(F.regexp_extract(m["text"], REFERENCE, 1)).alias("keyword"), F.regexp_extract(m["text"], REFERENCE, 2).alias("list"))
         return F.when(heading | statute, none).otherwise(let(parts, each))
 
-    return F.flatten(F.transform(match_spans(text, REFERENCE), labels))
+    def each_with_gap(found: Column) -> Column:
+        paired = F.zip_with(found["spans"], F.slice(found["gaps"], F.lit(1), F.size(found["spans"])), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+        return F.flatten(F.transform(paired, lambda x, i: labels(x["m"], x["gap"], i)))
+
+    return F.when(text.rlike(REFERENCE), let(F.struct(match_spans(text, REFERENCE).alias("spans"), F.split(text, REFERENCE, -1).alias("gaps")), each_with_gap)).otherwise(none)
 
 
 def cross_references(docs: DataFrame) -> DataFrame:
@@ -74,10 +78,10 @@ def cross_references(docs: DataFrame) -> DataFrame:
     return _rows(docs, references_of(F.col("text")))
 
 
-def labels_of(text: Column) -> Column:
-    """K2 as an array."""
+def labels_of(text: Column, segments: Column | None = None) -> Column:
+    """K2 as an array; ``segments`` are those of the text, where they are known."""
     pair = lambda kind, label: F.struct(F.lit(kind).alias("kind"), label.alias("label"))
-    clauses = F.filter(F.transform(segments_of(text), lambda s: pair("clause", F.regexp_replace(s["label"], r"\.$", ""))), lambda x: x["label"].rlike(r"^\d"))
+    clauses = F.filter(F.transform(segments_of(text) if segments is None else segments, lambda s: pair("clause", F.regexp_replace(s["label"], r"\.$", ""))), lambda x: x["label"].rlike(r"^\d"))
     schedules = F.transform(F.regexp_extract_all(text, F.lit(SCHEDULE_HEADING), F.lit(1)), lambda x: pair("schedule", F.upper(x)))
     return F.array_distinct(F.concat(clauses, schedules))
 
@@ -87,7 +91,7 @@ def known_labels(docs: DataFrame) -> DataFrame:
     return _rows(docs, labels_of(F.col("text")))
 
 
-def dangling_of(text: Column) -> Column:
+def dangling_of(text: Column, segments: Column | None = None) -> Column:
     """K3 as an array."""
 
     def with_ancestors(label: Column) -> Column:
@@ -102,7 +106,7 @@ def dangling_of(text: Column) -> Column:
         held = F.struct(kinds.alias("kinds"), F.array_distinct(keys).alias("keys"))
         return let(held, lambda h: F.filter(found["refs"], lambda r: F.array_contains(h["kinds"], F.lit("clause")) & F.array_contains(h["kinds"], r["kind"]) & ~F.array_contains(h["keys"], key(r))))
 
-    return let(F.struct(references_of(text).alias("refs"), labels_of(text).alias("known")), open_)
+    return let(F.struct(references_of(text).alias("refs"), labels_of(text, segments).alias("known")), open_)
 
 
 def dangling_references(docs: DataFrame) -> DataFrame:
@@ -142,11 +146,10 @@ def unused_of(terms: Column, text: Column) -> Column:
     """K6 as an array, of K4's."""
 
     def unused(t: Column) -> Column:
-        # The line goes from the last break at or before the term's start to the first break at or after its end.
-        head = F.regexp_extract(piece(text, F.lit(0), t["start"] + 1), r"(?s)^(.*\n)?", 1)
-        tail = F.regexp_extract(piece(text, t["end"], F.length(text)), r"(?s)^[^\n]*(.*)$", 1)
+        # All occurrences are in the definition's line. Neither a term nor what must stand around it reaches past a line.
         pattern = F.concat(F.lit(r"(?<![A-Za-z])\Q"), t["term"], F.lit(r"\E(?![A-Za-z])"))
-        return ~F.regexp_like(head, pattern) & ~F.regexp_like(tail, pattern)
+        line = F.element_at(F.split(text, "\n"), F.size(F.split(piece(text, F.lit(0), t["start"]), "\n")))
+        return F.regexp_count(text, pattern) == F.regexp_count(line, pattern)
 
     return F.filter(firsts(F.filter(terms, lambda t: t["is_definition"]), "term"), unused)
 
@@ -255,7 +258,7 @@ def extract_quantities(docs: DataFrame) -> DataFrame:
     return _rows(docs, quantities_of(F.col("text")))
 
 
-def conflicts_of(text: Column) -> Column:
+def conflicts_of(text: Column, segments: Column | None = None) -> Column:
     """K13 as an array."""
 
     def conflicts(held: Column) -> Column:
@@ -284,7 +287,7 @@ def conflicts_of(text: Column) -> Column:
 
         return let(F.transform(held["quantities"], placed), against)
 
-    return let(F.struct(quantities_of(text).alias("quantities"), segments_of(text).alias("segments")), conflicts)
+    return let(F.struct(quantities_of(text).alias("quantities"), (segments_of(text) if segments is None else segments).alias("segments")), conflicts)
 
 
 def conflicting_quantities(docs: DataFrame) -> DataFrame:
@@ -302,8 +305,8 @@ def defects_of(text: Column) -> dict[str, Column]:
 
     fixed = lambda s: lambda _: F.lit(s)
     found = (
-        (dangling_of(text), fixed("high")), (undefined_of(terms), fixed("medium")), (unused_of(terms, text), fixed("low")),
-        (mismatches_of(text), fixed("high")), (conflicts_of(text), lambda r: F.element_at(severity, r["concept"])),
+        (dangling_of(text, F.col("segments")), fixed("high")), (undefined_of(terms), fixed("medium")), (unused_of(terms, text), fixed("low")),
+        (mismatches_of(text), fixed("high")), (conflicts_of(text, F.col("segments")), lambda r: F.element_at(severity, r["concept"])),
     )
     return {kind: marked(rows, kind, how_bad) for kind, (rows, how_bad) in zip(KINDS, found, strict=True)}
 
@@ -311,7 +314,7 @@ def defects_of(text: Column) -> dict[str, Column]:
 def _defects(docs: DataFrame) -> DataFrame:
     """One row per document with an array per kind."""
     text = F.col("text")
-    rows = docs.select("doc_id", "text", terms_of(text).alias("terms"))
+    rows = docs.select("doc_id", "text", terms_of(text).alias("terms"), segments_of(text).alias("segments"))
     return rows.select("doc_id", *[found.alias(kind) for kind, found in defects_of(text).items()])
 
 
