@@ -93,7 +93,7 @@ _NOT_ORDINARY = rf"(?!(?:{_BOTH(ORDINARY)})(?![\p{{L}}'-]))"
 _START = r"(?<![\p{L}'-])(?=\p{Lu})"
 _NAME = (
     rf"{_START}(?:{_TITLE}) {_WORD}(?: {_NOT_ORDINARY}{_WORD})?|{_START}(?:{_LISTED}) {_NOT_ORDINARY}{_WORD}|"
-    rf"{_START}{_NOT_ORDINARY}{_WORD}, (?:{_LISTED})(?![\p{{L}}'-])"
+    rf"{_START}(?={_WORD}, (?:{_LISTED})(?![\p{{L}}'-])){_NOT_ORDINARY}{_WORD}, \p{{L}}+"
 )
 ENTITY = "|".join([_EMAIL, _IP, _IP6, _IBAN, _CARD, _PHONE, _NAME])
 _ALL_TITLES = [t.lower() for names in TITLES.values() for t in names]
@@ -291,11 +291,11 @@ def _dress(new: Column, original: Column, kind: Column) -> Column:
 
 def may_hold(text: Column) -> Column:
     """False for texts that cannot have an entity; much cheaper than the whole pattern."""
-    low = F.lower(text)
     found = text.rlike("[@0-9]|:[A-Fa-f:]")
-    for names in (*TITLES.values(), *GIVEN.values()):
+    for names, after in (*((titles, " ") for titles in TITLES.values()), *(([n.capitalize() for n in given], "") for given in GIVEN.values())):
         for name in names:
-            found = found | F.contains(low, F.lit(name.lower()))
+            for form in dict.fromkeys((name, name.upper())):
+                found = found | F.contains(text, F.lit(form + after))
     return found
 
 

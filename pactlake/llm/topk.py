@@ -264,10 +264,12 @@ def _query_blocks(rows: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 64, tasks: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, query_rows: int = 64, tasks: int | None = None, slot_blocks: int = 8) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best candidates of every query row.
 
-    Both inputs are results of :func:`quantised`. ``tasks`` is the number of
+    Both inputs are results of :func:`quantised`. Index blocks are dealt out by a
+    hash to slots of about ``slot_blocks``, so that hardly a slot is empty and every
+    query block is sent once for so many index blocks. ``tasks`` is the number of
     tasks to fill at least (by default that of the session's cores): where the
     index has fewer blocks, each is met by several groups of query blocks apart.
     """
@@ -275,7 +277,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int =
     index = build_index(vectors, block_rows)
     numbered = stage(queries.select("vec_id", "q").withColumn("number", F.monotonically_increasing_id()), "topk-queries")
     asked = stage(numbered.mapInPandas(_query_blocks(query_rows), "ids binary, numbers binary, data binary, dims int"), "topk-query-blocks")
-    slots = max(1, index.count())
+    slots = max(1, -(-index.count() // slot_blocks))
     groups = max(1, min(-(-(tasks or 2 * spark.sparkContext.defaultParallelism) // slots), 64, asked.count()))
     none = F.lit(None)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
