@@ -6,25 +6,25 @@ Predicates are nested tuples, e.g. ``("all_of", ("gt", field, 6), ...)``.
 from __future__ import annotations
 
 # --- fixed values: vocabulary -------------------------------------------------------------------
-NUMBERS = (
-    "noticeDaysYouMustGive noticeDaysTheyMustGive cureDaysYouGet cureDaysTheyGet lockInMonths termMonths depositRefundDays "
-    "paymentTermDays dataRetentionDays confidentialityMonths nonCompeteMonths monthlyRentInr securityDepositInr "
-    "annualRentIncreasePercent annualCtcInr bondAmountInr bondMonths principalInr annualInterestPercent processingFeePercent "
-    "prepaymentPenaltyPercent latePaymentPercentPerMonth liabilityCapInr"
-).split()
+NUMBERS = [
+    "noticeDaysYouMustGive", "noticeDaysTheyMustGive", "cureDaysYouGet", "cureDaysTheyGet", "lockInMonths", "termMonths",
+    "depositRefundDays", "paymentTermDays", "dataRetentionDays", "confidentialityMonths", "nonCompeteMonths", "monthlyRentInr",
+    "securityDepositInr", "annualRentIncreasePercent", "annualCtcInr", "bondAmountInr", "bondMonths", "principalInr",
+    "annualInterestPercent", "processingFeePercent", "prepaymentPenaltyPercent", "latePaymentPercentPerMonth", "liabilityCapInr",
+]
 
-CONSTRUCTS = (
-    "unilateral_amendment_without_notice unilateral_arbitrator_appointment contractual_limitation_period self_help_remedy "
-    "forfeiture_of_paid_amounts sole_discretion_on_payment post_employment_non_compete unlimited_indemnity "
-    "automatic_renewal_without_notice assignment_of_future_ip class_action_waiver cross_default deposit_refund_timeline "
-    "notice_period_for_you exit_or_termination_route jurisdiction_clause data_retention_limit liability_cap_in_your_favour "
-    "rent_increase_cap grievance_officer_named"
-).split()
+CONSTRUCTS = [
+    "unilateral_amendment_without_notice", "unilateral_arbitrator_appointment", "contractual_limitation_period", "self_help_remedy",
+    "forfeiture_of_paid_amounts", "sole_discretion_on_payment", "post_employment_non_compete", "unlimited_indemnity",
+    "automatic_renewal_without_notice", "assignment_of_future_ip", "class_action_waiver", "cross_default", "deposit_refund_timeline",
+    "notice_period_for_you", "exit_or_termination_route", "jurisdiction_clause", "data_retention_limit", "liability_cap_in_your_favour",
+    "rent_increase_cap", "grievance_officer_named",
+]
 
-CATEGORIES = (
-    "payment termination lock_in deposit penalty liability dispute_resolution restraint_of_trade ip_assignment confidentiality "
-    "data_use unilateral_change renewal indemnity jurisdiction other"
-).split()
+CATEGORIES = [
+    "payment", "termination", "lock_in", "deposit", "penalty", "liability", "dispute_resolution", "restraint_of_trade", "ip_assignment",
+    "confidentiality", "data_use", "unilateral_change", "renewal", "indemnity", "jurisdiction", "other",
+]
 
 DOCUMENT_TYPES = ("rent_agreement", "employment_offer", "loan_agreement", "freelance_contract", "nda", "privacy_policy", "other")
 
