@@ -367,31 +367,36 @@ def replace(docs: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
     es = F.regexp_extract_all(text, F.lit(f"({ENTITY})"), 1)
     gaps = F.split(text, ENTITY, -1)
 
-    def part(canon: Column, dress) -> Column:
-        attempt = F.coalesce(F.try_element_at(attempts, canon), F.lit(0).cast("long"))
-        return _let(surrogate(canon, attempt, max_draws), dress)
+    def token(text: Column, kind: Column) -> Column:
+        return F.struct(text.alias("text"), kind.alias("kind"))
 
-    def name(entity: Column) -> Column:
-        def word(w: Column) -> Column:
-            stays = F.lower(w).isin(*_ALL_TITLES) | w.rlike("^[ ,]")
-            return F.when(stays, w).otherwise(part(F.concat(F.lit("name:"), F.lower(w)), lambda drawn: _dress_word(drawn, w)))
+    nothing = F.lit(None).cast("string")
 
-        return F.array_join(F.transform(F.regexp_extract_all(entity, F.lit("([^ ,]+|[ ,]+)"), 1), word), "")
+    def words(entity: Column) -> Column:
+        """A name's words, and what stands between them."""
+        stays = lambda w: F.lower(w).isin(*_ALL_TITLES) | w.rlike("^[ ,]")
+        return F.transform(F.regexp_extract_all(entity, F.lit("([^ ,]+|[ ,]+)"), 1), lambda w: token(w, F.when(~stays(w), "name")))
 
-    def gap(i: Column) -> Column:
-        """What stands before an entity, but for the names that the text has elsewhere."""
+    def of_entity(entity: Column) -> Column:
+        whole = F.array(token(entity, F.when(_is_entity(entity), kind_of(entity))))
+        return _let(entity, lambda e: F.when(kind_of(e) == "name", words(e)).otherwise(whole))
 
-        def renamed(g: Column) -> Column:
-            again, around = F.regexp_extract_all(g, F.col("known"), F.lit(0)), F.split(g, F.col("known"), -1)
-            both = F.zip_with(around, again, lambda a, w: F.concat(a, F.when(w.isNull(), "").otherwise(name(w))))
-            return F.when(F.col("known").isNull() | ~F.rlike(g, F.col("known")), g).otherwise(F.array_join(both, ""))
+    def of_gap(gap: Column) -> Column:
+        """What stands between entities, with the names in it that the text has elsewhere."""
+        again, around = F.regexp_extract_all(gap, F.col("known"), F.lit(0)), F.split(gap, F.col("known"), -1)
+        both = F.flatten(F.zip_with(around, again, lambda a, w: F.when(w.isNull(), F.array(token(a, nothing))).otherwise(F.array(token(a, nothing), token(w, F.lit("name"))))))
+        return F.when(F.col("known").isNull() | ~F.rlike(gap, F.col("known")), F.array(token(gap, nothing))).otherwise(both)
 
-        return _let(F.element_at(F.col("gaps"), i), renamed)
+    def replaced(t: Column) -> Column:
+        """A token with its surrogate. The surrogate's expression stands here alone: plans would grow with every further use."""
 
-    def new(entity: Column, i: Column) -> Column:
-        kind = kind_of(entity)
-        whole = _let(F.try_element_at(parts_of(entity), F.lit(1)), lambda canon: part(canon, lambda drawn: _dress(drawn, entity, kind)))
-        return F.concat(gap((i + 1).cast("int")), F.when(kind == "name", name(entity)).when(_is_entity(entity), whole).otherwise(entity))
+        def drawn(canon: Column) -> Column:
+            attempt = F.coalesce(F.try_element_at(attempts, canon), F.lit(0).cast("long"))
+            dressed = lambda new: F.when(t["kind"] == "name", _dress_word(new, t["text"])).otherwise(_dress(new, t["text"], t["kind"]))
+            return _let(surrogate(canon, attempt, max_draws), dressed)
+
+        canon = F.when(t["kind"] == "name", F.concat(F.lit("name:"), F.lower(t["text"]))).otherwise(F.try_element_at(parts_of(t["text"]), F.lit(1)))
+        return F.when(t["kind"].isNull(), t["text"]).otherwise(_let(canon, drawn))
 
     some = may_hold(text) & text.rlike(ENTITY)
     rows = source.withColumn("es", F.when(some, es)).withColumn("gaps", F.when(some, gaps))
@@ -402,8 +407,9 @@ def replace(docs: DataFrame, key: str, max_draws: int = 32) -> DataFrame:
     spelt = F.reverse(F.array_sort(F.transform(F.array_distinct(F.concat(spelt, F.transform(spelt, F.upper))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
     known = F.concat(F.lit(r"(?<![\p{L}\p{N}'-])(?:"), F.array_join(F.transform(spelt, lambda x: x["w"]), "|"), F.lit(r")(?![\p{L}\p{N}-])"))
     rows = _with_key(rows, key).withColumn("known", F.when(F.size(spelt) > 0, known))
-    changed = F.concat(F.array_join(F.transform("es", new), ""), gap(F.size("gaps")))
-    rows = rows.withColumn("new", F.when(F.col("es").isNull(), text).otherwise(changed))
+    per = F.zip_with("gaps", "es", lambda g, e: F.when(e.isNull(), of_gap(g)).otherwise(F.concat(of_gap(g), of_entity(e))))
+    rows = rows.withColumn("tokens", F.when(F.col("es").isNotNull(), F.flatten(per)))
+    rows = rows.withColumn("new", F.when(F.col("es").isNull(), text).otherwise(F.array_join(F.transform("tokens", replaced), "")))
     return rows.select(
         *[F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns], F.coalesce(F.size(F.filter("es", _is_entity)), F.lit(0)).alias(fresh("n_entities", docs.columns))
     )
