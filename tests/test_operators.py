@@ -626,3 +626,10 @@ def test_registry_and_flagship(spark):
     assert registry.FLAGSHIP in registry.QUERIES and set(registry.ORACLES) <= set(registry.QUERIES)
     assert registry.QUERIES[registry.FLAGSHIP](spark, SF).count() == 1500
     assert derive.frame(spark, SF, derive.CONTRACTS).count() == 1473 and score_queries.view(spark, SF).count() == 1500
+
+
+def test_legal_gate_query(spark):
+    rows = {r["doc_id"]: (r["document_type"], r["reason"]) for r in text_queries.QUERIES["P5_legal_gate"](spark, SF).collect()}
+    refused = {k: reason for k, (kind, reason) in rows.items() if reason is not None}
+    assert set(refused) == {k for k in rows if k % 13 == 0} and all((v == "receipt") == (k % 26 == 0) for k, v in refused.items())
+    assert all(kind is None if k in refused else kind == "nda" or k % 3 for k, (kind, _) in rows.items())
