@@ -633,3 +633,15 @@ def test_legal_gate_query(spark):
     refused = {k: reason for k, (kind, reason) in rows.items() if reason is not None}
     assert set(refused) == {k for k in rows if k % 13 == 0} and all((v == "receipt") == (k % 26 == 0) for k, v in refused.items())
     assert all(kind is None if k in refused else kind == "nda" or k % 3 for k, (kind, _) in rows.items())
+
+
+def test_dice_shuffles_no_character_pairs(spark):
+    """Many quotes of one document, pairs that repeat, short and empty sides; no pair leaves its row."""
+    text = "aaaa bbb \U0001F600\U0001F600 the end of the aaaa"
+    quotes = [(1, i, q) for i, q in enumerate(["aaa", "a", "", text, "zz", "\U0001F600\U0001F600the", None] + [text[i % 9 : i % 9 + 6] for i in range(600)])] + [(2, 0, "ab")]
+    docs = spark.createDataFrame([(1, text), (2, "b"), (3, "lonely")], "doc_id long, b string")
+    found = grounding.bigram_dice(spark.createDataFrame(quotes, "doc_id long, ord int, a string"), docs)
+    assert "gram" not in found._jdf.queryExecution().optimizedPlan().toString()
+    grams = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
+    want = {(1, i): None if q is None else 1.0 if q == text else 0.0 if len(q) < 2 else 2 * sum((grams(q) & grams(text)).values()) / (len(q) + len(text) - 2) for k, i, q in quotes if k == 1} | {(2, 0): 0.0}
+    assert {(r["doc_id"], r["ord"]): r["similarity"] for r in found.collect()} == want
