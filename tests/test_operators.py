@@ -645,3 +645,13 @@ def test_dice_shuffles_no_character_pairs(spark):
     grams = lambda s: Counter(s[i : i + 2] for i in range(len(s) - 1))
     want = {(1, i): None if q is None else 1.0 if q == text else 0.0 if len(q) < 2 else 2 * sum((grams(q) & grams(text)).values()) / (len(q) + len(text) - 2) for k, i, q in quotes if k == 1} | {(2, 0): 0.0}
     assert {(r["doc_id"], r["ord"]): r["similarity"] for r in found.collect()} == want
+
+
+def test_hopeless_quotes_cost_no_window_search(spark, monkeypatch):
+    """A quote whose pairs the text has not is settled without windows; what is left has the outcome of a full search."""
+    text = "Either party may end this agreement\tby giving  thirty days notice. " * 3
+    monkeypatch.setattr(grounding, "_Windows", None)
+    backwards = text[::-1][5:60]
+    assert [r[0] for r in grounding._search_all(text, [backwards, "0123456789" * 4, text.upper()[3:40]])] == ["below_threshold", "not_found", None]
+    monkeypatch.undo()
+    assert grounding._search_all(text, ["giving thirty days"])[0][:3] == (None, text.index("giving"), text.index("days") + 4)
