@@ -655,3 +655,19 @@ def test_hopeless_quotes_cost_no_window_search(spark, monkeypatch):
     assert [r[0] for r in grounding._search_all(text, [backwards, "0123456789" * 4, text.upper()[3:40]])] == ["below_threshold", "not_found", None]
     monkeypatch.undo()
     assert grounding._search_all(text, ["giving thirty days"])[0][:3] == (None, text.index("giving"), text.index("days") + 4)
+
+
+def test_spans_are_found_in_one_pass(spark):
+    """Texts that hold the mark, empty matches, anchors and lookarounds; segments do not search the text once for each segment."""
+    texts = ["1. one\n2) two\n(a) three\nclause 4.1 four\nIV. five", "\x01 1. x \x01\n2. y\x01", "", "no match", "\n\n10.2.3 a\n(iv) b"]
+    for pattern in (r"(?m)^\d\.", r"\d*", r"(?<=\()[a-z]+(?=\))", consistency.ANY_CONCEPT, canonical.SEGMENT):
+        for text in texts:
+            got = [(m["start"], m["end"], m["text"]) for m in one(spark, match_spans(F.col("t"), pattern), t=text)]
+            if pattern != r"\d*":
+                flags = pattern if pattern.startswith("(?") else pattern
+                assert got == [(m.start(), m.end(), m.group()) for m in re.finditer(flags, text) if m.group()], (pattern, text)
+            assert all(text[a:b] == t for a, b, t in got)
+    labels = [[s["label"] for s in one(spark, canonical.segments_of(F.col("t")), t=text)] for text in texts]
+    assert labels == [["1", "2", "(a)", "4.1", "IV."], ["2"], [], [], ["10.2.3", "(iv)"]]
+    plan = contracts(spark, "1. a").select(canonical.segments_of(F.col("text")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Clause".lower()) <= 4  # the pattern of a segment: the search, its twin for marked texts, and the label
