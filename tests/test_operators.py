@@ -671,3 +671,14 @@ def test_spans_are_found_in_one_pass(spark):
     assert labels == [["1", "2", "(a)", "4.1", "IV."], ["2"], [], [], ["10.2.3", "(iv)"]]
     plan = contracts(spark, "1. a").select(canonical.segments_of(F.col("text")).alias("s"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("Clause".lower()) <= 4  # the pattern of a segment: the search, its twin for marked texts, and the label
+
+
+def test_report_files_are_read_by_line(spark, tmp_path):
+    """A file is as many rows as it has lines; its last bad line is its whole concern, and the worst one names it."""
+    line = json.dumps({"doc_id": 7, "kind": "not_a_document", "reason": "no"})
+    (tmp_path / "good.json").write_text((line + "\n\n") * 500)
+    (tmp_path / "late.json").write_bytes((line + "\n").encode() * 500 + b"{}\n{\n\xff\xfe\n")
+    (tmp_path / "two.json").write_text("{}\n{\n")
+    good, bad = files.read_report_files(spark, str(tmp_path), "doc_id long, kind string, reason string, score int, drivers array<string>")
+    assert "binaryFile" not in good._jdf.queryExecution().analyzed().toString() and good.count() == 500
+    assert {r["path"].rsplit("/", 1)[1]: r["problem"] for r in bad.collect()} == {"late.json": "encoding", "two.json": "malformed"}
