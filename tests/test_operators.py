@@ -682,3 +682,12 @@ def test_report_files_are_read_by_line(spark, tmp_path):
     good, bad = files.read_report_files(spark, str(tmp_path), "doc_id long, kind string, reason string, score int, drivers array<string>")
     assert "binaryFile" not in good._jdf.queryExecution().analyzed().toString() and good.count() == 500
     assert {r["path"].rsplit("/", 1)[1]: r["problem"] for r in bad.collect()} == {"late.json": "encoding", "two.json": "malformed"}
+
+
+def test_last_assertion_without_strings_in_sums(spark):
+    rows = [(1, 1, "a", "present", "q", True), (1, 2, "a", "absent", None, False), (1, 3, "b", "present", "q", False), (2, 1, "a", "present", " ", None), (2, 9, "b", "absent", "q", True), (2, 10, "b", None, "q", True), (3, 1, "a", "maybe", "q", True)]
+    asserted = spark.createDataFrame(rows, "doc_id long, ord int, construct string, presence string, quote string, located boolean")
+    found = grounding.fact_view_constructs(asserted, spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "doc_id long"), ["a", "b"])
+    assert {r["doc_id"]: (r["a"], r["b"]) for r in found.collect()} == {1: ("absent", "unclear"), 2: ("present", "unclear"), 3: ("unclear", "unclear"), 4: ("unclear", "unclear")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
