@@ -691,3 +691,10 @@ def test_last_assertion_without_strings_in_sums(spark):
     assert {r["doc_id"]: (r["a"], r["b"]) for r in found.collect()} == {1: ("absent", "unclear"), 2: ("present", "unclear"), 3: ("unclear", "unclear"), 4: ("unclear", "unclear")}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+
+
+def test_clauses_search_quotes_once(spark, monkeypatch):
+    searches, search = [], grounding.locate
+    monkeypatch.setattr(grounding, "locate", lambda *a: searches.append(1) or search(*a))
+    text_queries._clauses(spark, SF)
+    assert len(searches) == 1
