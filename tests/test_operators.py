@@ -698,3 +698,32 @@ def test_clauses_search_quotes_once(spark, monkeypatch):
     monkeypatch.setattr(grounding, "locate", lambda *a: searches.append(1) or search(*a))
     text_queries._clauses(spark, SF)
     assert len(searches) == 1
+
+
+def test_fuzzy_searches_of_a_batch_are_made_together(monkeypatch):
+    """All quotes of a batch in one pass over running sums, with what each has alone; no table of windows is made for one quote."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc d") for _ in range(rng.randrange(0, 200))) for _ in range(400)] + ["ab" * 40, "", "a", "the same text twice; " * 4]
+    quotes = []
+    for text in texts:
+        at = rng.randrange(max(1, len(text) - 40))
+        piece = list(text[at : at + rng.randrange(2, 60)]) + ["a", "b"]
+        for _ in range(rng.randrange(4)):
+            piece[rng.randrange(len(piece))] = rng.choice("abz")
+        quotes.append("".join(piece))
+    alone = [grounding.locate_fuzzy(text, quote) for text, quote in zip(texts, quotes)]
+    monkeypatch.setattr(grounding, "_Windows", None)
+    together = grounding._fuzzy_all(texts, quotes)
+    assert [(r, a if r is None else None, s if r is None else None) for r, a, s in together] == [(r, a if r is None else None, s if r is None else None) for r, a, s in alone]
+    assert {r[0] for r in together} >= {None, "not_found", "below_threshold"}
+    clause = "either party may end this agreement by giving thirty days notice"
+    near = clause.replace("give", "gxve").replace("giving", "gxving")
+    assert [r[0] for r in grounding._fuzzy_all([clause, clause + " ; " + clause], [near, near])] == [None, "ambiguous"]
+
+
+def test_quotes_beside_their_text_need_no_join(spark):
+    rows = text_queries._near_quotes(spark, SF).where("doc_id < 200")
+    found = grounding.locate_beside(rows)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    joined = grounding.locate(rows.select("doc_id", "ord", "quote"), rows.select("doc_id", "text"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
