@@ -727,3 +727,11 @@ def test_quotes_beside_their_text_need_no_join(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     joined = grounding.locate(rows.select("doc_id", "ord", "quote"), rows.select("doc_id", "text"))
     assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_findings_nested_beside_their_text_need_no_join(spark):
+    nested = text_queries.nested_quotes(spark, SF).where("doc_id < 200")
+    found = grounding.locate_nested(nested)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    joined = grounding.locate(text_queries.quotes(spark, SF).where("doc_id < 200"), text_queries.contracts(spark, SF))
+    assert found.columns == joined.columns and sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
