@@ -10,12 +10,14 @@ scan's own tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactlake.functions.spans import let
 from pactlake.plans.rules import BOUNDS, CATEGORIES, CONSTRUCTS, DOCUMENT_TYPES
+from pactlake.sources.files import stored
 
 
 @dataclass(frozen=True)
@@ -89,28 +91,32 @@ def _found(path: Column, *rules: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, F.concat(path, F.lit(f":{name}"))) for broken, name in rules]))
 
 
-def _checked(declared, value: Column, path: Column) -> Column:
-    """The violations of a value of the declared kind."""
+def _rules(declared, value: Column) -> list[tuple[Column, str]]:
+    """The rules of a typed value, each a condition that breaks it and its name."""
+    rules = []
     if isinstance(declared, Text):
-        text, rules = F.try_variant_get(value, "$", "string"), []
         if declared.least:
-            rules.append((F.length(text) < declared.least, "too_short"))
+            rules.append((F.length(value) < declared.least, "too_short"))
         if declared.most is not None:
-            rules.append((F.length(text) > declared.most, "too_long"))
+            rules.append((F.length(value) > declared.most, "too_long"))
         if declared.pattern:
-            rules.append((~text.rlike(declared.pattern), "pattern"))
+            rules.append((~value.rlike(declared.pattern), "pattern"))
         if declared.choices:
-            rules.append((~text.isin(*declared.choices), "choice"))
-        return _found(path, *rules)
+            rules.append((~value.isin(*declared.choices), "choice"))
     if isinstance(declared, Number):
-        number, rules = F.try_variant_get(value, "$", "double"), []
         if declared.integer:
-            rules.append((number != F.floor(number), "integer"))
+            rules.append((value != F.floor(value), "integer"))
         if declared.low is not None:
-            rules.append((number < declared.low, "too_small"))
+            rules.append((value < declared.low, "too_small"))
         if declared.high is not None:
-            rules.append((number > declared.high, "too_large"))
-        return _found(path, *rules)
+            rules.append((value > declared.high, "too_large"))
+    return rules
+
+
+def _checked(declared, value: Column, path: Column) -> Column:
+    """The violations of a value of the declared kind."""
+    if isinstance(declared, (Text, Number)):
+        return _found(path, *_rules(declared, F.try_variant_get(value, "$", ddl(declared))))
     if isinstance(declared, Rows):
         each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda x, i: _compiled(declared.item, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
         size = F.size(F.try_variant_get(value, "$", "array<variant>"))
@@ -144,6 +150,61 @@ def violations(kind: str, json: Column) -> Column:
     return let(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.array(F.lit(":malformed"))).otherwise(_compiled(KINDS[kind], v, F.lit("$"))))
 
 
+# --- records whose fields are all there, of their types --------------------------------------------
+def _shape(declared) -> str:
+    """A pattern for the type of a VARIANT (its fields are sorted) that has every field of a declaration, and no other."""
+    if isinstance(declared, Record):
+        out = "OBJECT<" + ", ".join(f"{name}: {_shape(declared.fields[name])}" for name in sorted(declared.fields)) + ">"
+    elif isinstance(declared, Rows):
+        out = f"ARRAY<(?:VOID|{_shape(declared.item)})>"
+    else:
+        out = {Text: "STRING", Number: r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\([^)]*\))", Flag: "BOOLEAN"}[type(declared)]
+    return f"(?:VOID|{out})" if declared.nullable else out
+
+
+def _held(declared, inside: bool = False) -> str:
+    """:func:`ddl`, but inside of arrays, where types are merged, nullable fields stay VARIANT: a missing one differs from null."""
+    if inside and declared.nullable:
+        return "variant"
+    if isinstance(declared, Record):
+        return "struct<" + ", ".join(f"{name}: {_held(d, inside)}" for name, d in declared.fields.items()) + ">"
+    if isinstance(declared, Rows):
+        return f"array<{_held(declared.item, True)}>"
+    return ddl(declared)
+
+
+def _there(declared, value: Column, inside: bool = False) -> Column:
+    """Whether nothing is missing or null in the arrays of a value, as far as its type cannot tell."""
+    if isinstance(declared, Record):
+        return reduce(Column.__and__, [_there(d, value[name], inside) for name, d in declared.fields.items()], value.isNotNull() if inside else F.lit(True))
+    if isinstance(declared, Rows) and not (inside and declared.nullable):
+        each = F.forall(value, lambda x: _there(declared.item, x, True))
+        return value.isNotNull() & each if inside else value.isNull() | each
+    return value.isNotNull() if inside else F.lit(True)
+
+
+def _broken(declared, value: Column, path: Column, inside: bool = False) -> list[Column]:
+    """The violations of a typed value, as strings, null where there is none, and arrays of such."""
+    if inside and declared.nullable:
+        value = F.try_variant_get(value, "$", ddl(declared))
+        inside = False
+    if isinstance(declared, Record):
+        return [c for name, d in declared.fields.items() for c in _broken(d, value[name], F.concat(path, F.lit(f".{name}")), inside)]
+    if isinstance(declared, Rows):
+        def item(x: Column, i: Column) -> Column:
+            return F.array(*_broken(declared.item, x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), True))
+
+        return [F.when(F.size(value) > declared.most, F.concat(path, F.lit(":too_many"))), F.flatten(F.transform(value, item))]
+    return [F.when(broken, F.concat(path, F.lit(f":{name}"))) for broken, name in _rules(declared, value)]
+
+
+def _sound(lines: DataFrame) -> DataFrame:
+    """``lines`` with a column per kind: the typed record, null if it is of another kind or does not have all fields in their types."""
+    rows = lines.withColumn("v", F.when(F.col("kind").isin(*KINDS), F.try_parse_json("json"))).withColumn("shape", F.schema_of_variant("v"))
+    fits = lambda kind: (F.col("kind") == kind) & F.col("shape").rlike(f"^{_shape(KINDS[kind])}$")
+    return rows.withColumns({f"as_{kind}": F.when(fits(kind), F.from_json("json", _held(KINDS[kind]), {"mode": "PERMISSIVE"})) for kind in KINDS}).drop("v", "shape")
+
+
 def read_model_outputs(lines: DataFrame, kind: str) -> DataFrame:
     """``doc_id`` and the typed ``record`` of each JSON line of a kind; null where it does not parse."""
     parsed = F.from_json("json", ddl(KINDS[kind]) if kind in KINDS else kind, {"mode": "PERMISSIVE"})
@@ -153,11 +214,16 @@ def read_model_outputs(lines: DataFrame, kind: str) -> DataFrame:
 def validate_model_outputs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, kind, json`` without violations, and the quarantined with theirs.
 
-    Records of a kind that no contract knows are quarantined as ``:kind``.
+    Records of a kind that no contract knows are quarantined as ``:kind``. Records
+    are checked once and stored with what was found. Those that have every field in
+    its type are checked as typed values; only the others are looked at field by
+    field for what is missing, null or of another type.
     """
     found = F.array(F.lit(":kind"))
-    for kind in KINDS:
-        found = F.when(F.col("kind") == kind, violations(kind, F.col("json"))).otherwise(found)
-    # The generator keeps the violations whole: else every use of them would check the record again.
-    checked = lines.select("doc_id", "kind", "json", F.explode(F.array(found)).alias("violations"))
+    for kind, declared in KINDS.items():
+        typed = F.col(f"as_{kind}")
+        said = F.array_remove(F.split(F.concat_ws("\n", *_broken(declared, typed, F.lit("$"))), "\n"), "")
+        one = F.when(typed.isNotNull() & _there(declared, typed), said).otherwise(violations(kind, F.col("json")))
+        found = F.when(F.col("kind") == kind, one).otherwise(found)
+    checked = stored(_sound(lines.select("doc_id", "kind", "json")).select("doc_id", "kind", "json", found.alias("violations")), "checked-outputs")
     return checked.where(F.size("violations") == 0).drop("violations"), checked.where(F.size("violations") > 0)
