@@ -208,7 +208,9 @@ def _sound(lines: DataFrame) -> DataFrame:
 def read_model_outputs(lines: DataFrame, kind: str) -> DataFrame:
     """``doc_id`` and the typed ``record`` of each JSON line of a kind; null where it does not parse."""
     parsed = F.from_json("json", ddl(KINDS[kind]) if kind in KINDS else kind, {"mode": "PERMISSIVE"})
-    return lines.where(F.col("kind") == kind).select("doc_id", "json", F.when(F.try_parse_json("json").isNotNull(), parsed).alias("record"))
+    record = F.when(F.try_parse_json("json").isNotNull(), parsed)
+    # The generator keeps the record whole: else every use of one of its fields would parse the line again.
+    return lines.where(F.col("kind") == kind).select("doc_id", "json", F.explode(F.array(record)).alias("record"))
 
 
 def validate_model_outputs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
