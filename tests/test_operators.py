@@ -754,3 +754,9 @@ def test_a_line_is_parsed_once_for_all_fields_of_its_record(spark):
     lines = spark.createDataFrame([(1, "answer", json.dumps(SAID))], "doc_id long, kind string, json string")
     record = model_outputs.read_model_outputs(lines, "answer").where("record is not null").select("record.answer", "record.certainty")
     assert record._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and record.count() == 1
+
+
+def test_reasons_of_a_document_meet_its_situation_only(spark):
+    view = score_queries.view(spark, SF)
+    plan = remedies.document_signals(view, score_queries.situations(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan  # verdicts and drivers stand in the document's row
