@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import pathlib
 import random
 import re
 import time
@@ -760,3 +761,23 @@ def test_reasons_of_a_document_meet_its_situation_only(spark):
     view = score_queries.view(spark, SF)
     plan = remedies.document_signals(view, score_queries.situations(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan  # verdicts and drivers stand in the document's row
+
+
+def test_reports_are_made_in_the_document_s_own_row(spark):
+    """Lines are grouped, orders and lines meet, and nothing else is shuffled; columns for the search of quotes hold no facts."""
+    made = text_queries._reports(text_queries._wanted(spark, SF), text_queries._refused(spark, SF))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate [") == 1 and "Window" not in plan and plan.count("Union") == 1
+
+
+def test_report_files_are_packed_and_the_only_copy(spark, monkeypatch):
+    names, store, folder = [], files.stored, files.shared_folder
+    monkeypatch.setattr(files, "stored", lambda rows, name: names.append(name) or store(rows, name))
+    monkeypatch.setattr(files, "shared_folder", lambda s, name: names.append(folder(s, name)) or names[-1])
+    few = text_queries._wanted(spark, SF).where("doc_id < 60")
+    monkeypatch.setattr(text_queries, "_wanted", lambda s, d: few)
+    found = {(r["kind"], r["problem"]): r["n"] for r in text_queries.read_reports(spark, SF).collect()}
+    path = next(n for n in names if "report-files" in n)
+    written = [p for p in pathlib.Path(path).iterdir() if p.name.startswith("part-")]
+    assert "reports" not in names and sum(p.name.endswith(".gz") for p in written) >= len(written) - 3
+    assert found[None, "malformed"] == found[None, "alien"] == found[None, "encoding"] == 1 and found["report", None] == few.count()
