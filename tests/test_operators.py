@@ -808,3 +808,14 @@ def test_clean_texts_are_canonical_without_patterns(spark):
         assert r["text"] is None and r["c"] is None or r["c"] == plain(r["text"]) and r["t"] == re.sub(f"^[{tx.SPACE}]+|[{tx.SPACE}]+\\Z", "", r["text"])
     plan = rows.select("t")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and rows.select("c")._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") == 1
+
+
+def test_new_runs_make_no_report_again(spark, monkeypatch):
+    """Ids are selected before reports are made: the second run makes those of its missing ids only, and none is stored twice."""
+    made, names, whole, store = [], [], text_queries._reports, files.stored
+    few = text_queries._wanted(spark, SF).where("doc_id < 60")
+    monkeypatch.setattr(text_queries, "_wanted", lambda s, d: few)
+    monkeypatch.setattr(text_queries, "_reports", lambda docs, refused: made.append({r["doc_id"] for r in docs.select("doc_id").collect()}) or whole(docs, refused))
+    monkeypatch.setattr(files, "stored", lambda rows, name: names.append(name) or store(rows, name))
+    text_queries.write_reports(spark, SF)
+    assert not made[0] & made[1] and made[0] | made[1] == {r["doc_id"] for r in few.select("doc_id").collect()} and not names
